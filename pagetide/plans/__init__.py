@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ("traffic",)
+AREAS = ("traffic", "usage")
 
 
 def load_all() -> tuple[dict, dict]:
