@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ("traffic", "usage")
+AREAS = ("traffic", "usage", "intake")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -152,7 +152,15 @@ def st_dup_jobs(spark, sf):
     return U.reuse_duplicates(derived(spark, sf, "submissions")).select("id", "job_id")
 
 
-@query("st_lockout")
+# Blocked tries are not recorded, so SQL follows the attempts of an address one by one.
+@query("st_lockout", cte("logins") + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY created_at, id) AS r FROM logins),
+  fold AS (WITH RECURSIVE f AS (
+    SELECT ip, 0::BIGINT AS r, NULL::BIGINT AS id, []::TIMESTAMP[] AS fails, '' AS outcome FROM (SELECT DISTINCT ip FROM logins)
+    UNION ALL SELECT o.ip, o.r, o.id, CASE WHEN len(live) >= 5 OR o.success THEN live ELSE list_append(live, o.created_at) END,
+      CASE WHEN len(live) >= 5 THEN 'blocked' WHEN o.success THEN 'ok' ELSE 'failed' END
+    FROM (SELECT o.*, list_filter(f.fails, lambda t: t > o.created_at - INTERVAL 900 SECOND) AS live FROM f JOIN ordered o ON o.ip = f.ip AND o.r = f.r + 1) o)
+    SELECT * FROM f WHERE r > 0)
+  SELECT id, ip, outcome FROM fold""")
 def st_lockout(spark, sf):
     return U.lockouts(derived(spark, sf, "logins")).select("id", "ip", "outcome")
 
