@@ -160,6 +160,6 @@ def ocr_box(left: Column, top: Column, width: Column, height: Column, page_heigh
 
 def split_name(first: Column, last: Column) -> Column:
     """Name of one split output."""
-    return F.when(first == last, F.format_string("page-%03d", first)).otherwise(
-        F.format_string("pages-%03d-%03d", first, last)
+    return F.when(first == last, F.format_string("page-%03d", first)).when(
+        first < last, F.format_string("pages-%03d-%03d", first, last)
     )

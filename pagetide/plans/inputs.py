@@ -151,6 +151,27 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "height_pt": "CAST(CASE conv_id % 2 WHEN 0 THEN 792 ELSE 842 END AS DOUBLE)",
         "rotation": "CAST((turn % 4) * 90 AS INT)",
     }),
+    "doc_options": ("documents", {
+        "doc_id": "doc_id",
+        "lang": "lang",
+        "spec": ("CASE doc_id % 11 WHEN 0 THEN '1-3,5' WHEN 1 THEN '2' WHEN 2 THEN ' 1 - 2 ' WHEN 3 THEN '5-3' "
+                 "WHEN 4 THEN 'a' WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN '900' WHEN 8 THEN '1,1-2,2' "
+                 "WHEN 9 THEN '0-2' ELSE '1-2,4-6,3' END"),
+        "mode": "CASE doc_id % 7 WHEN 0 THEN 'every' WHEN 1 THEN 'odd' ELSE 'ranges' END",
+        "angle": "CASE doc_id % 6 WHEN 0 THEN ' 90' WHEN 1 THEN '180' WHEN 2 THEN '45' WHEN 3 THEN '' ELSE '270' END",
+        "rotations": ("CASE doc_id % 6 WHEN 0 THEN '{\"1\": 90}' WHEN 1 THEN '{\"1\": 270, \"2\": 180}' "
+                      "WHEN 2 THEN '{\"1\": \"90\"}' WHEN 3 THEN '{}' WHEN 4 THEN '{\"x\": 90}' ELSE '{\"1\": 45}' END"),
+        "start_number": "CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '10' WHEN 2 THEN '2.5' WHEN 3 THEN '0' ELSE '100' END",
+        "prefix": "CASE doc_id % 3 WHEN 0 THEN NULL ELSE 'p. ' END",
+        "suffix": "CASE doc_id % 4 WHEN 0 THEN ' /' ELSE '' END",
+        "out_id": "CAST(floor(doc_id / 4) AS BIGINT)",
+        "doc_seq": "CAST(doc_id % 4 AS INT)",
+        "page_order": ("CASE CAST(floor(doc_id / 4) AS BIGINT) % 5 WHEN 0 THEN '[[0,1],[1,1]]' WHEN 1 THEN '[[1,1],[0,1],[1,1]]' "
+                       "WHEN 2 THEN '[[7,1]]' WHEN 3 THEN '[[0,1],[0,9999]]' ELSE 'nope' END"),
+        "filename": "concat('doc', doc_id, '.pdf')",
+        "patterns": ("CASE doc_id % 13 WHEN 0 THEN ' , ,' WHEN 1 THEN '' WHEN 2 THEN 'zq absent' WHEN 3 THEN 'e,th  of' "
+                     "ELSE concat(split_part(text, ' ', 2), ', ', split_part(text, ' ', 6), ',zq absent') END"),
+    }),
     "attributes": ("part", {
         "file_id": "p_partkey",
         "title": "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('  ', chr(9), ' ') ELSE concat(' ', p_name, chr(10)) END",
@@ -187,6 +208,37 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out.withColumns(local) if local else out
 
 
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as page rows: one page per line of text."""
+    docs = source(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return lines.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text",
+                        ((F.col("pos") + 1) % 4 * 90).alias("rotation"))
+
+
+TEXT_PAGES = """SELECT doc_id, generate_subscripts(l, 1)::INT AS page_no, unnest(l) AS text, (generate_subscripts(l, 1) % 4 * 90)::INT AS rotation
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+COUNTS = "SELECT doc_id, count(*) AS page_count FROM pages_in GROUP BY 1"
+
+
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the conversation pages as recognised words with confidence and box."""
+    pages = derived(spark, sf_dir, "doc_pages")
+    words = pages.select("doc_id", "page_no", F.posexplode(F.split("text", " ")).alias("word_no", "text"))
+    return words.selectExpr("*", *[f"{e} AS {c}" for c, e in _WORD.items()])
+
+
+_WORD = {
+    "conf": "CASE (doc_id + word_no) % 6 WHEN 0 THEN '95.5' WHEN 1 THEN '30' WHEN 2 THEN '29.99' WHEN 3 THEN '-1' WHEN 4 THEN 'n/a' ELSE '88' END",
+    "left": "word_no % 40 * 30",
+    "top": "CAST(floor(word_no / 40) AS INT) * 50",
+    "width": "length(text) * 12",
+    "height": "word_no % 5 * 10",
+}
+OCR_WORDS = "SELECT *, " + ", ".join(f'{e} AS "{c}"' for c, e in _WORD.items()) + """ FROM (SELECT doc_id, page_no,
+  (generate_subscripts(string_split(text, ' '), 1) - 1)::INT AS word_no, unnest(string_split(text, ' ')) AS text FROM doc_pages)"""
+
+
 def cte(*names: str, **more: str) -> str:
     """``WITH`` clause of derived tables, then of further named SELECTs."""
     parts = []
