@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ("traffic", "usage", "intake", "pages", "text", "metadata")
+AREAS = ("traffic", "usage", "intake", "pages", "text", "layout", "metadata")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "pagetide", master: str | None = None, **extra: str) -> SparkSession:
@@ -38,3 +39,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         return configured
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write an expensive intermediate result to the shared folder and read it back.
+
+    Later jobs read the files, so they neither repeat the work nor depend on the
+    executors that did it.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
