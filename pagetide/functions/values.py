@@ -42,6 +42,19 @@ def hour_start(ts: Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def utc_instant(wall: Column) -> Column:
+    """Zone-free UTC time to an instant, whatever the session zone (streams need instants)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), wall))
+
+
+def utc_wall(instant: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
+
+
 def quota_key(ip: Column, tool: Column, ts: Column) -> Column:
     return F.concat_ws("|", ip, tool, F.date_format(ts, "yyyyMMddHH"))
 
