@@ -18,14 +18,12 @@ from ..functions import ranges as R
 from ..functions import values as V
 from .skew import PAGES_PER_PIECE, number_rows, page_counts, piece_of, running_total, with_document_options
 
-SPEC, PAGE, COUNT = F.col("spec"), F.col("page_no"), F.col("page_count")
-
 
 def _emit(df: DataFrame, code: Column, keep: Column, columns: dict[str, Column]) -> DataFrame:
     """Kept pages of good documents; the first page of a bad one becomes its error row."""
     coded = df.withColumn("error_code", code)
     good = F.col("error_code").isNull()
-    rows = coded.filter(F.when(good, keep).otherwise(PAGE == 1))
+    rows = coded.filter(F.when(good, keep).otherwise(F.col("page_no") == 1))
     computed = rows.select("doc_id", *[F.when(good, c).alias(f"_{n}") for n, c in columns.items()], "error_code")
     return computed.withColumnsRenamed({f"_{n}": n for n in columns})
 
@@ -33,23 +31,23 @@ def _emit(df: DataFrame, code: Column, keep: Column, columns: dict[str, Column])
 def select_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Pages named by ``spec``; a blank spec names all."""
     df = with_document_options(pages, options)
-    code = R.spec_code(SPEC, COUNT, blank_ok=True)
-    return _emit(df, code, R.contains_page(SPEC, PAGE, blank_means_all=True),
-                 {"page_no": PAGE, "text": F.col("text")})
+    code = R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True)
+    return _emit(df, code, R.contains_page(F.col("spec"), F.col("page_no"), blank_means_all=True),
+                 {"page_no": F.col("page_no"), "text": F.col("text")})
 
 
 def delete_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Remaining pages, renumbered: the old number less the deleted pages before it."""
     df = with_document_options(pages, options)
     code = (
-        F.when(R.is_blank(SPEC), S.MISSING_OPTION)
+        F.when(R.is_blank(F.col("spec")), S.MISSING_OPTION)
         .otherwise(F.coalesce(
-            R.spec_code(SPEC, COUNT, code=S.BAD_OPTION),
-            F.when(R.selected_count(SPEC) >= COUNT, S.BAD_OPTION),
+            R.spec_code(F.col("spec"), F.col("page_count"), code=S.BAD_OPTION),
+            F.when(R.selected_count(F.col("spec")) >= F.col("page_count"), S.BAD_OPTION),
         ))
     )
-    return _emit(df, code, ~R.contains_page(SPEC, PAGE),
-                 {"old_page_no": PAGE, "page_no": PAGE - R.pages_before(SPEC, PAGE), "text": F.col("text")})
+    return _emit(df, code, ~R.contains_page(F.col("spec"), F.col("page_no")),
+                 {"old_page_no": F.col("page_no"), "page_no": F.col("page_no") - R.pages_before(F.col("spec"), F.col("page_no")), "text": F.col("text")})
 
 
 def rotate_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
@@ -58,11 +56,11 @@ def rotate_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     angle = F.trim(F.col("angle")).try_cast("int")
     code = F.when(V.blank_to_null(F.col("angle")).isNull(), S.MISSING_OPTION).otherwise(F.coalesce(
         F.when(~F.coalesce(V.is_quarter_turn(angle), F.lit(False)), S.BAD_OPTION),
-        R.spec_code(SPEC, COUNT, blank_ok=True, code=S.BAD_OPTION),
+        R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True, code=S.BAD_OPTION),
     ))
-    turned = F.when(R.contains_page(SPEC, PAGE, blank_means_all=True),
+    turned = F.when(R.contains_page(F.col("spec"), F.col("page_no"), blank_means_all=True),
                     V.normal_angle(F.col("rotation") + angle)).otherwise(F.col("rotation"))
-    return _emit(df, code, F.lit(True), {"page_no": PAGE, "rotation": turned})
+    return _emit(df, code, F.lit(True), {"page_no": F.col("page_no"), "rotation": turned})
 
 
 def rotate_by_map(pages: DataFrame, options: DataFrame) -> DataFrame:
@@ -84,7 +82,7 @@ def rotate_by_map(pages: DataFrame, options: DataFrame) -> DataFrame:
     df = with_document_options(pages, checked.select("doc_id", "error_code")).join(
         angles, ["doc_id", "page_no"], "left")
     turned = V.normal_angle(F.col("rotation") + F.coalesce("angle", F.lit(0)))
-    return _emit(df, F.col("error_code"), F.lit(True), {"page_no": PAGE, "rotation": turned})
+    return _emit(df, F.col("error_code"), F.lit(True), {"page_no": F.col("page_no"), "rotation": turned})
 
 
 def parse_order(order: Column) -> Column:
@@ -121,19 +119,19 @@ def split_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     by_range = F.col("mode") == "ranges"
     code = (
         F.when(~F.coalesce(F.col("mode").isin("ranges", "every"), F.lit(False)), S.BAD_OPTION)
-        .when(by_range & R.is_blank(SPEC), S.MISSING_OPTION)
-        .when(by_range, R.spec_code(SPEC, COUNT, code=S.BAD_OPTION))
+        .when(by_range & R.is_blank(F.col("spec")), S.MISSING_OPTION)
+        .when(by_range, R.spec_code(F.col("spec"), F.col("page_count"), code=S.BAD_OPTION))
     )
-    numbered = F.transform(R.intervals(SPEC), lambda iv, i: F.struct(
+    numbered = F.transform(R.intervals(F.col("spec")), lambda iv, i: F.struct(
         i.cast("long").alias("group_no"), iv["start"].alias("first"), iv["end"].alias("last")))
     mine = F.filter(numbered, lambda g: F.col("page_no").between(g["first"], g["last"]))
-    single = F.array(F.struct((PAGE - 1).cast("long").alias("group_no"),
-                              PAGE.cast("long").alias("first"), PAGE.cast("long").alias("last")))
+    single = F.array(F.struct((F.col("page_no") - 1).cast("long").alias("group_no"),
+                              F.col("page_no").cast("long").alias("first"), F.col("page_no").cast("long").alias("last")))
     coded = df.withColumn("error_code", code)
-    groups = F.when(F.col("error_code").isNotNull(), F.when(PAGE == 1, F.array(F.lit(None).cast(
+    groups = F.when(F.col("error_code").isNotNull(), F.when(F.col("page_no") == 1, F.array(F.lit(None).cast(
         "struct<group_no:bigint,first:bigint,last:bigint>")))).when(by_range, mine).otherwise(single)
     good = F.col("error_code").isNull()
-    return coded.select("doc_id", F.explode(groups).alias("_g"), F.when(good, PAGE).alias("page_no"), "error_code").select(
+    return coded.select("doc_id", F.explode(groups).alias("_g"), F.when(good, F.col("page_no")).alias("page_no"), "error_code").select(
         "doc_id", F.col("_g.group_no").alias("group_no"),
         V.split_name(F.col("_g.first"), F.col("_g.last")).alias("out_name"), "page_no", "error_code")
 
@@ -155,13 +153,13 @@ def label_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Stamp ``prefix + number + suffix`` on the selected pages; others stay unlabelled."""
     df = with_document_options(pages, options)
     start, start_code = V.int_option(F.col("start_number"), 1)
-    code = F.coalesce(start_code, R.spec_code(SPEC, COUNT, blank_ok=True))
-    number = start + R.pages_before(SPEC, PAGE)
+    code = F.coalesce(start_code, R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True))
+    number = start + R.pages_before(F.col("spec"), F.col("page_no"))
     label = F.when(
-        R.contains_page(SPEC, PAGE, blank_means_all=True),
+        R.contains_page(F.col("spec"), F.col("page_no"), blank_means_all=True),
         F.concat(F.coalesce("prefix", F.lit("")), number.cast("string"), F.coalesce("suffix", F.lit(""))),
     )
-    return _emit(df, code, F.lit(True), {"page_no": PAGE, "label": label})
+    return _emit(df, code, F.lit(True), {"page_no": F.col("page_no"), "label": label})
 
 
 # -------------------------------------------------------------------- merge
