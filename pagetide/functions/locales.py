@@ -59,18 +59,12 @@ def locale_url(base_url: str, path: Column, locale: Column) -> Column:
 
 def is_known_route(path: Column, slugs: tuple[str, ...]) -> Column:
     """Whether a site with these tool slugs generates ``path``."""
-    norm = F.regexp_replace(path, r"^/+|/+$", "")
-    parts = F.split(norm, "/")
-    n, a, b, c = F.size(parts), F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    known = (
-        F.when(norm == "", F.lit(True))
-        .when(n == 1, a.isin(*TOP_PAGES) | a.isin(*PREFIXED_LOCALES))
-        .when((n == 2) & (a == "tools"), b.isin(*slugs))
-        .when(n == 2, a.isin(*PREFIXED_LOCALES) & b.isin(*TOP_PAGES))
-        .when(n == 3, a.isin(*PREFIXED_LOCALES) & (b == "tools") & c.isin(*slugs))
-        .otherwise(F.lit(False))
-    )
-    return F.coalesce(known, F.lit(False))
+    def any_of(words: tuple[str, ...]) -> str:
+        return "(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")"
+
+    locale = any_of(PREFIXED_LOCALES)
+    page = rf"(?:{any_of(TOP_PAGES)}|tools/{any_of(slugs)})"
+    return F.coalesce(path.rlike(rf"\A/*(?:(?:{locale}/)?{page}|{locale})?/*\z"), F.lit(False))
 
 
 def variables(message: Column) -> Column:

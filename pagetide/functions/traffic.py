@@ -45,11 +45,9 @@ BOT_LABELS = {
     "PetalBot": "PetalBot",
 }
 GENERIC_BOT_PATTERN = r"([A-Za-z][\w.-]*?(?:bot|crawler|spider|scraper)[\w.-]*)"
-TABLET_PATTERN = r"ipad|tablet|playbook|sm-t\d|gt-p\d|kindle|nexus\s*7|nexus\s*9"
-MOBILE_PATTERN = (
-    r"iphone|ipod|android.*mobile|windows phone|blackberry|bb10|mobile|"
-    r"opera mini|iemobile|wpdesktop"
-)
+TABLET_WORDS = ("ipad", "tablet", "playbook", "kindle")
+TABLET_MODELS = {"sm-t": r"sm-t\d", "gt-p": r"gt-p\d", "nexus": r"nexus\s*[79]"}
+MOBILE_WORDS = ("iphone", "ipod", "windows phone", "blackberry", "bb10", "mobile", "opera mini", "wpdesktop")
 BROWSER_MARKS = (
     ("Edge", ("edg/",)),
     ("Samsung Internet", ("samsungbrowser/",)),
@@ -76,7 +74,14 @@ TRACKED_PREFIX = "/tools/"
 PATH_MAX_CHARS = 256
 # ---- end of fixed values ----
 
-BOT_PATTERN = "|".join(BOT_TOKENS)
+# A token that contains another one can add no match of its own.
+BOT_MARKS = tuple(t.lower() for t in BOT_TOKENS
+                  if not any(o != t and o.lower() in t.lower() for o in BOT_TOKENS))
+
+
+def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Literal substring tests; several times cheaper per row than one alternation."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def _first_match(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -87,25 +92,28 @@ def _first_match(pairs: list[tuple[Column, Column]], otherwise: Column) -> Colum
 
 def is_bot(user_agent: Column) -> Column:
     """Known crawler or script; a missing user agent is not one."""
-    return F.coalesce(user_agent.rlike("(?i)" + BOT_PATTERN), F.lit(False))
+    return F.coalesce(_contains_any(F.lower(user_agent), BOT_MARKS), F.lit(False))
 
 
 def bot_name(user_agent: Column) -> Column:
     """Label of the first listed token, else the generic name, else a default."""
     lowered = F.lower(F.coalesce(user_agent, F.lit("")))
-    generic = F.left(F.regexp_extract(user_agent, "(?i)" + GENERIC_BOT_PATTERN, 1), F.lit(64))
+    generic = F.get(F.regexp_extract_all(user_agent, F.lit("(?i)" + GENERIC_BOT_PATTERN), F.lit(1)), F.lit(0))
     return _first_match(
         [(lowered.contains(token.lower()), F.lit(label)) for token, label in BOT_LABELS.items()],
-        F.coalesce(F.nullif(generic, F.lit("")), F.lit("Unknown bot")),
+        F.coalesce(F.left(generic, F.lit(64)), F.lit("Unknown bot")),
     )
 
 
 def device(user_agent: Column) -> Column:
-    ua = F.coalesce(user_agent, F.lit(""))
+    ua = F.lower(F.coalesce(user_agent, F.lit("")))
+    tablet = _contains_any(ua, TABLET_WORDS)
+    for mark, model in TABLET_MODELS.items():
+        tablet = tablet | (ua.contains(mark) & ua.rlike(model))
     return _first_match(
         [
-            (ua.rlike("(?i)" + TABLET_PATTERN), F.lit("tablet")),
-            (ua.rlike("(?i)" + MOBILE_PATTERN), F.lit("mobile")),
+            (tablet, F.lit("tablet")),
+            (_contains_any(ua, MOBILE_WORDS), F.lit("mobile")),
             (ua == "", F.lit("unknown")),
         ],
         F.lit("desktop"),
@@ -115,7 +123,7 @@ def device(user_agent: Column) -> Column:
 def browser(user_agent: Column) -> Column:
     ua = F.lower(F.coalesce(user_agent, F.lit("")))
     pairs = [
-        (reduce(lambda a, b: a | b, [ua.contains(m) for m in marks]), F.lit(label))
+        (_contains_any(ua, marks), F.lit(label))
         for label, marks in BROWSER_MARKS
     ]
     pairs.append((ua.contains("safari/") & ua.contains("version/"), F.lit("Safari")))
@@ -193,9 +201,8 @@ def track_bot(path: Column, user_agent: Column) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted IPv4 as a number; null for anything else."""
-    octet = r"(\d{1,3})"
-    pattern = rf"^{octet}\.{octet}\.{octet}\.{octet}$"
-    parts = [F.regexp_extract(ip, pattern, i).try_cast("long") for i in (1, 2, 3, 4)]
-    in_range = reduce(lambda a, b: a & b, [p <= 255 for p in parts])
-    number = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    return F.when(in_range, number)
+    shifted = F.aggregate(
+        F.split(ip, r"\."), F.lit(0).cast("long"),
+        lambda acc, part: F.when(part.cast("int") <= 255, acc * 256 + part.cast("int")),
+    )
+    return F.when(ip.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z"), shifted)

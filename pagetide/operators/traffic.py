@@ -40,37 +40,46 @@ def _covered_prefixes(blocks: DataFrame) -> DataFrame:
     65,536 + (number of blocks) of them in total."""
     return blocks.withColumn(
         "_prefix",
-        F.explode(F.sequence(F.floor(F.col("ip_start") / 65536), F.floor(F.col("ip_end") / 65536))),
+        F.explode(F.sequence(F.shiftright("ip_start", 16), F.shiftright("ip_end", 16))),
     )
 
 
-def geo_lookup(requests: DataFrame, blocks: DataFrame, buckets: int = 16) -> DataFrame:
+def geo_lookup(requests: DataFrame, blocks: DataFrame, broadcast_rows: int = 1_000_000,
+               buckets: int = 16) -> DataFrame:
     """Left range join of IPv4 addresses to non-overlapping address blocks.
 
-    The /16 prefix is the equi key; a row-spread salt splits hot prefixes. Rows
-    without an IPv4 address get private prefixes, so they do not meet in one task.
+    The /16 prefix is the equi key. The blocks are counted first (a footer read for
+    parquet): up to ``broadcast_rows`` they are broadcast and the requests do not
+    move. A larger table is shuffled, with a row-spread salt that splits hot prefixes
+    and private prefixes for rows without an IPv4 address.
     """
-    number = C.ipv4_number(F.col("ip"))
-    salt = F.pmod(F.xxhash64("request_id"), F.lit(buckets))
-    nowhere = -1 - F.pmod(F.xxhash64("request_id"), F.lit(65536))
-    facts = (
-        requests.withColumn("_ip", number)
-        .withColumn("_prefix", F.coalesce(F.floor(F.col("_ip") / 65536), nowhere))
-        .withColumn("_salt", salt)
-    )
-    ranges = _covered_prefixes(blocks).select(
-        "_prefix", "ip_start", "ip_end", "country", "city",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("_salt"),
-    )
-    hit = (
-        (facts["_prefix"] == ranges["_prefix"]) & (facts["_salt"] == ranges["_salt"])
-        & facts["_ip"].between(ranges["ip_start"], ranges["ip_end"])
-    )
+    facts = requests.withColumn("_ip", C.ipv4_number(F.col("ip")))
+    prefix = F.shiftright(F.col("_ip"), 16)
+    ranges = _covered_prefixes(blocks).select("_prefix", "ip_start", "ip_end", "country", "city")
+    small = blocks.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if small:
+        facts = facts.withColumn("_prefix", prefix)
+        ranges = F.broadcast(ranges)
+        same = facts["_prefix"] == ranges["_prefix"]
+    else:
+        nowhere = -1 - F.pmod(F.xxhash64("request_id"), F.lit(65536))
+        facts = facts.withColumns({"_prefix": F.coalesce(prefix, nowhere),
+                                   "_salt": F.pmod(F.xxhash64("request_id"), F.lit(buckets))})
+        ranges = ranges.withColumn("_salt", F.explode(F.sequence(
+            F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+        same = (facts["_prefix"] == ranges["_prefix"]) & (facts["_salt"] == ranges["_salt"])
+    hit = same & facts["_ip"].between(ranges["ip_start"], ranges["ip_end"])
     return facts.join(ranges, hit, "left").select(
         *[facts[c] for c in requests.columns], ranges["country"], ranges["city"]
     )
 
 
+def without_geo(requests: DataFrame) -> DataFrame:
+    """Unknown place for every request: what a missing block table gives."""
+    none = F.lit(None).cast("string")
+    return requests.withColumns({"country": none, "city": none})
+
+
 # ------------------------------------------------------------ classification
 
 def tracked_requests(requests: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..streaming import counters, stateful, visits
 from . import usage as batch_usage
 from .inputs import DERIVED, cte, derived, source
 from .registry import ORACLES, query
-from .traffic import ALL
+from .traffic import ALL, unplaced
 
 
 def _folder(spark) -> str:
@@ -75,8 +75,7 @@ def st_tumbling(spark, sf):
 @query("st_daily", ALL + "SELECT strftime(created_at, '%Y-%m-%d') AS date, browser, count(*) AS count FROM visits GROUP BY ALL")
 def st_daily(spark, sf):
     folder = _folder(spark)
-    located = traffic.tracked_requests(stream_of(spark, sf, "requests")).withColumns(
-        {"country": F.lit(None).cast("string"), "city": F.lit(None).cast("string")})
+    located = traffic.without_geo(traffic.tracked_requests(stream_of(spark, sf, "requests")))
     counters.start_upserts(counters.daily_counts(traffic.to_visits(located), "browser"), f"{folder}/out",
                            f"{folder}/checkpoint", available_now=True).awaitTermination()
     return counters.current_counts(spark, f"{folder}/out", ["date", "browser"], "count")
@@ -86,9 +85,7 @@ def st_daily(spark, sf):
 def st_ttl(spark, sf):
     """Retention as of the newest request."""
     newest = derived(spark, sf, "requests").agg(F.max("ts")).first()[0]
-    from .traffic import visits_of
-
-    kept = traffic.keep_recent(visits_of(spark, sf), newest, days=7)
+    kept = traffic.keep_recent(traffic.to_visits(unplaced(spark, sf)), newest, days=7)
     return kept.agg(F.count("*").alias("kept")).select(F.lit("visits").alias("tbl"), "kept")
 
 

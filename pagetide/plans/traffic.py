@@ -14,12 +14,14 @@ from .registry import query
 
 # ------------------------------------------------------------- check SQL parts
 
-BOT_SQL = "coalesce(regexp_matches(user_agent, '(?i)" + C.BOT_PATTERN + "'), false)"
+BOT_SQL = "coalesce(regexp_matches(user_agent, '(?i)" + "|".join(C.BOT_TOKENS) + "'), false)"
 _LABELS = " ".join(f"WHEN contains(lower(user_agent), '{t.lower()}') THEN '{n}'" for t, n in C.BOT_LABELS.items())
 BOT_NAME_SQL = (f"CASE {_LABELS} WHEN regexp_extract(user_agent, '{C.GENERIC_BOT_PATTERN}', 1, 'i') <> '' "
                 f"THEN left(regexp_extract(user_agent, '{C.GENERIC_BOT_PATTERN}', 1, 'i'), 64) ELSE 'Unknown bot' END")
-DEVICE_SQL = (f"CASE WHEN regexp_matches(user_agent, '(?i){C.TABLET_PATTERN}') THEN 'tablet' "
-              f"WHEN regexp_matches(user_agent, '(?i){C.MOBILE_PATTERN}') THEN 'mobile' "
+_TABLET = r"ipad|tablet|playbook|sm-t\d|gt-p\d|kindle|nexus\s*7|nexus\s*9"
+_MOBILE = r"iphone|ipod|android.*mobile|windows phone|blackberry|bb10|mobile|opera mini|iemobile|wpdesktop"
+DEVICE_SQL = (f"CASE WHEN regexp_matches(user_agent, '(?i){_TABLET}') THEN 'tablet' "
+              f"WHEN regexp_matches(user_agent, '(?i){_MOBILE}') THEN 'mobile' "
               "WHEN coalesce(user_agent, '') = '' THEN 'unknown' ELSE 'desktop' END")
 BROWSER_SQL = """CASE WHEN user_agent ILIKE '%edg/%' THEN 'Edge'
   WHEN user_agent ILIKE '%samsungbrowser/%' THEN 'Samsung Internet'
@@ -63,8 +65,9 @@ def visits_of(spark, sf):
     return T.to_visits(located(spark, sf))
 
 
-def bots_of(spark, sf):
-    return T.to_bot_visits(located(spark, sf))
+def unplaced(spark, sf):
+    """Tracked requests for figures that do not need the place."""
+    return T.without_geo(T.tracked_requests(derived(spark, sf, "requests")))
 
 
 # ------------------------------------------------------------ scalar queries
@@ -166,7 +169,7 @@ def f_track_bot(spark, sf):
   UNION ALL SELECT 1, id, created_at FROM visits WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY
   UNION ALL SELECT 90, id, created_at FROM visits WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY""")
 def f_window(spark, sf):
-    visits, out = visits_of(spark, sf), None
+    visits, out = T.to_visits(unplaced(spark, sf)), None
     for asked in (7, 0, 500):
         days = T.clamp_days(asked)
         part = T.since(visits, AS_OF, days).select(F.lit(days).alias("days"), "id", "created_at")
@@ -195,9 +198,10 @@ def f_known_route(spark, sf):
     WHERE h >= TIMESTAMP '2024-01-30 22:30:00' - INTERVAL 2 HOUR""")
 def f_retention(spark, sf):
     quotas = derived(spark, sf, "jobs").select("tool", V.hour_start(F.col("created_at")).alias("created_at")).distinct()
+    tracked = unplaced(spark, sf)
     kept = {
-        "visits": T.keep_recent(visits_of(spark, sf), AS_OF, days=7),
-        "bot_visits": T.keep_recent(bots_of(spark, sf), AS_OF, days=7),
+        "visits": T.keep_recent(T.to_visits(tracked), AS_OF, days=7),
+        "bot_visits": T.keep_recent(T.to_bot_visits(tracked), AS_OF, days=7),
         "logins": T.keep_recent(derived(spark, sf, "logins"), "2024-01-08 00:00:00", days=7),
         "quotas": T.keep_recent(quotas, "2024-01-30 22:30:00", hours=2),
     }
@@ -223,19 +227,20 @@ def j_geo_range(spark, sf):
   (SELECT count(DISTINCT ip_trunc) FROM visits WHERE {SINCE30}) AS unique_visitors,
   (SELECT count(*) FROM bots WHERE {SINCE30}) AS bot_hits""")
 def a_totals(spark, sf):
-    return T.totals(T.since(visits_of(spark, sf), AS_OF, 30), T.since(bots_of(spark, sf), AS_OF, 30))
+    tracked = T.since(unplaced(spark, sf), AS_OF, 30, "ts")
+    return T.totals(T.to_visits(tracked), T.to_bot_visits(tracked))
 
 
 @query("a_unique", ALL + f"""SELECT strftime(created_at, '%Y-%m-%d') AS date, count(DISTINCT ip_trunc) AS unique_visitors
   FROM visits WHERE {SINCE30} GROUP BY 1""")
 def a_unique(spark, sf):
-    return T.since(visits_of(spark, sf), AS_OF, 30).groupBy(V.day(F.col("created_at")).alias("date")).agg(
+    return T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30).groupBy(V.day(F.col("created_at")).alias("date")).agg(
         F.count_distinct("ip_trunc").alias("unique_visitors"))
 
 
 @query("a_unique_sketch")
 def a_unique_sketch(spark, sf):
-    daily = T.approximate_uniques(T.since(visits_of(spark, sf), AS_OF, 30))
+    daily = T.approximate_uniques(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30))
     return daily.agg(F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("visitors_estimate"))
 
 
@@ -253,7 +258,7 @@ _TOPS = [("bot_name", "bots", "name", 10, "true"), ("bot_country", "bots", "coun
 @query("a_top_dim", ALL + " UNION ALL ".join(
     f"SELECT '{label}' AS list, * FROM ({_top_sql(t, c, k, w)})" for label, t, c, k, w in _TOPS))
 def a_top_dim(spark, sf):
-    tables = {"bots": bots_of(spark, sf), "jobs": derived(spark, sf, "jobs")}
+    tables = {"bots": T.to_bot_visits(located(spark, sf)), "jobs": derived(spark, sf, "jobs")}
     out = None
     for label, table, column, k, where in _TOPS:
         top = T.top_by(T.since(tables[table], AS_OF, 30).filter(F.expr(where)), column, k)
@@ -264,7 +269,7 @@ def a_top_dim(spark, sf):
 
 @query("o_topk", ALL + _top_sql("visits", "browser", 10))
 def o_topk(spark, sf):
-    return T.top_by(T.since(visits_of(spark, sf), AS_OF, 30), "browser", 10)
+    return T.top_by(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30), "browser", 10)
 
 
 @query("a_dashboard_1pass", ALL + " UNION ALL ".join(
@@ -280,12 +285,12 @@ _DAILY = f"SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS count FR
 
 @query("a_by_day", ALL + _DAILY)
 def a_by_day(spark, sf):
-    return T.by_day(T.since(visits_of(spark, sf), AS_OF, 30))
+    return T.by_day(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30))
 
 
 @query("a_day_scale", ALL + f"SELECT date, count, round(greatest(count * 100.0::DOUBLE / greatest((SELECT max(count) FROM d), 1), 4.0), 2) AS bar_percent FROM d".replace("FROM d)", f"FROM ({_DAILY}))").replace("FROM d", f"FROM ({_DAILY})"))
 def a_day_scale(spark, sf):
-    return T.scale_days(T.by_day(T.since(visits_of(spark, sf), AS_OF, 30)))
+    return T.scale_days(T.by_day(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30)))
 
 
 def _ranked(table, column, where):
@@ -302,8 +307,8 @@ def _ranked(table, column, where):
   {_ranked('jobs', 'tool', "status = 'failed'")} AS failures,
   {_ranked('visits', 'country', 'true')} AS top_countries""")
 def a_digest(spark, sf):
-    return T.digest(*[T.since(df, AS_OF, 7) for df in (
-        visits_of(spark, sf), bots_of(spark, sf), derived(spark, sf, "jobs"))])
+    seen = T.since(located(spark, sf), AS_OF, 7, "ts")
+    return T.digest(T.to_visits(seen), T.to_bot_visits(seen), T.since(derived(spark, sf, "jobs"), AS_OF, 7))
 
 
 @query("o_recent", ALL + f"""SELECT 'visit' AS kind, CAST(id AS VARCHAR) AS id, created_at,
@@ -339,9 +344,10 @@ def o_recent(spark, sf):
   UNION ALL SELECT 'logins', concat_ws(',', username, CASE WHEN success THEN 'True' ELSE 'False' END), created_at FROM logins WHERE created_at >= TIMESTAMP '2024-01-08 00:00:00' - INTERVAL 7 DAY
   UNION ALL SELECT 'jobs', concat_ws(',', tool, status, left(coalesce(error, ''), 200)), created_at FROM jobs WHERE {SINCE7}""")
 def snk_csv(spark, sf):
+    seen = T.since(located(spark, sf), AS_OF, 7, "ts")
     inputs = {
-        "visits": T.since(visits_of(spark, sf), AS_OF, 7),
-        "bots": T.since(bots_of(spark, sf), AS_OF, 7),
+        "visits": T.to_visits(seen),
+        "bots": T.to_bot_visits(seen),
         "logins": T.since(derived(spark, sf, "logins"), "2024-01-08 00:00:00", 7),
         "jobs": T.since(derived(spark, sf, "jobs"), AS_OF, 7),
     }
