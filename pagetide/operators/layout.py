@@ -95,10 +95,11 @@ def _bring_home(lines: list[list[int]], box: dict[str, np.ndarray]) -> None:
 
 
 def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
-    page = page.assign(mid=(page.y0 + page.y1) / 2).sort_values(
-        ["mid", "x0"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    box = {c: page[c].to_numpy() for c in ("x0", "x1", "mid")}
-    box["h"], box["blank"] = (page.y1 - page.y0).to_numpy(), (page.ch == " ").to_numpy()
+    y0, y1 = page.y0.to_numpy(), page.y1.to_numpy()
+    order = np.lexsort((page.x0.to_numpy(), -(y0 + y1) / 2))
+    page, y0, y1 = page.iloc[order], y0[order], y1[order]
+    box = {"x0": page.x0.to_numpy(), "x1": page.x1.to_numpy(), "mid": (y0 + y1) / 2, "h": y1 - y0,
+           "blank": (page.ch == " ").to_numpy()}
     owner = _cluster(box["mid"], box["h"])
     lines = [list(np.flatnonzero(owner == k)) for k in range(owner.max() + 1)]
     by_x = lambda line: sorted(line, key=lambda g: box["x0"][g])
@@ -110,7 +111,15 @@ def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
     line_no, pos = np.empty(len(page), dtype=np.int64), np.empty(len(page), dtype=np.int64)
     for k, line in enumerate(lines, start=1):
         line_no[line], pos[line] = k, np.arange(1, len(line) + 1)
-    return page.drop(columns="mid").assign(line_no=line_no, pos=pos)
+    return page.assign(line_no=line_no, pos=pos)
+
+
+def by_page(df: DataFrame) -> DataFrame:
+    """Partition by page, once. Every window and group below is keyed by a page or a
+    part of it, so none of them moves rows again. The width is explicit, because the
+    stages are bound by work per row and would otherwise be merged for small inputs."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *PAGE)
 
 
 def assign_lines(chars: DataFrame, reattach: bool = True) -> DataFrame:
@@ -123,9 +132,7 @@ def assign_lines(chars: DataFrame, reattach: bool = True) -> DataFrame:
         return _page_lines(page, reattach)
 
     # the stage is bound by Python work, not by bytes: keep its width
-    width = int(chars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = chars.repartition(width, *PAGE)
-    return spread.groupBy(*PAGE).applyInPandas(run, CHAR_SCHEMA + ", line_no long, pos long")
+    return by_page(chars).groupBy(*PAGE).applyInPandas(run, CHAR_SCHEMA + ", line_no long, pos long")
 
 
 # ------------------------------------------------------------------ spacing
@@ -140,111 +147,130 @@ def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias(name))
 
 
-def estimate_advances(lined: DataFrame) -> DataFrame:
-    """Advance per (page, character) as a fraction of the font size.
+def _median_beside(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``sorted[n // 2]`` of the non-null values of a (page-bound) group, on every row."""
+    ranked = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_v"))
+    whole = Window.partitionBy(*keys)
+    placed = df.withColumn("_v", value).withColumns({
+        "_rank": F.row_number().over(ranked), "_n": F.count("_v").over(whole)})
+    middle = F.when(F.col("_rank") == F.floor(F.col("_n") / 2) + 1, F.col("_v"))
+    return placed.withColumn(name, F.max(middle).over(whole)).drop("_v", "_rank", "_n")
+
+
+def with_advances(lined: DataFrame) -> DataFrame:
+    """Add ``advance``: typical step of the character on its page, per font size.
 
     The second smallest observed step (the smallest of fewer than four) beats the
-    table when it is narrower. Only two rows per group survive the ranked filter,
-    which the planner also applies before the shuffle.
+    table when it is narrower.
     """
-    row = Window.partitionBy(*LINE).orderBy("x0", "pos")
+    row = Window.partitionBy(*LINE).orderBy("pos")
     step = (F.lead("x0").over(row) - F.col("x0")) / F.col("size")
-    steps = lined.withColumn("step", F.when(F.col("size") > 0, step)).filter(
-        (F.col("step") > 0) & (F.col("ch") != " ")).withColumn("table", table_width(F.col("ch")))
-    good = steps.filter(F.col("step") >= 0.5 * F.col("table"))
+    stepped = lined.withColumns({"_table": table_width(F.col("ch")), "_step": F.when(F.col("size") > 0, step)})
+    good = (F.col("_step") > 0) & (F.col("ch") != " ") & (F.col("_step") >= 0.5 * F.col("_table"))
+    seen = stepped.withColumn("_good", F.when(good, F.col("_step")))
     key = [*PAGE, "ch"]
-    counts = good.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    least = good.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("step"))).filter(
-        "r <= 2").groupBy(*key).agg(F.min("step").alias("first"), F.max(F.when(F.col("r") == 2, F.col("step"))).alias("second"))
-    seen = steps.groupBy(*key).agg(F.first("table").alias("table"))
-    observed = F.when(F.col("n") < 4, F.col("first")).otherwise(F.col("second"))
-    return seen.join(counts.join(least, key), key, "left").select(
-        *key, F.least(F.coalesce(observed, F.col("table")), F.col("table")).alias("advance"))
+    ranked, whole = Window.partitionBy(*key).orderBy(F.asc_nulls_last("_good")), Window.partitionBy(*key)
+    placed = seen.withColumns({"_rank": F.row_number().over(ranked), "_n": F.count("_good").over(whole)})
+    wanted = F.when(F.col("_n") < 4, 1).otherwise(2)
+    observed = F.max(F.when(F.col("_rank") == wanted, F.col("_good"))).over(whole)
+    return placed.withColumn("advance", F.least(F.coalesce(observed, F.col("_table")), F.col("_table"))).drop(
+        "_table", "_good", "_rank", "_n")
 
 
-def space_widths(lined: DataFrame) -> DataFrame:
-    """Width of a word space per line: from real spaces, else from the font size."""
+def estimate_advances(lined: DataFrame) -> DataFrame:
+    """Advance per (page, character) that was seen before another glyph."""
+    seen = with_advances(lined).filter((F.col("_step") > 0) & (F.col("ch") != " "))
+    return seen.groupBy(*PAGE, "ch").agg(F.first("advance").alias("advance"))
+
+
+def with_space_width(lined: DataFrame) -> DataFrame:
+    """Add the width of a word space on the line: from real spaces, else from the font size."""
     row = Window.partitionBy(*LINE).orderBy("pos")
     ink = F.col("ch") != " "
     before = F.last(F.when(ink, F.col("x1")), True).over(row.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(ink, F.col("x0")), True).over(row.rowsBetween(1, Window.unboundedFollowing))
     size = F.when(F.col("size") == 0, 10.0).otherwise(F.col("size"))
-    gaps = lined.withColumn("gap", after - before).filter(
-        ~ink & (F.col("gap") > 0) & (F.col("gap") < 10 * size))
-    real = upper_median(gaps, LINE, "gap", "real")
-    fallback = upper_median(lined.filter("size > 0"), LINE, "size", "font")
-    width = F.coalesce("real", SPACE_WIDTH * F.coalesce("font", F.lit(10.0)))
-    return lined.select(*LINE).distinct().join(real, LINE, "left").join(fallback, LINE, "left").select(
-        *LINE, width.alias("space_width"))
-
-
-def insert_spaces(lined: DataFrame, advances: DataFrame, widths: DataFrame) -> DataFrame:
-    """Text that precedes each glyph: a tab at column gutters, a space where the
-    advance is wider than the glyph accounts for, else nothing."""
+    gap = F.when(~ink & (F.col("_gap") > 0) & (F.col("_gap") < 10 * size), F.col("_gap"))
+    real = _median_beside(lined.withColumn("_gap", after - before), LINE, gap, "_real")
+    both = _median_beside(real, LINE, F.when(F.col("size") > 0, F.col("size")), "_font")
+    width = F.coalesce("_real", SPACE_WIDTH * F.coalesce("_font", F.lit(10.0)))
+    return both.withColumn("space_width", width).drop("_gap", "_real", "_font")
+
+
+def insert_spaces(lined: DataFrame) -> DataFrame:
+    """Add ``lead``, the text that precedes each glyph: a tab at column gutters, a space
+    where the step is wider than the glyph accounts for, else nothing."""
+    seen = with_space_width(with_advances(lined))
     row = Window.partitionBy(*LINE).orderBy("pos")
-    earlier = row.rowsBetween(Window.unboundedPreceding, -1)
     ink = F.col("ch") != " "
-    prev = F.last(F.when(ink, F.struct("ch", "x0", "x1", "size")), True).over(earlier)
-    seen = lined.withColumns({"_prev": prev, "_after_space": F.coalesce(F.lag("ch").over(row) == " ", F.lit(False))})
-    seen = seen.withColumn("_pch", F.col("_prev.ch")).join(widths, LINE)
-    adv = advances.select(*PAGE, F.col("ch").alias("_pch"), "advance")
-    joined = seen.join(adv, [*PAGE, "_pch"], "left")
+    prev = F.last(F.when(ink, F.struct("x0", "x1", "size", "advance")), True).over(
+        row.rowsBetween(Window.unboundedPreceding, -1))
+    seen = seen.withColumns({"_prev": prev, "_after_space": F.coalesce(F.lag("ch").over(row) == " ", F.lit(False))})
     size = F.when(F.col("_prev.size") == 0, 10.0).otherwise(F.col("_prev.size"))
-    ratio = F.coalesce("advance", table_width(F.col("_pch")))
-    extra = F.col("x0") - F.col("_prev.x0") - ratio * size
+    extra = F.col("x0") - F.col("_prev.x0") - F.col("_prev.advance") * size
     lead = (
         F.when(~ink | F.col("_prev").isNull() | (F.col("_prev.x1") <= F.col("_prev.x0")), "")
         .when(F.col("x0") - F.col("_prev.x1") > GUTTER * F.col("space_width"), "\t")
         .when(~F.col("_after_space") & (extra > SPACE_EXTRA * F.col("space_width")), " ")
         .otherwise("")
     )
-    return joined.withColumn("lead", lead).drop("_prev", "_after_space", "_pch", "advance", "space_width")
+    return seen.withColumn("lead", lead).drop("_prev", "_after_space", "_step", "advance", "space_width")
 
 
 # --------------------------------------------------------------- paragraphs
 
-def line_boxes(lined: DataFrame) -> DataFrame:
-    return lined.groupBy(*LINE).agg(
-        F.max("y1").alias("top"), F.min("y0").alias("bottom"), F.avg(F.col("y1") - F.col("y0")).alias("height"))
+def _starts_paragraph(previous: Column, top: Column, height: Column) -> Column:
+    """1 where the gap below the previous line is wide; ``previous(bottom, height)``."""
+    before = F.when(previous["height"] == 0, height).otherwise(previous["height"])
+    wide = previous["bottom"] - top > PARAGRAPH_GAP * F.least(height, before)
+    return F.coalesce(wide, F.lit(False)).cast("int")
 
 
 def number_paragraphs(lines: DataFrame) -> DataFrame:
-    """Paragraph number per line (from 0): a new one where the gap is wide."""
+    """Paragraph number per line (from 0) of a line table."""
     piece, order = piece_of(F.col("line_no")), [F.col("line_no")]
     seen = previous_value(lines, PAGE, piece, order, F.struct("bottom", "height"), "_prev")
-    before = F.when(F.col("_prev.height") == 0, F.col("height")).otherwise(F.col("_prev.height"))
-    gap = F.col("_prev.bottom") - F.col("top")
-    breaks = F.coalesce(gap > PARAGRAPH_GAP * F.least("height", before), F.lit(False)).cast("int")
-    marked = seen.withColumn("_break", breaks)
+    marked = seen.withColumn("_break", _starts_paragraph(F.col("_prev"), F.col("top"), F.col("height")))
     return running_total(marked, PAGE, piece, order, F.col("_break"), "para_no").drop("_prev", "_break")
 
 
+def _with_paragraphs(glyphs: DataFrame) -> DataFrame:
+    """The same on glyph rows: the row before the first glyph of a line tells the line above."""
+    line, reading = Window.partitionBy(*LINE), Window.partitionBy(*PAGE).orderBy("line_no", "pos")
+    boxed = glyphs.withColumns({
+        "_top": F.max("y1").over(line),
+        "_box": F.struct(F.min("y0").over(line).alias("bottom"),
+                         F.avg(F.col("y1") - F.col("y0")).over(line).alias("height"))})
+    above = F.when(F.col("pos") == 1, F.lag("_box").over(reading))
+    marked = boxed.withColumn("_above", above).withColumn(
+        "_break", _starts_paragraph(F.col("_above"), F.col("_top"), F.col("_box.height")))
+    return marked.withColumn("para_no", F.sum("_break").over(reading)).drop("_top", "_box", "_above", "_break")
+
+
 def build_blocks(chars: DataFrame) -> DataFrame:
     """Paragraph blocks of each page in reading order, with text, bold runs and size."""
-    lined = store(assign_lines(chars), "lines")  # used four times below
-    tokens = insert_spaces(lined, estimate_advances(lined), space_widths(lined))
-    paragraphs = number_paragraphs(line_boxes(lined)).select(*LINE, "para_no")
+    lined = by_page(store(assign_lines(chars), "lines"))
     para = [*PAGE, "para_no"]
-    placed = tokens.join(paragraphs, LINE)
-    first_line = F.min("line_no").over(Window.partitionBy(*para))
-    joint = F.when((F.col("pos") == 1) & (F.col("line_no") > first_line), " ").otherwise("")
-    pieces = placed.withColumn("_joint", joint).select(*para, "line_no", "pos", F.posexplode(F.array(
-        F.struct(F.col("_joint").alias("text"), F.lit(False).alias("bold")),
+    whole = Window.partitionBy(*para)
+    placed = _with_paragraphs(insert_spaces(lined))
+    placed = placed.withColumns({"y": F.max("y1").over(whole), "_first": F.min("line_no").over(whole)})
+    placed = _median_beside(placed, para, F.when(F.col("size") > 0, F.col("size")), "font")
+    joint = F.when((F.col("pos") == 1) & (F.col("line_no") > F.col("_first")), " ").otherwise("")
+    pieces = placed.select(*para, "y", "font", "line_no", "pos", F.posexplode(F.array(
+        F.struct(joint.alias("text"), F.lit(False).alias("bold")),
         F.struct(F.col("lead").alias("text"), (F.col("bold") & (F.col("lead") != "\t")).alias("bold")),
         F.struct(F.col("ch").alias("text"), "bold"),
-    )).alias("k", "t")).select(*para, "line_no", "pos", "k", "t.text", "t.bold").filter("text <> ''")
+    )).alias("k", "t")).select(*para, "y", "font", "line_no", "pos", "k", "t.text", "t.bold").filter("text <> ''")
     order = Window.partitionBy(*para).orderBy("line_no", "pos", "k")
-    change = (F.col("bold") != F.lag("bold").over(order)).cast("int")
-    runs = pieces.withColumn("_c", F.coalesce(change, F.lit(0))).withColumn("run_no", F.sum("_c").over(order))
-    joined = _ordered_text(runs, [*para, "run_no", "bold"])
-    texts = joined.groupBy(*para).agg(F.array_sort(F.collect_list(F.struct("run_no", "text", "bold"))).alias("_r"))
-    whole = F.array_join(F.transform("_r", lambda r: r["text"]), "")
-    sized = placed.filter("size > 0")
-    facts = placed.groupBy(*para).agg(F.max("y1").alias("y"))
-    out = texts.select(*para, _trim(whole).alias("text"), _trim_runs(F.col("_r")).alias("runs")).filter("text <> ''")
-    out = out.join(facts, para).join(upper_median(sized, para, "size", "size"), para, "left").fillna(0.0, ["size"])
+    change = F.coalesce((F.col("bold") != F.lag("bold").over(order)).cast("int"), F.lit(0))
+    runs = pieces.withColumn("_c", change).withColumn("run_no", F.sum("_c").over(order))
+    texts = _ordered_text(runs, [*para, "run_no", "bold"]).groupBy(*para).agg(
+        F.max("y").alias("y"), F.coalesce(F.max("font"), F.lit(0.0)).alias("size"),
+        F.array_sort(F.collect_list(F.struct("run_no", "text", "bold"))).alias("_r"))
+    plain = F.array_join(F.transform("_r", lambda r: r["text"]), "")
+    out = texts.select(*para, "y", "size", _trim(plain).alias("text"), _trim_runs(F.col("_r")).alias("runs"))
     top_down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "para_no")
-    return out.withColumn("block_no", F.row_number().over(top_down))
+    return out.filter("text <> ''").withColumn("block_no", F.row_number().over(top_down))
 
 
 def _trim(text: Column) -> Column:
@@ -254,6 +280,7 @@ def _trim(text: Column) -> Column:
 def _ordered_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
     item = F.struct("line_no", "pos", "k", "text")
     return pieces.groupBy(*keys).agg(
+        F.max("y").alias("y"), F.max("font").alias("font"),
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda t: t["text"]), "").alias("text"))
 
 

@@ -24,6 +24,7 @@ def page_chars(spark, sf):
     """Characters of the conversation pages; some spaces are left out, so that they
     have to be found again from the gaps."""
     lines = derived(spark, sf, "doc_pages").select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    lines = Y.by_page(lines)
     singles = F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.substring(F.col("line"), i, F.lit(1)))
     chars = lines.filter("line <> ''").select("doc_id", "page_no", "l", F.posexplode(singles).alias("p", "ch"))
     shaped = chars.filter("NOT (ch = ' ' AND p % 3 = 0)").selectExpr("*", *[f"{e} AS {c}" for c, e in _GLYPH.items()])
@@ -61,7 +62,7 @@ def t_reattach(spark, sf):
 @query("w_spaces")
 def w_spaces(spark, sf):
     lined = page_chars(spark, sf).withColumnsRenamed({"l": "line_no", "p": "pos"})
-    spaced = Y.insert_spaces(lined, Y.estimate_advances(lined), Y.space_widths(lined))
+    spaced = Y.insert_spaces(lined)
     return spaced.groupBy("doc_id", "page_no").agg(
         F.count_if(F.col("lead") == " ").alias("spaces"), F.count_if(F.col("lead") == "\t").alias("tabs"))
 
