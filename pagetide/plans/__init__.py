@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ("traffic", "usage", "intake", "pages", "text", "layout", "metadata", "catalog", "live")
+AREAS = ("traffic", "usage", "intake", "pages", "text", "layout", "metadata", "catalog", "edits", "live")
 
 
 def load_all() -> tuple[dict, dict]:
