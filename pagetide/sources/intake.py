@@ -10,7 +10,11 @@ from ..functions import values as V
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files under a folder as (filename, content, size_bytes, mime)."""
+    """Files under a folder as (filename, content, size_bytes, mime).
+
+    Spark's file scan leaves out files of zero bytes; an upload feed that must report
+    them has to pass its rows to :func:`intake` itself.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern) \
         .option("recursiveFileLookup", "true").load(path)
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content",
