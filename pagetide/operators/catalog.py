@@ -128,27 +128,27 @@ def sitemap(paths: DataFrame, base_url: str) -> DataFrame:
 def flatten_json(df: DataFrame, text_col: str, max_depth: int = 12) -> DataFrame:
     """Nested JSON text to (key path, value) rows: ``a.b`` for members, ``a[0]`` for items.
 
-    One level per step, up to ``max_depth``; deeper nodes keep their JSON text as value.
+    One pass: each step opens one level of the nested nodes and lets leaves through.
+    Nodes deeper than ``max_depth`` keep their JSON text as value.
     """
     ids = [c for c in df.columns if c != text_col]
     level = df.select(*ids, F.lit("").alias("key"), F.try_parse_json(F.col(text_col)).alias("node"))
-    leaf_value = F.try_variant_get("node", "$", "string").alias("value")
-    spark, cols, out = df.sparkSession, ", ".join(ids), None
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("node")
-        nested = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
-        leaves = level if depth == max_depth else level.filter(~nested)
-        leaves = leaves.select(*ids, "key", leaf_value)
-        out = leaves if out is None else out.unionByName(leaves)
-        if depth == max_depth:
-            break
-        level = spark.sql(
-            f"SELECT {cols}, CASE WHEN e.key IS NULL THEN concat(t.key, '[', e.pos, ']') "
-            "WHEN t.key = '' THEN e.key ELSE concat(t.key, '.', e.key) END AS key, e.value AS node "
-            "FROM {nested} t, LATERAL variant_explode(t.node) e",
-            nested=level.filter(nested),
-        )
-    return out
+    opened = F.col("_pos").isNotNull()
+    path = (
+        F.when(~opened, F.col("key"))
+        .when(F.col("_member").isNull(), F.concat("key", F.lit("["), "_pos", F.lit("]")))
+        .when(F.col("key") == "", F.col("_member"))
+        .otherwise(F.concat("key", F.lit("."), "_member"))
+    )
+    for _ in range(max_depth):
+        inner = df.sparkSession.sql(
+            "SELECT t.*, e.pos AS _pos, e.key AS _member, e.value AS _inner "
+            "FROM {level} t, LATERAL variant_explode_outer(t.node) e", level=level)
+        level = inner.select(*ids, path.alias("key"), F.when(opened, F.col("_inner")).otherwise(F.col("node")).alias("node"))
+    # objects and arrays without content have no leaves
+    empty = F.try_variant_get("node", "$", "string").isin("{}", "[]")
+    return level.filter(~F.coalesce(empty, F.lit(False))).select(
+        *ids, "key", F.try_variant_get("node", "$", "string").alias("value"))
 
 
 def _missing(a: Column, b: Column) -> Column:

@@ -304,10 +304,10 @@ def body_sizes(blocks: DataFrame) -> DataFrame:
     """Most common block size (one decimal) per document, ties by first appearance,
     and the largest size. ``blocks(doc_id, page_no, block_no, size)``."""
     rounded = F.bround("size", 1)
-    counted = blocks.filter("size > 0").groupBy("doc_id", rounded.alias("_s")).agg(
+    counted = blocks.groupBy("doc_id", F.when(F.col("size") > 0, rounded).alias("_s")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("page_no", "block_no")).alias("_first"))
-    return counted.groupBy("doc_id").agg(
-        F.min_by("_s", F.struct(-F.col("n"), "_first")).alias("body_size"), F.max("_s").alias("largest"))
+    known = F.when(F.col("_s").isNotNull(), F.struct(-F.col("n"), "_first"))
+    return counted.groupBy("doc_id").agg(F.min_by("_s", known).alias("body_size"), F.max("_s").alias("largest"))
 
 
 def heading_levels(blocks: DataFrame, sizes: DataFrame, compatible: bool = True) -> DataFrame:
@@ -316,7 +316,7 @@ def heading_levels(blocks: DataFrame, sizes: DataFrame, compatible: bool = True)
     Levels are capped at two, so no ranking is needed: a size is either the largest
     or another one. ``compatible`` compares the unrounded size with the rounded list.
     """
-    joined = with_document_options(blocks, sizes, how="left")
+    joined = with_document_options(blocks, sizes)
     size = F.col("size") if compatible else F.bround("size", 1)
     listed = (size == F.bround("size", 1)) & (size > 0)
     heading = F.coalesce(listed & (size >= F.col("body_size") * HEADING_RATIO), F.lit(False))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import ranges as R
 from ..functions import values as V
-from .skew import PAGES_PER_PIECE, number_rows, page_counts, piece_of, running_total, with_document_options
+from .skew import beside_pages, is_small, number_rows, page_counts, running_total, with_document_options
 
 
 def _emit(df: DataFrame, code: Column, keep: Column, columns: dict[str, Column]) -> DataFrame:
@@ -178,16 +178,9 @@ def _document_offsets(pages: DataFrame, members: DataFrame, keys: list[str]) ->
     return placed
 
 
-def _attach_offsets(pages: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Join per-document numbers to pages on (document, piece)."""
-    copies = offsets.withColumn("_piece", F.explode(F.sequence(
-        F.lit(0).cast("long"), piece_of(F.col("_last"), PAGES_PER_PIECE)))).drop("_last")
-    return pages.withColumn("_piece", piece_of(F.col("page_no"))).join(copies, ["doc_id", "_piece"]).drop("_piece")
-
-
 def merge_documents(pages: DataFrame, members: DataFrame) -> DataFrame:
     """Documents of one output in input order. ``members(out_id, doc_id, doc_seq)``."""
-    df = _attach_offsets(pages, _document_offsets(pages, members, ["out_id"]))
+    df = beside_pages(pages, _document_offsets(pages, members, ["out_id"]), is_small(members))
     return df.select("out_id", (F.col("pages_before") + F.col("page_no")).alias("out_page_no"),
                      "doc_seq", "doc_id", "page_no", "text")
 
@@ -229,7 +222,7 @@ def combine_exhibits(pages: DataFrame, members: DataFrame, exhibit_prefix: str =
     """
     offsets = _document_offsets(pages, members, ["out_id"])
     slips_before = F.col("place") + 1 if slip_sheets else F.lit(0)
-    stamped = _attach_offsets(pages, offsets).select(
+    stamped = beside_pages(pages, offsets, is_small(members)).select(
         "out_id", (F.col("pages_before") + F.col("page_no") + slips_before).alias("sheet_no"), "doc_id", "page_no",
         V.bates_label(bates_prefix, F.col("pages_before") + F.col("page_no") + (bates_start - 1)).alias("stamp"))
     if not slip_sheets:

@@ -20,19 +20,34 @@ def piece_of(position: Column, size: int = PAGES_PER_PIECE) -> Column:
     return F.floor((position - 1) / F.lit(size)).cast("long")
 
 
+# A side of at most so many rows is broadcast; it is counted first.
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def minute(ts: Column) -> Column:
+    """Piece of a time-ordered group: narrow enough to spread one busy key."""
+    return F.date_trunc("minute", ts)
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"),
                                        F.max("page_no").cast("long").alias("_last"))
 
 
-def with_document_options(pages: DataFrame, options: DataFrame, how: str = "inner",
-                          size: int = PAGES_PER_PIECE) -> DataFrame:
-    """Pages with ``page_count`` and the option columns of their document.
+def beside_pages(pages: DataFrame, per_doc: DataFrame, small: bool, size: int = PAGES_PER_PIECE) -> DataFrame:
+    """Join one-row-per-document columns (with ``_last``, the highest page) to pages.
 
-    The one-row-per-document side is repeated once per piece of the document, so
-    the join key is (document, piece) and a huge document spreads over many tasks.
+    A small side is broadcast and the pages stay where they are. Otherwise it is
+    repeated once per piece of the document, so the join key is (document, piece) and
+    a huge document spreads over many tasks.
     """
-    per_doc = page_counts(pages).join(options, "doc_id", how)
+    if small:
+        return pages.join(F.broadcast(per_doc.drop("_last")), "doc_id")
     pieces = per_doc.withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("long"), piece_of(F.col("_last"), size)))
     ).drop("_last")
@@ -41,6 +56,15 @@ def with_document_options(pages: DataFrame, options: DataFrame, how: str = "inne
     ).drop("_piece")
 
 
+def with_document_options(pages: DataFrame, options: DataFrame, size: int = PAGES_PER_PIECE,
+                          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Pages of the documents in ``options``, with ``page_count`` and the option columns.
+    ``options`` has one row per document."""
+    small = is_small(options, broadcast_rows)
+    per_doc = page_counts(pages).join(F.broadcast(options) if small else options, "doc_id")
+    return beside_pages(pages, per_doc, small, size)
+
+
 def running_total(df: DataFrame, keys: list[str], piece: Column, order: list[Column], value: Column,
                   name: str, include_self: bool = True) -> DataFrame:
     """Running sum of ``value`` over ``keys`` by ``order``, cut at ``piece``.
@@ -103,12 +127,14 @@ def previous_value(df: DataFrame, keys: list[str], piece: Column, order: list[Co
 
 
 def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], spread_by: list[str],
-                  buckets: int = 16, how: str = "left") -> DataFrame:
-    """Equi join whose fact side is spread over ``buckets`` copies of the dimension.
+                  buckets: int = 16, how: str = "left", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi join to a dimension whose keys may be hot on the fact side.
 
-    No broadcast is forced: Spark broadcasts the dimension when its measured size
-    is under the threshold and shuffles on (key, salt) otherwise.
+    A small dimension is broadcast; a larger one is repeated for each of ``buckets``
+    salts, over which the facts of one key are spread.
     """
+    if is_small(dim, broadcast_rows):
+        return facts.join(F.broadcast(dim), keys, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(buckets))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     return facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import values as V
-from .skew import previous_value, running_total, salted_lookup
+from .skew import minute, previous_value, running_total, salted_lookup
 from .traffic import as_of_column
 
 # Legal status moves.
@@ -86,7 +86,8 @@ def status_overview(jobs: DataFrame, files: DataFrame) -> DataFrame:
 def job_inputs(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Jobs with their inputs looked up, in order; any unknown id gives ``missing_input``.
 
-    A file shared by many jobs is a hot key, so the lookup is salted by job.
+    A file shared by many jobs is a hot key, so the lookup is salted by job. The lists
+    collected again are no longer than the ones the job rows hold.
     """
     wanted = jobs.select("id", F.posexplode(F.from_json("file_ids", "array<string>")).alias("pos", "file_id"))
     known = files.select(F.col("id").alias("file_id"), "filename", "size_bytes", F.lit(True).alias("_found"))
@@ -162,9 +163,9 @@ def latest_state(events: DataFrame) -> DataFrame:
 def status_moves(events: DataFrame) -> DataFrame:
     """Each event with the status before it and whether the move is legal.
 
-    A first event must be ``queued``. Histories are cut at days.
+    A first event must be ``queued``. Histories are cut at minutes.
     """
-    moved = previous_value(events, ["job_id"], F.to_date("ts"), [F.col("ts"), F.col("seq")],
+    moved = previous_value(events, ["job_id"], minute(F.col("ts")), [F.col("ts"), F.col("seq")],
                            F.col("status"), "before")
     legal = F.lit(False)
     for a, b in LEGAL_MOVES:
@@ -183,10 +184,10 @@ def fingerprint() -> Column:
 def pair_duplicates(jobs: DataFrame, window_seconds: int = S.DUPLICATE_WINDOW_SECONDS) -> DataFrame:
     """Newest earlier open identical job within the window, per submission.
 
-    An as-of lookup by one window pass (no self join), cut at days.
+    An as-of lookup by one window pass (no self join), cut at minutes.
     """
     open_job = F.when(F.col("status").isin(*S.OPEN_JOB_STATUSES), F.struct("id", "created_at"))
-    paired = previous_value(jobs, ["tool", "file_ids", "options"], F.to_date("created_at"),
+    paired = previous_value(jobs, ["tool", "file_ids", "options"], minute(F.col("created_at")),
                             [F.col("created_at"), F.col("id")], open_job, "_match")
     fresh = F.col("_match.created_at") >= F.col("created_at") - F.make_dt_interval(secs=F.lit(window_seconds))
     return paired.withColumn("duplicate_of", F.when(fresh, F.col("_match.id"))).drop("_match")
@@ -198,10 +199,10 @@ def _islands(df: DataFrame, keys: list[str], order: list[str], ts: str, gap_seco
     State that lives shorter than the gap cannot cross islands, so each island is
     independent work and a hot key spreads over its islands.
     """
-    marked = previous_value(df, keys, F.to_date(ts), [F.col(c) for c in order], F.col(ts), "_before")
+    marked = previous_value(df, keys, minute(F.col(ts)), [F.col(c) for c in order], F.col(ts), "_before")
     starts = F.col("_before").isNull() | (
         F.col(ts) - F.col("_before") >= F.make_dt_interval(secs=F.lit(gap_seconds)))
-    opened = previous_value(marked.withColumn("_open", F.when(starts, F.col(ts))), keys, F.to_date(ts),
+    opened = previous_value(marked.withColumn("_open", F.when(starts, F.col(ts))), keys, minute(F.col(ts)),
                             [F.col(c) for c in order], F.col("_open"), "_last_open")
     return opened.withColumn("_island", F.coalesce("_open", "_last_open")).drop("_before", "_open", "_last_open")
 

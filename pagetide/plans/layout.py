@@ -109,7 +109,7 @@ def blocks(spark, sf):
 
 @query("a_body_size", cte(pages_in=TEXT_PAGES, blocks=_BLOCKS) + _BODY + "SELECT * FROM body")
 def a_body_size(spark, sf):
-    return Y.body_sizes(blocks(spark, sf))
+    return Y.body_sizes(blocks(spark, sf)).filter("body_size IS NOT NULL")
 
 
 @query("w_heading", cte(pages_in=TEXT_PAGES, blocks=_BLOCKS) + _BODY + """, heads AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS r

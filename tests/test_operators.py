@@ -45,8 +45,25 @@ def test_cut_windows_equal_plain_windows(spark):
 def test_options_reach_every_piece(spark):
     page_rows = spark.range(1, 51).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_no"))
     opts = spark.createDataFrame([(1, "x")], "doc_id long, o string")
-    got = skew.with_document_options(page_rows, opts, size=8)
-    assert got.filter("o = 'x' AND page_count = 50").count() == 50
+    for limit in (0, 10):  # joined by pieces, and broadcast
+        got = skew.with_document_options(page_rows, opts, size=8, broadcast_rows=limit)
+        assert got.filter("o = 'x' AND page_count = 50").count() == 50
+
+
+def test_salted_lookup_equals_broadcast(spark):
+    facts = spark.range(300).select("id", (F.col("id") % 3).alias("k"))
+    dim = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    a, b = (skew.salted_lookup(facts, dim, ["k"], ["id"], broadcast_rows=n) for n in (0, 10))
+    assert rows(a.select("id", "v"), "id") == rows(b.select("id", "v"), "id")
+
+
+def test_flatten_json(spark):
+    from pagetide.operators.catalog import flatten_json
+
+    doc = '{"a": {"b": [1, {"c": "x"}], "e": {}, "n": null}, "d": "y", "l": []}'
+    df = spark.createDataFrame([(1, doc), (2, '"leaf"')], "id int, doc string")
+    assert rows(flatten_json(df, "doc", 5), "id", "key") == [
+        (1, "a.b[0]", "1"), (1, "a.b[1].c", "x"), (1, "a.n", None), (1, "d", "y"), (2, "", "leaf")]
 
 
 # -------------------------------------------------------------------- geo
