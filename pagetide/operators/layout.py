@@ -6,6 +6,8 @@ after it is window and aggregate work.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,38 +62,48 @@ def _cluster(y_mid: np.ndarray, height: np.ndarray) -> np.ndarray:
     return np.array(owner)
 
 
-def _gap_home(glyph: int, line: list[int], box: dict[str, np.ndarray], normal: float) -> bool:
-    """Whether ``glyph`` sits between two full-size neighbours of ``line``."""
-    others = sorted((g for g in line if g != glyph), key=lambda g: box["x0"][g])
-    if len(others) < 2:
-        return False
-    a, b = np.array(others[:-1]), np.array(others[1:])
-    tall = (box["h"][a] >= TINY * normal) & (box["h"][b] >= TINY * normal)
-    around = (box["x1"][a] <= box["x0"][glyph]) & (box["x0"][glyph] <= box["x0"][b])
-    return bool((tall & around & (box["x0"][b] - box["x1"][a] < 2.0 * normal)).any())
-
+def _fills_gap(glyph: int, line: list[int], box: dict[str, list], normal: float) -> bool:
+    """Whether ``glyph`` sits between two full-size neighbours of ``line`` (sorted by x).
 
-def _bring_home(lines: list[list[int]], box: dict[str, np.ndarray]) -> None:
-    """Move tiny glyphs to the closest line whose gap they fill."""
-    inked = np.sort(box["h"][(box["h"] > 0) & ~box["blank"]])
-    if not len(inked):
+    Only neighbours at the glyph's own place can enclose it, so they are found by
+    bisection.
+    """
+    x0, x1, h, at = box["x0"], box["x1"], box["h"], box["x0"][glyph]
+    others = [g for g in line if g != glyph]
+    for k in range(max(bisect_left(others, at, key=x0.__getitem__) - 1, 0), len(others) - 1):
+        a, b = others[k], others[k + 1]
+        if x0[a] > at:
+            break
+        if (min(h[a], h[b]) >= TINY * normal and x1[a] <= at <= x0[b] and x0[b] - x1[a] < 2.0 * normal):
+            return True
+    return False
+
+
+def _bring_home(lines: list[list[int]], box: dict[str, list]) -> None:
+    """Move tiny glyphs to the closest line whose gap they fill. Lines stay sorted by x."""
+    inked = sorted(h for h, blank in zip(box["h"], box["blank"]) if h > 0 and not blank)
+    if not inked:
         return
-    normal = inked[len(inked) // 2]
-    small = (box["h"] < TINY * normal) & ~box["blank"]
+    normal, mid = inked[len(inked) // 2], box["mid"]
+    small = [h < TINY * normal and not blank for h, blank in zip(box["h"], box["blank"])]
+    total = [sum(mid[g] for g in line) for line in lines]
     for here, line in enumerate(lines):
         for glyph in [g for g in line if small[g]]:
-            if _gap_home(glyph, line, box, normal):
+            if _fills_gap(glyph, line, box, normal):
                 continue
             offers = []
             for there, other in enumerate(lines):
                 if there == here or not other:
                     continue
-                away = abs(box["mid"][glyph] - sum(box["mid"][g] for g in other) / len(other))
-                if away <= normal and _gap_home(glyph, other, box, normal):
+                away = abs(mid[glyph] - total[there] / len(other))
+                if away <= normal and _fills_gap(glyph, other, box, normal):
                     offers.append((away, there))
             if offers:
+                there = min(offers)[1]
                 line.remove(glyph)
-                lines[min(offers)[1]].append(glyph)
+                insort(lines[there], glyph, key=box["x0"].__getitem__)
+                total[here] -= mid[glyph]
+                total[there] += mid[glyph]
 
 
 def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
@@ -101,12 +113,13 @@ def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
     box = {"x0": page.x0.to_numpy(), "x1": page.x1.to_numpy(), "mid": (y0 + y1) / 2, "h": y1 - y0,
            "blank": (page.ch == " ").to_numpy()}
     owner = _cluster(box["mid"], box["h"])
-    lines = [list(np.flatnonzero(owner == k)) for k in range(owner.max() + 1)]
-    by_x = lambda line: sorted(line, key=lambda g: box["x0"][g])
-    height_of = lambda line: -sum(box["mid"][g] for g in line) / len(line)
+    lines = [np.flatnonzero(owner == k).tolist() for k in range(owner.max() + 1)]
+    x0s, mids = box["x0"].tolist(), box["mid"].tolist()
+    by_x = lambda line: sorted(line, key=x0s.__getitem__)
+    height_of = lambda line: -sum(map(mids.__getitem__, line)) / len(line)
     lines = sorted((by_x(line) for line in lines), key=height_of)
     if reattach:
-        _bring_home(lines, box)
+        _bring_home(lines, {name: values.tolist() for name, values in box.items()})
         lines = sorted((by_x(line) for line in lines if line), key=height_of)
     line_no, pos = np.empty(len(page), dtype=np.int64), np.empty(len(page), dtype=np.int64)
     for k, line in enumerate(lines, start=1):
