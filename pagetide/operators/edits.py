@@ -132,5 +132,6 @@ def fold_order(log: DataFrame) -> DataFrame:
             yield flush()
 
     moves = log.filter(F.col("action").isin(*ORDER_ACTIONS)).select("doc_id", "seq", "action", "ids", "arg")
-    spread = moves.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    width = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = moves.repartition(width, "doc_id").sortWithinPartitions("doc_id", "seq")
     return spread.mapInPandas(run, "doc_id long, item int, place int")

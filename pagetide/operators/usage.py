@@ -207,22 +207,27 @@ def _islands(df: DataFrame, keys: list[str], order: list[str], ts: str, gap_seco
     return opened.withColumn("_island", F.coalesce("_open", "_last_open")).drop("_before", "_open", "_last_open")
 
 
-def _fold_sorted(df: DataFrame, group: list[str], order: list[str], step, schema: str) -> DataFrame:
+def _fold_sorted(df: DataFrame, group: list[str], ts: str, tie: str, step, schema: str) -> DataFrame:
     """Run a sequential rule over each group, streaming: the rows of a group arrive in
-    order in Arrow batches, and only the rule's small state is held in memory."""
+    order in Arrow batches, and only the rule's small state is held in memory.
+
+    ``step(state, row, micros)`` gives the next state and the verdict on the row.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            out = []
-            for key, row in zip(zip(*[batch[g] for g in group]), batch.itertuples(index=False)):
+            out, keys = [], zip(*[batch[g] for g in group])
+            times = batch[ts].to_numpy("datetime64[us]").astype("int64").tolist()
+            for key, row, micros in zip(keys, batch.itertuples(index=False), times):
                 if key != current:
                     current, state = key, None
-                state, verdict = step(state, row)
+                state, verdict = step(state, row, micros)
                 out.append(verdict)
-            yield pd.concat([batch.drop(columns=["_island"]),
-                             pd.DataFrame(out, columns=["_verdict"], index=batch.index)], axis=1)
+            yield batch.drop(columns=["_island"]).assign(_verdict=out)
 
-    spread = df.repartition(*group).sortWithinPartitions(*group, *order)
+    # bound by work per row: keep the width that small inputs would otherwise lose
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(width, *group).sortWithinPartitions(*group, ts, tie)
     return spread.mapInPandas(run, schema)
 
 
@@ -237,36 +242,36 @@ def lockouts(logins: DataFrame, max_failures: int = S.LOGIN_MAX_FAILURES,
     Blocked attempts are not recorded, so the rule is recursive and needs a fold;
     its state is the recorded failures of the last window (at most ``max_failures``).
     """
-    width = pd.Timedelta(seconds=window_seconds)
+    width = window_seconds * 1_000_000
 
-    def step(failures, row):
-        live = [t for t in (failures or []) if t > row.created_at - width]
+    def step(failures, row, now):
+        live = [t for t in (failures or []) if t > now - width]
         if len(live) >= max_failures:
             return live, "blocked"
         if row.success:
             return live, "ok"
-        return [*live, row.created_at], "failed"
+        return [*live, now], "failed"
 
     cut = _islands(logins, ["ip"], ["created_at", "id"], "created_at", window_seconds)
-    return _fold_sorted(cut, ["ip", "_island"], ["created_at", "id"], step,
+    return _fold_sorted(cut, ["ip", "_island"], "created_at", "id", step,
                         _ddl(cut) + ", _verdict string").withColumnRenamed("_verdict", "outcome")
 
 
 def reuse_duplicates(jobs: DataFrame, window_seconds: int = S.DUPLICATE_WINDOW_SECONDS) -> DataFrame:
     """Exact duplicate reuse: a reused submission creates no job, so it cannot be
     matched itself. State: the newest open job of the fingerprint."""
-    width = pd.Timedelta(seconds=window_seconds)
+    width = window_seconds * 1_000_000
 
-    def step(newest_open, row):
-        if newest_open is not None and newest_open[1] >= row.created_at - width:
+    def step(newest_open, row, now):
+        if newest_open is not None and newest_open[1] >= now - width:
             return newest_open, newest_open[0]
         if row.status in S.OPEN_JOB_STATUSES:
-            return (row.id, row.created_at), row.id
+            return (row.id, now), row.id
         return newest_open, row.id
 
     keyed = jobs.withColumn("_key", fingerprint())
     cut = _islands(keyed, ["_key"], ["created_at", "id"], "created_at", window_seconds + 1)
-    return _fold_sorted(cut, ["_key", "_island"], ["created_at", "id"], step,
+    return _fold_sorted(cut, ["_key", "_island"], "created_at", "id", step,
                         _ddl(cut) + ", _verdict long").withColumnRenamed("_verdict", "job_id").drop("_key")
 
 
