@@ -64,6 +64,15 @@ def t_edit_dividers(spark, sf):
     return flags.filter("flag AND item BETWEEN 1 AND 7")
 
 
-@query("t_edit_order")
+# The order depends on all earlier moves, so SQL follows the order edits of a document one by one.
+@query("t_edit_order", _LOG + """, moves AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS r FROM log WHERE action IN ('move', 'reverse', 'set_order')),
+  fold AS (WITH RECURSIVE f AS (
+    SELECT DISTINCT doc_id, 0::BIGINT AS r, range(1, 9) AS o FROM items
+    UNION ALL SELECT m.doc_id, m.r, CASE m.action WHEN 'reverse' THEN list_reverse(f.o) WHEN 'set_order' THEN CASE WHEN m.seq % 2 = 0 THEN list_reverse(range(1, 9)) ELSE f.o END
+      ELSE list_concat(list_concat(list_filter(f.o, lambda x: x NOT IN (m.a, m.b))[1:least(greatest(m.arg, 0), 6)], list_filter(f.o, lambda x: x IN (m.a, m.b))),
+        list_filter(f.o, lambda x: x NOT IN (m.a, m.b))[least(greatest(m.arg, 0), 6) + 1:]) END
+    FROM f JOIN moves m ON m.doc_id = f.doc_id AND m.r = f.r + 1)
+    SELECT doc_id, arg_max(o, r) AS o FROM f GROUP BY doc_id)
+  SELECT doc_id, unnest(o) AS item, generate_subscripts(o, 1) AS place FROM fold""")
 def t_edit_order(spark, sf):
     return E.fold_order(edit_log(spark, sf))

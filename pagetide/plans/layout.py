@@ -39,9 +39,13 @@ _TABLE = (f"CASE WHEN ascii(ch) BETWEEN 32 AND 126 THEN ({list(WIDTHS)}::DOUBLE[
           f"WHEN regexp_matches(ch, '\\p{{Lu}}') THEN {OTHER_UPPER} WHEN regexp_matches(ch, '\\p{{Ll}}') THEN {OTHER_LOWER} ELSE {OTHER} END")
 
 
-@query("a_advance_est", _CHARS + f""", steps AS (SELECT *, {_TABLE}::DOUBLE AS t FROM (SELECT *, (lead(x0) OVER (PARTITION BY doc_id, page_no, l ORDER BY x0, p) - x0) / size AS d FROM chars) WHERE d > 0 AND ch <> ' ')
-  SELECT doc_id, page_no, ch, round(least(t, coalesce(CASE WHEN len(ds) >= 2 THEN ds[least(1, len(ds) // 4) + 1] ELSE ds[1] END, t)), 6) AS advance
-  FROM (SELECT doc_id, page_no, ch, any_value(t) AS t, list_sort(list(d) FILTER (d >= 0.5 * t)) AS ds FROM steps GROUP BY ALL)""")
+_STEPS = f""", steps AS (SELECT *, {_TABLE}::DOUBLE AS t FROM (SELECT *, (lead(x0) OVER (PARTITION BY doc_id, page_no, l ORDER BY x0, p) - x0) / size AS d FROM chars) WHERE d > 0 AND ch <> ' '),
+  adv AS (SELECT doc_id, page_no, ch, least(t, coalesce(CASE WHEN len(ds) >= 2 THEN ds[least(1, len(ds) // 4) + 1] ELSE ds[1] END, t)) AS advance
+    FROM (SELECT doc_id, page_no, ch, any_value(t) AS t, list_sort(list(d) FILTER (d >= 0.5 * t)) AS ds FROM steps GROUP BY ALL))
+"""
+
+
+@query("a_advance_est", _CHARS + _STEPS + "SELECT doc_id, page_no, ch, round(advance, 6) AS advance FROM adv")
 def a_advance_est(spark, sf):
     lined = page_chars(spark, sf).withColumnsRenamed({"l": "line_no", "p": "pos"})
     return Y.estimate_advances(lined).withColumn("advance", F.round("advance", 6))
@@ -59,7 +63,16 @@ def t_reattach(spark, sf):
     return lined.groupBy("doc_id", "page_no").agg(F.max("line_no").alias("lines"), F.count("*").alias("chars"))
 
 
-@query("w_spaces")
+@query("w_spaces", _CHARS + _STEPS + """, seen AS (SELECT *, last_value(CASE WHEN ch <> ' ' THEN x0 + wide END IGNORE NULLS) OVER w1 AS bx, first_value(CASE WHEN ch <> ' ' THEN x0 END IGNORE NULLS) OVER w2 AS ax,
+    last_value(CASE WHEN ch <> ' ' THEN struct_pack(ch := ch, x0 := x0, x1 := x0 + wide, size := size) END IGNORE NULLS) OVER w1 AS pv, lag(ch) OVER w AS before
+    FROM chars WINDOW w AS (PARTITION BY doc_id, page_no, l ORDER BY p), w1 AS (PARTITION BY doc_id, page_no, l ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      w2 AS (PARTITION BY doc_id, page_no, l ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  gaps AS (SELECT doc_id, page_no, l, list_sort(list(ax - bx) FILTER (ch = ' ' AND ax - bx > 0 AND ax - bx < 10 * size)) AS g, list_sort(list(size)) AS z FROM seen GROUP BY ALL),
+  leads AS (SELECT s.doc_id, s.page_no, CASE WHEN s.ch = ' ' OR pv IS NULL OR pv.x1 <= pv.x0 THEN '' WHEN s.x0 - pv.x1 > 2.75 * w THEN 'tab'
+      WHEN coalesce(before, '') <> ' ' AND (s.x0 - pv.x0) - a.advance * pv.size > 0.55 * w THEN 'space' ELSE '' END AS lead
+    FROM seen s JOIN (SELECT doc_id, page_no, l, coalesce(g[len(g) // 2 + 1], 0.32::DOUBLE * z[len(z) // 2 + 1]) AS w FROM gaps) g USING (doc_id, page_no, l)
+    LEFT JOIN adv a ON a.doc_id = s.doc_id AND a.page_no = s.page_no AND a.ch = pv.ch)
+  SELECT doc_id, page_no, count(*) FILTER (lead = 'space') AS spaces, count(*) FILTER (lead = 'tab') AS tabs FROM leads GROUP BY ALL""")
 def w_spaces(spark, sf):
     lined = page_chars(spark, sf).withColumnsRenamed({"l": "line_no", "p": "pos"})
     spaced = Y.insert_spaces(lined)
