@@ -65,6 +65,15 @@ def with_document_options(pages: DataFrame, options: DataFrame, size: int = PAGE
     return beside_pages(pages, per_doc, small, size)
 
 
+def _cut(df: DataFrame, keys: list[str], piece: Column) -> DataFrame:
+    """Add the group key as one struct and the piece. A struct of nulls equals itself, so
+    the same plain key serves the join and the window, and one shuffle serves both."""
+    return df.withColumns({"_cut_key": F.struct(*keys), "_cut_piece": piece})
+
+
+_PIECE = ["_cut_key", "_cut_piece"]
+
+
 def running_total(df: DataFrame, keys: list[str], piece: Column, order: list[Column], value: Column,
                   name: str, include_self: bool = True) -> DataFrame:
     """Running sum of ``value`` over ``keys`` by ``order``, cut at ``piece``.
@@ -72,23 +81,15 @@ def running_total(df: DataFrame, keys: list[str], piece: Column, order: list[Col
     ``piece`` must be non-decreasing along ``order``. Sums per piece are aggregated
     map-side first; the window over them sees one row per (key, piece).
     """
-    cut = df.withColumn("_piece", piece)
-    by_piece = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        cut.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(by_piece), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                F.col("_piece").alias("_kp"), "_before")
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    inner = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if include_self else -1
-    )
-    return (
-        cut.join(before, [*on, F.col("_piece").eqNullSafe(F.col("_kp"))])
-        .withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)) + F.col("_before"))
-        .drop("_piece", "_kp", "_before", *[f"_k{i}" for i in range(len(keys))])
-    )
+    cut = _cut(df, keys, piece)
+    earlier = Window.partitionBy("_cut_key").orderBy("_cut_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*_PIECE).agg(F.sum(value).alias("_cut_sum")).select(
+        *_PIECE, F.coalesce(F.sum("_cut_sum").over(earlier), F.lit(0)).alias("_cut_before"))
+    inner = Window.partitionBy(*_PIECE).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0 if include_self else -1)
+    inside = cut.withColumn("_cut_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return inside.join(before, _PIECE).withColumn(name, F.col("_cut_inside") + F.col("_cut_before")).drop(
+        *_PIECE, "_cut_inside", "_cut_before")
 
 
 def number_rows(df: DataFrame, keys: list[str], position: str, name: str,
@@ -105,25 +106,16 @@ def previous_value(df: DataFrame, keys: list[str], piece: Column, order: list[Co
     Inside a piece it is a window; the value carried into a piece is the last one
     of the nearest earlier piece that has any.
     """
-    cut = df.withColumn("_piece", piece).withColumn("_value", value)
+    cut = _cut(df, keys, piece).withColumn("_cut_value", value)
     order_key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    carried = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        cut.groupBy(*keys, "_piece")
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), order_key)).alias("_last"))
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(carried))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                F.col("_piece").alias("_kp"), "_carry")
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    inner = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        cut.join(last, [*on, F.col("_piece").eqNullSafe(F.col("_kp"))])
-        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inner), F.col("_carry")))
-        .drop("_piece", "_kp", "_carry", "_value", *[f"_k{i}" for i in range(len(keys))])
-    )
+    earlier = Window.partitionBy("_cut_key").orderBy("_cut_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*_PIECE).agg(
+        F.max_by("_cut_value", F.when(F.col("_cut_value").isNotNull(), order_key)).alias("_cut_last")
+    ).select(*_PIECE, F.last("_cut_last", ignorenulls=True).over(earlier).alias("_cut_carry"))
+    inner = Window.partitionBy(*_PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.withColumn("_cut_inside", F.last("_cut_value", ignorenulls=True).over(inner))
+    return inside.join(carried, _PIECE).withColumn(name, F.coalesce("_cut_inside", "_cut_carry")).drop(
+        *_PIECE, "_cut_value", "_cut_inside", "_cut_carry")
 
 
 def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], spread_by: list[str],

@@ -28,7 +28,27 @@ def rows(df, *order):
 
 # ------------------------------------------------------------ skew helpers
 
-def test_cut_windows_equal_plain_windows(spark):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_cut_windows_equal_plain_windows(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        check_cut_windows(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cut_window_shuffles_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
+        out = skew.running_total(df, ["k"], skew.piece_of(F.col("id"), 100), [F.col("id")], F.lit(1), "n")
+        # rows, partial sums, and the window over the sums (whose output meets the rows again)
+        assert plan_of(out).count("Exchange hashpartitioning") <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check_cut_windows(spark):
     rng = random.Random(5)
     data = [(rng.choice([None, "a", "a", "a", "b"]), i, rng.choice([None, 1, 2, 3])) for i in range(1, 400)]
     df = spark.createDataFrame(data, "k string, pos long, v long")
