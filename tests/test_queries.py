@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from pagetide import plans
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.load_all()
 
 
 @pytest.fixture(scope="module")
