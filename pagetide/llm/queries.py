@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from . import bpe, shards, warc
+from ..session import ship, store
+from . import bpe, minhash, shards, substrings, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,16 @@ def tokenizer() -> tuple[str, str]:
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), *tokenizer())
+
+
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = store(substrings.repeats(docs), "repeats")
+    return substrings.cut(docs, found).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_minmax_near_duplicates")
+def op8_minmax_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
