@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, store
-from . import bpe, minhash, shards, substrings, warc
+from . import bpe, minhash, shards, substrings, tiling, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,9 @@ def op7_repeated_passages(spark, sf_dir):
 def op8_minmax_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@query("op9_greedy_tiling")
+def op9_greedy_tiling(spark, sf_dir):
+    return tiling.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn(
+        "kept", ~F.col("contaminated"))
