@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, store
-from . import bpe, minhash, shards, substrings, tiling, warc
+from . import bpe, minhash, quality, shards, substrings, tiling, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,16 @@ def op8_minmax_near_duplicates(spark, sf_dir):
 def op9_greedy_tiling(spark, sf_dir):
     return tiling.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn(
         "kept", ~F.col("contaminated"))
+
+
+@query("op6_quality_ranking")
+def op6_quality_ranking(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_toxicity_chain")
+def op10_toxicity_chain(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).drop("text").withColumn("kept", ~F.col("toxic"))
