@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, store
-from . import bpe, minhash, quality, shards, substrings, tiling, toxicity, warc
+from . import bpe, minhash, quality, shards, substrings, tiling, toxicity, vectors, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,9 @@ def op10_toxicity_chain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).drop("text").withColumn("kept", ~F.col("toxic"))
+
+
+@query("op4_binary_code_duplicates")
+def op4_binary_code_duplicates(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumn(
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
