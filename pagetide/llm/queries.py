@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, store
-from . import bpe, minhash, quality, shards, substrings, tiling, toxicity, vectors, warc
+from . import bpe, mainpage, minhash, quality, shards, substrings, tiling, toxicity, vectors, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,16 @@ def op10_toxicity_chain(spark, sf_dir):
 def op4_binary_code_duplicates(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@query("op3_crf_main_text")
+def op3_crf_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return mainpage.extract(pages, mainpage.train(pages))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
