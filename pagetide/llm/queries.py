@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, store
-from . import bpe, mainpage, minhash, quality, shards, substrings, tiling, toxicity, vectors, warc
+from . import bpe, mainpage, minhash, oracles, quality, shards, substrings, tiling, toxicity, vectors, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,10 @@ def op1_virtual_slots(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
-@query("op2_warc_index")
+@query("op2_warc_index", oracles.WARC)
 def op2_warc_index(spark, sf_dir):
     return warc.archive_and_index(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def tokenizer() -> tuple[str, str]:
@@ -57,14 +57,14 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), *tokenizer())
 
 
-@query("op7_repeated_passages")
+@query("op7_repeated_passages", oracles.REPEATS)
 def op7_repeated_passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = store(substrings.repeats(docs), "repeats")
     return substrings.cut(docs, found).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op8_minmax_near_duplicates")
+@query("op8_minmax_near_duplicates", oracles.NEAR)
 def op8_minmax_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -89,7 +89,7 @@ def op10_toxicity_chain(spark, sf_dir):
     return toxicity.score(docs, chain).drop("text").withColumn("kept", ~F.col("toxic"))
 
 
-@query("op4_binary_code_duplicates")
+@query("op4_binary_code_duplicates", oracles.VECTORS)
 def op4_binary_code_duplicates(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
