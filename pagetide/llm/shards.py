@@ -59,8 +59,12 @@ def edit_map(shard_of: Sequence[int], size: Mapping[int, int], n_shards: int) ->
         load[shard] += size.get(slot, 0)
         held[shard].add(slot)
         out[slot] = shard
-    for _ in range(4 * n_shards):
-        high, low = max(range(n_shards), key=load.__getitem__), min(range(n_shards), key=load.__getitem__)
+    settled: set[int] = set()  # fullest shards that nothing can be taken from
+    for _ in range(8 * n_shards):
+        open_ones = [s for s in range(n_shards) if s not in settled]
+        if len(open_ones) < 2:
+            break
+        high, low = max(open_ones, key=load.__getitem__), min(open_ones, key=load.__getitem__)
         gap = load[high] - load[low]
         best = (0, None, None)
         smaller = sorted((size.get(s, 0), s) for s in held[low])
@@ -74,7 +78,8 @@ def edit_map(shard_of: Sequence[int], size: Mapping[int, int], n_shards: int) ->
                 best = max(best, (min(moved, gap - moved), slot, at[1]))
         gain, slot, other = best
         if gain == 0:
-            break
+            settled.add(high)
+            continue
         for s, a, b in ((slot, high, low), (other, low, high)):
             if s >= 0:
                 held[a].discard(s)
