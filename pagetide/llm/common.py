@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, store
@@ -185,17 +185,14 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFrame],
     return df.repartition(width(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: Column,
-                how: str = "left") -> DataFrame:
-    """Equi join where one key may own a large part of ``left``. ``right`` has one row a key at most.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi join where one key may own a large part of ``left``; ``right`` has one row a key at most.
 
-    Rows of a key are dealt over as many salts as the shuffle is wide (at most 64); ``right`` is
-    repeated for each salt, so it should hold only keys that can match.
+    ``right`` is written first. Both sides are then plain shuffled tables, so adaptive execution
+    splits the tasks of hot keys by their measured size (or sends ``right`` round if it is small),
+    which it cannot where the join reuses the partitioning of an aggregation.
     """
-    salts = max(1, min(64, width(left.sparkSession)))
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(
-        salted, [*keys, "_salt"], how).drop("_salt")
+    return left.join(store(right, "side"), keys, how)
 
 
 # A filter of so many bits (2 MB) is sent to every task. Its size is fixed; with more keys than
@@ -277,5 +274,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = store(small, "links")
         discard(edges)
         edges = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        edges.select(F.col("v"), F.col("v")).distinct())
+    return store(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        edges.select(F.col("v"), F.col("v")).distinct()), "components")

@@ -6,11 +6,14 @@ signatures have in common is an unbiased estimate of their Jaccard similarity, o
 than 2K independent minima. Signatures are cut into bands; sets that agree on a band are
 candidates, and every link is confirmed on the full sets of the two texts.
 
-Work stays linear in hot groups: equal sets are one class from the start; in a band's bucket
-every class is first compared with the smallest one only; then, with what that has connected
-taken as one, classes of a bucket that are still apart are compared in blocks, by signature
-first. Two classes that are connected already need no further comparison, so no link that
-matters for the components is lost, and no group is expanded into its pairs.
+Work stays bounded in hot groups. Equal sets are one class from the start. In a band's bucket
+every class is first compared with the smallest one only, and what is linked is one from then
+on. Classes of a bucket that are still apart, but may be similar by their signatures, are tied
+into families, by a forest of at most one tie a class. Members of a family meet in blocks, with
+their texts, and pairs that are not connected yet are confirmed there, likeliest first; a block
+returns only the links that connect something new. So every pair of a bucket is either connected
+already, ruled out by its signatures, or confirmed or refuted on its full sets, and no group is
+ever expanded into rows for its pairs.
 
 Cases: a null, empty or blank text has an empty set and links with nothing; with fewer words
 than a shingle, the whole sequence is the only shingle; rows that repeat an identifier are one
@@ -42,8 +45,8 @@ LEAST_ESTIMATE = 0.62
 # Rows without an identifier get one from here on, by their text.
 NO_ID = 1 << 62
 
-# Classes of a bucket that meet in one block.
-BLOCK = 512
+# Classes that meet in one block.
+BLOCK = 1024
 
 _RNG = np.random.default_rng(8)
 _MULTIPLY = (_RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -98,20 +101,32 @@ def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
         run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
 
 
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Exact test on two sorted sets."""
+    least, most = sorted((len(left), len(right)))
+    if 100 * least < percent * most:
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= percent * (len(left) + len(right) - both)
+
+
+def shingle_sets(texts, k: int, lower: bool) -> list[np.ndarray]:
+    words = Words(texts, lower)
+    return [np.unique(shingles(words.of(i), k)) for i in range(len(words.first) - 1)]
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, lower: bool = True) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``texts``: (node, text), one row each."""
     percent = round(100 * similarity)
 
     def run(batches):
+        last_b, right = None, None
         for batch in batches:
             kept = []
-            last_b, right = None, None
             for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
                 if last_b != b:
-                    last_b, right = b, np.unique(shingles(Words([text_b], lower).of(0), k))
-                left = np.unique(shingles(Words([text_a], lower).of(0), k))
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * both >= percent * (len(left) + len(right) - both):
+                    last_b, right = b, shingle_sets([text_b], k, lower)[0]
+                if similar(shingle_sets([text_a], k, lower)[0], right, percent):
                     kept.append((a, b))
             yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
@@ -121,41 +136,78 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, low
         run, "a long, b long")
 
 
+def in_blocks(df: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """Rows of a group as (i, j, mine): groups of more than BLOCK rows are cut by ``node``, and each
+    cut meets each other, and itself, in a block of its own."""
+    cuts = counts.select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"))
+    return spread_join(df, cuts, keys, "inner").withColumn(
+        "mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns(
+        {"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "cuts")
+
+
+def _sides(key, frame) -> tuple[np.ndarray, np.ndarray]:
+    side = frame["mine"].to_numpy()
+    return np.flatnonzero(side == key[-2]), np.flatnonzero(side == key[-1])
+
+
+def _marks(frame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["marks"]), dtype=np.uint8).reshape(len(frame), -1)
+
+
 def still_apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs of a bucket whose classes are not connected yet: (a, b), each once.
-
-    A bucket of more than BLOCK classes is cut, and each cut meets each other in a block of its
-    own, so a hot bucket is spread over many tasks. Blocks compare signatures and return only
-    pairs that may reach the similarity.
-    """
-    e = entries.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn(
-        "root", F.coalesce("_root", "node")).drop("_root")
+    """(a, b): a forest that ties all classes of a bucket that may be similar and are not connected."""
+    e = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = e.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"),
                                          F.count(F.lit(1)).alias("n")).where("r1 <> r2")
-    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    blocks = spread_join(e, mixed.select("band", "key", cuts.alias("cuts")), ["band", "key"], F.col("node"), "inner")
-    blocks = blocks.withColumn("mine", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    blocks = blocks.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                           "mine", "node", "root", "marks")
-
-    def compare(key, frame):
+    blocks = in_blocks(e, ["band", "key"], mixed).select("band", "key", "i", "j", "mine", "node", "root", "marks")
+
+    def tie(key, frame):
+        if len(frame) < 2:
+            return None
+        left, right = _sides(key, frame)
+        node, root, marks = frame["node"].to_numpy(), frame["root"].to_numpy(), _marks(frame)
+        tree = np.arange(len(frame))
+        out = []
+        for x in left:
+            near = right[((marks[right] == marks[x]).mean(axis=1) >= LEAST_ESTIMATE) & (root[right] != root[x])]
+            trees, first = np.unique(tree[near], return_index=True)
+            new = trees != tree[x]
+            out += [(node[x], node[y]) for y in near[first[new]]]
+            tree[np.isin(tree, trees)] = tree[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else None
+
+    return by_group(blocks, ["band", "key", "i", "j"], tie, "a long, b long").distinct()
+
+
+def within_families(families: DataFrame, roots: DataFrame, marks: DataFrame, texts: DataFrame, k: int,
+                    similarity: float, lower: bool = True) -> DataFrame:
+    """(a, b): confirmed links between members of a family that connect what ``roots`` leaves apart."""
+    percent = round(100 * similarity)
+    members = families.select("node", F.col("root").alias("family"))
+    counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    full = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(
+        marks, "node").join(texts, "node")
+    blocks = in_blocks(full, ["family"], counts).select("family", "i", "j", "mine", "node", "root", "marks", "text")
+
+    def link(key, frame):
         if len(frame) < 2:
             return None
-        side = frame["mine"].to_numpy()
-        node, root = frame["node"].to_numpy(), frame["root"].to_numpy()
-        marks = np.frombuffer(b"".join(frame["marks"]), dtype=np.uint8).reshape(len(frame), -1)
-        left = np.flatnonzero(side == key[2])
-        right = np.flatnonzero(side == key[3])
+        left, right = _sides(key, frame)
+        node, marks = frame["node"].to_numpy(), _marks(frame)
+        tree = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
+        sets = shingle_sets(frame["text"].tolist(), k, lower)
         out = []
         for x in left:
-            near = (marks[right] == marks[x]).mean(axis=1) >= LEAST_ESTIMATE
-            near &= (root[right] != root[x]) & ((node[right] > node[x]) if key[2] == key[3] else True)
-            out += [(min(node[x], y), max(node[x], y)) for y in node[right[near]]]
+            share = (marks[right] == marks[x]).mean(axis=1)
+            likely = np.argsort(-share, kind="stable")
+            for y in right[likely[:int((share >= LEAST_ESTIMATE).sum())]]:
+                if tree[x] != tree[y] and similar(sets[x], sets[y], percent):
+                    out.append((node[x], node[y]))
+                    tree[tree == tree[y]] = tree[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else None
 
-    return by_group(blocks, ["band", "key", "i", "j"], compare, "a long, b long").distinct()
+    return by_group(blocks, ["family", "i", "j"], link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int, similarity: float = SIMILARITY, lower: bool = True) -> DataFrame:
@@ -167,7 +219,7 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = SIMILARITY, low
     full = base.where("n_shingles > 0")
     shared = full.groupBy(*sets).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where(
         "n > 1").drop("n")
-    member = store(spread_join(base.select("doc_id", *sets), shared, sets, F.col("doc_id")).select(
+    member = store(spread_join(base.select("doc_id", *sets), shared, sets).select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id"))
         .otherwise(F.col("doc_id")).alias("node")), "classes")
     # Only documents that stand for a class go on; rows that repeat an identifier are one node.
@@ -177,16 +229,18 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = SIMILARITY, low
     entries = classes.select("node", "marks", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where(
         "hub <> far").drop("far")
-    entries = store(spread_join(entries, buckets, ["band", "key"], F.col("node"), "inner"), "buckets")
+    entries = store(spread_join(entries, buckets, ["band", "key"], "inner"), "buckets")
     pool = entries.select("node").distinct()
     texts = store(filtered(documents, pool, "doc_id", "node").join(pool, F.col("doc_id") == F.col("node"))
                   .groupBy("node", "text").agg(F.lit(1)).select("node", "text"), "pool")
     first = store(confirmed(entries.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
                             .distinct(), texts, k, similarity, lower), "confirmed")
     roots = components(first)
-    second = store(confirmed(still_apart(entries.drop("hub"), roots), texts, k, similarity, lower), "confirmed")
+    families = components(still_apart(entries.drop("hub"), roots))
+    marks = entries.groupBy("node").agg(F.min("marks").alias("marks"))
+    second = store(within_families(families, roots, marks, texts, k, similarity, lower), "confirmed")
     roots = components(first.union(second))
-    out = spread_join(member, roots, ["node"], F.col("doc_id"))
+    out = spread_join(member, roots, ["node"])
     return out.select(
         F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), "n_shingles",
         F.when(F.coalesce("root", "node") < NO_ID, F.coalesce("root", "node")).alias("component_id"))

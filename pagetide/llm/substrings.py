@@ -123,7 +123,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     long_ones = base.where(F.col("n_words") >= WINDOW)
     classes = long_ones.groupBy(*same).agg(
         F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source <> other").drop("other")
-    whole = store(spread_join(long_ones.select("doc_id", *same), classes, same, F.col("doc_id"), "inner").where(
+    whole = store(spread_join(long_ones.select("doc_id", *same), classes, same, "inner").where(
         "doc_id > source").select("doc_id", "seq_a", F.lit(0).cast("long").alias("start"),
                                   F.col("n_words").alias("end")).distinct(), "spans")
 
@@ -135,14 +135,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("source"), F.max("doc_id").alias("other"),
         F.min("stretch").alias("s1"), F.max("stretch").alias("s2")).where("source <> other")
     met = store(spread_join(seeds, anchors.select("anchor", "source", (F.col("s1") == F.col("s2")).alias("alike")),
-                            ["anchor"], F.col("doc_id"), "inner"), "matches")
+                            ["anchor"], "inner"), "matches")
     span = ["doc_id", "seq_a", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end")]
     alike = met.where("alike and doc_id > source").select(*span)
 
     # Where stretches differ: equal ones follow their first, and the firsts are extended.
     unlike = met.where("not alike").drop("source", "alike")
     kinds = unlike.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("source"))
-    unlike = store(spread_join(unlike, kinds, ["anchor", "stretch"], F.col("doc_id"), "inner"), "stretches")
+    unlike = store(spread_join(unlike, kinds, ["anchor", "stretch"], "inner"), "stretches")
     follow = unlike.where("doc_id > source").select(*span)
     leads = store(unlike.where("doc_id = source").groupBy("doc_id", "seq_a").agg(
         F.collect_list(F.struct("anchor", "first", "last")).alias("s")).select(
@@ -152,7 +152,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = store(_window_rows(texts), "windows")
     seen = rows.groupBy("anchor", "window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where(
         "source <> other").drop("other")
-    extended = spread_join(rows, seen, ["anchor", "window"], F.col("doc_id"), "inner").where("doc_id > source").select(
+    extended = spread_join(rows, seen, ["anchor", "window"], "inner").where("doc_id > source").select(
         "doc_id", "seq_a", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))
     return whole.union(alike).union(follow).union(extended).groupBy("doc_id", "seq_a").agg(
         F.collect_list(F.struct("start", "end")).alias("s")).select(

@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     best = judged.groupBy("row").agg(F.max_by(F.struct("item_id", "covered", "n_tiles"),
                                               F.struct("covered", -F.col("item_id"))).alias("b")).select(
         "row", "b.*")
-    return spread_join(found.select("row", "doc_id"), best, ["row"], F.col("doc_id"), "inner")
+    return spread_join(found.select("row", "doc_id"), best, ["row"], "inner")
 
 
 def flagged(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:

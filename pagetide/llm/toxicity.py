@@ -39,14 +39,17 @@ SAMPLE = 20_000
 TERMS = 512
 FOLDS = 3
 THRESHOLD = 0.5
-RIDGE = 1e-5
+# Ridge of the whole sample; each text has its share.
+RIDGE = 0.2
 
 # Beginnings of words of these lengths are features too; they end in a hyphen.
 BEGINNINGS = (3, 4, 5, 6)
-# A term is abusive from this many standard errors of log odds, and different terms are counted
-# for "severe" from three.
+# A term is abusive from this many standard errors of log odds, in small samples from half of what
+# the strongest term has; "severe" takes three different words with such terms.
 STANDS_OUT = 6.0
 SEVERE_TERMS = 3
+# Terms are chosen from this many standard errors.
+LEAST_Z = 3.0
 # A term of the sample occurs in at least so many toxic texts.
 LEAST_TEXTS = 3
 
@@ -88,7 +91,7 @@ def choose_terms(sample: DataFrame, count: int = TERMS) -> pd.DataFrame:
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_TEXTS)
     z = (odds(F.col("pos"), total["pos"]) - odds(F.col("neg"), total["neg"])) / F.sqrt(
         1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    return counts.select("term", z.alias("z")).where("z > 0").orderBy(F.desc("z"), "term").limit(count).toPandas()
+    return counts.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(count).toPandas()
 
 
 class Features:
@@ -96,7 +99,8 @@ class Features:
 
     def __init__(self, chosen: pd.DataFrame):
         self.place = {t: i for i, t in enumerate(chosen["term"])}
-        self.abusive = (chosen["z"].to_numpy(dtype=float) >= STANDS_OUT)
+        z = chosen["z"].to_numpy(dtype=float)
+        self.abusive = z >= min(STANDS_OUT, z.max(initial=0) / 2)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
@@ -137,9 +141,9 @@ class Chain:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         return np.append(np.zeros(x.shape[1]), 40.0 if len(y) and y[0] else -40.0)
-    return fit_logistic(x, y, RIDGE)
+    return fit_logistic(x, y, RIDGE / len(x))
 
 
 def train_chain(features: Features, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:

@@ -128,7 +128,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = coded.select("label", "size", "node", F.posexplode("keys").alias("band", "key")).groupBy(*bucket).agg(
         F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"))
     # A class is named by its smallest identifier and its content, as identifiers may repeat.
-    blocks = spread_join(entries, counts, bucket, F.col("same"), "inner").withColumn(
+    blocks = spread_join(entries, counts, bucket, "inner").withColumn(
         "mine", F.pmod(F.xxhash64("same", F.lit(1)), F.col("cuts")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
         *bucket, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine",
@@ -182,7 +182,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         roots, F.col("node") == F.col("_node"), "left").select(
         "label", "same", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("root", "node").alias("component"))
-    out = spread_join(base.select("vec_id", "label", "same"), known, ["label", "same"], F.col("vec_id"))
+    out = spread_join(base.select("vec_id", "label", "same"), known, ["label", "same"])
     name = F.coalesce("component", "vec_id")
     return out.select(F.when(F.col("vec_id") < NO_ID, F.col("vec_id")).alias("vec_id"),
                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

@@ -65,7 +65,7 @@ def with_referrals(pages: DataFrame) -> DataFrame:
                        "payload_bytes": F.octet_length("payload").cast("long")})
     firsts = p.groupBy("digest", "payload_bytes").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    return spread_join(p, firsts, ["digest", "payload_bytes"], F.struct("page_id", "url")).withColumn(
+    return spread_join(p, firsts, ["digest", "payload_bytes"]).withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
