@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, store
+from ..session import discard, ship, store
 
 # The separators of words: space, and U+0009 to U+000D.
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 
 # Texts are hashed in pieces of about so many bytes.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SEPARATORS)] = True
@@ -37,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows and bytes of one batch that a task hands to Python; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers and keep their batches small. Every query calls it."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, store
+from ..session import store
 from . import bpe, mainpage, minhash, oracles, quality, shards, substrings, tiling, toxicity, vectors, warc
-from .common import table
+from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -102,16 +102,19 @@ def _window_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for frame in in_pieces(batch, "text"):
                 words = Words(frame["text"].tolist())
+                parts = []
                 for i, row in enumerate(frame.itertuples(index=False)):
                     if _sequence_identity(words.of(i))[0] != row.seq_a:
                         continue  # another row with this identifier
                     first = np.asarray(row.first, dtype=np.int64)
                     count = np.asarray(row.last, dtype=np.int64) - first + 1
                     at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    yield pd.DataFrame({
-                        "anchor": np.repeat(np.asarray(row.anchor, dtype=np.int64), count),
-                        "window": signed(windows(words.of(i), at, at + WINDOW)),
-                        "doc_id": row.doc_id, "seq_a": row.seq_a, "at": at})
+                    parts.append((np.repeat(np.asarray(row.anchor, dtype=np.int64), count),
+                                  signed(windows(words.of(i), at, at + WINDOW)),
+                                  np.full(len(at), row.doc_id), np.full(len(at), row.seq_a), at))
+                if parts:
+                    yield pd.DataFrame(dict(zip(("anchor", "window", "doc_id", "seq_a", "at"),
+                                                map(np.concatenate, zip(*parts)))))
 
     return texts.mapInPandas(run, "anchor long, window long, doc_id long, seq_a long, at long")
 
