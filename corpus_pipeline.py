@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm import bpe, minhash, substrings, tiling, toxicity
-from pagetide.llm.common import filtered, table
+from pagetide.llm.common import filtered, prepare, table
 from pagetide.llm.queries import tokenizer
-from pagetide.session import ship, store
+from pagetide.session import store
 
 SHINGLE = 5
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).where("not toxic").select(*docs.columns)
 
@@ -41,7 +41,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     groups = store(minhash.near_duplicates(docs, SHINGLE), "groups")
     gone = groups.where("doc_id <> component_id")
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -51,7 +51,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     columns = docs.columns
     cut = substrings.cut(docs, store(substrings.repeats(docs), "repeats"), "_words", "_removed", "_kept")
     changed = F.col("_removed") > 0
@@ -62,12 +62,12 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return without(docs, store(tiling.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return bpe.digest(docs, *tokenizer())
 
 
