@@ -54,10 +54,15 @@ def spec_code(spec: Column, page_count: Column | None = None, blank_ok: bool = F
     return F.when(is_blank(spec), blank).otherwise(F.get(problems, F.lit(0)))
 
 
-def contains_page(spec: Column, page_no: Column, blank_means_all: bool = False) -> Column:
-    """Whether a valid spec names ``page_no``."""
-    hit = F.exists(intervals(spec), lambda iv: page_no.between(iv["start"], iv["end"]))
-    return F.when(is_blank(spec), F.lit(blank_means_all)).otherwise(F.coalesce(hit, F.lit(False)))
+def parsed(spec: Column) -> Column:
+    """The intervals of a spec, null for a blank one; made once per document and kept as a column."""
+    return F.when(~is_blank(spec), intervals(spec))
+
+
+def contains_page(ivs: Column, page_no: Column, blank_means_all: bool = False) -> Column:
+    """Whether the intervals of a valid spec (see ``parsed``) name ``page_no``."""
+    hit = F.exists(ivs, lambda iv: page_no.between(iv["start"], iv["end"]))
+    return F.coalesce(hit, ivs.isNull() & F.lit(blank_means_all))
 
 
 def page_list(spec: Column) -> Column:
@@ -87,8 +92,8 @@ def selected_count(spec: Column) -> Column:
     return folded["total"]
 
 
-def pages_before(spec: Column, page_no: Column) -> Column:
-    """How many selected pages lie before ``page_no``: its 0-based rank in the selection."""
+def pages_before(ivs: Column, page_no: Column) -> Column:
+    """How many pages of the intervals (see ``parsed``) lie before ``page_no``: its 0-based rank."""
     state = "struct<far:bigint,total:bigint>"
 
     def add(acc: Column, iv: Column) -> Column:
@@ -101,8 +106,5 @@ def pages_before(spec: Column, page_no: Column) -> Column:
         ).cast(state)
 
     folded = F.aggregate(
-        F.array_sort(intervals(spec)),
-        F.struct(F.lit(0).alias("far"), F.lit(0).alias("total")).cast(state),
-        add,
-    )
-    return F.when(is_blank(spec), page_no - 1).otherwise(folded["total"])
+        F.array_sort(ivs), F.struct(F.lit(0).alias("far"), F.lit(0).alias("total")).cast(state), add)
+    return F.when(ivs.isNull(), page_no - 1).otherwise(folded["total"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import locales as L
@@ -125,30 +127,33 @@ def sitemap(paths: DataFrame, base_url: str) -> DataFrame:
 
 # ------------------------------------------------------------- translations
 
-def flatten_json(df: DataFrame, text_col: str, max_depth: int = 12) -> DataFrame:
-    """Nested JSON text to (key path, value) rows: ``a.b`` for members, ``a[0]`` for items.
-
-    One pass: each step opens one level of the nested nodes and lets leaves through.
-    Nodes deeper than ``max_depth`` keep their JSON text as value.
-    """
+def _leaves(text: str | None) -> list[tuple[str, str | None]]:
+    """(key path, value) of every leaf, in order; numbers keep their spelling. Objects and arrays
+    without content have none; text that is not JSON is one leaf without a value."""
+    try:
+        top = json.loads(text, parse_float=str, parse_int=str, parse_constant=str)
+    except (TypeError, ValueError):
+        return [("", None)]
+    out, open_nodes = [], [("", top)]
+    while open_nodes:
+        path, node = open_nodes.pop()
+        if isinstance(node, dict):
+            open_nodes += [(f"{path}.{k}" if path else k, v) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            open_nodes += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
+        else:
+            out.append((path, str(node).lower() if isinstance(node, bool) else node))
+    return out
+
+
+def flatten_json(df: DataFrame, text_col: str) -> DataFrame:
+    """Nested JSON text to (key path, value) rows: ``a.b`` for members, ``a[0]`` for items, at any
+    depth. Built-in functions open a fixed number of levels only, so a small helper does it."""
     ids = [c for c in df.columns if c != text_col]
-    level = df.select(*ids, F.lit("").alias("key"), F.try_parse_json(F.col(text_col)).alias("node"))
-    opened = F.col("_pos").isNotNull()
-    path = (
-        F.when(~opened, F.col("key"))
-        .when(F.col("_member").isNull(), F.concat("key", F.lit("["), "_pos", F.lit("]")))
-        .when(F.col("key") == "", F.col("_member"))
-        .otherwise(F.concat("key", F.lit("."), "_member"))
-    )
-    for _ in range(max_depth):
-        inner = df.sparkSession.sql(
-            "SELECT t.*, e.pos AS _pos, e.key AS _member, e.value AS _inner "
-            "FROM {level} t, LATERAL variant_explode_outer(t.node) e", level=level)
-        level = inner.select(*ids, path.alias("key"), F.when(opened, F.col("_inner")).otherwise(F.col("node")).alias("node"))
-    # objects and arrays without content have no leaves
-    empty = F.try_variant_get("node", "$", "string").isin("{}", "[]")
-    return level.filter(~F.coalesce(empty, F.lit(False))).select(
-        *ids, "key", F.try_variant_get("node", "$", "string").alias("value"))
+    pairs = F.pandas_udf(lambda texts: texts.map(lambda t: [{"key": k, "value": v} for k, v in _leaves(t)]),
+                         "array<struct<key:string,value:string>>")
+    return df.select(*ids, F.explode(pairs(F.col(text_col))).alias("_leaf")).select(
+        *ids, F.col("_leaf.key").alias("key"), F.col("_leaf.value").alias("value"))
 
 
 def _missing(a: Column, b: Column) -> Column:
@@ -159,15 +164,13 @@ def check_translations(messages: DataFrame, locales: DataFrame, default: str = "
                        brands: tuple[str, ...] = ()) -> DataFrame:
     """Problems per (locale, key): missing, empty, broken, untranslated, extra.
 
-    The expected rows are the default-locale keys repeated for each *present* locale
-    (at most ten), then joined once to the translated rows.
+    The expected rows are the default-locale keys repeated for each *present* locale, whichever
+    these are, then joined once to the translated rows.
     """
     source = messages.filter(F.col("locale") == default).select("key", F.col("value").alias("en_value"))
-    wanted = source.withColumn("locale", F.explode(F.array(*[F.lit(s) for s in L.PREFIXED_LOCALES])))
-    wanted = wanted.join(F.broadcast(locales.select("locale").distinct().filter(
-        F.col("locale").isin(*L.PREFIXED_LOCALES))), "locale", "left_semi")
-    have = messages.filter(F.col("locale").isin(*L.PREFIXED_LOCALES)).select(
-        "locale", "key", "value", F.lit(True).alias("_have"))
+    present = locales.filter(F.col("locale") != default).agg(F.collect_set("locale")).scalar()
+    wanted = source.withColumn("locale", F.explode(present))
+    have = messages.filter(F.col("locale") != default).select("locale", "key", "value", F.lit(True).alias("_have"))
     both = wanted.withColumn("_want", F.lit(True)).join(have, ["locale", "key"], "full_outer")
     en, val = F.col("en_value"), F.col("value")
     neutral = L.may_stay_identical(en, brands)
@@ -190,12 +193,10 @@ def check_translations(messages: DataFrame, locales: DataFrame, default: str = "
 def locale_coverage(messages: DataFrame, problems: DataFrame, locales: DataFrame,
                     default: str = "en") -> DataFrame:
     """Keys present per locale and percent of the default's keys."""
-    total = messages.filter(F.col("locale") == default).agg(F.count(F.lit(1)).alias("total"))
+    total = messages.filter(F.col("locale") == default).agg(F.count(F.lit(1))).scalar()
     absent = problems.filter(F.col("problem").isin("missing", "empty")).groupBy("locale").agg(
         F.count(F.lit(1)).alias("absent"))
-    # one row of totals beside at most ten locales
-    wanted = locales.select("locale").distinct().filter(F.col("locale").isin(*L.PREFIXED_LOCALES))
-    keyed = wanted.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
+    keyed = locales.filter(F.col("locale") != default).select("locale").distinct().withColumn("total", total)
     present = F.col("total") - F.coalesce("absent", F.lit(0))
     return keyed.join(absent, "locale", "left").select(
         "locale", present.alias("present"), "total",
@@ -203,13 +204,18 @@ def locale_coverage(messages: DataFrame, problems: DataFrame, locales: DataFrame
     )
 
 
-def sample_keys(problems: DataFrame, n: int = 30) -> DataFrame:
-    """First ``n`` keys per (locale, problem); ranked before they are collected."""
-    from pyspark.sql import Window
+# How many keys of each class a report lists; the others are listed in full.
+LISTED = {"missing": 30, "broken": 30, "untranslated": 20, "extra": 10}
+
 
+def sample_keys(problems: DataFrame, listed: dict[str, int] | None = None) -> DataFrame:
+    """First keys per (locale, problem), as many as ``listed`` has for the class (default LISTED);
+    ranked before they are collected."""
+    limits = LISTED if listed is None else listed
+    limit = F.coalesce(*[F.when(F.col("problem") == p, n) for p, n in limits.items()], F.lit(None).cast("int"))
     rank = Window.partitionBy("locale", "problem").orderBy("key")
     return (
-        problems.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= n)
+        problems.withColumn("_r", F.row_number().over(rank)).filter(limit.isNull() | (F.col("_r") <= limit))
         .groupBy("locale", "problem")
         .agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
     )

@@ -16,29 +16,36 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import ranges as R
 from ..functions import values as V
-from .skew import beside_pages, is_small, number_rows, page_counts, running_total, with_document_options
+from .skew import (beside_pages, document_options, number_rows, page_counts, running_totals,
+                   with_document_options)
 
 
-def _emit(df: DataFrame, code: Column, keep: Column, columns: dict[str, Column]) -> DataFrame:
-    """Kept pages of good documents; the first page of a bad one becomes its error row."""
-    coded = df.withColumn("error_code", code)
-    good = F.col("error_code").isNull()
-    rows = coded.filter(F.when(good, keep).otherwise(F.col("page_no") == 1))
-    computed = rows.select("doc_id", *[F.when(good, c).alias(f"_{n}") for n, c in columns.items()], "error_code")
-    return computed.withColumnsRenamed({f"_{n}": n for n in columns})
+def checked_options(pages: DataFrame, options: DataFrame, code: Column, **columns: Column) -> DataFrame:
+    """One row per document: options, ``error_code`` and further ``columns`` worked out from the
+    options once, so that nothing is parsed beside each page. Documents without pages are
+    ``missing_input``."""
+    return document_options(pages, options).withColumns(
+        {"error_code": F.when(F.col("page_count") == 0, S.MISSING_INPUT).otherwise(code), **columns})
+
+
+def _emit(pages: DataFrame, checked: DataFrame, keep: Column, columns: dict[str, Column]) -> DataFrame:
+    """Kept pages of good documents, and one row with its code for each bad one."""
+    good = beside_pages(pages, checked.filter("error_code IS NULL").drop("error_code"))
+    rows = good.filter(keep).select("doc_id", *[c.alias(n) for n, c in columns.items()],
+                                    F.lit(None).cast("string").alias("error_code"))
+    bad = checked.filter("error_code IS NOT NULL").select("doc_id", "error_code")
+    return rows.unionByName(bad, allowMissingColumns=True)
 
 
 def select_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Pages named by ``spec``; a blank spec names all."""
-    df = with_document_options(pages, options)
-    code = R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True)
-    return _emit(df, code, R.contains_page(F.col("spec"), F.col("page_no"), blank_means_all=True),
+    checked = checked_options(pages, options, R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True), _iv=R.parsed(F.col("spec")))
+    return _emit(pages, checked, R.contains_page(F.col("_iv"), F.col("page_no"), blank_means_all=True),
                  {"page_no": F.col("page_no"), "text": F.col("text")})
 
 
 def delete_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Remaining pages, renumbered: the old number less the deleted pages before it."""
-    df = with_document_options(pages, options)
     code = (
         F.when(R.is_blank(F.col("spec")), S.MISSING_OPTION)
         .otherwise(F.coalesce(
@@ -46,43 +53,46 @@ def delete_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
             F.when(R.selected_count(F.col("spec")) >= F.col("page_count"), S.BAD_OPTION),
         ))
     )
-    return _emit(df, code, ~R.contains_page(F.col("spec"), F.col("page_no")),
-                 {"old_page_no": F.col("page_no"), "page_no": F.col("page_no") - R.pages_before(F.col("spec"), F.col("page_no")), "text": F.col("text")})
+    checked = checked_options(pages, options, code, _iv=R.parsed(F.col("spec")))
+    return _emit(pages, checked, ~R.contains_page(F.col("_iv"), F.col("page_no")),
+                 {"old_page_no": F.col("page_no"), "page_no": F.col("page_no") - R.pages_before(F.col("_iv"), F.col("page_no")), "text": F.col("text")})
 
 
 def rotate_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Add one quarter-turn ``angle`` to the selected pages (blank spec: all)."""
-    df = with_document_options(pages, options)
     angle = F.trim(F.col("angle")).try_cast("int")
     code = F.when(V.blank_to_null(F.col("angle")).isNull(), S.MISSING_OPTION).otherwise(F.coalesce(
         F.when(~F.coalesce(V.is_quarter_turn(angle), F.lit(False)), S.BAD_OPTION),
         R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True, code=S.BAD_OPTION),
     ))
-    turned = F.when(R.contains_page(F.col("spec"), F.col("page_no"), blank_means_all=True),
-                    V.normal_angle(F.col("rotation") + angle)).otherwise(F.col("rotation"))
-    return _emit(df, code, F.lit(True), {"page_no": F.col("page_no"), "rotation": turned})
+    checked = checked_options(pages, options, code, _iv=R.parsed(F.col("spec")), _turn=angle)
+    turned = F.when(R.contains_page(F.col("_iv"), F.col("page_no"), blank_means_all=True),
+                    V.normal_angle(F.col("rotation") + F.col("_turn"))).otherwise(F.col("rotation"))
+    return _emit(pages, checked, F.lit(True), {"page_no": F.col("page_no"), "rotation": turned})
 
 
 def rotate_by_map(pages: DataFrame, options: DataFrame) -> DataFrame:
-    """Per-page angles from a JSON object ``{page: angle}``."""
-    raw = F.col("rotations")
-    entries = F.map_entries(F.from_json(raw, "map<string,string>"))
-    per_doc = page_counts(pages).join(options, "doc_id").withColumn("_entries", entries)
-
-    def bad(e: Column) -> Column:
-        page = F.trim(e["key"]).try_cast("int")
-        return ~F.coalesce(page.between(1, F.col("page_count")) & e["value"].isin("90", "180", "270"), F.lit(False))
-
-    quoted = raw.rlike(r':\s*"')  # an angle given as text is not a number
-    code = F.when(
-        F.col("_entries").isNull() | (F.size("_entries") == 0) | quoted | F.exists("_entries", bad), S.BAD_OPTION)
-    checked = per_doc.withColumn("error_code", code)
-    angles = checked.filter("error_code IS NULL").select("doc_id", F.explode("_entries").alias("_e")).select(
-        "doc_id", F.trim("_e.key").cast("int").alias("page_no"), F.col("_e.value").cast("int").alias("angle"))
-    df = with_document_options(pages, checked.select("doc_id", "error_code")).join(
-        angles, ["doc_id", "page_no"], "left")
+    """Per-page angles from a JSON object ``{page: angle}``; of several angles for one page,
+    however its number is written, the last holds."""
+    entries = F.map_entries(F.from_json("rotations", "map<string,variant>"))
+
+    def turn(e: Column) -> Column:
+        page, angle = V.strip(e["key"]), e["value"]
+        return F.struct(
+            F.when(page.rlike(r"\A[+-]?\d+\z"), page.try_cast("int")).alias("page"),
+            # an angle given as text is not a number
+            F.when(F.schema_of_variant(angle) == "BIGINT", F.try_variant_get(angle, "$", "int")).alias("angle"))
+
+    def bad(t: Column) -> Column:
+        return ~F.coalesce(t["page"].between(1, F.col("page_count")) & t["angle"].isin(90, 180, 270), F.lit(False))
+
+    code = F.when((F.coalesce(F.size("_turns"), F.lit(0)) <= 0) | F.exists("_turns", bad), S.BAD_OPTION)
+    checked = checked_options(pages, options.withColumn("_turns", F.transform(entries, turn)), code)
+    angles = checked.filter("error_code IS NULL").select("doc_id", F.posexplode("_turns").alias("_at", "_t")).groupBy(
+        "doc_id", F.col("_t.page").alias("page_no")).agg(F.max_by("_t.angle", "_at").alias("angle"))
     turned = V.normal_angle(F.col("rotation") + F.coalesce("angle", F.lit(0)))
-    return _emit(df, F.col("error_code"), F.lit(True), {"page_no": F.col("page_no"), "rotation": turned})
+    return _emit(pages.join(angles, ["doc_id", "page_no"], "left"), checked.select("doc_id", "_last", "error_code"),
+                 F.lit(True), {"page_no": F.col("page_no"), "rotation": turned})
 
 
 def parse_order(order: Column) -> Column:
@@ -98,10 +108,9 @@ def is_permutation(order: Column, page_count: Column) -> Column:
 
 def reorder_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Pages in the order of a permutation of 1..n."""
-    per_doc = page_counts(pages).join(options, "doc_id").withColumn("_order", parse_order(F.col("order")))
     code = F.when(V.blank_to_null(F.col("order")).isNull(), S.MISSING_OPTION).when(
         ~is_permutation(F.col("_order"), F.col("page_count")), S.BAD_OPTION)
-    checked = per_doc.withColumn("error_code", code)
+    checked = checked_options(pages, options.withColumn("_order", parse_order(F.col("order"))), code)
     moved = checked.filter("error_code IS NULL").select("doc_id", F.posexplode("_order").alias("_pos", "page_no"))
     rows = pages.join(moved, ["doc_id", "page_no"]).select(
         "doc_id", F.col("page_no").alias("old_page_no"), (F.col("_pos") + 1).alias("page_no"), "text",
@@ -115,25 +124,25 @@ def split_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
 
     Overlapping ranges put a page in several groups.
     """
-    df = with_document_options(pages, options)
     by_range = F.col("mode") == "ranges"
     code = (
         F.when(~F.coalesce(F.col("mode").isin("ranges", "every"), F.lit(False)), S.BAD_OPTION)
         .when(by_range & R.is_blank(F.col("spec")), S.MISSING_OPTION)
         .when(by_range, R.spec_code(F.col("spec"), F.col("page_count"), code=S.BAD_OPTION))
     )
-    numbered = F.transform(R.intervals(F.col("spec")), lambda iv, i: F.struct(
-        i.cast("long").alias("group_no"), iv["start"].alias("first"), iv["end"].alias("last")))
-    mine = F.filter(numbered, lambda g: F.col("page_no").between(g["first"], g["last"]))
-    single = F.array(F.struct((F.col("page_no") - 1).cast("long").alias("group_no"),
-                              F.col("page_no").cast("long").alias("first"), F.col("page_no").cast("long").alias("last")))
-    coded = df.withColumn("error_code", code)
-    groups = F.when(F.col("error_code").isNotNull(), F.when(F.col("page_no") == 1, F.array(F.lit(None).cast(
-        "struct<group_no:bigint,first:bigint,last:bigint>")))).when(by_range, mine).otherwise(single)
-    good = F.col("error_code").isNull()
-    return coded.select("doc_id", F.explode(groups).alias("_g"), F.when(good, F.col("page_no")).alias("page_no"), "error_code").select(
-        "doc_id", F.col("_g.group_no").alias("group_no"),
-        V.split_name(F.col("_g.first"), F.col("_g.last")).alias("out_name"), "page_no", "error_code")
+    numbered = F.when(by_range, F.transform(R.intervals(F.col("spec")), lambda iv, i: F.struct(
+        i.cast("long").alias("group_no"), iv["start"].alias("first"), iv["end"].alias("last"))))
+    checked = checked_options(pages, options, code, _groups=numbered)
+    mine = F.filter("_groups", lambda g: F.col("page_no").between(g["first"], g["last"]))
+    single = F.array(F.struct((F.col("page_no") - 1).cast("long").alias("group_no"), F.col("page_no").cast("long").alias("first"),
+                              F.col("page_no").cast("long").alias("last")))
+    placed = beside_pages(pages, checked.filter("error_code IS NULL").select("doc_id", "_last", "_groups"))
+    rows = placed.select("doc_id", F.explode(F.when(F.col("_groups").isNull(), single).otherwise(mine)).alias("_g"),
+                         "page_no").select(
+        "doc_id", F.col("_g.group_no").alias("group_no"), V.split_name(F.col("_g.first"), F.col("_g.last")).alias("out_name"),
+        "page_no", F.lit(None).cast("string").alias("error_code"))
+    bad = checked.filter("error_code IS NOT NULL").select("doc_id", "error_code")
+    return rows.unionByName(bad, allowMissingColumns=True)
 
 
 def split_outputs(split: DataFrame) -> DataFrame:
@@ -142,24 +151,28 @@ def split_outputs(split: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"))
 
 
-def write_groups(split: DataFrame, pages: DataFrame, path: str) -> None:
-    """One folder per split output."""
-    body = split.filter("error_code IS NULL").join(pages, ["doc_id", "page_no"])
-    body.select("doc_id", "out_name", "page_no", "text").write.mode("overwrite").partitionBy(
-        "doc_id", "out_name").parquet(path)
+def write_groups(split: DataFrame, pages: DataFrame, path: str, folder_per_group: bool = False) -> None:
+    """The pages of all split outputs: by default as rows (few large files); on demand one folder
+    per output, each written by one task."""
+    body = split.filter("error_code IS NULL").join(pages, ["doc_id", "page_no"]).select(
+        "doc_id", "out_name", "page_no", "text")
+    if folder_per_group:
+        body.repartition("doc_id", "out_name").write.mode("overwrite").partitionBy("doc_id", "out_name").parquet(path)
+    else:
+        body.write.mode("overwrite").parquet(path)
 
 
 def label_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Stamp ``prefix + number + suffix`` on the selected pages; others stay unlabelled."""
-    df = with_document_options(pages, options)
     start, start_code = V.int_option(F.col("start_number"), 1)
     code = F.coalesce(start_code, R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True))
-    number = start + R.pages_before(F.col("spec"), F.col("page_no"))
+    checked = checked_options(pages, options, code, _iv=R.parsed(F.col("spec")), _start=start)
+    number = F.col("_start") + R.pages_before(F.col("_iv"), F.col("page_no"))
     label = F.when(
-        R.contains_page(F.col("spec"), F.col("page_no"), blank_means_all=True),
+        R.contains_page(F.col("_iv"), F.col("page_no"), blank_means_all=True),
         F.concat(F.coalesce("prefix", F.lit("")), number.cast("string"), F.coalesce("suffix", F.lit(""))),
     )
-    return _emit(df, code, F.lit(True), {"page_no": F.col("page_no"), "label": label})
+    return _emit(pages, checked, F.lit(True), {"page_no": F.col("page_no"), "label": label})
 
 
 # -------------------------------------------------------------------- merge
@@ -170,19 +183,24 @@ def _document_offsets(pages: DataFrame, members: DataFrame, keys: list[str]) ->
     Sums run over documents (not pages) and are cut at 65,536 sequence numbers, so
     even one output of all documents is no single task.
     """
-    sized = page_counts(pages).join(members, "doc_id")
+    sized = document_options(pages, members)
     piece = F.floor(F.col("doc_seq") / 65536)
-    before = running_total(sized, keys, piece, [F.col("doc_seq")], F.col("page_count"), "pages_before",
-                           include_self=False)
-    placed = running_total(before, keys, piece, [F.col("doc_seq")], F.lit(1), "place", include_self=False)
-    return placed
+    both = F.struct(F.col("page_count").alias("pages"), F.lit(1).cast("long").alias("documents"))
+    return running_totals(sized, keys, piece, [F.col("doc_seq")], both, {"pages": "pages_before", "documents": "place"})
+
+
+def _without_pages(offsets: DataFrame) -> DataFrame:
+    return offsets.filter("page_count = 0").select("out_id", "doc_id", F.lit(S.MISSING_INPUT).alias("error_code"))
 
 
 def merge_documents(pages: DataFrame, members: DataFrame) -> DataFrame:
-    """Documents of one output in input order. ``members(out_id, doc_id, doc_seq)``."""
-    df = beside_pages(pages, _document_offsets(pages, members, ["out_id"]), is_small(members))
-    return df.select("out_id", (F.col("pages_before") + F.col("page_no")).alias("out_page_no"),
-                     "doc_seq", "doc_id", "page_no", "text")
+    """Documents of one output in input order. ``members(out_id, doc_id, doc_seq)``. A member
+    without pages yields one row with its code."""
+    offsets = _document_offsets(pages, members, ["out_id"])
+    df = beside_pages(pages, offsets.filter("page_count > 0"))
+    rows = df.select("out_id", (F.col("pages_before") + F.col("page_no")).alias("out_page_no"),
+                     "doc_seq", "doc_id", "page_no", "text", F.lit(None).cast("string").alias("error_code"))
+    return rows.unionByName(_without_pages(offsets), allowMissingColumns=True)
 
 
 def merge_by_order(pages: DataFrame, members: DataFrame, orders: DataFrame) -> DataFrame:
@@ -216,23 +234,26 @@ def is_natural_order(refs: DataFrame, natural: DataFrame) -> DataFrame:
 def combine_exhibits(pages: DataFrame, members: DataFrame, exhibit_prefix: str = "Exhibit",
                      bates_prefix: str = "BATES", bates_start: int = 1, slip_sheets: bool = True) -> DataFrame:
     """Stamp one running number over all pages of an output and put a slip sheet
-    (page 0) before each document. ``members(out_id, doc_id, doc_seq, filename)``.
+    (page 0) before each document. ``members(out_id, doc_id, doc_seq, filename)``. A member without
+    pages keeps its place and letter and yields one row with its code.
 
     Numbers are offset plus page number, so the pages are never sorted globally.
     """
     offsets = _document_offsets(pages, members, ["out_id"])
     slips_before = F.col("place") + 1 if slip_sheets else F.lit(0)
-    stamped = beside_pages(pages, offsets, is_small(members)).select(
+    none = F.lit(None).cast("string").alias("error_code")
+    stamped = beside_pages(pages, offsets.filter("page_count > 0")).select(
         "out_id", (F.col("pages_before") + F.col("page_no") + slips_before).alias("sheet_no"), "doc_id", "page_no",
-        V.bates_label(bates_prefix, F.col("pages_before") + F.col("page_no") + (bates_start - 1)).alias("stamp"))
+        V.bates_label(bates_prefix, F.col("pages_before") + F.col("page_no") + (bates_start - 1)).alias("stamp"), none)
+    out = stamped.unionByName(_without_pages(offsets), allowMissingColumns=True)
     if not slip_sheets:
-        return stamped
+        return out
     slips = offsets.select(
         "out_id", (F.col("pages_before") + F.col("place") + 1).alias("sheet_no"), "doc_id",
-        F.lit(0).alias("page_no"),
+        F.lit(0).cast("long").alias("page_no"),
         F.concat_ws(" | ", F.concat_ws(" ", F.lit(exhibit_prefix), V.exhibit_letter(F.col("place"))), "filename",
-                    F.concat(F.col("page_count").cast("string"), F.lit(" page(s)"))).alias("stamp"))
-    return stamped.unionByName(slips)
+                    F.concat(F.col("page_count").cast("string"), F.lit(" page(s)"))).alias("stamp"), none)
+    return out.unionByName(slips)
 
 
 # ------------------------------------------------------------------ layouts

@@ -20,15 +20,6 @@ def piece_of(position: Column, size: int = PAGES_PER_PIECE) -> Column:
     return F.floor((position - 1) / F.lit(size)).cast("long")
 
 
-# A side of at most so many rows is broadcast; it is counted first.
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def minute(ts: Column) -> Column:
     """Piece of a time-ordered group: narrow enough to spread one busy key."""
     return F.date_trunc("minute", ts)
@@ -39,15 +30,13 @@ def page_counts(pages: DataFrame) -> DataFrame:
                                        F.max("page_no").cast("long").alias("_last"))
 
 
-def beside_pages(pages: DataFrame, per_doc: DataFrame, small: bool, size: int = PAGES_PER_PIECE) -> DataFrame:
+def beside_pages(pages: DataFrame, per_doc: DataFrame, size: int = PAGES_PER_PIECE) -> DataFrame:
     """Join one-row-per-document columns (with ``_last``, the highest page) to pages.
 
-    A small side is broadcast and the pages stay where they are. Otherwise it is
-    repeated once per piece of the document, so the join key is (document, piece) and
-    a huge document spreads over many tasks.
+    ``per_doc`` is repeated once per piece of the document, so the join key is (document, piece)
+    and a huge document spreads over many tasks. Where the side turns out small, adaptive
+    execution sends it round instead.
     """
-    if small:
-        return pages.join(F.broadcast(per_doc.drop("_last")), "doc_id")
     pieces = per_doc.withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("long"), piece_of(F.col("_last"), size)))
     ).drop("_last")
@@ -56,13 +45,16 @@ def beside_pages(pages: DataFrame, per_doc: DataFrame, small: bool, size: int =
     ).drop("_piece")
 
 
-def with_document_options(pages: DataFrame, options: DataFrame, size: int = PAGES_PER_PIECE,
-                          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pages of the documents in ``options``, with ``page_count`` and the option columns.
-    ``options`` has one row per document."""
-    small = is_small(options, broadcast_rows)
-    per_doc = page_counts(pages).join(F.broadcast(options) if small else options, "doc_id")
-    return beside_pages(pages, per_doc, small, size)
+def document_options(pages: DataFrame, options: DataFrame) -> DataFrame:
+    """``options`` (one row per document) with ``page_count`` and ``_last``; a document without
+    pages has none (0)."""
+    return options.join(page_counts(pages), "doc_id", "left").withColumns({
+        c: F.coalesce(c, F.lit(0).cast("long")) for c in ("page_count", "_last")})
+
+
+def with_document_options(pages: DataFrame, options: DataFrame, size: int = PAGES_PER_PIECE) -> DataFrame:
+    """Pages of the documents in ``options``, with ``page_count`` and the option columns."""
+    return beside_pages(pages, document_options(pages, options).filter("_last > 0"), size)
 
 
 def _cut(df: DataFrame, keys: list[str], piece: Column) -> DataFrame:
@@ -74,22 +66,30 @@ def _cut(df: DataFrame, keys: list[str], piece: Column) -> DataFrame:
 _PIECE = ["_cut_key", "_cut_piece"]
 
 
-def running_total(df: DataFrame, keys: list[str], piece: Column, order: list[Column], value: Column,
-                  name: str, include_self: bool = True) -> DataFrame:
-    """Running sum of ``value`` over ``keys`` by ``order``, cut at ``piece``.
+def running_totals(df: DataFrame, keys: list[str], piece: Column, order: list[Column], values: Column,
+                   names: dict[str, str], include_self: bool = False) -> DataFrame:
+    """Running sums of the fields of the struct ``values`` over ``keys`` by ``order``, cut at
+    ``piece``; ``names`` maps fields to new columns.
 
     ``piece`` must be non-decreasing along ``order``. Sums per piece are aggregated
     map-side first; the window over them sees one row per (key, piece).
     """
-    cut = _cut(df, keys, piece)
+    cut = _cut(df, keys, piece).withColumn("_cut_values", values)
     earlier = Window.partitionBy("_cut_key").orderBy("_cut_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy(*_PIECE).agg(F.sum(value).alias("_cut_sum")).select(
-        *_PIECE, F.coalesce(F.sum("_cut_sum").over(earlier), F.lit(0)).alias("_cut_before"))
+    before = cut.groupBy(*_PIECE).agg(*[F.sum(f"_cut_values.{f}").alias(f"_cut_sum_{f}") for f in names]).select(
+        *_PIECE, *[F.coalesce(F.sum(f"_cut_sum_{f}").over(earlier), F.lit(0)).alias(f"_cut_before_{f}") for f in names])
     inner = Window.partitionBy(*_PIECE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if include_self else -1)
-    inside = cut.withColumn("_cut_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return inside.join(before, _PIECE).withColumn(name, F.col("_cut_inside") + F.col("_cut_before")).drop(
-        *_PIECE, "_cut_inside", "_cut_before")
+    inside = cut.withColumns({f"_cut_inside_{f}": F.coalesce(F.sum(f"_cut_values.{f}").over(inner), F.lit(0)) for f in names})
+    return inside.join(before, _PIECE).withColumns(
+        {n: F.col(f"_cut_inside_{f}") + F.col(f"_cut_before_{f}") for f, n in names.items()}).drop(
+        *_PIECE, "_cut_values", *[f"_cut_{k}_{f}" for k in ("inside", "before") for f in names])
+
+
+def running_total(df: DataFrame, keys: list[str], piece: Column, order: list[Column], value: Column,
+                  name: str, include_self: bool = True) -> DataFrame:
+    """One running sum; see ``running_totals``."""
+    return running_totals(df, keys, piece, order, F.struct(value.alias("v")), {"v": name}, include_self)
 
 
 def number_rows(df: DataFrame, keys: list[str], position: str, name: str,
@@ -118,15 +118,19 @@ def previous_value(df: DataFrame, keys: list[str], piece: Column, order: list[Co
         *_PIECE, "_cut_value", "_cut_inside", "_cut_carry")
 
 
+# Most salts of a look-up.
+SALTS = 64
+
+
 def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], spread_by: list[str],
-                  buckets: int = 16, how: str = "left", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  how: str = "left") -> DataFrame:
     """Equi join to a dimension whose keys may be hot on the fact side.
 
-    A small dimension is broadcast; a larger one is repeated for each of ``buckets``
-    salts, over which the facts of one key are spread.
+    The dimension is repeated for each of as many salts as the shuffle is wide (at most SALTS),
+    over which the facts of one key are spread. Where it turns out small, adaptive execution
+    sends it round instead.
     """
-    if is_small(dim, broadcast_rows):
-        return facts.join(F.broadcast(dim), keys, how)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(buckets))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    salts = min(SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import ranges as R
 from ..functions import values as V
-from .skew import with_document_options
+from .pages import checked_options
+from .skew import beside_pages
 
 # OCR thresholds.
 NATIVE_TEXT_MIN_CHARS = 50
@@ -21,14 +22,16 @@ def extract_text(pages: DataFrame, options: DataFrame) -> DataFrame:
     Page ends lose their line feeds, pages are parted by a blank line, the whole is
     trimmed and ends in one line feed. The result is one value per document.
     """
-    df = with_document_options(pages, options).withColumn(
-        "error_code", R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True))
-    wanted = F.when(F.col("error_code").isNull(), R.contains_page(F.col("spec"), F.col("page_no"), True)).otherwise(
-        F.col("page_no") == 1)
+    checked = checked_options(pages, options, R.spec_code(F.col("spec"), F.col("page_count"), blank_ok=True),
+                              _iv=R.parsed(F.col("spec")))
+    df = beside_pages(pages, checked.filter("error_code IS NULL").select("doc_id", "_last", "_iv"))
     part = F.struct("page_no", F.regexp_replace("text", r"\n+\z", "").alias("text"))
-    joined = df.filter(wanted).groupBy("doc_id", "error_code").agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    joined = df.filter(R.contains_page(F.col("_iv"), F.col("page_no"), True)).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(part)).alias("_p"))
     text = F.concat(V.strip(F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n")), F.lit("\n"))
-    return joined.select("doc_id", F.when(F.col("error_code").isNull(), text).alias("text"), "error_code")
+    rows = joined.select("doc_id", text.alias("text"), F.lit(None).cast("string").alias("error_code"))
+    return rows.unionByName(checked.filter("error_code IS NOT NULL").select("doc_id", "error_code"),
+                            allowMissingColumns=True)
 
 
 def write_texts(texts: DataFrame, path: str, file_per_document: bool = False) -> None:
@@ -43,61 +46,66 @@ def write_texts(texts: DataFrame, path: str, file_per_document: bool = False) ->
 
 # ------------------------------------------------------------------- redact
 
-def _found(text: Column, literals: Column) -> Column:
+def found_literals(text: Column, literals: Column) -> Column:
     """Distinct literals that occur in ``text``, sorted (the order they are applied in)."""
     return F.array_sort(F.array_distinct(F.filter(literals, lambda p: text.contains(p))))
 
 
-def redact_text(text: Column, literals: Column) -> Column:
+def redact_text(text: Column, found: Column) -> Column:
     """Replace each found literal by blanks of the same length, one after the other."""
-    return F.aggregate(_found(text, literals), text,
-                       lambda acc, p: F.replace(acc, p, F.repeat(F.lit(" "), F.length(p))))
+    return F.aggregate(found, text, lambda acc, p: F.replace(acc, p, F.repeat(F.lit(" "), F.length(p))))
 
 
-def match_count(text: Column, literals: Column) -> Column:
-    """Occurrences of the distinct literals in the original text."""
-    counts = F.transform(_found(text, literals), lambda p: (
+def match_count(text: Column, found: Column) -> Column:
+    """Occurrences of the found literals in the original text."""
+    counts = F.transform(found, lambda p: (
         (F.length(text) - F.length(F.replace(text, p, F.lit("")))) / F.length(p)).cast("long"))
     return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
 
+def redaction_options(pages: DataFrame, options: DataFrame) -> DataFrame:
+    """Options per document with the literals, read once, and ``error_code``."""
+    code = F.when(V.blank_to_null(F.col("patterns")).isNull(), S.MISSING_OPTION).when(
+        F.size("_lits") == 0, S.INVALID_OPTION)
+    return checked_options(pages, options.withColumn("_lits", V.literal_list(F.col("patterns"))), code).select(
+        "doc_id", "page_count", "_last", "_lits", "error_code")
+
+
+def _redacted(pages: DataFrame, checked: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text, matches, survives) of the documents with good options."""
+    df = beside_pages(pages, checked.filter("error_code IS NULL").select("doc_id", "_last", "_lits"))
+    # Found literals are a column of their own: the passes over the text read them from there.
+    df = df.withColumn("_found", found_literals(F.col("text"), F.col("_lits")))
+    df = df.withColumns({"_redacted": redact_text(F.col("text"), F.col("_found")),
+                         "matches": match_count(F.col("text"), F.col("_found"))})
+    survives = F.exists("_lits", lambda p: F.col("_redacted").contains(p))
+    return df.select("doc_id", "page_no", F.col("_redacted").alias("text"), "matches", survives.alias("survives"))
+
+
 def redact_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Redacted text and match count per page. ``options(doc_id, patterns)``; the
     pattern list belongs to the document, so a page meets only its own patterns."""
-    literals = V.literal_list(F.col("patterns"))
-    df = with_document_options(pages, options).withColumn("_lits", literals)
-    redacted = redact_text(F.col("text"), F.col("_lits"))
-    # computed beside the original text first: a name reused in the same select would
-    # be taken inside the lambdas
-    computed = df.withColumns({
-        "_redacted": redacted, "matches": match_count(F.col("text"), F.col("_lits")),
-        "option_code": F.when(V.blank_to_null(F.col("patterns")).isNull(), S.MISSING_OPTION)
-        .when(F.size("_lits") == 0, S.INVALID_OPTION),
-    }).withColumn("survives", F.exists("_lits", lambda p: F.col("_redacted").contains(p)))
-    return computed.select("doc_id", "page_no", F.col("_redacted").alias("text"), "matches", "survives", "option_code")
-
-
-def redaction_verdicts(redacted: DataFrame) -> DataFrame:
-    """Per document: matches and error code. Every literal must be gone from every page."""
-    code = (
-        F.when(F.col("_option").isNotNull(), F.col("_option"))
-        .when(F.col("matches") == 0, S.NO_MATCHES).when(F.col("_left"), S.REDACTION_FAILED)
-    )
-    return redacted.groupBy("doc_id").agg(
-        F.sum("matches").alias("matches"), F.bool_or("survives").alias("_left"),
-        F.max("option_code").alias("_option"), F.count(F.lit(1)).alias("pages"),
-    ).select("doc_id", "pages", "matches", code.alias("error_code"))
+    return _redacted(pages, redaction_options(pages, options))
+
+
+def redaction_verdicts(pages: DataFrame, options: DataFrame) -> DataFrame:
+    """Per document: pages, matches and error code. Every literal must be gone from every page."""
+    checked = redaction_options(pages, options)
+    code = F.when(F.col("matches") == 0, S.NO_MATCHES).when(F.col("_left"), S.REDACTION_FAILED)
+    judged = _redacted(pages, checked).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("matches").alias("matches"), F.bool_or("survives").alias("_left"))
+    bad = checked.filter("error_code IS NOT NULL").select(
+        "doc_id", F.col("page_count").alias("pages"), F.lit(0).cast("long").alias("matches"), "error_code")
+    return judged.select("doc_id", "pages", "matches", code.alias("error_code")).unionByName(bad)
 
 
 def redact_documents(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Redacted pages of the documents that pass verification; the others yield one
     row with their error code."""
-    redacted = redact_pages(pages, options)
-    verdicts = redaction_verdicts(redacted).select("doc_id", "error_code")
-    both = with_document_options(redacted, verdicts)
-    good = F.col("error_code").isNull()
-    return both.filter(good | (F.col("page_no") == 1)).select(
-        "doc_id", *[F.when(good, F.col(c)).alias(c) for c in ("page_no", "text", "matches")], "error_code")
+    verdicts = redaction_verdicts(pages, options).filter("error_code IS NOT NULL").select("doc_id", "error_code")
+    good = redact_pages(pages, options).join(verdicts, "doc_id", "left_anti").select(
+        "doc_id", "page_no", "text", "matches", F.lit(None).cast("string").alias("error_code"))
+    return good.unionByName(verdicts, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------------- OCR

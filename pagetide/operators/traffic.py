@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import traffic as C
 from ..functions import values as V
+from .skew import SALTS
 
 VISIT_DIMENSIONS = ("country", "city", "device", "browser", "source", "path")
 
@@ -44,30 +45,23 @@ def _covered_prefixes(blocks: DataFrame) -> DataFrame:
     )
 
 
-def geo_lookup(requests: DataFrame, blocks: DataFrame, broadcast_rows: int = 1_000_000,
-               buckets: int = 16) -> DataFrame:
+def geo_lookup(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """Left range join of IPv4 addresses to non-overlapping address blocks.
 
-    The /16 prefix is the equi key. The blocks are counted first (a footer read for
-    parquet): up to ``broadcast_rows`` they are broadcast and the requests do not
-    move. A larger table is shuffled, with a row-spread salt that splits hot prefixes
-    and private prefixes for rows without an IPv4 address.
+    The /16 prefix is the equi key, with a row-spread salt, as many as the shuffle is wide (at
+    most SALTS), that splits hot prefixes; rows without an IPv4 address get private prefixes.
+    Where the block table turns out small, adaptive execution sends it round and the requests
+    do not move.
     """
+    salts = min(SALTS, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     facts = requests.withColumn("_ip", C.ipv4_number(F.col("ip")))
     prefix = F.shiftright(F.col("_ip"), 16)
     ranges = _covered_prefixes(blocks).select("_prefix", "ip_start", "ip_end", "country", "city")
-    small = blocks.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if small:
-        facts = facts.withColumn("_prefix", prefix)
-        ranges = F.broadcast(ranges)
-        same = facts["_prefix"] == ranges["_prefix"]
-    else:
-        nowhere = -1 - F.pmod(F.xxhash64("request_id"), F.lit(65536))
-        facts = facts.withColumns({"_prefix": F.coalesce(prefix, nowhere),
-                                   "_salt": F.pmod(F.xxhash64("request_id"), F.lit(buckets))})
-        ranges = ranges.withColumn("_salt", F.explode(F.sequence(
-            F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-        same = (facts["_prefix"] == ranges["_prefix"]) & (facts["_salt"] == ranges["_salt"])
+    nowhere = -1 - F.pmod(F.xxhash64("request_id"), F.lit(65536))
+    facts = facts.withColumns({"_prefix": F.coalesce(prefix, nowhere),
+                               "_salt": F.pmod(F.xxhash64("request_id"), F.lit(salts))})
+    ranges = ranges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    same = (facts["_prefix"] == ranges["_prefix"]) & (facts["_salt"] == ranges["_salt"])
     hit = same & facts["_ip"].between(ranges["ip_start"], ranges["ip_end"])
     return facts.join(ranges, hit, "left").select(
         *[facts[c] for c in requests.columns], ranges["country"], ranges["city"]

@@ -159,8 +159,9 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
                  "WHEN 9 THEN '0-2' ELSE '1-2,4-6,3' END"),
         "mode": "CASE doc_id % 7 WHEN 0 THEN 'every' WHEN 1 THEN 'odd' ELSE 'ranges' END",
         "angle": "CASE doc_id % 6 WHEN 0 THEN ' 90' WHEN 1 THEN '180' WHEN 2 THEN '45' WHEN 3 THEN '' ELSE '270' END",
-        "rotations": ("CASE doc_id % 6 WHEN 0 THEN '{\"1\": 90}' WHEN 1 THEN '{\"1\": 270, \"2\": 180}' "
-                      "WHEN 2 THEN '{\"1\": \"90\"}' WHEN 3 THEN '{}' WHEN 4 THEN '{\"x\": 90}' ELSE '{\"1\": 45}' END"),
+        "rotations": ("CASE doc_id % 9 WHEN 0 THEN '{\"1\": 90}' WHEN 1 THEN '{\"1\": 270, \"2\": 180}' "
+                      "WHEN 2 THEN '{\"1\": \"90\"}' WHEN 3 THEN '{}' WHEN 4 THEN '{\"x\": 90}' WHEN 5 THEN '{\"1\": 45}' "
+                      "WHEN 6 THEN '{\"1\": 90, \" 1\": 180}' WHEN 7 THEN '{\"1\": 90, \"01\": 180}' ELSE '{\"1\": 90, \"1\": 180}' END"),
         "start_number": "CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '10' WHEN 2 THEN '2.5' WHEN 3 THEN '0' ELSE '100' END",
         "prefix": "CASE doc_id % 3 WHEN 0 THEN NULL ELSE 'p. ' END",
         "suffix": "CASE doc_id % 4 WHEN 0 THEN ' /' ELSE '' END",
@@ -209,15 +210,15 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as page rows: one page per line of text."""
-    docs = source(spark, sf_dir, "documents")
+    """Documents as page rows: one page per line of text. Some documents have no pages."""
+    docs = source(spark, sf_dir, "documents").filter("doc_id % 13 <> 12")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return lines.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text",
                         ((F.col("pos") + 1) % 4 * 90).alias("rotation"))
 
 
 TEXT_PAGES = """SELECT doc_id, generate_subscripts(l, 1)::INT AS page_no, unnest(l) AS text, (generate_subscripts(l, 1) % 4 * 90)::INT AS rotation
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 13 <> 12)"""
 COUNTS = "SELECT doc_id, count(*) AS page_count FROM pages_in GROUP BY 1"
 
 

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import ranges as R
 from ..functions import values as V
 from ..operators import pages as P
-from ..operators.skew import number_rows
+from ..operators.skew import document_options, number_rows
 from .inputs import COUNTS, TEXT_PAGES, cte, derived, source, text_pages
 from .registry import query
 
 _TOK = r"""SELECT doc_id, i, tok, regexp_matches(tok, '^\s*\d+\s*(-\s*\d+\s*)?$') AS ok, try_cast(regexp_extract(tok, '(\d+)', 1) AS BIGINT) AS s,
   coalesce(try_cast(nullif(regexp_extract(tok, '-\s*(\d+)', 1), '') AS BIGINT), try_cast(regexp_extract(tok, '(\d+)', 1) AS BIGINT)) AS e
   FROM (SELECT doc_id, unnest(string_split(spec, ',')) AS tok, generate_subscripts(string_split(spec, ','), 1) AS i FROM doc_options WHERE trim(coalesce(spec, '')) <> '')"""
-_SPECS = """SELECT o.*, c.page_count, trim(coalesce(o.spec, '')) = '' AS blank,
+_SPECS = """SELECT o.*, coalesce(c.page_count, 0) AS page_count, c.page_count IS NULL AS missing, trim(coalesce(o.spec, '')) = '' AS blank,
   (SELECT bool_or(NOT ok OR s < 1 OR e < s) FROM tok WHERE tok.doc_id = o.doc_id) AS malformed,
-  (SELECT max(e) FROM tok WHERE tok.doc_id = o.doc_id) AS highest FROM doc_options o JOIN counts c ON c.doc_id = o.doc_id"""
-_SEL = "SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS page_no FROM tok WHERE ok AND s >= 1 AND e >= s AND e < 5000"
+  (SELECT max(e) FROM tok WHERE tok.doc_id = o.doc_id) AS highest FROM doc_options o LEFT JOIN counts c ON c.doc_id = o.doc_id"""
+_SEL = "SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS page_no FROM tok WHERE ok AND s >= 1 AND e >= s"
 PAGES = cte("doc_options", pages_in=TEXT_PAGES, counts=COUNTS, tok=_TOK, specs=_SPECS, sel=_SEL)
-_CODE = "CASE WHEN blank THEN {blank} WHEN malformed OR highest > page_count THEN '{code}' END"
+_CODE = "CASE WHEN missing THEN 'missing_input' WHEN blank THEN {blank} WHEN malformed OR highest > page_count THEN '{code}' END"
 
 
 def _pages(spark, sf):
@@ -58,7 +58,7 @@ def f_page_select(spark, sf):
     return P.select_pages(*_pages(spark, sf)).withColumn("text", F.sha2("text", 256))
 
 
-_DEL = """, deletable AS (SELECT s.*, CASE WHEN blank THEN 'missing_option' WHEN malformed OR highest > page_count THEN 'bad_option'
+_DEL = """, deletable AS (SELECT s.*, CASE WHEN missing THEN 'missing_input' WHEN blank THEN 'missing_option' WHEN malformed OR highest > page_count THEN 'bad_option'
     WHEN (SELECT count(*) FROM sel WHERE sel.doc_id = s.doc_id) >= page_count THEN 'bad_option' END AS error_code FROM specs s)
   SELECT d.doc_id, p.page_no AS old_page_no, row_number() OVER (PARTITION BY d.doc_id ORDER BY p.page_no) AS page_no, p.text, NULL AS error_code
   FROM deletable d JOIN pages_in p USING (doc_id) WHERE error_code IS NULL AND NOT EXISTS (SELECT 1 FROM sel WHERE sel.doc_id = p.doc_id AND sel.page_no = p.page_no)
@@ -77,7 +77,7 @@ def w_renumber(spark, sf):
     return number_rows(kept, ["doc_id"], "old_page_no", "page_no")
 
 
-@query("w_page_label", PAGES + """, coded AS (SELECT *, CASE WHEN start_number IN ('2.5', '0') THEN 'invalid_option' WHEN blank THEN NULL
+@query("w_page_label", PAGES + """, coded AS (SELECT *, CASE WHEN missing THEN 'missing_input' WHEN start_number IN ('2.5', '0') THEN 'invalid_option' WHEN blank THEN NULL
     WHEN malformed OR highest > page_count THEN 'invalid_option' END AS error_code FROM specs)
   SELECT c.doc_id, p.page_no, CASE WHEN chosen THEN coalesce(prefix, '') || (start_number::INT + row_number() OVER (PARTITION BY c.doc_id, chosen ORDER BY p.page_no) - 1) || suffix END AS label, NULL AS error_code
   FROM coded c JOIN (SELECT pages_in.*, sel.page_no IS NOT NULL OR trim(coalesce(spec, '')) = '' AS chosen FROM pages_in JOIN doc_options USING (doc_id)
@@ -87,7 +87,7 @@ def w_page_label(spark, sf):
     return P.label_pages(*_pages(spark, sf))
 
 
-@query("j_rotate_sel", PAGES + """, coded AS (SELECT *, CASE WHEN angle = '' THEN 'missing_option' WHEN trim(angle) NOT IN ('90', '180', '270') THEN 'bad_option'
+@query("j_rotate_sel", PAGES + """, coded AS (SELECT *, CASE WHEN missing THEN 'missing_input' WHEN angle = '' THEN 'missing_option' WHEN trim(angle) NOT IN ('90', '180', '270') THEN 'bad_option'
     WHEN blank THEN NULL WHEN malformed OR highest > page_count THEN 'bad_option' END AS error_code FROM specs)
   SELECT c.doc_id, p.page_no, CASE WHEN blank OR sel.page_no IS NOT NULL THEN (rotation + trim(angle)::INT) % 360 ELSE rotation END AS rotation, NULL AS error_code
   FROM coded c JOIN pages_in p USING (doc_id) LEFT JOIN sel ON sel.doc_id = p.doc_id AND sel.page_no = p.page_no WHERE error_code IS NULL
@@ -96,42 +96,42 @@ def j_rotate_sel(spark, sf):
     return P.rotate_pages(*_pages(spark, sf))
 
 
-@query("j_rotation_map", PAGES + """, coded AS (SELECT *, CASE WHEN doc_id % 6 > 1 OR (doc_id % 6 = 1 AND page_count < 2) THEN 'bad_option' END AS error_code FROM specs)
-  SELECT c.doc_id, p.page_no, (rotation + coalesce(try_cast(json_extract_string(rotations, '$."' || p.page_no || '"') AS INT), 0)) % 360 AS rotation, NULL AS error_code
+@query("j_rotation_map", PAGES + """, coded AS (SELECT *, CASE WHEN missing THEN 'missing_input' WHEN doc_id % 9 BETWEEN 2 AND 5 OR (doc_id % 9 = 1 AND page_count < 2) THEN 'bad_option' END AS error_code FROM specs)
+  SELECT c.doc_id, p.page_no, (rotation + CASE WHEN p.page_no = 1 THEN CASE c.doc_id % 9 WHEN 0 THEN 90 WHEN 1 THEN 270 ELSE 180 END WHEN p.page_no = 2 AND c.doc_id % 9 = 1 THEN 180 ELSE 0 END) % 360 AS rotation, NULL AS error_code
   FROM coded c JOIN pages_in p USING (doc_id) WHERE error_code IS NULL
   UNION ALL SELECT doc_id, NULL, NULL, error_code FROM coded WHERE error_code IS NOT NULL""")
 def j_rotation_map(spark, sf):
     return P.rotate_by_map(*_pages(spark, sf))
 
 
-_ORDERS = """orders_in AS (SELECT doc_id, page_count, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN array_to_string(list_reverse(range(1, page_count + 1)), ', ')
-    WHEN 2 THEN array_to_string(list_concat(range(2, page_count + 1), [1]), ',') WHEN 3 THEN '1,1' ELSE '1,x' END AS "order" FROM counts)"""
+_ORDERS = """orders_in AS (SELECT doc_id, page_count, missing, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN array_to_string(list_reverse(range(1, page_count + 1)), ', ')
+    WHEN 2 THEN array_to_string(list_concat(range(2, page_count + 1), [1]), ',') WHEN 3 THEN '1,1' ELSE '1,x' END AS "order" FROM specs)"""
 
 
 def _orders(spark, sf):
-    n = F.col("page_count").cast("int")
+    n = F.greatest(F.col("page_count"), F.lit(1)).cast("int")
     up = F.sequence(F.lit(1), n)
     shifted = F.concat(F.slice(up, F.lit(2), n), F.array(F.lit(1)))
     order = (F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, F.array_join(F.reverse(up), ", "))
              .when(F.col("doc_id") % 5 == 2, F.array_join(shifted, ",")).when(F.col("doc_id") % 5 == 3, "1,1").otherwise("1,x"))
-    return P.page_counts(text_pages(spark, sf)).select("doc_id", order.alias("order"))
+    return document_options(*_pages(spark, sf)).select("doc_id", order.alias("order"))
 
 
 @query("j_reorder", PAGES + f""", {_ORDERS}
   SELECT p.doc_id, p.page_no AS old_page_no, CASE doc_id % 5 WHEN 1 THEN page_count + 1 - page_no WHEN 2 THEN CASE page_no WHEN 1 THEN page_count ELSE page_no - 1 END END AS page_no, text, NULL AS error_code
   FROM pages_in p JOIN counts USING (doc_id) WHERE doc_id % 5 IN (1, 2)
-  UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE doc_id % 5 WHEN 0 THEN 'missing_option' ELSE 'bad_option' END FROM orders_in WHERE doc_id % 5 IN (0, 3, 4)""")
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN missing THEN 'missing_input' WHEN doc_id % 5 = 0 THEN 'missing_option' ELSE 'bad_option' END FROM orders_in WHERE missing OR doc_id % 5 IN (0, 3, 4)""")
 def j_reorder(spark, sf):
     return P.reorder_pages(text_pages(spark, sf), _orders(spark, sf))
 
 
-@query("s_perm", PAGES + f""", {_ORDERS} SELECT doc_id, coalesce(list_sort(try_cast(string_split(replace("order", ' ', ''), ',') AS BIGINT[])) = range(1, page_count + 1), false) AS is_permutation FROM orders_in""")
+@query("s_perm", PAGES + f""", {_ORDERS} SELECT doc_id, coalesce(list_sort(try_cast(string_split(replace("order", ' ', ''), ',') AS BIGINT[])) = range(1, page_count + 1), false) AS is_permutation FROM orders_in WHERE NOT missing""")
 def s_perm(spark, sf):
     orders = _orders(spark, sf).join(P.page_counts(text_pages(spark, sf)), "doc_id")
     return orders.select("doc_id", P.is_permutation(P.parse_order(F.col("order")), F.col("page_count")).alias("is_permutation"))
 
 
-_SPLIT = PAGES + """, coded AS (SELECT *, CASE WHEN mode = 'odd' THEN 'bad_option' WHEN mode = 'every' THEN NULL WHEN blank THEN 'missing_option'
+_SPLIT = PAGES + """, coded AS (SELECT *, CASE WHEN missing THEN 'missing_input' WHEN mode = 'odd' THEN 'bad_option' WHEN mode = 'every' THEN NULL WHEN blank THEN 'missing_option'
     WHEN malformed OR highest > page_count THEN 'bad_option' END AS error_code FROM specs),
   parts AS (SELECT c.doc_id, i - 1 AS group_no, CASE WHEN s = e THEN printf('page-%03d', s) ELSE printf('pages-%03d-%03d', s, e) END AS out_name, p.page_no
     FROM coded c JOIN tok USING (doc_id) JOIN pages_in p ON p.doc_id = c.doc_id AND p.page_no BETWEEN s AND e WHERE error_code IS NULL AND mode = 'ranges'
@@ -153,13 +153,13 @@ _MERGED = """in_order AS (SELECT out_id, row_number() OVER (PARTITION BY out_id
   FROM doc_options JOIN pages_in USING (doc_id))"""
 
 
-@query("u_merge", PAGES + f", {_MERGED} SELECT * FROM in_order")
+@query("u_merge", PAGES + f", {_MERGED} SELECT *, NULL AS error_code FROM in_order UNION ALL SELECT out_id, NULL, NULL, doc_id, NULL, NULL, 'missing_input' FROM specs WHERE missing")
 def u_merge(spark, sf):
     pages, options = _pages(spark, sf)
     return P.merge_documents(pages, options.select("out_id", "doc_id", "doc_seq"))
 
 
-@query("j_merge_order", PAGES + """, jobs_in AS (SELECT DISTINCT out_id, page_order FROM doc_options), members AS (SELECT out_id, doc_seq, doc_id, page_count FROM specs),
+@query("j_merge_order", PAGES + """, jobs_in AS (SELECT DISTINCT out_id, page_order FROM doc_options), members AS (SELECT out_id, doc_seq, doc_id, page_count FROM specs WHERE NOT missing),
   refs AS (SELECT out_id, unnest([0, 1]) AS doc_seq, 1 AS page_no, unnest([1, 2]) AS out_page_no FROM jobs_in WHERE out_id % 5 = 0
     UNION ALL SELECT out_id, unnest([1, 0, 1]), 1, unnest([1, 2, 3]) FROM jobs_in WHERE out_id % 5 = 1),
   bad AS (SELECT out_id FROM jobs_in WHERE out_id % 5 > 1 UNION SELECT r.out_id FROM refs r LEFT JOIN members m USING (out_id, doc_seq) WHERE m.doc_id IS NULL)
@@ -175,7 +175,7 @@ def j_merge_order(spark, sf):
 def j_is_identity(spark, sf):
     """References in natural order, without the last page, or backwards."""
     pages, options = _pages(spark, sf)
-    natural = P.merge_documents(pages, options.select("out_id", "doc_id", "doc_seq")).select(
+    natural = P.merge_documents(pages, options.select("out_id", "doc_id", "doc_seq")).filter("error_code IS NULL").select(
         "out_id", F.col("out_page_no").alias("pos"), "doc_seq", "page_no")
     sizes = natural.groupBy("out_id").agg(F.max("pos").alias("n"))
     kind = F.col("out_id") % 3
@@ -184,11 +184,21 @@ def j_is_identity(spark, sf):
     return P.is_natural_order(refs, natural)
 
 
-_EXHIBITS = """, docs AS (SELECT lang AS out_id, o.doc_id, filename, page_count, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM doc_options o JOIN counts USING (doc_id)),
+def _letters(n: str) -> str:
+    """Check SQL for A, B, .. Z, AA, ..: one arm for each number of letters."""
+    arms, start = [], 0
+    for length in range(1, 7):
+        digits = " || ".join(f"chr((65 + ({n} - {start}) // {26 ** k} % 26)::INT)" for k in reversed(range(length)))
+        start += 26 ** length
+        arms.append(f"WHEN {n} < {start} THEN {digits}")
+    return f"CASE {' '.join(arms)} END"
+
+
+_EXHIBITS = """, docs AS (SELECT lang AS out_id, o.doc_id, filename, coalesce(page_count, 0) AS page_count, row_number() OVER (PARTITION BY lang ORDER BY o.doc_id) - 1 AS place FROM doc_options o LEFT JOIN counts ON counts.doc_id = o.doc_id),
   stamped AS (SELECT out_id, doc_id, page_no, place, 'BATES-' || printf('%06d', 999000 + row_number() OVER (PARTITION BY out_id ORDER BY doc_id, page_no) - 1) AS stamp FROM docs JOIN pages_in USING (doc_id)),
-  slips AS (SELECT out_id, doc_id, 0 AS page_no, place, 'Exhibit ' || CASE WHEN place < 26 THEN chr((65 + place)::INT) WHEN place < 702 THEN chr((65 + (place - 26) // 26)::INT) || chr((65 + place % 26)::INT)
-    WHEN place < 18278 THEN chr((65 + (place - 702) // 676)::INT) || chr((65 + (place - 702) // 26 % 26)::INT) || chr((65 + place % 26)::INT) END || ' | ' || filename || ' | ' || page_count || ' page(s)' AS stamp FROM docs)
+  slips AS (SELECT out_id, doc_id, 0 AS page_no, place, 'Exhibit ' || """ + _letters("place") + """ || ' | ' || filename || ' | ' || page_count || ' page(s)' AS stamp FROM docs)
 """
+_NO_PAGES = " UNION ALL SELECT out_id, NULL, doc_id, NULL, NULL, 'missing_input' FROM docs WHERE page_count = 0"
 
 
 def _exhibits(spark, sf, slips):
@@ -197,13 +207,13 @@ def _exhibits(spark, sf, slips):
     return P.combine_exhibits(pages, members, bates_start=999000, slip_sheets=slips)
 
 
-@query("w_bates", PAGES + _EXHIBITS + "SELECT out_id, row_number() OVER (PARTITION BY out_id ORDER BY doc_id, page_no) AS sheet_no, doc_id, page_no, stamp FROM stamped")
+@query("w_bates", PAGES + _EXHIBITS + "SELECT out_id, row_number() OVER (PARTITION BY out_id ORDER BY doc_id, page_no) AS sheet_no, doc_id, page_no, stamp, NULL AS error_code FROM stamped" + _NO_PAGES)
 def w_bates(spark, sf):
     return _exhibits(spark, sf, False)
 
 
-@query("w_slip_sheet", PAGES + _EXHIBITS + """SELECT out_id, row_number() OVER (PARTITION BY out_id ORDER BY doc_id, page_no) AS sheet_no, doc_id, page_no, stamp
-  FROM (SELECT * FROM stamped UNION ALL SELECT * FROM slips)""")
+@query("w_slip_sheet", PAGES + _EXHIBITS + """SELECT out_id, row_number() OVER (PARTITION BY out_id ORDER BY doc_id, page_no) AS sheet_no, doc_id, page_no, stamp, NULL AS error_code
+  FROM (SELECT * FROM stamped UNION ALL SELECT * FROM slips)""" + _NO_PAGES)
 def w_slip_sheet(spark, sf):
     return _exhibits(spark, sf, True)
 
@@ -276,8 +286,7 @@ def a_compare_summary(spark, sf):
     return P.comparison_summary(P.compare_documents(*_pairs(spark, sf)))
 
 
-@query("s_exhibit", """SELECT doc_id, CASE WHEN doc_id < 26 THEN chr((65 + doc_id)::INT) WHEN doc_id < 702 THEN chr((65 + (doc_id - 26) // 26)::INT) || chr((65 + doc_id % 26)::INT)
-  WHEN doc_id < 18278 THEN chr((65 + (doc_id - 702) // 676)::INT) || chr((65 + (doc_id - 702) // 26 % 26)::INT) || chr((65 + doc_id % 26)::INT) END AS letters FROM documents""")
+@query("s_exhibit", f"SELECT doc_id, {_letters('doc_id')} AS letters FROM documents")
 def s_exhibit(spark, sf):
     return source(spark, sf, "documents").select("doc_id", V.exhibit_letter(F.col("doc_id")).alias("letters"))
 

@@ -15,7 +15,7 @@ from .registry import query
 
 _STRIP = r"regexp_replace({}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
 
-_TEXTS = PAGES + """, extracted AS (SELECT s.doc_id, CASE WHEN blank THEN NULL WHEN malformed OR highest > page_count THEN 'invalid_option' END AS error_code,
+_TEXTS = PAGES + """, extracted AS (SELECT s.doc_id, CASE WHEN missing THEN 'missing_input' WHEN blank THEN NULL WHEN malformed OR highest > page_count THEN 'invalid_option' END AS error_code,
     """ + _STRIP.format("""(SELECT string_agg(regexp_replace(text, '\\n+$', ''), chr(10) || chr(10) ORDER BY page_no) FROM pages_in p WHERE p.doc_id = s.doc_id
       AND (blank OR EXISTS (SELECT 1 FROM sel WHERE sel.doc_id = p.doc_id AND sel.page_no = p.page_no)))""") + """ || chr(10) AS text FROM specs s)
 """
@@ -37,8 +37,9 @@ _REDACT = PAGES + """, lits AS (SELECT doc_id, patterns, list_distinct(list_filt
   hit AS (SELECT p.doc_id, page_no, text, lits, patterns, list_sort(list_filter(lits, lambda l: contains(text, l))) AS found FROM pages_in p JOIN lits USING (doc_id)),
   done AS (SELECT *, CASE WHEN len(found) = 0 THEN text ELSE list_reduce(list_prepend(text, found), lambda acc, l: replace(acc, l, repeat(' ', length(l)))) END AS redacted,
     coalesce(list_sum(list_transform(found, lambda l: (length(text) - length(replace(text, l, ''))) // length(l))), 0) AS matches FROM hit),
-  verdict AS (SELECT doc_id, count(*) AS pages, sum(matches) AS matches, CASE WHEN trim(any_value(patterns)) = '' THEN 'missing_option' WHEN len(any_value(lits)) = 0 THEN 'invalid_option' WHEN sum(matches) = 0 THEN 'no_matches'
-    WHEN bool_or(len(list_filter(lits, lambda l: contains(redacted, l))) > 0) THEN 'redaction_failed' END AS error_code FROM done GROUP BY doc_id)
+  verdict AS (SELECT o.doc_id, count(d.page_no) AS pages, coalesce(sum(d.matches), 0) AS matches, CASE WHEN count(d.page_no) = 0 THEN 'missing_input' WHEN trim(any_value(o.patterns)) = '' THEN 'missing_option'
+    WHEN len(any_value(o.lits)) = 0 THEN 'invalid_option' WHEN sum(d.matches) = 0 THEN 'no_matches'
+    WHEN bool_or(len(list_filter(d.lits, lambda l: contains(redacted, l))) > 0) THEN 'redaction_failed' END AS error_code FROM lits o LEFT JOIN done d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
 """
 
 
@@ -61,7 +62,7 @@ def t_redact(spark, sf):
 
 @query("t_redact_verify", _REDACT + "SELECT doc_id, pages, matches, error_code FROM verdict")
 def t_redact_verify(spark, sf):
-    return X.redaction_verdicts(X.redact_pages(text_pages(spark, sf), _patterns(spark, sf)))
+    return X.redaction_verdicts(text_pages(spark, sf), _patterns(spark, sf))
 
 
 @query("t_needs_ocr", PAGES + "SELECT doc_id, count(*) AS total, sum(scan) AS ocr_pages, count(*) - sum(scan) AS skipped FROM (SELECT doc_id, CASE WHEN length("

@@ -85,7 +85,7 @@ register("strip_metadata", metadata.strip_report, ("info",), producer_after=(str
 register("strip_image_metadata", metadata.image_report, ("images",))
 register("edit_state", edits.fold_state, ("items", "log"))
 register("edit_order", edits.fold_order, ("log",))
-register("geo_lookup", traffic.geo_lookup, ("requests", "blocks"), broadcast_rows=(int, None), buckets=(int, None))
+register("geo_lookup", traffic.geo_lookup, ("requests", "blocks"))
 register("dashboard", traffic.dashboard_breakdowns, ("visits",), k=(int, None))
 register("digest", traffic.digest, ("visits", "bots", "jobs"), k=(int, None))
 register("quota_usage", usage.quota_usage, ("attempts",), limit=(int, None))

@@ -76,7 +76,7 @@ def test_page_ranges(spark):
 def test_huge_range_is_never_listed(spark):
     assert apply(spark, ["1-999999999999"], R.selected_count) == [999999999999]
     assert apply(spark, ["3-9,1-4,20"], R.selected_count) == [10]
-    assert apply(spark, ["3-9,1-4,20"], lambda c: R.pages_before(c, F.lit(6))) == [5]
+    assert apply(spark, ["3-9,1-4,20"], lambda c: R.pages_before(R.parsed(c), F.lit(6))) == [5]
 
 
 def test_labels(spark):

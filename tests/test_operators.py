@@ -65,15 +65,14 @@ def check_cut_windows(spark):
 def test_options_reach_every_piece(spark):
     page_rows = spark.range(1, 51).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_no"))
     opts = spark.createDataFrame([(1, "x")], "doc_id long, o string")
-    for limit in (0, 10):  # joined by pieces, and broadcast
-        got = skew.with_document_options(page_rows, opts, size=8, broadcast_rows=limit)
-        assert got.filter("o = 'x' AND page_count = 50").count() == 50
+    got = skew.with_document_options(page_rows, opts, size=8)
+    assert got.filter("o = 'x' AND page_count = 50").count() == 50
 
 
-def test_salted_lookup_equals_broadcast(spark):
+def test_salted_lookup_equals_join(spark):
     facts = spark.range(300).select("id", (F.col("id") % 3).alias("k"))
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    a, b = (skew.salted_lookup(facts, dim, ["k"], ["id"], broadcast_rows=n) for n in (0, 10))
+    a, b = skew.salted_lookup(facts, dim, ["k"], ["id"]), facts.join(dim, "k", "left")
     assert rows(a.select("id", "v"), "id") == rows(b.select("id", "v"), "id")
 
 
@@ -81,19 +80,46 @@ def test_flatten_json(spark):
     from pagetide.operators.catalog import flatten_json
 
     doc = '{"a": {"b": [1, {"c": "x"}], "e": {}, "n": null}, "d": "y", "l": []}'
-    df = spark.createDataFrame([(1, doc), (2, '"leaf"')], "id int, doc string")
-    assert rows(flatten_json(df, "doc", 5), "id", "key") == [
-        (1, "a.b[0]", "1"), (1, "a.b[1].c", "x"), (1, "a.n", None), (1, "d", "y"), (2, "", "leaf")]
+    deep = '{"k":' * 40 + "1.50" + "}" * 40
+    df = spark.createDataFrame([(1, doc), (2, '"leaf"'), (3, '{"a":"{}","b":"[]","c":"x","d":{}}'), (4, deep), (5, "no {"),
+                                (6, None)], "id int, doc string")
+    assert rows(flatten_json(df, "doc"), "id", "key") == [
+        (1, "a.b[0]", "1"), (1, "a.b[1].c", "x"), (1, "a.n", None), (1, "d", "y"), (2, "", "leaf"),
+        (3, "a", "{}"), (3, "b", "[]"), (3, "c", "x"), (4, ".".join("k" * 40), "1.50"), (5, "", None), (6, "", None)]
+
+
+def test_every_present_locale_is_checked(spark):
+    from pagetide.operators.catalog import check_translations
+
+    told = spark.createDataFrame([("en", "a", "x"), ("de", "b", "y")], "locale string, key string, value string")
+    assert rows(check_translations(told, told.select("locale")), "key") == [("de", "a", "missing"), ("de", "b", "extra")]
+
+
+def test_documents_without_pages_are_reported(spark):
+    options = spark.createDataFrame([(1, "1", "1,2", '{"1": 90}', "every"), (2, "1", "1", '{"1": 90}', "every")],
+                                    "doc_id long, spec string, order string, rotations string, mode string")
+    for fn in (pages.delete_pages, pages.select_pages, pages.reorder_pages, pages.rotate_by_map, pages.split_pages,
+               text.extract_text):
+        got = fn(doc(spark, 2), options).filter("doc_id = 2").collect()
+        assert [r["error_code"] for r in got] == ["missing_input"]
+    members = spark.createDataFrame([(7, 2, 0, "a"), (7, 1, 1, "b")], "out_id long, doc_id long, doc_seq long, filename string")
+    got = pages.combine_exhibits(doc(spark, 2), members).orderBy("sheet_no").collect()
+    assert [r["stamp"] for r in got if r["page_no"] == 0] == ["Exhibit A | a | 0 page(s)", "Exhibit B | b | 2 page(s)"]
+    assert [r["doc_id"] for r in got if r["error_code"] == "missing_input"] == [2]
+
+
+def test_last_angle_of_a_page_holds(spark):
+    for raw in ('{"1": 90, " 1": 180}', '{"1": 90, "01": 180}', '{"1": 90, "1": 180}'):
+        got = pages.rotate_by_map(doc(spark, 2), opts(spark, rotations=raw)).orderBy("page_no").collect()
+        assert [r["rotation"] for r in got] == [180, 0]
+
 
 
 # -------------------------------------------------------------------- geo
 
-def test_geo_shuffle_path_equals_broadcast_path(spark, sf_dir):
+def test_geo_join_keeps_every_request(spark, sf_dir):
     requests, blocks = derived(spark, sf_dir, "requests"), derived(spark, sf_dir, "geo_blocks")
-    cols = ["request_id", "country", "city"]
-    a = traffic.geo_lookup(requests, blocks).select(cols)
-    b = traffic.geo_lookup(requests, blocks, broadcast_rows=0).select(cols)
-    assert rows(a, "request_id") == rows(b, "request_id")
+    a = traffic.geo_lookup(requests, blocks)
     assert a.count() == requests.count()
     assert a.filter("country <> ''").count() > 0
 
@@ -180,7 +206,7 @@ def test_compare(spark):
 def test_written_groups(spark):
     path = scratch() + "/groups"
     split = pages.split_pages(doc(spark, 4), opts(spark, spec="1-2,4", mode="ranges"))
-    pages.write_groups(split, doc(spark, 4), path)
+    pages.write_groups(split, doc(spark, 4), path, folder_per_group=True)
     assert sorted(p.split("out_name=")[1] for p in glob.glob(f"{path}/doc_id=1/out_name=*")) == ["page-004", "pages-001-002"]
 
 
