@@ -20,10 +20,26 @@ KEY = ["doc_id", "item"]
 ORDER_ACTIONS = ("init", "append", "move", "set_order", "reverse")
 
 
-def _touches(log: DataFrame, *actions: str) -> DataFrame:
-    """One row per (edit, named page)."""
-    return log.filter(F.col("action").isin(*actions)).select(
-        "doc_id", "seq", "action", "arg", F.explode(F.array_distinct("ids")).alias("item"))
+def in_effect(log: DataFrame) -> DataFrame:
+    """The edits since each document's last ``init`` (this one included); all of a document that
+    has none."""
+    starts = log.filter("action = 'init'").groupBy("doc_id").agg(F.max("seq").alias("_start"))
+    return salted_lookup(log, starts, ["doc_id"], ["seq"]).filter(
+        F.col("_start").isNull() | (F.col("seq") >= F.col("_start")))
+
+
+def _touches(log: DataFrame, *actions: str, pages: bool = True, each: bool = False) -> DataFrame:
+    """One row per (edit, named page). With ``each``, a page named twice gives two rows. Edits of
+    ``pages`` count only from when the page came in."""
+    ids = F.col("ids") if each else F.array_distinct("ids")
+    rows = log.filter(F.col("action").isin(*actions)).select(
+        "doc_id", "seq", "action", "arg", "_start", F.explode(ids).alias("item"))
+    if not pages:
+        return rows
+    came = log.filter(F.col("action").isin("init", "append")).select("doc_id", "seq", F.explode("ids").alias("item")).groupBy(
+        *KEY).agg(F.min("seq").alias("_came"))
+    return salted_lookup(rows, came, KEY, ["seq"]).filter(
+        F.col("_start").isNull() | (F.col("seq") > F.col("_came")))
 
 
 def _last_global(log: DataFrame, actions: tuple[str, ...]) -> DataFrame:
@@ -35,6 +51,7 @@ def _last_global(log: DataFrame, actions: tuple[str, ...]) -> DataFrame:
 def fold_angles(log: DataFrame, rotate: str = "rotate", set_angles: str = "set_angles",
                 reset: str = "reset_angles") -> DataFrame:
     """Angle per touched page: the last absolute angle plus the steps after it."""
+    log = in_effect(log)
     steps = _touches(log, rotate)
     own = _touches(log, set_angles).groupBy(*KEY).agg(F.max("seq").alias("_seq"), F.max_by("arg", "seq").alias("_arg"))
     touched = steps.select(*KEY).distinct().join(own, KEY, "full_outer")
@@ -49,14 +66,15 @@ def fold_angles(log: DataFrame, rotate: str = "rotate", set_angles: str = "set_a
 
 
 def fold_flags(log: DataFrame, toggle: str, set_all: str, clear: str, set_some: str | None = None,
-               name: str = "flag") -> DataFrame:
-    """Flag per touched page (or divider): the last absolute value, flipped by the
-    toggles after it."""
-    flips = _touches(log, toggle)
+               name: str = "flag", pages: bool = True) -> DataFrame:
+    """Flag per touched page (or, without ``pages``, divider): the last absolute value, flipped by
+    the toggles after it. A page that one toggle names twice flips twice."""
+    log = in_effect(log)
+    flips = _touches(log, toggle, pages=pages, each=True)
     base = log.filter(F.col("action").isin(set_all, clear)).withColumn(
         "ids", F.when(F.col("action") == set_all, F.col("ids")).otherwise(F.slice("ids", 1, 0)))
     base = _last_global(base, (set_all, clear))
-    own = _touches(log, *([set_some] if set_some else [])) if set_some else flips.filter("false")
+    own = _touches(log, set_some, pages=pages) if set_some else flips.filter("false")
     own = own.groupBy(*KEY).agg(F.max("seq").alias("_seq"), F.max_by("arg", "seq").alias("_arg"))
     touched = flips.select(*KEY).unionByName(base.select("doc_id", F.explode("_gids").alias("item"))).distinct()
     start = salted_lookup(touched.join(own, KEY, "full_outer"), base, ["doc_id"], ["item"])
@@ -72,6 +90,7 @@ def fold_flags(log: DataFrame, toggle: str, set_all: str, clear: str, set_some:
 
 def fold_removed(log: DataFrame, remove: str = "remove", restore: str = "restore") -> DataFrame:
     """Whether a touched page is out of the set: the last edit decides."""
+    log = in_effect(log)
     last = _touches(log, remove, restore).groupBy(*KEY).agg(F.max_by("action", "seq").alias("_a"))
     return last.select(*KEY, (F.col("_a") == remove).alias("removed"))
 
@@ -87,23 +106,29 @@ def fold_state(items: DataFrame, log: DataFrame) -> DataFrame:
     return out.fillna(0, ["angle"]).fillna(False, ["marked", "removed"])
 
 
-def _step(order: list[int], action: str, ids: list[int], arg: int) -> list[int]:
+def _rank(places: dict[int, int], action: str, ids: list[int], arg: int):
+    """Sort key of a page under one order edit, given the places before it; None: nothing moves."""
+    named = {item: k for k, item in reversed(list(enumerate(ids)))}
+    if action == "reverse":
+        return lambda item: -places[item]
+    if action == "set_order":
+        return named.__getitem__ if places.keys() <= named.keys() else None
+    # A move: the named pages, in their present order, before the rest's page number ``arg``.
+    rest = sorted((p for item, p in places.items() if item not in named))
+    if len(rest) == len(places):
+        return None
+    at = min(max(int(arg), 0), len(rest))
+    gap = (rest[at] if at < len(rest) else len(places)) - 0.5
+    return lambda item: (gap, places[item]) if item in named else (places[item], 0)
+
+
+def _reordered(order: list[int], action: str, ids: list[int], arg: int) -> list[int]:
     if action == "init":
         return list(ids)
     if action == "append":
-        known = set(order)
-        return order + [i for i in ids if i not in known]
-    if action == "reverse":
-        return order[::-1]
-    if action == "set_order":
-        known = set(order)
-        wanted = [i for i in ids if i in known]
-        return wanted if len(wanted) == len(order) else order
-    chosen = set(ids)
-    moving = [i for i in order if i in chosen]
-    rest = [i for i in order if i not in chosen]
-    to = max(0, min(int(arg), len(rest)))
-    return rest[:to] + moving + rest[to:] if moving else order
+        return list(dict.fromkeys([*order, *ids]))
+    key = _rank({item: k for k, item in enumerate(order)}, action, ids, arg)
+    return order if key is None else sorted(order, key=key)
 
 
 def fold_order(log: DataFrame) -> DataFrame:
@@ -125,7 +150,7 @@ def fold_order(log: DataFrame) -> DataFrame:
                     if doc is not None:
                         done.append(flush())
                     doc, order = row.doc_id, []
-                order = _step(order, row.action, [] if row.ids is None else list(row.ids), row.arg)
+                order = _reordered(order, row.action, [] if row.ids is None else list(row.ids), row.arg)
             if done:
                 yield pd.concat(done)
         if doc is not None:

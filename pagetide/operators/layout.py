@@ -6,8 +6,6 @@ after it is window and aggregate work.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,48 +60,46 @@ def _cluster(y_mid: np.ndarray, height: np.ndarray) -> np.ndarray:
     return np.array(owner)
 
 
-def _fills_gap(glyph: int, line: list[int], box: dict[str, list], normal: float) -> bool:
-    """Whether ``glyph`` sits between two full-size neighbours of ``line`` (sorted by x).
-
-    Only neighbours at the glyph's own place can enclose it, so they are found by
-    bisection.
-    """
-    x0, x1, h, at = box["x0"], box["x1"], box["h"], box["x0"][glyph]
-    others = [g for g in line if g != glyph]
-    for k in range(max(bisect_left(others, at, key=x0.__getitem__) - 1, 0), len(others) - 1):
-        a, b = others[k], others[k + 1]
-        if x0[a] > at:
-            break
-        if (min(h[a], h[b]) >= TINY * normal and x1[a] <= at <= x0[b] and x0[b] - x1[a] < 2.0 * normal):
-            return True
-    return False
-
-
-def _bring_home(lines: list[list[int]], box: dict[str, list]) -> None:
-    """Move tiny glyphs to the closest line whose gap they fill. Lines stay sorted by x."""
-    inked = sorted(h for h, blank in zip(box["h"], box["blank"]) if h > 0 and not blank)
-    if not inked:
-        return
-    normal, mid = inked[len(inked) // 2], box["mid"]
-    small = [h < TINY * normal and not blank for h, blank in zip(box["h"], box["blank"])]
-    total = [sum(mid[g] for g in line) for line in lines]
-    for here, line in enumerate(lines):
-        for glyph in [g for g in line if small[g]]:
-            if _fills_gap(glyph, line, box, normal):
+def _gaps(line: np.ndarray, box: dict[str, np.ndarray], normal: float) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right edges of the narrow gaps between full-size neighbours of a line."""
+    a, b = line[:-1], line[1:]
+    left, right, height = box["x1"][a], box["x0"][b], box["h"]
+    real = (np.minimum(height[a], height[b]) >= TINY * normal) & (right - left < 2.0 * normal)
+    return left[real], right[real]
+
+
+def _within(x: float, gaps: tuple[np.ndarray, np.ndarray]) -> bool:
+    return bool(((gaps[0] <= x) & (x <= gaps[1])).any())
+
+
+def _reattach(lines: list[np.ndarray], box: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Give each tiny glyph that stands in no gap of its own line to the nearest line, at most a
+    normal height away, that has a gap around it. Lines are visited top-down and stay in order."""
+    inked = np.sort(box["h"][(box["h"] > 0) & ~box["blank"]])
+    if not len(inked):
+        return lines
+    normal, x0 = inked[len(inked) // 2], box["x0"]
+    tiny = (box["h"] < TINY * normal) & ~box["blank"]
+    gaps = [_gaps(line, box, normal) for line in lines]
+    level = np.array([box["mid"][line].mean() for line in lines])
+    for here in range(len(lines)):
+        for glyph in lines[here][tiny[lines[here]]]:
+            rest = lines[here][lines[here] != glyph]
+            if _within(x0[glyph], _gaps(rest, box, normal)):
+                continue
+            away = np.abs(level - box["mid"][glyph])
+            away[here] = np.inf
+            near = [k for k in np.argsort(away, kind="stable") if away[k] <= normal]
+            home = next((k for k in near if _within(x0[glyph], gaps[k])), None)
+            if home is None:
                 continue
-            offers = []
-            for there, other in enumerate(lines):
-                if there == here or not other:
-                    continue
-                away = abs(mid[glyph] - total[there] / len(other))
-                if away <= normal and _fills_gap(glyph, other, box, normal):
-                    offers.append((away, there))
-            if offers:
-                there = min(offers)[1]
-                line.remove(glyph)
-                insort(lines[there], glyph, key=box["x0"].__getitem__)
-                total[here] -= mid[glyph]
-                total[there] += mid[glyph]
+            lines[here] = rest
+            place = np.searchsorted(x0[lines[home]], x0[glyph], side="right")
+            lines[home] = np.insert(lines[home], place, glyph)
+            for k in (here, home):
+                gaps[k] = _gaps(lines[k], box, normal)
+                level[k] = box["mid"][lines[k]].mean() if len(lines[k]) else np.inf
+    return lines
 
 
 def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
@@ -113,14 +109,11 @@ def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
     box = {"x0": page.x0.to_numpy(), "x1": page.x1.to_numpy(), "mid": (y0 + y1) / 2, "h": y1 - y0,
            "blank": (page.ch == " ").to_numpy()}
     owner = _cluster(box["mid"], box["h"])
-    lines = [np.flatnonzero(owner == k).tolist() for k in range(owner.max() + 1)]
-    x0s, mids = box["x0"].tolist(), box["mid"].tolist()
-    by_x = lambda line: sorted(line, key=x0s.__getitem__)
-    height_of = lambda line: -sum(map(mids.__getitem__, line)) / len(line)
-    lines = sorted((by_x(line) for line in lines), key=height_of)
+    in_row = lambda line: line[np.argsort(box["x0"][line], kind="stable")]
+    top_down = lambda found: sorted(found, key=lambda line: -box["mid"][line].mean())
+    lines = top_down(in_row(np.flatnonzero(owner == k)) for k in range(owner.max() + 1))
     if reattach:
-        _bring_home(lines, {name: values.tolist() for name, values in box.items()})
-        lines = sorted((by_x(line) for line in lines if line), key=height_of)
+        lines = top_down(line for line in _reattach(lines, box) if len(line))
     line_no, pos = np.empty(len(page), dtype=np.int64), np.empty(len(page), dtype=np.int64)
     for k, line in enumerate(lines, start=1):
         line_no[line], pos[line] = k, np.arange(1, len(line) + 1)

@@ -60,7 +60,7 @@ def t_edit_fold(spark, sf):
     + (SELECT count(*) FROM touch r WHERE r.doc_id = i.doc_id AND r.item = i.item AND action = 'toggle_divider' AND seq > (SELECT coalesce(max(seq), -1) FROM log s WHERE s.doc_id = i.doc_id
       AND action IN ('set_dividers', 'clear_dividers')))) % 2 = 1 AS flag FROM items i WHERE item < 8) WHERE flag""")
 def t_edit_dividers(spark, sf):
-    flags = E.fold_flags(edit_log(spark, sf), "toggle_divider", "set_dividers", "clear_dividers")
+    flags = E.fold_flags(edit_log(spark, sf), "toggle_divider", "set_dividers", "clear_dividers", pages=False)
     return flags.filter("flag AND item BETWEEN 1 AND 7")
 
 

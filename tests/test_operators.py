@@ -374,3 +374,17 @@ def test_look_back_reaches_the_scan(spark, sf_dir):
     df = traffic.since(source(spark, sf_dir, "events"), "2024-01-31 00:00:00", 7, "ts").select("event_id")
     plan = plan_of(df)
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan
+
+
+def test_edits_count_from_the_last_init_and_from_a_pages_entry(spark):
+    log = [(1, 0, "init", [1, 2], 0), (1, 1, "toggle_mark", [1, 1], 0), (1, 2, "rotate", [3], 90), (1, 3, "append", [3], 0),
+           (1, 4, "rotate", [2], 90), (1, 5, "toggle_mark", [2], 0)]
+    schema = "doc_id long, seq long, action string, ids array<int>, arg int"
+    items = spark.createDataFrame([(1, i) for i in (1, 2, 3)], "doc_id long, item int")
+    state = lambda rows_: [(r["item"], r["angle"], r["marked"]) for r in edits.fold_state(
+        items, spark.createDataFrame(rows_, schema)).orderBy("item").collect()]
+    assert state(log) == [(1, 0, False), (2, 90, True), (3, 0, False)]
+    assert state([*log, (1, 6, "init", [1, 2, 3], 0)]) == [(1, 0, False), (2, 0, False), (3, 0, False)]
+    order = [*log, (1, 7, "move", [3], 0), (1, 8, "set_order", [3, 2], 0), (1, 9, "reverse", [], 0)]
+    got = edits.fold_order(spark.createDataFrame(order, schema)).orderBy("place").collect()
+    assert [r["item"] for r in got] == [2, 1, 3]
