@@ -178,11 +178,16 @@ def truncate_ip(ip: Column, proper_ipv6: bool = False) -> Column:
 
 def client_ip(headers: Column, names: tuple[str, ...] = ("cf-connecting-ip", "x-forwarded-for"),
               fallback: Column | None = None) -> Column:
-    """First address of the first header that has a value.
+    """First address of the first header that has a value. Header names have no case; of names
+    that differ in case only, the first entry counts.
 
     The API variant is ``names=("x-forwarded-for",)`` with the socket host as ``fallback``.
     """
-    values = [F.nullif(F.try_element_at(headers, F.lit(n)), F.lit("")) for n in names]
+    def value(name: str) -> Column:
+        named = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower())
+        return F.nullif(F.get(named, F.lit(0))["value"], F.lit(""))
+
+    values = [value(n) for n in names]
     first = F.trim(F.split_part(F.coalesce(*values), F.lit(","), F.lit(1)))
     return F.coalesce(first, *([fallback] if fallback is not None else []), F.lit("unknown"))
 

@@ -19,8 +19,9 @@ def as_of_column(as_of: datetime | str) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
-def clamp_days(days: int, low: int = 1, high: int = 90) -> int:
-    return max(low, min(days, high))
+def clamp_days(days: int, low: int = 1, high: int | None = None) -> int:
+    """``days``, at least ``low`` and, where the caller sets a bound, at most ``high``."""
+    return max(low, days if high is None else min(days, high))
 
 
 def since(df: DataFrame, as_of: datetime | str, days: int, column: str = "created_at") -> DataFrame:
@@ -108,15 +109,14 @@ def to_bot_visits(tracked: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- aggregates
 
-def totals(visits: DataFrame, bots: DataFrame) -> DataFrame:
-    """One row: visits, distinct truncated addresses, bot hits."""
-    counted = visits.agg(F.count(F.lit(1)).alias("total_visits"),
-                         F.count_distinct("ip_trunc").alias("unique_visitors"),
-                         F.lit(0).cast("long").alias("bot_hits"))
-    robots = bots.agg(F.lit(0).cast("long").alias("total_visits"),
-                      F.lit(0).cast("long").alias("unique_visitors"),
-                      F.count(F.lit(1)).alias("bot_hits"))
-    return counted.unionByName(robots).agg(*[F.sum(c).alias(c) for c in counted.columns])
+def totals(tracked: DataFrame) -> DataFrame:
+    """One row: visits, distinct truncated addresses, bot hits; from one scan of the tracked
+    requests (see tracked_requests)."""
+    human = ~F.col("is_bot")
+    return tracked.agg(
+        F.count_if(human).alias("total_visits"),
+        F.count_distinct(F.when(human, C.truncate_ip(F.col("ip")))).alias("unique_visitors"),
+        F.count_if(F.col("is_bot")).alias("bot_hits"))
 
 
 def approximate_uniques(visits: DataFrame, rsd: float = 0.01) -> DataFrame:
@@ -180,27 +180,32 @@ def scale_days(daily: DataFrame) -> DataFrame:
     return daily.withColumn("bar_percent", F.round(percent, 2))
 
 
-def digest(visits: DataFrame, bots: DataFrame, jobs: DataFrame, k: int = 5) -> DataFrame:
-    """One row of weekly figures and short ranked lists (already filtered inputs)."""
-    def section(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "name")))
-        return ranked.select(F.lit(name).alias("section"), "rank",
-                             F.concat_ws("=", "name", F.col("count").cast("string")).alias("item"))
-
-    parts = [
-        section(top_by(jobs.filter(F.col("status") == "succeeded"), "tool", k), "top_tools"),
-        section(top_by(jobs.filter(F.col("status") == "failed"), "tool", k), "failures"),
-        section(top_by(visits, "country", k), "top_countries"),
-    ]
-    figures = totals(visits, bots).select(
-        F.explode(F.map_from_arrays(
-            F.array(F.lit("visits"), F.lit("unique_visitors"), F.lit("bot_hits")),
-            F.array("total_visits", "unique_visitors", "bot_hits"),
-        )).alias("section", "value")
+def digest(located: DataFrame, jobs: DataFrame, k: int = 5) -> DataFrame:
+    """One row of weekly figures and short ranked lists (already filtered inputs).
+
+    ``located`` are tracked requests with place: one scan, grouped by country and in all, gives
+    the figures and the countries. The jobs are counted once by status and tool.
+    """
+    human = ~F.col("is_bot")
+    by_country = located.groupingSets([["country"], []], "country").agg(
+        F.grouping_id().alias("_all"), F.count_if(human).alias("visits"),
+        F.count_distinct(F.when(human, C.truncate_ip(F.col("ip")))).alias("unique_visitors"),
+        F.count_if(F.col("is_bot")).alias("bot_hits"))
+    lists = by_country.filter("_all = 0 AND visits > 0").select(
+        F.lit("top_countries").alias("section"), F.col("country").alias("raw"), F.col("visits").alias("n"))
+    section = F.when(F.col("status") == "succeeded", "top_tools").when(F.col("status") == "failed", "failures")
+    lists = lists.unionByName(jobs.groupBy(section.alias("section"), F.col("tool").alias("raw")).agg(
+        F.count(F.lit(1)).alias("n")).filter("section IS NOT NULL"))
+    first = Window.partitionBy("section").orderBy(F.desc("n"), F.asc_nulls_first("raw"))
+    top = lists.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).select(
+        "section", V.label_or(F.col("raw"), "Unknown").alias("name"), "n")
+    shown = Window.partitionBy("section").orderBy(F.desc("n"), "name")
+    top = top.select("section", F.row_number().over(shown).alias("rank"),
+                     F.concat_ws("=", "name", F.col("n").cast("string")).alias("item"))
+    figures = by_country.filter("_all = 1").select(F.explode(F.create_map(*[
+        c for n in ("visits", "unique_visitors", "bot_hits") for c in (F.lit(n), F.col(n))])).alias("section", "value")
     ).select("section", F.lit(1).alias("rank"), F.col("value").cast("string").alias("item"))
-    rows = figures
-    for part in parts:
-        rows = rows.unionByName(part)
+    rows = figures.unionByName(top)
 
     def figure(name: str) -> Column:
         return F.max(F.when(F.col("section") == name, F.col("item"))).cast("long").alias(name)
@@ -220,13 +225,15 @@ def newest(df: DataFrame, n: int, column: str = "created_at", tie: str = "id") -
     return df.orderBy(F.desc(column), tie).limit(n)
 
 
-def clamp_limit(n: int, low: int = 1, high: int = 200) -> int:
-    return max(low, min(n, high))
+def clamp_limit(n: int, low: int = 1, high: int | None = None) -> int:
+    """``n``, at least ``low`` and, where the caller sets a bound, at most ``high``."""
+    return max(low, n if high is None else min(n, high))
 
 
-def recent_visits(visits: DataFrame, n: int = 20) -> DataFrame:
-    """The newest visits; on purpose without a time bound."""
-    return newest(visits, n).select(
+def recent_visits(tracked: DataFrame, blocks: DataFrame, n: int = 20) -> DataFrame:
+    """The newest visits; on purpose without a time bound. Only these are located and classified."""
+    few = newest(tracked.filter(~F.col("is_bot")), n, "ts", "request_id")
+    return to_visits(geo_lookup(few, blocks)).select(
         "id", "created_at", F.col("ip_trunc").alias("ip"),
         V.label_or(F.col("country"), "Unknown").alias("country"),
         V.label_or(F.col("city"), "—").alias("city"),

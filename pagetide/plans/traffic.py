@@ -108,8 +108,8 @@ def s_trunc_ip(spark, sf):
   coalesce(trim(split_part(CASE WHEN edge_ip <> '' THEN edge_ip WHEN forwarded <> '' THEN forwarded END, ',', 1)), 'unknown') AS visit_ip,
   coalesce(trim(split_part(nullif(forwarded, ''), ',', 1)), socket_host, 'unknown') AS api_ip FROM requests""")
 def s_client_ip(spark, sf):
-    headers = F.create_map(F.lit("cf-connecting-ip"), F.col("edge_ip"),
-                           F.lit("x-forwarded-for"), F.col("forwarded"))
+    headers = F.create_map(F.lit("CF-Connecting-IP"), F.col("edge_ip"),
+                           F.lit("X-Forwarded-For"), F.col("forwarded"))
     return derived(spark, sf, "requests").select(
         "request_id", C.client_ip(headers).alias("visit_ip"),
         C.client_ip(headers, ("x-forwarded-for",), F.col("socket_host")).alias("api_ip"))
@@ -171,7 +171,7 @@ def f_track_bot(spark, sf):
 def f_window(spark, sf):
     visits, out = T.to_visits(unplaced(spark, sf)), None
     for asked in (7, 0, 500):
-        days = T.clamp_days(asked)
+        days = T.clamp_days(asked, high=90)
         part = T.since(visits, AS_OF, days).select(F.lit(days).alias("days"), "id", "created_at")
         out = part if out is None else out.unionByName(part)
     return out
@@ -228,7 +228,7 @@ def j_geo_range(spark, sf):
   (SELECT count(*) FROM bots WHERE {SINCE30}) AS bot_hits""")
 def a_totals(spark, sf):
     tracked = T.since(unplaced(spark, sf), AS_OF, 30, "ts")
-    return T.totals(T.to_visits(tracked), T.to_bot_visits(tracked))
+    return T.totals(tracked)
 
 
 @query("a_unique", ALL + f"""SELECT strftime(created_at, '%Y-%m-%d') AS date, count(DISTINCT ip_trunc) AS unique_visitors
@@ -308,7 +308,7 @@ def _ranked(table, column, where):
   {_ranked('visits', 'country', 'true')} AS top_countries""")
 def a_digest(spark, sf):
     seen = T.since(located(spark, sf), AS_OF, 7, "ts")
-    return T.digest(T.to_visits(seen), T.to_bot_visits(seen), T.since(derived(spark, sf, "jobs"), AS_OF, 7))
+    return T.digest(seen, T.since(derived(spark, sf, "jobs"), AS_OF, 7))
 
 
 @query("o_recent", ALL + f"""SELECT 'visit' AS kind, CAST(id AS VARCHAR) AS id, created_at,
@@ -326,10 +326,10 @@ def o_recent(spark, sf):
     jobs = derived(spark, sf, "jobs")
     shown = ("ip", "country", "city", "device", "browser", "source", "path")
     parts = [
-        rows("visit", T.recent_visits(visits_of(spark, sf)), F.concat_ws("|", *shown)),
+        rows("visit", T.recent_visits(T.tracked_requests(derived(spark, sf, "requests")), derived(spark, sf, "geo_blocks")), F.concat_ws("|", *shown)),
         rows("job", T.newest(jobs, 10), F.col("tool")),
         rows("failure", T.recent_failures(T.since(jobs, AS_OF, 30)), F.concat_ws("|", "tool", "error")),
-        rows("login", T.newest(derived(spark, sf, "logins"), T.clamp_limit(5000)), F.col("username")),
+        rows("login", T.newest(derived(spark, sf, "logins"), T.clamp_limit(5000, high=200)), F.col("username")),
     ]
     out = parts[0]
     for part in parts[1:]:

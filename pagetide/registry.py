@@ -87,7 +87,7 @@ register("edit_state", edits.fold_state, ("items", "log"))
 register("edit_order", edits.fold_order, ("log",))
 register("geo_lookup", traffic.geo_lookup, ("requests", "blocks"))
 register("dashboard", traffic.dashboard_breakdowns, ("visits",), k=(int, None))
-register("digest", traffic.digest, ("visits", "bots", "jobs"), k=(int, None))
+register("digest", traffic.digest, ("located", "jobs"), k=(int, None))
 register("quota_usage", usage.quota_usage, ("attempts",), limit=(int, None))
 register("quota_gate", usage.quota_gate, ("attempts",), limit=(int, None))
 register("lockouts", usage.lockouts, ("logins",), max_failures=(int, None), window_seconds=(int, None))

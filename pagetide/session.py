@@ -68,6 +68,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return found.exists(where) and found.getFileStatus(where).isDirectory()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -7,9 +7,11 @@ bound what one key can bring at once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,11 @@ from .. import schema as S
 from ..functions import values as V
 from ..operators.usage import LEGAL_MOVES, fingerprint
 
+# Spark starts the processors' set-up process without the session's added files, so they travel
+# as values, with the constants they use.
+for _module in (sys.modules[__name__], S):
+    cloudpickle.register_pickle_by_value(_module)
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

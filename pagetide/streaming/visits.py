@@ -8,31 +8,37 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import traffic as T
+from ..session import is_folder
 
 
 def read_requests(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
                   files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of request logs as a stream with a declared schema."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Request logs as a stream with a declared schema. ``pattern`` names the file in ``folder`` or,
+    as tables usually are, the folder of part files; both are read."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if is_folder(spark, f"{folder}/{pattern}"):
+        return reader.parquet(f"{folder}/{pattern}")
+    return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def start_visit_stream(requests: DataFrame, blocks: DataFrame, out: str, checkpoint: str,
                        available_now: bool = False) -> StreamingQuery:
-    """Classify and route every micro-batch: humans to ``visits``, bots to ``bot_visits``.
+    """Classify and route every micro-batch: humans to ``visits``, bots to ``bot_visits``. The batch
+    is located once and kept for both.
 
     Each batch writes one partition named by its id and replaces it when it is run
     again, so a retried batch leaves no duplicates. The day is a second partition, so
     old days can be dropped as folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        located = T.geo_lookup(T.tracked_requests(batch), blocks)
+        located = T.geo_lookup(T.tracked_requests(batch), blocks).persist()
         for name, rows in (("visits", T.to_visits(located)), ("bot_visits", T.to_bot_visits(located))):
             keyed = rows.withColumns({"batch_id": F.lit(batch_id), "day": F.to_date("created_at")})
             (keyed.write.mode("overwrite").partitionBy("batch_id", "day")
              .option("partitionOverwriteMode", "dynamic").parquet(f"{out}/{name}"))
+        located.unpersist()
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()

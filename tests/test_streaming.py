@@ -75,3 +75,14 @@ def test_drop_repeats_keeps_one_per_fingerprint(spark, sf_dir):
     _, stream, out, checkpoint = in_time_slices(spark, sf_dir, "submissions", "created_at")
     got = run(stateful.drop_repeats(stream), out, checkpoint)
     assert 0 < got.count() < source(spark, sf_dir, DERIVED["submissions"][0]).count()
+
+
+def test_a_table_of_part_files_streams_whole(spark, sf_dir, tmp_path):
+    from pagetide.plans.live import run_to_table
+    from pagetide.streaming import visits
+
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for folder in (str(tmp_path), sf_dir):
+        stream = visits.read_requests(spark, folder, table.schema, "events.parquet")
+        assert run_to_table(spark, stream).count() == table.count()
