@@ -82,15 +82,15 @@ def plurals(message: Column) -> Column:
     return F.array_distinct(F.zip_with(names, kinds, lambda n, k: F.concat(n, F.lit(":"), k)))
 
 
+# Texts that need no translation.
+URL_START, SLUG, NUMBER = r"^https?://", r"\A[a-z0-9_\-./]+\z", r"\A\d+\z"
+UNIT_TEXT, UNIT = r"(?i)\A[A-Z0-9 _\-/().,%°×→]+\z", "(?i)pdf|mb|kb|dpi"
+
+
 def may_stay_identical(value: Column, brands: tuple[str, ...] = ()) -> Column:
     """URLs, slugs, units, brand words and numbers need no translation."""
     text = strip(value)
-    tests = [
-        text.rlike(r"^https?://"),
-        text.rlike(r"\A[a-z0-9_\-./]+\z"),
-        text.rlike(r"(?i)\A[A-Z0-9 _\-/().,%°×→]+\z") & text.rlike("(?i)pdf|mb|kb|dpi"),
-        text.isin(*brands, *NEUTRAL_WORDS),
-        text.rlike(r"\A\d+\z"),
-    ]
+    tests = [text.rlike(URL_START), text.rlike(SLUG), text.rlike(UNIT_TEXT) & text.rlike(UNIT),
+             text.isin(*brands, *NEUTRAL_WORDS), text.rlike(NUMBER)]
     return F.coalesce((text != "") & reduce(lambda a, b: a | b, tests), F.lit(False))
 

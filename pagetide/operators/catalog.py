@@ -39,7 +39,7 @@ TOOLS = (
     ("exhibit_combine", "organize", "pdf", 2, 20, "pdf"),
     ("strip_image_metadata", "security", "image", 1, 10, "zip"),
 )
-# Options of the tools built here (tool, name, kind, required, default).
+# Options of the tools (tool, name, kind, required, default).
 TOOL_OPTIONS = (
     ("merge", "page_order", "text", False, None),
     ("split", "mode", "select", False, "ranges"),
@@ -72,6 +72,19 @@ TOOL_OPTIONS = (
     ("exhibit_combine", "bates_prefix", "text", False, "BATES"),
     ("exhibit_combine", "bates_start", "number", False, "1"),
     ("exhibit_combine", "slip_sheets", "boolean", False, "true"),
+    ("pdf_to_images", "format", "select", False, "png"),
+    ("pdf_to_images", "dpi", "number", False, "150"),
+    ("pdf_to_images", "pages", "pages", False, None),
+    ("watermark", "text", "text", True, None),
+    ("watermark", "opacity", "number", False, "0.2"),
+    ("crop", "top", "number", False, "0"),
+    ("crop", "bottom", "number", False, "0"),
+    ("crop", "left", "number", False, "0"),
+    ("crop", "right", "number", False, "0"),
+    ("crop", "pages", "pages", False, None),
+    ("grayscale", "dpi", "number", False, "200"),
+    ("password_protect", "password", "text", True, None),
+    ("unlock_pdf", "password", "text", True, None),
 )
 # ---- end of fixed values ----
 

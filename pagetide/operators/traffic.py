@@ -250,6 +250,7 @@ def recent_failures(jobs: DataFrame, n: int = 10) -> DataFrame:
 
 def export_view(table: str, df: DataFrame) -> DataFrame:
     """Columns of one CSV export, in order (rows are ordered by the writer)."""
+    # The columns and their order.
     if table == "visits":
         return df.select("created_at", F.col("ip_trunc").alias("ip_truncated"), "country", "city",
                          "device", "browser", "source", "path")

@@ -18,6 +18,7 @@ BOT_SQL = "coalesce(regexp_matches(user_agent, '(?i)" + "|".join(C.BOT_TOKENS) +
 _LABELS = " ".join(f"WHEN contains(lower(user_agent), '{t.lower()}') THEN '{n}'" for t, n in C.BOT_LABELS.items())
 BOT_NAME_SQL = (f"CASE {_LABELS} WHEN regexp_extract(user_agent, '{C.GENERIC_BOT_PATTERN}', 1, 'i') <> '' "
                 f"THEN left(regexp_extract(user_agent, '{C.GENERIC_BOT_PATTERN}', 1, 'i'), 64) ELSE 'Unknown bot' END")
+# Patterns of the device classes and marks of the browsers.
 _TABLET = r"ipad|tablet|playbook|sm-t\d|gt-p\d|kindle|nexus\s*7|nexus\s*9"
 _MOBILE = r"iphone|ipod|android.*mobile|windows phone|blackberry|bb10|mobile|opera mini|iemobile|wpdesktop"
 DEVICE_SQL = (f"CASE WHEN regexp_matches(user_agent, '(?i){_TABLET}') THEN 'tablet' "

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from . import schema as S
-from .operators import edits, layout, metadata, pages, text, traffic, usage
+from .operators import catalog, edits, layout, metadata, pages, text, traffic, usage
 
 
 class OptionError(ValueError):
@@ -92,3 +92,8 @@ register("quota_usage", usage.quota_usage, ("attempts",), limit=(int, None))
 register("quota_gate", usage.quota_gate, ("attempts",), limit=(int, None))
 register("lockouts", usage.lockouts, ("logins",), max_failures=(int, None), window_seconds=(int, None))
 register("reuse_duplicates", usage.reuse_duplicates, ("jobs",), window_seconds=(int, None))
+register("triage", text.triage, ("pages",))
+register("group_by_dividers", pages.group_by_dividers, _DOC)
+register("heading_levels", layout.heading_levels, ("blocks", "sizes"), compatible=(bool, None))
+register("check_translations", catalog.check_translations, ("messages", "locales"), default=(str, None))
+register("sitemap", catalog.sitemap, ("paths",), base_url=(str, None))

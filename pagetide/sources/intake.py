@@ -131,10 +131,14 @@ def pick_smallest(attempts: DataFrame, files: DataFrame) -> DataFrame:
         F.col("_c.best_size").alias("best_size"), (F.col("_c.best_size") <= F.col("target")).alias("met"))
 
 
+# Texts of the report.
+TARGET_MET, TARGET_MISSED = "OK — target met", "TARGET MISSED — smallest version possible"
+
+
 def size_report(picked: DataFrame) -> DataFrame:
     def mb(c: str) -> Column:
         return F.format_string("%.2f MB", F.col(c) / F.lit(1048576.0))
 
-    status = F.when(F.col("met"), "OK — target met").otherwise("TARGET MISSED — smallest version possible")
+    status = F.when(F.col("met"), TARGET_MET).otherwise(TARGET_MISSED)
     return picked.select("file_id", "original", "best_size", "met", status.alias("status"),
                          F.concat_ws(" -> ", mb("original"), mb("best_size")).alias("sizes"))
