@@ -239,10 +239,13 @@ def a_unique(spark, sf):
         F.count_distinct("ip_trunc").alias("unique_visitors"))
 
 
-@query("a_unique_sketch")
+@query("a_unique_sketch", ALL + f"SELECT DISTINCT strftime(created_at, '%Y-%m-%d') AS date, true AS close FROM visits WHERE {SINCE30}")
 def a_unique_sketch(spark, sf):
-    daily = T.approximate_uniques(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30))
-    return daily.agg(F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("visitors_estimate"))
+    """Whether each day's sketch is within 2 % (or one visitor) of the exact count."""
+    visits = T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30)
+    exact = visits.groupBy(V.day(F.col("created_at")).alias("date")).agg(F.count_distinct("ip_trunc").alias("n"))
+    near = F.abs(F.hll_sketch_estimate("visitors") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") * 0.02)
+    return T.approximate_uniques(visits).join(exact, "date").select("date", near.alias("close"))
 
 
 def _top_sql(table, column, k, where="true", name="name"):
