@@ -25,9 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Pieces and pairs that a worker remembers; both tables start anew when full.
-REMEMBERED_PIECES = 400_000
-REMEMBERED_PAIRS = 800_000
+from .common import tidy
+
+# Pieces and pairs that a task remembers; the tables start anew when full.
+REMEMBERED_PIECES = 200_000
+REMEMBERED_PAIRS = 400_000
 # Fixed end of patterns whose words take one space before them.
 SPACED = r""" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Longer pieces are not remembered.
@@ -194,6 +196,12 @@ class Vocabulary:
                 self.words[word] = out[at]
         return b"".join([*map(self._piece, split.pieces(first)), *out])
 
+    def forget(self) -> None:
+        """Empty the tables; the worker lives on after its task."""
+        self.pieces.clear()
+        self.words.clear()
+        self.pairs.clear()
+
     def decode(self, ids: bytes) -> bytes:
         ranks = np.frombuffer(ids, dtype="<u4")
         sizes = self.sizes[ranks]
@@ -276,6 +284,7 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows.append((doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(),
                              hashlib.sha256(vocabulary.decode(packed)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocabulary.forget()
 
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,6 +7,7 @@ left to Spark.
 from __future__ import annotations
 
 import functools
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -33,6 +34,25 @@ _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xD1B54A32D192ED03 | 1)
 
 
+def tidy(run: Callable) -> Callable:
+    """Give back what a task's Arrow and numpy buffers leave in the allocators: workers stay alive
+    between tasks, and several of them share an executor."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -193,7 +213,7 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFrame],
             if got is not None and len(got):
                 yield got
 
-    return df.repartition(width(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(width(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(tidy(run), schema)
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -248,7 +268,7 @@ def filtered(df: DataFrame, keys: DataFrame, column: str, key_column: str | None
                 value.is_null())
             yield batch.filter(_mask(hit if keep else ~hit))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def _mask(hit: np.ndarray):

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Fixed values of the language.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
                    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -371,4 +373,4 @@ def extract(pages: DataFrame, model: Field) -> DataFrame:
                                     "n_chars": [len(t) for t in text]})
 
     return pages.select("page_id", "url", "html").mapInPandas(
-        run, "page_id long, url string, text string, n_chars long")
+        tidy(run), "page_id long, url string, text string, n_chars long")

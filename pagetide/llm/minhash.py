@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import (Words, by_group, components, filtered, in_pieces, mix, shingles, signed, spread_join)
+from .common import (Words, by_group, components, filtered, in_pieces, mix, shingles, signed, spread_join, tidy)
 
 # 50 permutations, 100 values, 25 bands of 4: sets of similarity 0.8 share no band in one of
 # 500,000 cases.
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
                                    ).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
+        tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, low
     text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInPandas(
-        run, "a long, b long")
+        tidy(run), "a long, b long")
 
 
 def in_blocks(df: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:

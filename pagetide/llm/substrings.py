@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import Words, filtered, in_pieces, shingles, signed, spread_join, windows
+from .common import Words, filtered, in_pieces, shingles, signed, spread_join, tidy, windows
 
 WINDOW = 50
 SEED = 10
@@ -93,7 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "n_words", "seq_a", "seq_b",
                                                   "anchor", "stretch", "first", "last"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, _SCAN)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(tidy(run), _SCAN)
 
 
 def _window_rows(texts: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _window_rows(texts: DataFrame) -> DataFrame:
                     yield pd.DataFrame(dict(zip(("anchor", "window", "doc_id", "seq_a", "at"),
                                                 map(np.concatenate, zip(*parts)))))
 
-    return texts.mapInPandas(run, "anchor long, window long, doc_id long, seq_a long, at long")
+    return texts.mapInPandas(tidy(run), "anchor long, window long, doc_id long, seq_a long, at long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -205,4 +205,4 @@ def cut(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed:
     spans = found.groupBy(F.col("doc_id").alias("_doc_id")).agg(
         F.collect_list(F.struct("seq_a", "start", "end")).alias("_spans"))
     joined = touched.join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id")
-    return joined.mapInPandas(run, schema).union(untouched.mapInPandas(run, schema))
+    return joined.mapInPandas(tidy(run), schema).union(untouched.mapInPandas(tidy(run), schema))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import Words, in_pieces, key_filter, may_hold, shingles, signed, spread_join
+from .common import Words, in_pieces, key_filter, may_hold, shingles, signed, spread_join, tidy
 
 SHORTEST = 5
 COVERAGE = 0.6
@@ -54,7 +54,7 @@ def item_words(items: DataFrame) -> DataFrame:
                     for i, item_id in enumerate(batch["item_id"]) if len(words.of(i))]
             yield pd.DataFrame(rows, columns=["item", "item_id", "words"]).astype({"item_id": "Int64"})
 
-    return items.select("item_id", "text").mapInPandas(run, "item long, item_id long, words array<long>").groupBy(
+    return items.select("item_id", "text").mapInPandas(tidy(run), "item long, item_id long, words array<long>").groupBy(
         "item").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"))
 
 
@@ -70,7 +70,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 seeds = _seeds_of(words)
                 yield pd.DataFrame({"seed": seeds, "item": item, "at": np.arange(len(seeds)), "n": len(words)})
 
-    return items.mapInPandas(run, "seed long, item long, at long, n long")
+    return items.mapInPandas(tidy(run), "seed long, item long, at long, n long")
 
 
 def suspects(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def suspects(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "runs"]).astype({"doc_id": "Int64"})
 
-    found = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, runs array<array<long>>")
+    found = docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, runs array<array<long>>")
     return found.withColumn("row", F.xxhash64("runs"))
 
 

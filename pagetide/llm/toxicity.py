@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
+from .common import tidy
 from .linear import fit_logistic, sigmoid
 
 CATEGORIES = ("insult", "severe", "toxic")
@@ -53,7 +54,7 @@ LEAST_Z = 3.0
 # A term of the sample occurs in at least so many toxic texts.
 LEAST_TEXTS = 3
 
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -199,5 +200,6 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
                 frame = batch.iloc[at:at + 1000]
                 p = own.predict(own.features.matrix(frame["text"].tolist())[0])
                 yield frame[columns].assign(**dict(zip(names, p.T)), toxic=p[:, -1] >= threshold)
+        own.features.known.clear()
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(tidy(run), schema)
