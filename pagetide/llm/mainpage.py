@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -36,11 +37,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Their content is no text.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video".split())
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
-# A start tag ends an open element of these.
-CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
-          "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form "
-                           "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+# A start tag ends the open elements of these that no element of the second list stands around.
+_CELL, _ROW = ("caption", "colgroup", "td", "th"), ("caption", "colgroup", "td", "th", "tr")
+_PART = (*_ROW, "tbody", "tfoot", "thead")
+CLOSES = {"tr": (_ROW, ("table",)), "td": (_CELL, ("table",)), "th": (_CELL, ("table",))} | {
+    n: (_PART, ("table",)) for n in ("caption", "colgroup", "tbody", "tfoot", "thead")} | {
+    n: (("option", n), ("select", "datalist")) for n in ("option", "optgroup")}
+_ENDS_P = (("p",), ("button", "caption", "marquee", "table", "td", "th", *sorted(SILENT)))
+ENDS_PARAGRAPH = frozenset("address article aside blockquote dd details div dl dt fieldset figcaption figure footer form "
+                           "h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
+# A list item ends the open one of these, unless another element of ITEM_BOUNDS is open inside it.
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+ITEM_BOUNDS = frozenset("article aside blockquote body button caption center colgroup dd details dir dl dt fieldset "
+                        "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html iframe li listing main "
+                        "marquee menu nav ol pre search section select summary table tbody td textarea tfoot th thead "
+                        "title tr ul xmp".split()) | SILENT
 ROLE_WORDS = frozenset(
     "ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal newsletter "
     "subscribe signup form search login nav menu navbar breadcrumb breadcrumbs sidebar side aside widget related "
@@ -59,22 +70,29 @@ _WORDS = re.compile(r"[a-z]+")
 
 @dataclass
 class Block:
-    """A leaf block: its text and where it stands."""
+    """A leaf block: its text and where it stands, that is the names and class words of all open
+    elements, the innermost one, and the innermost that is not inline."""
 
-    tags: tuple[str, ...]
+    tags: frozenset[str]
     roles: frozenset[str]
+    inner: str
+    leaf: str
     text: str = ""
     linked: int = 0
     pieces: list[str] = field(default_factory=list)
 
 
 def leaf_blocks(source: str | None) -> list[Block]:
-    """Blocks with text, in page order. One pass over the tags; work is linear in the page."""
+    """Blocks with text, in page order. One pass over the tags; work is linear in the page, however
+    deep it nests: what is open is looked up by name, and elements share the sets of their parents."""
     out: list[Block] = []
     if not source:
         return out
-    stack: list[tuple[str, frozenset[str]]] = []
-    roles: list[frozenset[str]] = [frozenset()]
+    stack: list[str] = []
+    above: list[tuple[frozenset[str], frozenset[str], str, str]] = [(frozenset(), frozenset(), "", "none")]
+    # Places in the stack: of each name, and of the bounds of list items.
+    places: dict[str, list[int]] = defaultdict(list)
+    bounds: list[int] = []
     silent = links = 0
     current: Block | None = None
 
@@ -85,22 +103,31 @@ def leaf_blocks(source: str | None) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block(tuple(t for t, _ in stack), roles[-1])
+            current = Block(*above[-1])
             out.append(current)
         current.pieces.append(raw)
         if links:
             current.linked += len(raw)
 
-    def leave(count: int) -> None:
+    def leave(depth: int) -> None:
         nonlocal silent, links, current
-        for _ in range(count):
-            name, _ = stack.pop()
-            roles.pop()
+        while len(stack) > depth:
+            name = stack.pop()
+            above.pop()
+            places[name].pop()
+            if name in ITEM_BOUNDS:
+                bounds.pop()
             silent -= name in SILENT or name == "title"
             links -= name == "a"
             if name not in INLINE:
                 current = None
 
+    def end(names: tuple[str, ...], around: tuple[str, ...]) -> None:
+        inside = max((places[n][-1] for n in around if places.get(n)), default=-1)
+        depth = min((places[n][-1] for n in names if places.get(n) and places[n][-1] > inside), default=-1)
+        if depth >= 0:
+            leave(depth)
+
     at = 0
     while at < len(source):
         found = _TAG.search(source, at)
@@ -113,19 +140,17 @@ def leaf_blocks(source: str | None) -> list[Block]:
         if not name:
             continue
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == name), -1)
-            if depth >= 0:
-                leave(len(stack) - depth)
+            if places.get(name):
+                leave(places[name][-1])
             elif name not in INLINE:
                 current = None
             continue
-        closing = CLOSES.get(name, ()) + (("p",) if name in ENDS_PARAGRAPH else ())
-        for i in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-            if stack[i][0] in closing:
-                leave(len(stack) - i)
-                break
-            if stack[i][0] not in INLINE:
-                break
+        if name in CLOSES:
+            end(*CLOSES[name])
+        if name in ITEMS and bounds and stack[bounds[-1]] in ITEMS[name]:
+            leave(bounds[-1])
+        if name in ENDS_PARAGRAPH and places.get("p"):
+            end(*_ENDS_P)
         if name not in INLINE:
             current = None
         if name in VOID:
@@ -142,13 +167,18 @@ def leaf_blocks(source: str | None) -> list[Block]:
                     own.add("hidden")
         if found[3].rstrip().endswith("/") and name not in RAW:
             continue
-        stack.append((name, frozenset(own)))
-        roles.append(roles[-1] | own if own else roles[-1])
+        tags, roles, _, leaf = above[-1]
+        above.append((tags if name in tags else tags | {name}, roles if own <= roles else roles | own, name,
+                      leaf if name in INLINE else name))
+        places[name].append(len(stack))
+        if name in ITEM_BOUNDS:
+            bounds.append(len(stack))
+        stack.append(name)
         silent += name in SILENT or name == "title"
         links += name == "a"
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-            stop = end.start() if end else len(source)
+            after = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+            stop = after.start() if after else len(source)
             add(source[at:stop])
             at = stop
     for block in out:
@@ -162,13 +192,12 @@ _NOTICE_WORDS = re.compile(r"\b(cookies?|privacy|subscribe|newsletter|sign up|lo
 
 def block_features(blocks: Sequence[Block]) -> list[list[str]]:
     out = []
-    heading = next((i for i, b in enumerate(blocks) if b.tags and b.tags[-1] == "h1"), -1)
+    heading = next((i for i, b in enumerate(blocks) if b.inner == "h1"), -1)
     for i, b in enumerate(blocks):
         text, n = b.text, len(b.text)
         words = text.count(" ") + 1
         share = b.linked / max(1, sum(map(len, b.pieces)))
-        tags = {t for t in b.tags if t not in ("html", "body")}
-        leaf = next((t for t in reversed(b.tags) if t not in INLINE), "none")
+        tags, leaf = b.tags - {"html", "body"}, b.leaf
         f = [f"in {t}" for t in tags] + [f"role {r}" for r in b.roles] + [f"leaf {leaf}"]
         f.append("words " + ("1" if words < 3 else "3" if words < 8 else "8" if words < 20 else "20" if words < 50 else "50"))
         f.append("links " + ("0" if share == 0 else "some" if share < 0.3 else "half" if share < 0.7 else "all"))

@@ -71,3 +71,47 @@ def test_given_pages(spark, sf_dir):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer)", r["html"], re.S)[1]
         parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?(?:b|i|a)\b[^>]*>", "", inner.replace("<br>", " ")))
         assert got[r["page_id"]] == "\n\n".join(t for t in (" ".join(html.unescape(p).split()) for p in parts) if t)
+
+
+OPEN_LISTS = {
+    "li": "<ul>" + "<li><p>entry {}".join([""] * 5001) + "</ul>",
+    "dd": "<dl>" + "<dt><p>term {}<dd><div>told".join([""] * 5001) + "</dl>",
+    "tr": "<table>" + "<tr><td>cell {}<td><div>more".join([""] * 5001) + "</table>",
+    "tbody": "<table>" + "<tbody><tr><th>cell {}".join([""] * 5001) + "</table>",
+    "p": "<div>" + ("<p>" + "<b>" * 20 + "entry").join([""] * 5001) + "</div>",
+    "h4": "<ul>" + "<li><h4>entry {}".join([""] * 5001) + "</ul>",
+    "section": "<section>entry" * 5000,
+}
+
+
+@pytest.mark.parametrize("kind", OPEN_LISTS)
+def test_omitted_end_tags(model, kind):
+    """Elements without end tags leave nothing open beyond the element around them."""
+    prose = [f"{t} And there is more to say about it, in as many words." for t in TEXTS]
+    paragraphs = "".join(f"<p>{t}</p>" for t in prose)
+    blocks = mainpage.leaf_blocks(f"<html><body><nav class='menu'>{OPEN_LISTS[kind]}</nav><article><h1>A title</h1>{paragraphs}"
+                                  f"</article><div class='comments'><p>I liked it, thanks.</p></div></body></html>")
+    at = [b.text for b in blocks].index("A title")
+    assert at >= 5000 and all("nav" in b.tags for b in blocks[:at])
+    assert [b.text for b in blocks[at:]] == ["A title", *prose, "I liked it, thanks."]
+    assert all(set(b.tags) == {"html", "body", "article", "h1" if b is blocks[at] else "p"} and not b.roles for b in blocks[at:-1])
+    assert set(blocks[-1].tags) == {"html", "body", "div", "p"} and blocks[-1].roles == {"comments"}
+    states = model.decode(blocks)
+    assert not any(states[:at]) and all(states[at:-1]) and not states[-1]
+
+
+def test_items_end_where_html_ends_them():
+    """An item ends the open one of its own list, row or table only."""
+    def tags(page):
+        return [sorted(set(b.tags)) for b in mainpage.leaf_blocks(page)]
+
+    assert tags("<ul><li><p>a<ul><li>b<li>c</ul>d<li>e</ul>f") == [
+        ["li", "p", "ul"], ["li", "ul"], ["li", "ul"], ["li", "ul"], ["li", "ul"], []]
+    assert tags("<table><tr><td><table><tr><td>a<tr><th>b</table>c<td>d<tr><td>e<tfoot><tr><td>f</table>g") == [
+        ["table", "td", "tr"], ["table", "td", "th", "tr"], ["table", "td", "tr"], ["table", "td", "tr"],
+        ["table", "td", "tr"], ["table", "td", "tfoot", "tr"], []]
+    assert tags("<ul><li><section><p>a<li>b</section><li>c</ul>") == [["li", "p", "section", "ul"], ["li", "section", "ul"], ["li", "ul"]]
+    assert tags("<select><optgroup><option>a<option>b<optgroup><option>c</select>d") == [
+        ["optgroup", "option", "select"]] * 3 + [[]]
+    assert [b.text for b in mainpage.leaf_blocks("<ul><li>a<p>b<video><p>no<li>no</video>c<svg><text><p>no</svg><li>d</ul>")] == [
+        "a", "b", "c", "d"]
