@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` wr
 again for the next one. All but the last keep the columns of documents.
 
 * toxicity: documents that the classifier chain rejects go.
-* near_duplicates: of documents linked by five-word shingle sets of similarity 0.8 or more, the
-  one with the smallest identifier stays. Rows that repeat an identifier are one document, and
-  one row of it stays. Rows without an identifier stay.
+* near_duplicates: of rows linked by five-word shingle sets of similarity 0.8 or more, one stays:
+  that with the smallest identifier (none comes last), of these the longest text, then the one of
+  the smallest hash. Unequal texts of one identifier are judged each for itself; of equal rows,
+  one stays.
 * repeated_passages: words of passages of 50 words or more that an earlier document has go; the
   rest of such a text is its kept words, joined by single spaces, and n_chars follows. Texts
   that lose nothing stay as they are. A text that is all repeats becomes empty.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm import bpe, minhash, substrings, tiling, toxicity
-from pagetide.llm.common import filtered, prepare, table
+from pagetide.llm.common import filtered, prepare, spread_join, table
 from pagetide.llm.queries import tokenizer
 from pagetide.session import store
 
@@ -33,21 +34,34 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, chain).where("not toxic").select(*docs.columns)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the identifiers in ``gone``; only rows that may be among them are joined."""
-    columns = docs.columns
-    touched = filtered(docs, gone, "doc_id").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    return filtered(docs, gone, "doc_id", keep=False).select(*columns).union(touched.select(*columns))
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of identifier and text, ``row``."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def without(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` without the rows in ``gone``, by ``columns``, the first of which is a number that is
+    never null; only rows that may be among them are joined."""
+    lost = gone.select(*(F.col(c).alias(f"_{c}") for c in columns)).distinct()
+    touched = filtered(docs, gone, columns[0])
+    same = [touched[c].eqNullSafe(lost[f"_{c}"]) for c in columns]
+    return filtered(docs, gone, columns[0], keep=False).union(touched.join(lost, same, "left_anti"))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    groups = store(minhash.near_duplicates(docs, SHINGLE), "groups")
-    gone = groups.where("doc_id <> component_id")
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = without(docs, gone)
-    once = filtered(kept, again, "doc_id").dropDuplicates(["doc_id"])
-    return filtered(kept, again, "doc_id", keep=False).union(once)
+    groups = store(minhash.row_groups(docs, SHINGLE).withColumnRenamed("name", "doc_id"), "groups")
+    best = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
+        F.col("doc_id").isNull(), F.col("doc_id").alias("best_id"), -F.col("size"), F.col("row").alias("best_row"))).alias("b")
+        ).where("n > 1").select("root", "b.best_id", "b.best_row")
+    linked = store(spread_join(groups, best, ["root"], "inner").withColumn(
+        "best", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row"))), "linked")
+    again = store(linked.where("best").groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    kept = without(by_row(docs), linked.where("not best"), ["row", "doc_id"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = filtered(kept, again, "row").groupBy("doc_id", "text").agg(
+        F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    return filtered(kept, again, "row", keep=False).select(*docs.columns).union(once.select(*docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +77,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return without(docs, store(tiling.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
+    leaks = store(tiling.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks")
+    return without(docs, leaks.where("doc_id is not null").select("doc_id"), ["doc_id"])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ ever expanded into rows for its pairs.
 
 Cases: a null, empty or blank text has an empty set and links with nothing; with fewer words
 than a shingle, the whole sequence is the only shingle; rows that repeat an identifier are one
-document and link if any of them does; a row without an identifier takes part, stands after all
-others, and is reported with null (identifiers must be under 2**62); an empty table gives no
-rows; other columns are ignored.
+document and link if any of them does: each of their texts is compared as its own, and in
+``near_duplicates``, not in ``row_groups``, a link ties them; a row without an identifier takes
+part, stands after all others, and is reported with null (identifiers must be under 2**62); an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ LEAST_ESTIMATE = 0.62
 # Rows without an identifier get one from here on, by their text.
 NO_ID = 1 << 62
 
+# So do the texts of an identifier that has several, by identifier and text.
+REPEATED = NO_ID + (1 << 61)
+
 # Classes that meet in one block.
 BLOCK = 1024
 
@@ -77,28 +81,45 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(name, row, size, doc_id, text): the given identifier, a hash of it and the text, the length
+    of the text, and a number that no two texts share."""
+    mark = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where(
+        "a <> b").select("doc_id", F.lit(True).alias("several"))
+    row = F.xxhash64("doc_id", "text")
+    return spread_join(docs.select("doc_id", "text"), several, ["doc_id"]).select(
+        F.col("doc_id").alias("name"), row.alias("row"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
+        F.when(F.col("several"), F.lit(REPEATED) + row.bitwiseAND(F.lit((1 << 61) - 1))).otherwise(F.coalesce(
+            "doc_id", F.lit(NO_ID) + mark.bitwiseAND(F.lit((1 << 60) - 1)))).alias("doc_id"), "text")
+
+
 def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, marks): size and 128-bit identity of each set, its
-    band keys, and the low byte of every signature value."""
+    """(name, row, size, doc_id, n_shingles, set_a, set_b, bands, marks): the columns of ``numbered``,
+    size and 128-bit identity of each set, its band keys, and the low byte of every signature value."""
+    own = ["name", "row", "size", "doc_id"]
+
     def run(batches):
         for batch in batches:
             for frame in in_pieces(batch, "text"):
                 words = Words(frame["text"].tolist(), lower)
                 rows = []
-                for i, doc_id in enumerate(frame["doc_id"]):
+                for i in range(len(frame)):
                     items = np.unique(shingles(words.of(i), k))
                     if len(items):
                         values = signature(items)
-                        rows.append((doc_id, len(items), int(signed(items.sum(keepdims=True))[0]),
+                        rows.append((len(items), int(signed(items.sum(keepdims=True))[0]),
                                      int(signed(np.bitwise_xor.reduce(mix(items), keepdims=True))[0]),
                                      signed(band_keys(values)), values.astype(np.uint8).tobytes()))
                     else:
-                        rows.append((doc_id, 0, 0, 0, None, None))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "bands", "marks"]
-                                   ).astype({"doc_id": "Int64"})
+                        rows.append((0, 0, 0, None, None))
+                found = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "marks"])
+                # Arrow gives identifiers with nulls as floats; they came as text, to stay exact.
+                ids = frame[own].reset_index(drop=True).astype({"name": "string"}).astype({"name": "Int64"})
+                yield pd.concat([ids, found], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(
-        tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
+    return docs.select(F.col("name").cast("string").alias("name"), *own[1:], "text").mapInPandas(
+        tidy(run), "name long, row long, size long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -210,19 +231,19 @@ def within_families(families: DataFrame, roots: DataFrame, marks: DataFrame, tex
     return by_group(blocks, ["family", "i", "j"], link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int, similarity: float = SIMILARITY, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
-    unnamed = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1))
-    documents = docs.select(F.coalesce("doc_id", unnamed).alias("doc_id"), "text")
+def row_groups(docs: DataFrame, k: int, similarity: float = SIMILARITY, lower: bool = True, ties: bool = False) -> DataFrame:
+    """(name, row, size, n_shingles, root) for every row, the first three as in ``numbered``; rows of
+    one root are linked. With ``ties``, so are all texts of an identifier, by that."""
+    documents = numbered(docs)
     base = store(sketches(documents, k, lower), "sketches")
     sets = ["n_shingles", "set_a", "set_b"]
     full = base.where("n_shingles > 0")
     shared = full.groupBy(*sets).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where(
         "n > 1").drop("n")
-    member = store(spread_join(base.select("doc_id", *sets), shared, sets).select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id"))
+    member = store(spread_join(base.select("name", "row", "size", "doc_id", *sets), shared, sets).select(
+        "name", "row", "size", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id"))
         .otherwise(F.col("doc_id")).alias("node")), "classes")
-    # Only documents that stand for a class go on; rows that repeat an identifier are one node.
+    # Only documents that stand for a class go on; equal rows are one node.
     nodes = member.where("n_shingles > 0").select("node").distinct()
     classes = full.join(nodes, F.col("doc_id") == F.col("node")).groupBy("node", *sets).agg(
         F.first("bands").alias("bands"), F.first("marks").alias("marks"))
@@ -235,14 +256,20 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = SIMILARITY, low
                   .groupBy("node", "text").agg(F.lit(1)).select("node", "text"), "pool")
     first = store(confirmed(entries.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
                             .distinct(), texts, k, similarity, lower), "confirmed")
+    if ties:
+        first = first.union(member.where(F.col("doc_id") >= REPEATED).select("name", "node").distinct())
     roots = components(first)
     families = components(still_apart(entries.drop("hub"), roots))
     marks = entries.groupBy("node").agg(F.min("marks").alias("marks"))
     second = store(within_families(families, roots, marks, texts, k, similarity, lower), "confirmed")
     roots = components(first.union(second))
-    out = spread_join(member, roots, ["node"])
-    return out.select(
-        F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), "n_shingles",
-        F.when(F.coalesce("root", "node") < NO_ID, F.coalesce("root", "node")).alias("component_id"))
+    return spread_join(member, roots, ["node"]).select(
+        "name", "row", "size", "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, k: int, similarity: float = SIMILARITY, lower: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row."""
+    return row_groups(docs, k, similarity, lower, ties=True).select(
+        F.col("name").alias("doc_id"), "n_shingles", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
 
 

@@ -82,3 +82,21 @@ def test_signatures_estimate_similarity():
         b = np.concatenate([shared, rng.integers(0, 2**64, 60, dtype=np.uint64)])
         errors.append((minhash.signature(a) == minhash.signature(b)).mean() - 300 / 420)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.06
+
+
+def test_unequal_texts_of_one_identifier(spark):
+    """Every text of an identifier can link, and its rows are one document."""
+    rng = random.Random(5)
+    data = [(i, prose(rng, 60)) for i in range(1, 9)]
+    near = [t.replace(t.split()[30], "other", 1) for _, t in data]
+    data += [(20, near[0]), (20, near[1]), (20, ""), (21, data[2][1]), (21, prose(rng, 60)), (22, near[3]), (22, near[3]),
+             (3, near[4]), (30, prose(rng, 60)), (30, prose(rng, 60)), (2**61 + 1, near[5]), (2**61 + 1, None), (None, near[6])]
+    sets = [shingle_set(t, 4) for _, t in data]
+    ids = sorted(i for i, _ in data if i)
+    links = [(data[a][0] or 2**62, data[b][0] or 2**62) for a in range(len(data)) for b in range(a)
+             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots([*ids, 2**62], links)
+    got = minhash.near_duplicates(spark.createDataFrame(data, DOCS).repartition(4), 4).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(i, len(s), root[i or 2**62]) for (i, _), s in zip(data, sets)], key=str)
+    assert root[20] == 1 == root[2] and root[21] == 3 == root[5]

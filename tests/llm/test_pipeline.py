@@ -107,3 +107,23 @@ def test_odd_rows(spark, stages, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             frame = store(stage(spark, frame, sf_dir), name)
         assert frame.count() <= more.count()
+
+
+def test_near_duplicates_of_repeated_identifiers(spark, stages, sf_dir):
+    """Only rows that are like another go, whatever identifier they have."""
+    import random
+
+    from helpers import prose
+
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    like = a.replace(a.split()[30], "other", 1)
+    data = [(1, a, "en", "x", 1), (2, like, "en", "x", 2), (2, b, "en", "x", 3), (2, b, "de", "w", 3), (3, "", "en", "x", 0),
+            (3, c, "en", "x", 4), (3, None, "en", "x", 0), (4, b + " end", "en", "x", 5), (5, d, "en", "x", 6),
+            (5, d + " and more", "en", "x", 7)]
+    want = [(1, a, "en", "x", 1), (2, b, "de", "w", 3), (3, "", "en", "x", 0), (3, c, "en", "x", 4), (3, None, "en", "x", 0),
+            (5, d + " and more", "en", "x", 7)]
+    docs = spark.createDataFrame(data, stages[0].schema)
+    for parts in (1, 4):
+        got = corpus_pipeline.remove_near_duplicates(spark, docs.repartition(parts), sf_dir).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
