@@ -11,7 +11,8 @@ again for the next one. All but the last keep the columns of documents.
 * repeated_passages: words of passages of 50 words or more that an earlier document has go; the
   rest of such a text is its kept words, joined by single spaces, and n_chars follows. Texts
   that lose nothing stay as they are. A text that is all repeats becomes empty.
-* decontamination: documents that contain a benchmark item in tiles go.
+* decontamination: rows that contain a benchmark item in tiles go, by a hash of identifier and
+  text, so those without an identifier too.
 * tokens: every text is encoded, and decoded again as a proof.
 """
 
@@ -77,8 +78,9 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    leaks = store(tiling.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks")
-    return without(docs, leaks.where("doc_id is not null").select("doc_id"), ["doc_id"])
+    rows = by_row(docs)
+    leaks = store(tiling.leaks(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")), "leaks")
+    return without(rows, leaks.select(F.col("doc_id").alias("row")), ["row"]).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,12 @@ def test_near_duplicates_of_repeated_identifiers(spark, stages, sf_dir):
     for parts in (1, 4):
         got = corpus_pipeline.remove_near_duplicates(spark, docs.repartition(parts), sf_dir).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_decontamination_without_identifiers(spark, sf_dir):
+    """A contaminated row goes without an identifier as well, and takes no clean row along."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    data = [(None, item), (None, "nothing of it here"), (7, item), (7, "a clean text of the same identifier"), (8, None), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = corpus_pipeline.decontaminate(spark, docs, sf_dir)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in data if r[1] != item), key=str)
