@@ -59,7 +59,9 @@ ROLE_WORDS = frozenset(
     "article content post entry body main story text page title author byline meta tags pager pagination toolbar "
     "disclaimer warning gdpr privacy feedback reviews rating teaser outbrain".split())
 
+# Layouts are filled with text from so many characters each of so many pages.
 SAMPLE_PAGES = 300
+SAMPLE_CHARACTERS = 6000
 LAYOUT_COPIES = 12
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -208,7 +210,7 @@ def block_features(blocks: Sequence[Block]) -> list[list[str]]:
             f.append("notice words")
         if "|" in text or "·" in text or "»" in text or "›" in text:
             f.append("separators")
-        if sum(c.isdigit() for c in text[:200]) > 0.2 * min(n, 200):
+        if sum(map(str.isdigit, text)) > 0.2 * n:
             f.append("digits")
         f.append("before title" if i < heading else "after title" if heading >= 0 else "no title")
         if "article" in tags or "main" in tags:
@@ -370,10 +372,11 @@ def fill_layout(layout: str, texts: Sequence[str], rng: np.random.Generator) ->
     return blocks, states
 
 
-def train(pages: DataFrame, size: int = SAMPLE_PAGES) -> Field:
-    """A field trained on labelled layouts, filled with sentences of at most ``size`` of the pages."""
-    # Bounded by ``size`` rows of at most 2,000 characters each; the text only fills layouts.
-    rows = pages.where("html is not null").select("page_id", F.substring("html", 1, 6000).alias("h")).orderBy(
+def train(pages: DataFrame, size: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> Field:
+    """A field trained on labelled layouts, filled with sentences of the first ``characters`` of at
+    most ``size`` of the pages."""
+    # Bounded by ``size`` rows of at most ``characters`` each; the text only fills layouts.
+    rows = pages.where("html is not null").select("page_id", F.substring("html", 1, characters).alias("h")).orderBy(
         F.xxhash64("page_id"), "page_id").limit(size).select("h").collect()
     texts = []
     for row in rows:

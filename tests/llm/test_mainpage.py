@@ -115,3 +115,10 @@ def test_items_end_where_html_ends_them():
         ["optgroup", "option", "select"]] * 3 + [[]]
     assert [b.text for b in mainpage.leaf_blocks("<ul><li>a<p>b<video><p>no<li>no</video>c<svg><text><p>no</svg><li>d</ul>")] == [
         "a", "b", "c", "d"]
+
+
+def test_digits_of_the_whole_block():
+    """A block is judged by all of its text, not by how it begins."""
+    prose, figures = "Words without any figures. " * 40, "1234 5678 " * 40
+    found = mainpage.block_features(mainpage.leaf_blocks(f"<p>{figures[:200]}{prose}</p><p>{prose[:260]}{figures * 3}</p>"))
+    assert ["digits" in f for f in found] == [False, True]
