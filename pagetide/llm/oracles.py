@@ -91,3 +91,51 @@ nodes AS (SELECT id FROM d),
 SELECT d.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.root AS component_id, d.id = r.root AS kept
 FROM d LEFT JOIN n USING (id) JOIN roots r USING (id)
 """
+
+# A run of period q holds at least 3 q - 2 places whose three words come again q words on, so only
+# distances found that often are tried as periods.
+RUNS = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, crc32_of AS h, {_WORDS.format(text="coalesce(text, '')")} AS w
+  FROM (SELECT doc_id, text, CASE WHEN doc_id IS NOT NULL THEN
+    list_reduce(list_transform(range(0, length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, (i + 1)::INT, 1))::BIGINT),
+      lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda t, z: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END)),
+      4294967295::BIGINT) END AS reg, xor(reg, 4294967295::BIGINT) AS crc32_of FROM documents)
+),
+m AS (
+  SELECT k, doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d
+),
+t AS MATERIALIZED (
+  SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n),
+    lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM m
+),
+words AS MATERIALIZED (SELECT k, i, w[i + 1] AS w FROM (SELECT k, w, unnest(range(0, n)) AS i FROM t)),
+triples AS (
+  SELECT k, i, w || chr(10) || lead(w, 1) OVER p || chr(10) || lead(w, 2) OVER p AS x FROM words WINDOW p AS (PARTITION BY k ORDER BY i)
+),
+repeated AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k, x) AS c FROM triples WHERE x IS NOT NULL) WHERE c >= 3),
+periods AS MATERIALIZED (
+  SELECT k, q FROM (SELECT a.k AS k, b.i - a.i AS q, count(*) AS c FROM repeated a
+    JOIN repeated b ON a.k = b.k AND a.x = b.x AND a.i < b.i GROUP BY 1, 2) WHERE c >= 3 AND c >= 3 * q - 2
+),
+equal AS (SELECT p.k, p.q, a.i FROM periods p JOIN words a ON a.k = p.k JOIN words b ON b.k = p.k AND b.i = a.i + p.q WHERE a.w = b.w),
+islands AS (
+  SELECT k, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM equal) GROUP BY k, q, island
+),
+found AS MATERIALIZED (
+  SELECT k, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY ALL
+),
+per_document AS (
+  SELECT k, count(*) AS n_runs, arg_max([start, length, period], [length, -start, -period]) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM found GROUP BY k
+),
+dropped AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM found),
+kept AS (
+  SELECT words.k, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (k, i) GROUP BY words.k
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+  1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN per_document USING (k) LEFT JOIN kept USING (k)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
-from . import bpe, mainpage, minhash, oracles, quality, shards, substrings, tiling, toxicity, vectors, warc
+from . import bpe, mainpage, minhash, oracles, quality, runs, shards, substrings, tiling, toxicity, vectors, warc
 from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,30 @@ def op3_crf_main_text(spark, sf_dir):
     return mainpage.extract(pages, mainpage.train(pages))
 
 
+@query("op12_periodic_runs", oracles.RUNS)
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a tenth of the documents, drawn by a checksum, get a run as the contract says
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.withColumn("h", h).withColumn("words", F.when(
+        F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    cut = cut.withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.element_at("words", (
+        F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")) + 1).cast("int")))
+    found = runs.find(cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(
+        F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c] for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
