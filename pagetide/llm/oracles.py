@@ -139,3 +139,28 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS lengt
   sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM t LEFT JOIN per_document USING (k) LEFT JOIN kept USING (k)
 """
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SEARCH = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents),
+i AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+wanted AS MATERIALIZED (SELECT DISTINCT q, unnest(t) AS term FROM i),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+postings AS MATERIALIZED (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM d) SEMI JOIN wanted USING (term) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term
+),
+parts AS MATERIALIZED (
+  SELECT k, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(t) * docs) // terms))) AS impact
+  FROM postings JOIN weights USING (term) JOIN d USING (k), totals
+),
+scores AS (SELECT q, k, sum(impact)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY ALL HAVING sum(impact) > 0),
+ranked AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores JOIN d USING (k)
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 50
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
-from . import bpe, mainpage, minhash, oracles, quality, runs, shards, substrings, tiling, toxicity, vectors, warc
+from . import bpe, mainpage, minhash, oracles, quality, runs, search, shards, substrings, tiling, toxicity, vectors, warc
 from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,11 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query("op13_ranked_search", oracles.SEARCH)
+def op13_ranked_search(spark, sf_dir):
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -19,6 +19,7 @@ COLUMNS = {
     "op10": ["doc_id bigint", "toxic boolean"],
     "op12": ["doc_id bigint", "n_runs bigint", "start bigint", "length bigint", "period bigint", "exponent_milli bigint",
              "runs_sha256 string", "collapsed_sha256 string"],
+    "op13": ["item_id bigint", "rank int", "doc_id bigint", "score bigint"],
 }
 TABLE = {"op2": "pages", "op3": "pages", "op4": "embeddings"}
 
