@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
-from . import bpe, mainpage, minhash, oracles, quality, runs, search, shards, substrings, tiling, toxicity, vectors, warc
+from . import bpe, mainpage, minhash, oracles, ordered, quality, runs, search, shards, substrings, tiling, toxicity, vectors, warc
 from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,13 @@ def op13_ranked_search(spark, sf_dir):
     return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_order_minhash")
+def op11_order_minhash(spark, sf_dir):
+    found = ordered.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[
+        ordered.to_text(c).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -17,6 +17,8 @@ COLUMNS = {
     "op8": ["doc_id bigint", "n_shingles bigint", "component_id bigint", "kept boolean"],
     "op9": ["doc_id bigint", "contaminated boolean"],
     "op10": ["doc_id bigint", "toxic boolean"],
+    "op11": ["doc_id bigint", "n_chars bigint", "edited_sha256 string", "fingerprint string", "edited_fingerprint string",
+             "near_edited double", "near_next double"],
     "op12": ["doc_id bigint", "n_runs bigint", "start bigint", "length bigint", "period bigint", "exponent_milli bigint",
              "runs_sha256 string", "collapsed_sha256 string"],
     "op13": ["item_id bigint", "rank int", "doc_id bigint", "score bigint"],
