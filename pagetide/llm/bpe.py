@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import HELD, frames
 
 # Pieces and pairs that a task remembers; the tables start anew when full.
 REMEMBERED_PIECES = 200_000
@@ -212,6 +212,7 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def _vocabulary(ranks: bytes) -> Vocabulary:
+    HELD["bpe"] = lambda: _vocabulary.cache_clear()
     return Vocabulary(read_ranks(ranks))
 
 
@@ -279,12 +280,13 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         vocabulary, split = _vocabulary(shared.value), split_pattern(pattern)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch["text"]:
                 packed = vocabulary.encode(text or "", split)
-                rows.append((doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(),
+                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(),
                              hashlib.sha256(vocabulary.decode(packed)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(
+                doc_id=batch["doc_id"])
         vocabulary.forget()
 
-    return docs.select("doc_id", "text").mapInPandas(
-        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return frames(docs.select("doc_id", "text"), run,
+                  "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", owner="bpe")

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import discard, ship, store
 
@@ -34,18 +35,26 @@ _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xD1B54A32D192ED03 | 1)
 
 
-def tidy(run: Callable) -> Callable:
-    """Give back what a task's Arrow and numpy buffers leave in the allocators: workers stay alive
-    between tasks, and several of them share an executor."""
+# What a worker keeps from task to task, by the operator that uses it: how to let it go.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable, owner: str | None = None) -> Callable:
+    """Give back what a task's Arrow and numpy buffers leave in the allocators, the tables of powers,
+    and what other operators than ``owner`` keep: workers stay alive between tasks, and several
+    of them share an executor."""
     @functools.wraps(run)
     def wrapped(batches):
         import ctypes
 
         import pyarrow as pa
 
+        for name in [n for n in HELD if n != owner]:
+            HELD.pop(name)()
         try:
             yield from run(batches)
         finally:
+            _powers.cache_clear()
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":
                 getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
@@ -68,6 +77,28 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def frames(df: DataFrame, run: Callable, schema: str | T.StructType, owner: str | None = None) -> DataFrame:
+    """``mapInPandas`` that keeps whole numbers whole. A column of them with nulls in a batch reaches
+    ``run`` as Python objects; as doubles, identifiers above 2**53 would change."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+
+    def wrapped(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = to_arrow_schema(schema)
+        for frame in run(batch.to_pandas(integer_object_nulls=True) for batch in batches):
+            yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
+
+    return df.mapInArrow(tidy(wrapped, owner), schema)
+
+
+def whole(values: Sequence[int | None]) -> pd.Series:
+    """A column of whole numbers and nulls."""
+    return pd.Series(values, dtype=object)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

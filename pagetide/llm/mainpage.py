@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import frames
 
 # Fixed values of the language.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
@@ -375,9 +375,12 @@ def fill_layout(layout: str, texts: Sequence[str], rng: np.random.Generator) ->
 def train(pages: DataFrame, size: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> Field:
     """A field trained on labelled layouts, filled with sentences of the first ``characters`` of at
     most ``size`` of the pages."""
-    # Bounded by ``size`` rows of at most ``characters`` each; the text only fills layouts.
-    rows = pages.where("html is not null").select("page_id", F.substring("html", 1, characters).alias("h")).orderBy(
-        F.xxhash64("page_id"), "page_id").limit(size).select("h").collect()
+    # Bounded by ``size`` identifiers, then by one row each of at most ``characters``; the text only
+    # fills layouts.
+    picked = pages.where("page_id is not null and html is not null").select("page_id").orderBy(
+        F.xxhash64("page_id"), "page_id").limit(size).distinct()
+    rows = pages.join(F.broadcast(picked), "page_id", "left_semi").groupBy("page_id").agg(
+        F.min(F.substring("html", 1, characters)).alias("h")).orderBy(F.xxhash64("page_id")).select("h").collect()
     texts = []
     for row in rows:
         for block in (b for b in leaf_blocks(row["h"]) if "p" in b.tags):
@@ -401,8 +404,8 @@ def extract(pages: DataFrame, model: Field) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at:at + 500]
                 text = [main_text(h, shared.value) for h in part["html"]]
-                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": text,
+                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text,
                                     "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(
-        tidy(run), "page_id long, url string, text string, n_chars long")
+    return frames(pages.select("page_id", "url", "html"), run,
+                  "page_id long, url string, text string, n_chars long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import Words, filtered, in_pieces, shingles, signed, spread_join, tidy, windows
+from .common import Words, filtered, frames, in_pieces, shingles, signed, spread_join, tidy, windows
 
 WINDOW = 50
 SEED = 10
@@ -205,4 +205,4 @@ def cut(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed:
     spans = found.groupBy(F.col("doc_id").alias("_doc_id")).agg(
         F.collect_list(F.struct("seq_a", "start", "end")).alias("_spans"))
     joined = touched.join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id")
-    return joined.mapInPandas(tidy(run), schema).union(untouched.mapInPandas(tidy(run), schema))
+    return frames(joined, run, schema).union(frames(untouched, run, schema))

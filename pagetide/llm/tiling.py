@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import Words, in_pieces, key_filter, may_hold, shingles, signed, spread_join, tidy
+from .common import (Words, frames, in_pieces, key_filter, may_hold, shingles, signed, spread_join, tidy, whole,
+                     width)
 
 SHORTEST = 5
 COVERAGE = 0.6
@@ -52,9 +53,9 @@ def item_words(items: DataFrame) -> DataFrame:
             words = Words(folded(batch["text"]))
             rows = [(int(signed(shingles(words.of(i), len(words.of(i)) or 1)[:1])[0]), item_id, signed(words.of(i)))
                     for i, item_id in enumerate(batch["item_id"]) if len(words.of(i))]
-            yield pd.DataFrame(rows, columns=["item", "item_id", "words"]).astype({"item_id": "Int64"})
+            yield pd.DataFrame({"item": [r[0] for r in rows], "item_id": whole([r[1] for r in rows]), "words": [r[2] for r in rows]})
 
-    return items.select("item_id", "text").mapInPandas(tidy(run), "item long, item_id long, words array<long>").groupBy(
+    return frames(items.select("item_id", "text"), run, "item long, item_id long, words array<long>").groupBy(
         "item").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"))
 
 
@@ -100,9 +101,9 @@ def suspects(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                         runs = [signed(own[a:b]).tolist() for a, b in zip(edge[::2], edge[1::2])]
                         rows.append((doc_id, runs))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "runs"]).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame({"doc_id": whole([r[0] for r in rows]), "runs": [r[1] for r in rows]})
 
-    found = docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, runs array<array<long>>")
+    found = frames(docs.select("doc_id", "text"), run, "doc_id long, runs array<array<long>>")
     return found.withColumn("row", F.xxhash64("runs"))
 
 
@@ -197,10 +198,12 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
                 text = np.concatenate([np.append(np.asarray(r, dtype=np.int64), gap) for r in runs])
                 lengths = [n for _, _, n in tiles(text, item, min(SHORTEST, len(item)))]
                 out.append((row, item_id, sum(lengths) / len(item), len(lengths)))
-            yield pd.DataFrame(out, columns=["row", "item_id", "covered", "n_tiles"]).astype({"item_id": "Int64"})
+            yield pd.DataFrame(out, columns=["row", "item_id", "covered", "n_tiles"], dtype=object)
 
-    judged = pairs.join(bodies, "row").join(known, "item").mapInPandas(
-        judge, "row long, item_id long, covered double, n_tiles long").where(F.col("covered") >= coverage)
+    # judging is bound by work, not bytes: all cores take part
+    spread = pairs.join(bodies, "row").join(known, "item").repartition(width(docs.sparkSession))
+    judged = frames(spread, judge, "row long, item_id long, covered double, n_tiles long").where(
+        F.col("covered") >= coverage)
     best = judged.groupBy("row").agg(F.max_by(F.struct("item_id", "covered", "n_tiles"),
                                               F.struct("covered", -F.col("item_id"))).alias("b")).select(
         "row", "b.*")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import tidy
+from .common import frames
 from .linear import fit_logistic, sigmoid
 
 CATEGORIES = ("insult", "severe", "toxic")
@@ -202,4 +202,4 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
                 yield frame[columns].assign(**dict(zip(names, p.T)), toxic=p[:, -1] >= threshold)
         own.features.known.clear()
 
-    return docs.mapInPandas(tidy(run), schema)
+    return frames(docs, run, schema)

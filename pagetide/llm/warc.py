@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, store
-from .common import spread_join, width
+from .common import frames, spread_join, width
 
 # Fixed values of the format.
 BREAK = "\r\n"
@@ -136,7 +136,6 @@ def parse_archive(content: bytes, name: str) -> Iterator[tuple]:
 
 
 _COLUMNS = [re.split(r"\s+", c.strip())[0] for c in CAPTURE.split(",")]
-_LONGS = {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "record_offset": "Int64"}
 
 
 def sort_key(row: tuple) -> tuple:
@@ -145,7 +144,7 @@ def sort_key(row: tuple) -> tuple:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype(_LONGS)
+    return pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -156,7 +155,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield _frame(sorted(parse_archive(content, name.rsplit("/", 1)[-1]), key=sort_key))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("path", "content").mapInPandas(parse, CAPTURE)
+    return frames(files.select("path", "content"), parse, CAPTURE)
 
 
 class LoserTree:
@@ -224,8 +223,8 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     # Spark's own (spilling) sort puts each run's piece together and in order; the merge across
     # runs is the loser tree's.
     dealt = captures.repartitionByRange(width(spark), "url_key", "captured_at", "page_id")
-    return dealt.sortWithinPartitions("archive", "url_key", "captured_at", "page_id", "record_offset").mapInPandas(
-        merge, CAPTURE)
+    return frames(dealt.sortWithinPartitions("archive", "url_key", "captured_at", "page_id", "record_offset"),
+                  merge, CAPTURE)
 
 
 def archive_and_index(pages: DataFrame) -> DataFrame:
