@@ -90,37 +90,37 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank_of[p] for p in parts]
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The parts that stand at one edge of ``token`` (1: right, 0: left) while its merges are
+        done, first the byte, at last the whole, each with the rank of the merge that ends it."""
+        parts, end = [], float("inf")
+        while True:
+            parts.append((token, end))
+            inner = self.last_merge[token][side]
+            if inner == token:  # a byte
+                return parts[::-1]
+            token, end = inner, token
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both leaves exactly these two.
 
-        Undoes the later of the two last merges, again and again, and looks whether the parts that
-        met at the border would have merged before the merge just undone.
+        Merges are done by rank, so the part at the inner edge of either side changes at known
+        ranks. They fit unless two parts that meet at the border would merge before either is taken
+        up by its own side; of two merges of one rank the one further left comes first.
         """
-        a, b, before, fine = left, right, 1 << 62, True
-        while True:
-            joined = self.by_pair.get((a, b))
-            if joined is not None and joined < before:
+        ours, theirs, i, j = self._edge(left, 1), self._edge(right, 0), 0, 0
+        fine = True
+        while fine:
+            (a, a_ends), (b, b_ends) = ours[i], theirs[j]
+            border = self.by_pair.get((a, b))
+            if border is not None and border < a_ends and border <= b_ends:
                 fine = False
-                break
-            if a > b:
-                before = a
-                a = self.last_merge[a][1]
-                if a != before:
-                    continue
-                # A single byte cannot be undone; the other side is next.
-                before = b + 1
-                b = self.last_merge[b][0]
-                if b + 1 == before:
+            elif a_ends <= b_ends:
+                i += 1
+                if i == len(ours):
                     break
             else:
-                before = b + 1
-                b = self.last_merge[b][0]
-                if b + 1 != before:
-                    continue
-                before = a
-                a = self.last_merge[a][1]
-                if a == before:
-                    break
+                j += 1
         if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
         self.pairs[left << 20 | right] = fine

@@ -67,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Rows and bytes of one batch that a task hands to Python; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

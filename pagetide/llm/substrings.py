@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import Words, filtered, frames, in_pieces, shingles, signed, spread_join, tidy, windows
+from .common import Words, filtered, frames, in_pieces, key_filter, may_hold, shingles, signed, spread_join, tidy, windows
 
 WINDOW = 50
 SEED = 10
@@ -181,6 +181,15 @@ def cut(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed:
     schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()),
                            T.StructField(n_removed, T.LongType()), T.StructField(text, T.StringType())])
 
+    table = docs.sparkSession.sparkContext.broadcast(key_filter(found, "doc_id"))
+
+    def plain(batches):
+        for batch in batches:
+            known = batch["doc_id"].notna().to_numpy()
+            listed = np.zeros(len(batch), dtype=bool)
+            listed[known] = may_hold(table.value, batch["doc_id"][known].to_numpy(dtype=np.int64))
+            yield from run([batch[~listed]])
+
     def run(batches):
         for batch in batches:
             for frame in in_pieces(batch, "text"):
@@ -201,8 +210,7 @@ def cut(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed:
                 yield frame[columns].assign(**{n_words: sizes, n_removed: gone, text: kept})
 
     touched = filtered(docs, found, "doc_id")
-    untouched = filtered(docs, found, "doc_id", keep=False)
     spans = found.groupBy(F.col("doc_id").alias("_doc_id")).agg(
         F.collect_list(F.struct("seq_a", "start", "end")).alias("_spans"))
     joined = touched.join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id")
-    return frames(joined, run, schema).union(frames(untouched, run, schema))
+    return frames(joined, run, schema).union(frames(docs, plain, schema))
