@@ -13,7 +13,7 @@ from ..streaming import counters, stateful, visits
 from . import usage as batch_usage
 from .inputs import DERIVED, cte, derived, source
 from .registry import ORACLES, query
-from .traffic import ALL, unplaced
+from .traffic import ALL
 
 
 def _folder(spark) -> str:
@@ -67,25 +67,40 @@ def src_requests(spark, sf):
 @query("st_tumbling", cte("attempts") + """SELECT ip, tool, date_trunc('hour', ts) AS window_start, count(*) AS used FROM attempts WHERE succeeded GROUP BY ALL""")
 def st_tumbling(spark, sf):
     folder = _folder(spark)
+    keys = ["ip", "tool", "window_start"]
     counters.start_upserts(counters.hourly_usage(stream_of(spark, sf, "attempts")), f"{folder}/out",
-                           f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return counters.current_counts(spark, f"{folder}/out", ["ip", "tool", "window_start"], "used")
+                           f"{folder}/checkpoint", keys, "window_start", available_now=True).awaitTermination()
+    return counters.current_counts(spark, f"{folder}/out", keys, "window_start")
 
 
-@query("st_daily", ALL + "SELECT strftime(created_at, '%Y-%m-%d') AS date, browser, count(*) AS count FROM visits GROUP BY ALL")
-def st_daily(spark, sf):
+def _daily(spark, sf):
+    """Folder of the by-day view of the visits, with each day's three largest browsers."""
     folder = _folder(spark)
     located = traffic.without_geo(traffic.tracked_requests(stream_of(spark, sf, "requests")))
     counters.start_upserts(counters.daily_counts(traffic.to_visits(located), "browser"), f"{folder}/out",
-                           f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return counters.current_counts(spark, f"{folder}/out", ["date", "browser"], "count")
+                           f"{folder}/checkpoint", ["date", "browser"], "date", available_now=True,
+                           top=("count", 3)).awaitTermination()
+    return f"{folder}/out"
+
+
+@query("st_daily", ALL + "SELECT strftime(created_at, '%Y-%m-%d') AS date, browser, count(*) AS count FROM visits GROUP BY ALL")
+def st_daily(spark, sf):
+    return counters.current_counts(spark, _daily(spark, sf), ["date", "browser"], "date")
+
+
+@query("st_daily_top", ALL + """SELECT date, rank, browser, count FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY count DESC, browser)::INT AS rank
+  FROM (SELECT strftime(created_at, '%Y-%m-%d') AS date, browser, count(*) AS count FROM visits GROUP BY ALL)) WHERE rank <= 3""")
+def st_daily_top(spark, sf):
+    return counters.current_top(spark, _daily(spark, sf)).select("date", "rank", "browser", "count")
 
 
 @query("st_ttl", ALL + "SELECT 'visits' AS tbl, count(*) AS kept FROM visits WHERE created_at >= (SELECT max(ts) FROM requests) - INTERVAL 7 DAY")
 def st_ttl(spark, sf):
-    """Retention as of the newest request."""
-    newest = derived(spark, sf, "requests").agg(F.max("ts")).first()[0]
-    kept = traffic.keep_recent(traffic.to_visits(unplaced(spark, sf)), newest, days=7)
+    """What a visit stream with seven days of retention leaves in its table."""
+    folder = _folder(spark)
+    visits.start_visit_stream(stream_of(spark, sf, "requests"), derived(spark, sf, "geo_blocks"), f"{folder}/out",
+                              f"{folder}/checkpoint", available_now=True, retention_days=7).awaitTermination()
+    kept = visits.read_table(spark, f"{folder}/out", "visits", 7)
     return kept.agg(F.count("*").alias("kept")).select(F.lit("visits").alias("tbl"), "kept")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import traffic as T
 from ..session import is_folder
+from .tables import BatchTable
 
 
 def read_requests(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
@@ -23,26 +24,33 @@ def read_requests(spark: SparkSession, folder: str, schema: StructType, pattern:
     return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
+def visit_table(spark: SparkSession, out: str, name: str, retention_days: int | None = None) -> BatchTable:
+    """``visits`` or ``bot_visits`` under ``out``; visits keep one row an identifier."""
+    return BatchTable(spark, f"{out}/{name}", "created_at", ["id"], retention_days)
+
+
 def start_visit_stream(requests: DataFrame, blocks: DataFrame, out: str, checkpoint: str,
-                       available_now: bool = False) -> StreamingQuery:
+                       available_now: bool = False, retention_days: int | None = None) -> StreamingQuery:
     """Classify and route every micro-batch: humans to ``visits``, bots to ``bot_visits``. The batch
     is located once and kept for both.
 
-    Each batch writes one partition named by its id and replaces it when it is run
-    again, so a retried batch leaves no duplicates. The day is a second partition, so
-    old days can be dropped as folders.
+    A batch that is run again finds itself committed; what a stream with a new checkpoint reads
+    again is kept once, by identifier. ``retention_days`` counts from the newest
+    request seen; older rows are not read any more and their days are removed.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         located = T.geo_lookup(T.tracked_requests(batch), blocks).persist()
-        for name, rows in (("visits", T.to_visits(located)), ("bot_visits", T.to_bot_visits(located))):
-            keyed = rows.withColumns({"batch_id": F.lit(batch_id), "day": F.to_date("created_at")})
-            (keyed.write.mode("overwrite").partitionBy("batch_id", "day")
-             .option("partitionOverwriteMode", "dynamic").parquet(f"{out}/{name}"))
-        located.unpersist()
+        try:
+            newest = batch.agg(F.max("ts")).first()[0]
+            for name, rows in (("visits", T.to_visits(located)), ("bot_visits", T.to_bot_visits(located))):
+                visit_table(session, out, name, retention_days).commit(rows, batch_id, newest, checkpoint)
+        finally:
+            located.unpersist()
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
-def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{name}").drop("batch_id", "day")
+def read_table(spark: SparkSession, out: str, name: str, retention_days: int | None = None) -> DataFrame:
+    return visit_table(spark, out, name, retention_days).read()
