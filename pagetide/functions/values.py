@@ -92,11 +92,11 @@ def media_kind(filename: Column, mime: Column) -> Column:
 
 
 def intake_code(size: Column, head: Column, filename: Column, mime: Column,
-                max_bytes: int = S.MAX_UPLOAD_BYTES) -> Column:
-    """First failing intake rule, or null: size, emptiness, PDF mark, type."""
+                max_bytes: int | None = None) -> Column:
+    """First failing intake rule, or null: size (if bounded), emptiness, PDF mark, type."""
     kind = media_kind(filename, mime)
     return (
-        F.when(size > max_bytes, S.FILE_TOO_LARGE)
+        F.when(F.lit(False) if max_bytes is None else size > max_bytes, S.FILE_TOO_LARGE)
         .when(size == 0, "empty_file")
         .when((kind == "pdf") & ~F.coalesce(head.startswith("%PDF-"), F.lit(False)), "not_a_pdf")
         .when(kind == "other", "unsupported_type")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.glyphs import table_width
 from ..session import store
-from .skew import piece_of, previous_value, running_total, with_document_options
+from .skew import piece_of, previous_value, running_total, salted_lookup, with_document_options
 
 # Layout thresholds.
 LINE_TOLERANCE = 0.35
@@ -143,14 +143,46 @@ def assign_lines(chars: DataFrame, reattach: bool = True) -> DataFrame:
 
 # ------------------------------------------------------------------ spacing
 
+# Most different values of a group that are put in order in one task; BINS of a narrowing round.
+ORDERED_VALUES, BINS = 100_000, 1_024
+
+
+def _narrowed(counted: DataFrame, stats: DataFrame) -> DataFrame:
+    """``counted`` (_key, _value, _n, _goal) with groups of too many values cut to the one of BINS
+    equal spans that holds the place ``_goal``; the goal counts from its start."""
+    wide = stats.filter(F.col("_different") > ORDERED_VALUES).select("_key", "_low", "_high")
+    beside = salted_lookup(counted, wide, ["_key"], ["_value"])
+    at = (F.col("_value").cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    binned = beside.withColumn("_bin", F.when(F.col("_high").isNotNull(), F.least(F.floor(at * BINS), F.lit(BINS - 1))))
+    sums = binned.filter("_bin IS NOT NULL").groupBy("_key", "_bin", "_goal").agg(F.sum("_n").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_bin"))
+    held = sums.withColumn("_upto", upto).filter("_upto > _goal AND _upto - _sum <= _goal").select(
+        "_key", F.col("_bin").alias("_held"), (F.col("_upto") - F.col("_sum")).alias("_below"))
+    chosen = salted_lookup(binned, held, ["_key"], ["_value"]).filter("_bin IS NULL OR _bin = _held")
+    return chosen.select("_key", "_value", "_n", (F.col("_goal") - F.coalesce("_below", F.lit(0))).alias("_goal"))
+
+
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``sorted[n // 2]`` per group. Equal values are counted first, so a huge group
-    shrinks to its distinct values before anything is ordered."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    placed = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
-    return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias(name))
+    """``sorted[n // 2]`` of the non-null numbers of each group.
+
+    Equal values are counted first. A group that still has more than ORDERED_VALUES different ones
+    is narrowed by histograms, round by round, to the span around its median, so no task ever
+    orders more; each round divides the span by BINS.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_key"), F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    counted = store(counted, "counted")
+    totals = counted.groupBy("_key").agg(F.floor(F.sum("_n") / 2).alias("_goal"))
+    held = salted_lookup(counted, totals, ["_key"], ["_value"])
+    while True:
+        stats = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_different"), F.min("_value").cast("double").alias("_low"),
+                                         F.max("_value").cast("double").alias("_high"))
+        if stats.filter((F.col("_different") > ORDERED_VALUES) & (F.col("_low") < F.col("_high"))).isEmpty():
+            break
+        held = store(_narrowed(held, stats), "narrowed")
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_value"))
+    return held.withColumn("_upto", upto).filter("_upto > _goal").groupBy("_key").agg(
+        F.min("_value").alias(name)).select("_key.*", name)
 
 
 def _median_beside(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:

@@ -82,8 +82,13 @@ def tracked_requests(requests: DataFrame) -> DataFrame:
     return requests.filter(C.is_tracked_path(F.col("path"))).withColumn("is_bot", C.is_bot(F.col("user_agent")))
 
 
-def to_visits(tracked: DataFrame) -> DataFrame:
-    """Human page views as visit rows. Needs ``country`` and ``city`` (see geo_lookup)."""
+def _path(chars: int | None) -> Column:
+    return F.col("path") if chars is None else F.left("path", F.lit(chars)).alias("path")
+
+
+def to_visits(tracked: DataFrame, path_chars: int | None = None) -> DataFrame:
+    """Human page views as visit rows. Needs ``country`` and ``city`` (see geo_lookup). Paths are
+    whole unless the caller bounds them."""
     ua = F.col("user_agent")
     return tracked.filter(~F.col("is_bot")).select(
         F.col("request_id").alias("id"),
@@ -92,17 +97,17 @@ def to_visits(tracked: DataFrame) -> DataFrame:
         C.device(ua).alias("device"),
         C.browser(ua).alias("browser"),
         C.source(F.col("referer")).alias("source"),
-        F.left("path", F.lit(C.PATH_MAX_CHARS)).alias("path"),
+        _path(path_chars),
         F.col("ts").alias("created_at"),
     )
 
 
-def to_bot_visits(tracked: DataFrame) -> DataFrame:
+def to_bot_visits(tracked: DataFrame, path_chars: int | None = None) -> DataFrame:
     return tracked.filter(F.col("is_bot")).select(
         F.col("request_id").alias("id"),
         C.bot_name(F.col("user_agent")).alias("name"),
         "country",
-        F.left("path", F.lit(C.PATH_MAX_CHARS)).alias("path"),
+        _path(path_chars),
         F.col("ts").alias("created_at"),
     )
 
@@ -127,6 +132,12 @@ def approximate_uniques(visits: DataFrame, rsd: float = 0.01) -> DataFrame:
     )
 
 
+def unique_over(sketches: DataFrame) -> DataFrame:
+    """One row: estimated visitors over all days of ``sketches`` (see approximate_uniques), from the
+    sketches alone. Visitors of several days count once."""
+    return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("unique_visitors"))
+
+
 def top_by(df: DataFrame, column: str, k: int, label: str = "Unknown") -> DataFrame:
     """Top-k by count. Groups on the raw value; null and '' are labelled afterwards."""
     return (
@@ -230,10 +241,10 @@ def clamp_limit(n: int, low: int = 1, high: int | None = None) -> int:
     return max(low, n if high is None else min(n, high))
 
 
-def recent_visits(tracked: DataFrame, blocks: DataFrame, n: int = 20) -> DataFrame:
+def recent_visits(tracked: DataFrame, blocks: DataFrame, n: int = 20, path_chars: int | None = None) -> DataFrame:
     """The newest visits; on purpose without a time bound. Only these are located and classified."""
     few = newest(tracked.filter(~F.col("is_bot")), n, "ts", "request_id")
-    return to_visits(geo_lookup(few, blocks)).select(
+    return to_visits(geo_lookup(few, blocks), path_chars).select(
         "id", "created_at", F.col("ip_trunc").alias("ip"),
         V.label_or(F.col("country"), "Unknown").alias("country"),
         V.label_or(F.col("city"), "—").alias("city"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import values as V
+from ..session import discard, store
 from .skew import minute, previous_value, running_total, salted_lookup
 from .traffic import as_of_column
 
@@ -133,8 +134,8 @@ def admit_jobs(jobs: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFra
     )
 
 
-def cap_output(jobs: DataFrame, limit: int = S.MAX_DOWNLOAD_BYTES) -> DataFrame:
-    """Jobs whose output is over the cap fail."""
+def cap_output(jobs: DataFrame, limit: int) -> DataFrame:
+    """Jobs whose output is over ``limit`` bytes fail."""
     over = F.col("output_bytes") > limit
     return jobs.withColumns({
         "error_code": F.when(over, F.lit(S.OUTPUT_TOO_LARGE)),
@@ -257,22 +258,60 @@ def lockouts(logins: DataFrame, max_failures: int = S.LOGIN_MAX_FAILURES,
                         _ddl(cut) + ", _verdict string").withColumnRenamed("_verdict", "outcome")
 
 
-def reuse_duplicates(jobs: DataFrame, window_seconds: int = S.DUPLICATE_WINDOW_SECONDS) -> DataFrame:
-    """Exact duplicate reuse: a reused submission creates no job, so it cannot be
-    matched itself. State: the newest open job of the fingerprint."""
-    width = window_seconds * 1_000_000
+def _first_after(opens: DataFrame, window_seconds: int) -> DataFrame:
+    """``opens`` (key, id, at) with ``next``: identifier of the first one of its key later than its
+    window. Each row asks at the end of its window; going back in time, the answer is the last
+    row passed before the question, so one pass cut at minutes finds all."""
+    rows = opens.select("_key", "_node", F.col("_at").alias("_time"), F.lit(1).alias("_kind"))
+    asked = opens.select("_key", "_node", (F.col("_at") + F.make_dt_interval(secs=F.lit(window_seconds))).alias("_time"),
+                         F.lit(0).alias("_kind"))
+    back = rows.unionByName(asked).withColumn("_back", -F.unix_micros(F.col("_time").cast("timestamp")))
+    answered = previous_value(back, ["_key"], F.floor(F.col("_back") / 60_000_000),
+                              [F.col("_back"), F.col("_kind"), -F.col("_node")],
+                              F.when(F.col("_kind") == 1, F.col("_node")), "_next")
+    return answered.filter("_kind = 0").select("_key", "_node", "_next")
+
+
+def first_jobs(jobs: DataFrame, window_seconds: int = S.DUPLICATE_WINDOW_SECONDS) -> DataFrame:
+    """(_node): identifiers of the open submissions that made a job of their own.
+
+    An open submission with no open one in the window before it surely did. From each of these the
+    next is the first open one after the window, and so on; that chain is walked by doubling: a
+    round adds what lies as many steps on as there are found already, and joins the pointers with
+    themselves. So log n rounds of joins, each written, find a chain of any length, and the rows of
+    one key are spread over all tasks.
+    """
+    opens = jobs.filter(F.col("status").isin(*S.OPEN_JOB_STATUSES)).select(
+        "_key", F.col("id").alias("_node"), F.col("created_at").alias("_at"))
+    before = previous_value(opens, ["_key"], minute(F.col("_at")), [F.col("_at"), F.col("_node")], F.col("_at"), "_before")
+    window = F.make_dt_interval(secs=F.lit(window_seconds))
+    head = F.col("_before").isNull() | (F.col("_before") < F.col("_at") - window)
+    known = store(before.select("_key", "_node", "_at", head.alias("_head")), "opens")
+    found = known.filter("_head").select("_node")
+    busy = known.filter(~F.col("_head")).select(F.col("_node").alias("_next"))  # pointers stop at heads
+    step = store(_first_after(known, window_seconds).join(busy, "_next").select("_node", "_next"), "steps")
+    while not step.isEmpty():
+        found = store(found.unionByName(found.join(step, "_node").select(F.col("_next").alias("_node"))).distinct(), "found")
+        onward = step.select(F.col("_node").alias("_next"), F.col("_next").alias("_far"))
+        longer = store(step.join(onward, "_next").select("_node", F.col("_far").alias("_next")), "steps")
+        discard(step)
+        step = longer
+    return found
 
-    def step(newest_open, row, now):
-        if newest_open is not None and newest_open[1] >= now - width:
-            return newest_open, newest_open[0]
-        if row.status in S.OPEN_JOB_STATUSES:
-            return (row.id, now), row.id
-        return newest_open, row.id
 
+def reuse_duplicates(jobs: DataFrame, window_seconds: int = S.DUPLICATE_WINDOW_SECONDS) -> DataFrame:
+    """Exact duplicate reuse: a reused submission creates no job, so it cannot be matched itself.
+
+    Only open submissions that made a job of their own can be reused; they are found by
+    ``first_jobs``, and every row then looks up the newest of its key before it. ``id`` is unique.
+    """
     keyed = jobs.withColumn("_key", fingerprint())
-    cut = _islands(keyed, ["_key"], ["created_at", "id"], "created_at", window_seconds + 1)
-    return _fold_sorted(cut, ["_key", "_island"], "created_at", "id", step,
-                        _ddl(cut) + ", _verdict long").withColumnRenamed("_verdict", "job_id").drop("_key")
+    own = first_jobs(keyed, window_seconds).select(F.col("_node").alias("id"), F.lit(True).alias("_own"))
+    maker = F.when(F.col("_own"), F.struct("id", "created_at"))
+    paired = previous_value(keyed.join(own, "id", "left"), ["_key"], minute(F.col("created_at")),
+                            [F.col("created_at"), F.col("id")], maker, "_match")
+    fresh = F.col("_match.created_at") >= F.col("created_at") - F.make_dt_interval(secs=F.lit(window_seconds))
+    return paired.withColumn("job_id", F.when(fresh, F.col("_match.id")).otherwise(F.col("id"))).select(*jobs.columns, "job_id")
 
 
 def failed_logins(logins: DataFrame) -> DataFrame:

@@ -57,6 +57,10 @@ def _listed(values: tuple[str, ...], index: str) -> str:
     return f"split_part('{','.join(values)}', ',', CAST({index} AS INT) + 1)"
 
 
+# Options also come for documents that are not there: as many as every thirteenth, with identifiers below 0.
+DOCUMENTS_AND_MISSING = """(SELECT * FROM documents
+  UNION ALL SELECT * REPLACE (-1 - doc_id AS doc_id) FROM documents WHERE doc_id % 13 = 12) AS o"""
+
 DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     "requests": ("events", {
         "request_id": "event_id",
@@ -151,7 +155,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "height_pt": "CAST(CASE conv_id % 2 WHEN 0 THEN 792 ELSE 842 END AS DOUBLE)",
         "rotation": "CAST((turn % 4) * 90 AS INT)",
     }),
-    "doc_options": ("documents", {
+    "doc_options": (DOCUMENTS_AND_MISSING, {
         "doc_id": "doc_id",
         "lang": "lang",
         "spec": ("CASE doc_id % 11 WHEN 0 THEN '1-3,5' WHEN 1 THEN '2' WHEN 2 THEN ' 1 - 2 ' WHEN 3 THEN '5-3' "
@@ -165,7 +169,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "start_number": "CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '10' WHEN 2 THEN '2.5' WHEN 3 THEN '0' ELSE '100' END",
         "prefix": "CASE doc_id % 3 WHEN 0 THEN NULL ELSE 'p. ' END",
         "suffix": "CASE doc_id % 4 WHEN 0 THEN ' /' ELSE '' END",
-        "out_id": "CAST(floor(doc_id / 4) AS BIGINT)",
+        "out_id": "CAST(floor(CASE WHEN doc_id < 0 THEN -1 - doc_id ELSE doc_id END / 4) AS BIGINT)",
         "doc_seq": "CAST(doc_id % 4 AS INT)",
         "page_order": ("CASE CAST(floor(doc_id / 4) AS BIGINT) % 5 WHEN 0 THEN '[[0,1],[1,1]]' WHEN 1 THEN '[[1,1],[0,1],[1,1]]' "
                        "WHEN 2 THEN '[[7,1]]' WHEN 3 THEN '[[0,1],[0,9999]]' ELSE 'nope' END"),
@@ -197,7 +201,10 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = DERIVED[name]
-    if " JOIN " in base:
+    if base == DOCUMENTS_AND_MISSING:
+        docs = source(spark, sf_dir, "documents")
+        df = docs.unionByName(docs.filter("doc_id % 13 = 12").withColumn("doc_id", -1 - F.col("doc_id")))
+    elif " JOIN " in base:
         left, rest = base.split(" JOIN ")
         right, on = rest.split(" ON ")
         df = source(spark, sf_dir, left).join(source(spark, sf_dir, right), F.expr(on))
@@ -210,15 +217,15 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as page rows: one page per line of text. Some documents have no pages."""
-    docs = source(spark, sf_dir, "documents").filter("doc_id % 13 <> 12")
+    """Documents as page rows: one page per line of text."""
+    docs = source(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return lines.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text",
                         ((F.col("pos") + 1) % 4 * 90).alias("rotation"))
 
 
 TEXT_PAGES = """SELECT doc_id, generate_subscripts(l, 1)::INT AS page_no, unnest(l) AS text, (generate_subscripts(l, 1) % 4 * 90)::INT AS rotation
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 13 <> 12)"""
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
 COUNTS = "SELECT doc_id, count(*) AS page_count FROM pages_in GROUP BY 1"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import values as V
 from ..operators import usage as U
 from ..operators.catalog import tool_catalog, tool_options
@@ -105,7 +106,7 @@ def sent_parts(spark, sf):
 def src_parts(spark, sf):
     uploads = source(spark, sf, "documents").select(
         F.col("doc_id").alias("upload_id"), F.length("text").cast("long").alias("declared_size"))
-    done = I.assemble_parts(uploads, sent_parts(spark, sf), part_bytes=PART)
+    done = I.assemble_parts(uploads, sent_parts(spark, sf), part_bytes=PART, max_bytes=S.MAX_UPLOAD_BYTES)
     return done.select("upload_id", "n_parts", "reject_code", F.sha2("data", 256).alias("sha256"))
 
 
@@ -119,7 +120,7 @@ def src_stale_parts(spark, sf):
   WHEN {_KIND} = 'pdf' AND NOT starts_with(head, '%PDF-') THEN 'not_a_pdf' WHEN {_KIND} = 'other' THEN 'unsupported_type' END AS reject_code FROM files""")
 def f_intake(spark, sf):
     return derived(spark, sf, "files").select("id", V.intake_code(
-        F.col("size_bytes"), F.col("head"), F.col("filename"), F.col("mime")).alias("reject_code"))
+        F.col("size_bytes"), F.col("head"), F.col("filename"), F.col("mime"), S.MAX_UPLOAD_BYTES).alias("reject_code"))
 
 
 @query("s_ext", cte("files") + f"SELECT id, left({_EXT}, 10) AS ext FROM files")

@@ -13,7 +13,7 @@ from ..streaming import counters, stateful, visits
 from . import usage as batch_usage
 from .inputs import DERIVED, cte, derived, source
 from .registry import ORACLES, query
-from .traffic import ALL
+from .traffic import ALL, PATH
 
 
 def _folder(spark) -> str:
@@ -48,7 +48,7 @@ def run_to_table(spark, df, output_mode="append"):
 def st_visits(spark, sf):
     folder = _folder(spark)
     query_ = visits.start_visit_stream(stream_of(spark, sf, "requests"), derived(spark, sf, "geo_blocks"),
-                                       f"{folder}/out", f"{folder}/checkpoint", available_now=True)
+                                       f"{folder}/out", f"{folder}/checkpoint", available_now=True, path_chars=PATH)
     query_.awaitTermination()
     country, city = (F.coalesce(c, F.lit("?")) for c in ("country", "city"))
     humans = visits.read_table(spark, f"{folder}/out", "visits").select(
@@ -77,7 +77,7 @@ def _daily(spark, sf):
     """Folder of the by-day view of the visits, with each day's three largest browsers."""
     folder = _folder(spark)
     located = traffic.without_geo(traffic.tracked_requests(stream_of(spark, sf, "requests")))
-    counters.start_upserts(counters.daily_counts(traffic.to_visits(located), "browser"), f"{folder}/out",
+    counters.start_upserts(counters.daily_counts(traffic.to_visits(located, PATH), "browser"), f"{folder}/out",
                            f"{folder}/checkpoint", ["date", "browser"], "date", available_now=True,
                            top=("count", 3)).awaitTermination()
     return f"{folder}/out"
@@ -99,7 +99,7 @@ def st_ttl(spark, sf):
     """What a visit stream with seven days of retention leaves in its table."""
     folder = _folder(spark)
     visits.start_visit_stream(stream_of(spark, sf, "requests"), derived(spark, sf, "geo_blocks"), f"{folder}/out",
-                              f"{folder}/checkpoint", available_now=True, retention_days=7).awaitTermination()
+                              f"{folder}/checkpoint", available_now=True, retention_days=7, path_chars=PATH).awaitTermination()
     kept = visits.read_table(spark, f"{folder}/out", "visits", 7)
     return kept.agg(F.count("*").alias("kept")).select(F.lit("visits").alias("tbl"), "kept")
 

@@ -9,9 +9,13 @@ from ..functions import traffic as C
 from ..functions import values as V
 from ..operators import traffic as T
 from ..operators.catalog import TOOL_KEYS
+from ..session import store
 from .inputs import AS_OF, cte, derived
 from .registry import query
 
+# The registered queries keep paths to this length, as their check SQL does.
+PATH = C.PATH_MAX_CHARS
+
 # ------------------------------------------------------------- check SQL parts
 
 BOT_SQL = "coalesce(regexp_matches(user_agent, '(?i)" + "|".join(C.BOT_TOKENS) + "'), false)"
@@ -63,7 +67,7 @@ def located(spark, sf):
 
 
 def visits_of(spark, sf):
-    return T.to_visits(located(spark, sf))
+    return T.to_visits(located(spark, sf), PATH)
 
 
 def unplaced(spark, sf):
@@ -170,7 +174,7 @@ def f_track_bot(spark, sf):
   UNION ALL SELECT 1, id, created_at FROM visits WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY
   UNION ALL SELECT 90, id, created_at FROM visits WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY""")
 def f_window(spark, sf):
-    visits, out = T.to_visits(unplaced(spark, sf)), None
+    visits, out = T.to_visits(unplaced(spark, sf), PATH), None
     for asked in (7, 0, 500):
         days = T.clamp_days(asked, high=90)
         part = T.since(visits, AS_OF, days).select(F.lit(days).alias("days"), "id", "created_at")
@@ -201,8 +205,8 @@ def f_retention(spark, sf):
     quotas = derived(spark, sf, "jobs").select("tool", V.hour_start(F.col("created_at")).alias("created_at")).distinct()
     tracked = unplaced(spark, sf)
     kept = {
-        "visits": T.keep_recent(T.to_visits(tracked), AS_OF, days=7),
-        "bot_visits": T.keep_recent(T.to_bot_visits(tracked), AS_OF, days=7),
+        "visits": T.keep_recent(T.to_visits(tracked, PATH), AS_OF, days=7),
+        "bot_visits": T.keep_recent(T.to_bot_visits(tracked, PATH), AS_OF, days=7),
         "logins": T.keep_recent(derived(spark, sf, "logins"), "2024-01-08 00:00:00", days=7),
         "quotas": T.keep_recent(quotas, "2024-01-30 22:30:00", hours=2),
     }
@@ -235,17 +239,27 @@ def a_totals(spark, sf):
 @query("a_unique", ALL + f"""SELECT strftime(created_at, '%Y-%m-%d') AS date, count(DISTINCT ip_trunc) AS unique_visitors
   FROM visits WHERE {SINCE30} GROUP BY 1""")
 def a_unique(spark, sf):
-    return T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30).groupBy(V.day(F.col("created_at")).alias("date")).agg(
+    return T.since(T.to_visits(unplaced(spark, sf), PATH), AS_OF, 30).groupBy(V.day(F.col("created_at")).alias("date")).agg(
         F.count_distinct("ip_trunc").alias("unique_visitors"))
 
 
-@query("a_unique_sketch", ALL + f"SELECT DISTINCT strftime(created_at, '%Y-%m-%d') AS date, true AS close FROM visits WHERE {SINCE30}")
+@query("a_unique_sketch", ALL + f"""SELECT strftime(created_at, '%Y-%m-%d') AS date, count(DISTINCT ip_trunc) AS unique_visitors, true AS close
+  FROM visits WHERE {SINCE30} GROUP BY 1
+  UNION ALL SELECT 'all', count(DISTINCT ip_trunc), true FROM visits WHERE {SINCE30}""")
 def a_unique_sketch(spark, sf):
-    """Whether each day's sketch is within 2 % (or one visitor) of the exact count."""
-    visits = T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30)
-    exact = visits.groupBy(V.day(F.col("created_at")).alias("date")).agg(F.count_distinct("ip_trunc").alias("n"))
-    near = F.abs(F.hll_sketch_estimate("visitors") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") * 0.02)
-    return T.approximate_uniques(visits).join(exact, "date").select("date", near.alias("close"))
+    """Exact visitors of each day, and of all days together, and whether the estimate from the stored
+    daily sketches is within 2 % of it (or one visitor)."""
+    visits = T.since(T.to_visits(unplaced(spark, sf), PATH), AS_OF, 30)
+    stored = store(T.approximate_uniques(visits), "sketches")
+    exact = visits.groupBy(V.day(F.col("created_at")).alias("date")).agg(
+        F.count_distinct("ip_trunc").alias("unique_visitors"))
+    every = visits.agg(F.count_distinct("ip_trunc").alias("unique_visitors")).select(F.lit("all").alias("date"), "unique_visitors")
+    estimates = stored.select("date", F.hll_sketch_estimate("visitors").alias("estimate")).union(
+        T.unique_over(stored).select(F.lit("all"), "unique_visitors"))
+    n = F.col("unique_visitors")
+    near = F.abs(F.coalesce("estimate", F.lit(0)) - n) <= F.greatest(F.lit(1.0), n * 0.02)
+    return exact.union(every).join(estimates, "date").select(
+        "date", "unique_visitors", near.alias("close"))
 
 
 def _top_sql(table, column, k, where="true", name="name"):
@@ -262,7 +276,7 @@ _TOPS = [("bot_name", "bots", "name", 10, "true"), ("bot_country", "bots", "coun
 @query("a_top_dim", ALL + " UNION ALL ".join(
     f"SELECT '{label}' AS list, * FROM ({_top_sql(t, c, k, w)})" for label, t, c, k, w in _TOPS))
 def a_top_dim(spark, sf):
-    tables = {"bots": T.to_bot_visits(located(spark, sf)), "jobs": derived(spark, sf, "jobs")}
+    tables = {"bots": T.to_bot_visits(located(spark, sf), PATH), "jobs": derived(spark, sf, "jobs")}
     out = None
     for label, table, column, k, where in _TOPS:
         top = T.top_by(T.since(tables[table], AS_OF, 30).filter(F.expr(where)), column, k)
@@ -273,7 +287,7 @@ def a_top_dim(spark, sf):
 
 @query("o_topk", ALL + _top_sql("visits", "browser", 10))
 def o_topk(spark, sf):
-    return T.top_by(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30), "browser", 10)
+    return T.top_by(T.since(T.to_visits(unplaced(spark, sf), PATH), AS_OF, 30), "browser", 10)
 
 
 @query("a_dashboard_1pass", ALL + " UNION ALL ".join(
@@ -289,12 +303,12 @@ _DAILY = f"SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS count FR
 
 @query("a_by_day", ALL + _DAILY)
 def a_by_day(spark, sf):
-    return T.by_day(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30))
+    return T.by_day(T.since(T.to_visits(unplaced(spark, sf), PATH), AS_OF, 30))
 
 
 @query("a_day_scale", ALL + f"SELECT date, count, round(greatest(count * 100.0::DOUBLE / greatest((SELECT max(count) FROM d), 1), 4.0), 2) AS bar_percent FROM d".replace("FROM d)", f"FROM ({_DAILY}))").replace("FROM d", f"FROM ({_DAILY})"))
 def a_day_scale(spark, sf):
-    return T.scale_days(T.by_day(T.since(T.to_visits(unplaced(spark, sf)), AS_OF, 30)))
+    return T.scale_days(T.by_day(T.since(T.to_visits(unplaced(spark, sf), PATH), AS_OF, 30)))
 
 
 def _ranked(table, column, where):
@@ -330,7 +344,7 @@ def o_recent(spark, sf):
     jobs = derived(spark, sf, "jobs")
     shown = ("ip", "country", "city", "device", "browser", "source", "path")
     parts = [
-        rows("visit", T.recent_visits(T.tracked_requests(derived(spark, sf, "requests")), derived(spark, sf, "geo_blocks")), F.concat_ws("|", *shown)),
+        rows("visit", T.recent_visits(T.tracked_requests(derived(spark, sf, "requests")), derived(spark, sf, "geo_blocks"), path_chars=PATH), F.concat_ws("|", *shown)),
         rows("job", T.newest(jobs, 10), F.col("tool")),
         rows("failure", T.recent_failures(T.since(jobs, AS_OF, 30)), F.concat_ws("|", "tool", "error")),
         rows("login", T.newest(derived(spark, sf, "logins"), T.clamp_limit(5000, high=200)), F.col("username")),
@@ -350,8 +364,8 @@ def o_recent(spark, sf):
 def snk_csv(spark, sf):
     seen = T.since(located(spark, sf), AS_OF, 7, "ts")
     inputs = {
-        "visits": T.to_visits(seen),
-        "bots": T.to_bot_visits(seen),
+        "visits": T.to_visits(seen, PATH),
+        "bots": T.to_bot_visits(seen, PATH),
         "logins": T.since(derived(spark, sf, "logins"), "2024-01-08 00:00:00", 7),
         "jobs": T.since(derived(spark, sf, "jobs"), AS_OF, 7),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import values as V
 from ..operators import usage as U
 from ..operators.catalog import TOOLS, tool_catalog
@@ -107,7 +108,7 @@ def f_job_eligible(spark, sf):
 @query("f_output_cap", JOBS + """SELECT id, CASE WHEN output_bytes > 52428800 THEN 'failed' ELSE status END AS status,
   CASE WHEN output_bytes > 52428800 THEN 'output_too_large' END AS error_code FROM jobs""")
 def f_output_cap(spark, sf):
-    return U.cap_output(derived(spark, sf, "jobs")).select("id", "status", "error_code")
+    return U.cap_output(derived(spark, sf, "jobs"), S.MAX_DOWNLOAD_BYTES).select("id", "status", "error_code")
 
 
 @query("st_orphans", JOBS + """SELECT id, CASE WHEN status IN ('running', 'queued') THEN 'failed' ELSE status END AS status,

@@ -21,7 +21,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                       F.col("length").alias("size_bytes"), F.lit("").alias("mime"))
 
 
-def intake(uploads: DataFrame, max_bytes: int = S.MAX_UPLOAD_BYTES) -> DataFrame:
+def intake(uploads: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Hash, size, kind, storage key and verdict per upload.
 
     Needs filename, mime, content and size_bytes. A damaged or locked document
@@ -42,18 +42,24 @@ def intake(uploads: DataFrame, max_bytes: int = S.MAX_UPLOAD_BYTES) -> DataFrame
     )
 
 
+def within(size: Column, most: int | None) -> Column:
+    """Sizes above 0, and up to ``most`` if there is a bound."""
+    return size >= 1 if most is None else size.between(1, most)
+
+
 def assemble_parts(uploads: DataFrame, parts: DataFrame, part_bytes: int = S.PART_BYTES,
-                   max_bytes: int = S.MAX_UPLOAD_BYTES) -> DataFrame:
+                   max_bytes: int | None = None) -> DataFrame:
     """Reassemble uploads from parts that came in any order, some more than once.
 
     A re-sent part replaces the earlier one; that is settled by a partial aggregate
     before the upload is put together. An accepted upload has a bounded number of
     parts, and parts outside the declared count are dropped before the group.
     """
+    over = F.lit(False) if max_bytes is None else F.col("declared_size") > max_bytes
     n_parts = F.ceil(F.col("declared_size") / F.lit(part_bytes)).cast("int")
     newest = parts.groupBy("upload_id", "idx").agg(F.max_by("bytes", "ts").alias("bytes"))
     declared = uploads.withColumn("n_parts", n_parts)
-    usable = declared.filter(F.col("declared_size").between(1, max_bytes)).select("upload_id", "n_parts", "declared_size")
+    usable = declared.filter(within(F.col("declared_size"), max_bytes)).select("upload_id", "n_parts", "declared_size")
     last = F.col("declared_size") - F.lit(part_bytes) * (F.col("n_parts") - 1)
     expected = F.when(F.col("idx") < F.col("n_parts") - 1, F.lit(part_bytes)).otherwise(last)
     kept = newest.join(usable, "upload_id").filter(F.col("idx").between(0, F.col("n_parts") - 1))
@@ -69,7 +75,7 @@ def assemble_parts(uploads: DataFrame, parts: DataFrame, part_bytes: int = S.PAR
     gaps = F.filter(F.transform("_parts", lambda p, i: F.when(p["idx"] != i, i)), lambda i: i.isNotNull())
     missing = F.when(F.col("_have") < F.col("n_parts"), F.coalesce(F.get(gaps, F.lit(0)), F.col("_have").cast("int")))
     code = (
-        F.when(F.col("declared_size") > max_bytes, S.FILE_TOO_LARGE)
+        F.when(over, S.FILE_TOO_LARGE)
         .when(F.col("declared_size") <= 0, "empty_file")
         .when(F.col("_have").isNull(), "missing_part")
         .when(missing.isNotNull() & (F.col("_wrong").isNull() | (missing < F.col("_wrong"))), "missing_part")

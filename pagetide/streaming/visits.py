@@ -30,7 +30,8 @@ def visit_table(spark: SparkSession, out: str, name: str, retention_days: int |
 
 
 def start_visit_stream(requests: DataFrame, blocks: DataFrame, out: str, checkpoint: str,
-                       available_now: bool = False, retention_days: int | None = None) -> StreamingQuery:
+                       available_now: bool = False, retention_days: int | None = None,
+                       path_chars: int | None = None) -> StreamingQuery:
     """Classify and route every micro-batch: humans to ``visits``, bots to ``bot_visits``. The batch
     is located once and kept for both.
 
@@ -43,7 +44,7 @@ def start_visit_stream(requests: DataFrame, blocks: DataFrame, out: str, checkpo
         located = T.geo_lookup(T.tracked_requests(batch), blocks).persist()
         try:
             newest = batch.agg(F.max("ts")).first()[0]
-            for name, rows in (("visits", T.to_visits(located)), ("bot_visits", T.to_bot_visits(located))):
+            for name, rows in (("visits", T.to_visits(located, path_chars)), ("bot_visits", T.to_bot_visits(located, path_chars))):
                 visit_table(session, out, name, retention_days).commit(rows, batch_id, newest, checkpoint)
         finally:
             located.unpersist()

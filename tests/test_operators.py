@@ -388,3 +388,55 @@ def test_edits_count_from_the_last_init_and_from_a_pages_entry(spark):
     order = [*log, (1, 7, "move", [3], 0), (1, 8, "set_order", [3, 2], 0), (1, 9, "reverse", [], 0)]
     got = edits.fold_order(spark.createDataFrame(order, schema)).orderBy("place").collect()
     assert [r["item"] for r in got] == [2, 1, 3]
+
+
+def replayed(rows, seconds=600):
+    """Duplicate reuse, submission by submission."""
+    newest, out = {}, {}
+    for id_, key, status, at in sorted(rows, key=lambda r: (r[3], r[0])):
+        held = newest.get(key)
+        if held and held[1] >= at - dt.timedelta(seconds=seconds):
+            out[id_] = held[0]
+            continue
+        out[id_] = id_
+        if status in ("queued", "running"):
+            newest[key] = (id_, at)
+    return out
+
+
+def test_duplicate_reuse_of_a_key_without_pauses(spark):
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows_ = [(i, "hot", rng.choice(["queued", "running", "failed"]), start + dt.timedelta(seconds=rng.randrange(40_000)))
+             for i in range(4_000)]
+    rows_ += [(5_000 + i, f"k{i % 40}", rng.choice(["queued", "failed"]), start + dt.timedelta(seconds=300 * rng.randrange(40)))
+              for i in range(600)]
+    df = spark.createDataFrame([(i, k, "[]", "{}", s, t) for i, k, s, t in rows_],
+                               "id long, tool string, file_ids string, options string, status string, created_at timestamp_ntz")
+    got = usage.reuse_duplicates(df)
+    assert {r.id: r.job_id for r in got.collect()} == replayed(rows_)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # the rows of the one hot key are worked on by several tasks
+        hot = usage.reuse_duplicates(df.filter("tool = 'hot'")).withColumn("task", F.spark_partition_id())
+        assert hot.select("task").distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_whole_paths_unless_bounded(spark):
+    long = "/tools/" + "x" * 400
+    seen = traffic.without_geo(traffic.tracked_requests(spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), "1.2.3.4", "Firefox", None, long)],
+        "request_id long, ts timestamp_ntz, ip string, user_agent string, referer string, path string")))
+    assert traffic.to_visits(seen).first().path == long
+    assert traffic.to_visits(seen, 256).first().path == long[:256]
+
+
+def test_sketches_merge_over_days(spark):
+    visits = spark.range(20_000).select(
+        F.concat(F.lit("v"), F.col("id") % 5_000).alias("ip_trunc"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).cast("timestamp_ntz").alias("created_at"))
+    merged = traffic.unique_over(traffic.approximate_uniques(visits)).first().unique_visitors
+    assert abs(merged - 5_000) <= 100
