@@ -170,8 +170,8 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "prefix": "CASE doc_id % 3 WHEN 0 THEN NULL ELSE 'p. ' END",
         "suffix": "CASE doc_id % 4 WHEN 0 THEN ' /' ELSE '' END",
         "out_id": "CAST(floor(CASE WHEN doc_id < 0 THEN -1 - doc_id ELSE doc_id END / 4) AS BIGINT)",
-        "doc_seq": "CAST(doc_id % 4 AS INT)",
-        "page_order": ("CASE CAST(floor(doc_id / 4) AS BIGINT) % 5 WHEN 0 THEN '[[0,1],[1,1]]' WHEN 1 THEN '[[1,1],[0,1],[1,1]]' "
+        "doc_seq": "CASE WHEN doc_id < 0 THEN 4 ELSE CAST(doc_id % 4 AS INT) END",
+        "page_order": ("CASE CAST(floor(CASE WHEN doc_id < 0 THEN -1 - doc_id ELSE doc_id END / 4) AS BIGINT) % 5 WHEN 0 THEN '[[0,1],[1,1]]' WHEN 1 THEN '[[1,1],[0,1],[1,1]]' "
                        "WHEN 2 THEN '[[7,1]]' WHEN 3 THEN '[[0,1],[0,9999]]' ELSE 'nope' END"),
         "filename": "concat('doc', doc_id, '.pdf')",
         "patterns": ("CASE doc_id % 13 WHEN 0 THEN ' , ,' WHEN 1 THEN '' WHEN 2 THEN 'zq absent' WHEN 3 THEN 'e,th  of' "
