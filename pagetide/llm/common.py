@@ -302,6 +302,23 @@ def filtered(df: DataFrame, keys: DataFrame, column: str, key_column: str | None
     return df.mapInArrow(tidy(run), df.schema)
 
 
+def marked(df: DataFrame, column: str, **keys: DataFrame) -> DataFrame:
+    """``df`` with a flag for each of ``keys``: whether ``column``, a number that is never null, may be
+    among its values. One pass for all, so a task needs one Python worker."""
+    shared = df.sparkSession.sparkContext.broadcast([key_filter(k, column) for k in keys.values()])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.BooleanType()) for name in keys)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            value = batch.column(column).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(may_hold(bits, value)) for bits in shared.value)], names=schema.names)
+
+    return df.mapInArrow(tidy(run), schema)
+
+
 def _mask(hit: np.ndarray):
     import pyarrow as pa
 

@@ -151,7 +151,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("anchor", "first", "last")).alias("s")).select(
         "doc_id", "seq_a", F.col("s.anchor").alias("anchor"), F.col("s.first").alias("first"),
         F.col("s.last").alias("last")), "leads")
-    texts = filtered(docs.select("doc_id", "text"), leads, "doc_id").join(leads, "doc_id")
+    texts = store(filtered(docs.select("doc_id", "text"), leads, "doc_id").join(leads, "doc_id"), "texts")
     rows = store(_window_rows(texts), "windows")
     seen = rows.groupBy("anchor", "window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where(
         "source <> other").drop("other")
@@ -212,5 +212,6 @@ def cut(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed:
     touched = filtered(docs, found, "doc_id")
     spans = found.groupBy(F.col("doc_id").alias("_doc_id")).agg(
         F.collect_list(F.struct("seq_a", "start", "end")).alias("_spans"))
-    joined = touched.join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id")
+    # written between, so that a task has one Python worker at a time
+    joined = store(touched.join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id"), "touched")
     return frames(joined, run, schema).union(frames(docs, plain, schema))
