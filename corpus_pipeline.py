@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm import bpe, minhash, substrings, tiling, toxicity
-from pagetide.llm.common import filtered, prepare, spread_join, table
+from pagetide.llm.common import filtered, marked, prepare, spread_join, table
 from pagetide.llm.queries import tokenizer
 from pagetide.session import store
 
@@ -58,11 +58,14 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     linked = store(spread_join(groups, best, ["root"], "inner").withColumn(
         "best", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row"))), "linked")
     again = store(linked.where("best").groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
-    kept = without(by_row(docs), linked.where("not best"), ["row", "doc_id"])
+    lost = linked.where("not best").select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc_id")).distinct()
+    rows = marked(by_row(docs), "row", _lost=linked.where("not best"), _again=again)
+    judged = rows.where("_lost").join(lost, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti")
+    kept = rows.where("not _lost").union(judged)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = filtered(kept, again, "row").groupBy("doc_id", "text").agg(
+    once = kept.where("_again").groupBy("doc_id", "text").agg(
         F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
-    return filtered(kept, again, "row", keep=False).select(*docs.columns).union(once.select(*docs.columns))
+    return kept.where("not _again").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
