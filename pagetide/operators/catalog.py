@@ -142,10 +142,11 @@ def sitemap(paths: DataFrame, base_url: str) -> DataFrame:
 
 def _leaves(text: str | None) -> list[tuple[str, str | None]]:
     """(key path, value) of every leaf, in order; numbers keep their spelling. Objects and arrays
-    without content have none; text that is not JSON is one leaf without a value."""
+    without content have none; text that is not JSON, or nests deeper than the parser goes (some
+    thousand levels), is one leaf without a value."""
     try:
         top = json.loads(text, parse_float=str, parse_int=str, parse_constant=str)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return [("", None)]
     out, open_nodes = [], [("", top)]
     while open_nodes:

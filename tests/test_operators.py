@@ -88,6 +88,14 @@ def test_flatten_json(spark):
         (3, "a", "{}"), (3, "b", "[]"), (3, "c", "x"), (4, ".".join("k" * 40), "1.50"), (5, "", None), (6, "", None)]
 
 
+def test_json_nested_beyond_the_parser_is_one_row(spark):
+    from pagetide.operators.catalog import flatten_json
+
+    deep, fair = "[" * 200_000 + "]" * 200_000, "[" * 300 + "7" + "]" * 300
+    df = spark.createDataFrame([(1, deep), (2, fair)], "id int, doc string")
+    assert rows(flatten_json(df, "doc"), "id") == [(1, "", None), (2, "[0]" * 300, "7")]
+
+
 def test_every_present_locale_is_checked(spark):
     from pagetide.operators.catalog import check_translations
 
