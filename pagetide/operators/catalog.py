@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import locales as L
 from ..functions.values import strip
+from ..session import store
 
 # The tool catalog (key, category, input kind, min files, max files, output kind).
 TOOLS = (
@@ -140,34 +139,72 @@ def sitemap(paths: DataFrame, base_url: str) -> DataFrame:
 
 # ------------------------------------------------------------- translations
 
-def _leaves(text: str | None) -> list[tuple[str, str | None]]:
-    """(key path, value) of every leaf, in order; numbers keep their spelling. Objects and arrays
-    without content have none; text that is not JSON, or nests deeper than the parser goes (some
-    thousand levels), is one leaf without a value."""
-    try:
-        top = json.loads(text, parse_float=str, parse_int=str, parse_constant=str)
-    except (TypeError, ValueError, RecursionError):
-        return [("", None)]
-    out, open_nodes = [], [("", top)]
-    while open_nodes:
-        path, node = open_nodes.pop()
-        if isinstance(node, dict):
-            open_nodes += [(f"{path}.{k}" if path else k, v) for k, v in reversed(node.items())]
-        elif isinstance(node, list):
-            open_nodes += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
-        else:
-            out.append((path, str(node).lower() if isinstance(node, bool) else node))
-    return out
+# Levels of nesting opened between two writes.
+LEVELS = 8
+
+
+def _kind(value: Column) -> Column:
+    """``{`` or ``[`` for a container, else null."""
+    name = F.schema_of_variant(value)
+    return F.when(name.startswith("OBJECT"), "{").when(name.startswith("ARRAY"), "[")
+
+
+def _numbers_quoted(text: Column) -> Column:
+    """JSON text with every number as a string, so that its spelling lasts. Escaped quotes are out
+    of the way meanwhile; the four control characters used cannot stand in JSON text."""
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x03")), F.lit('\\"'), F.lit("\x04"))
+    split = F.regexp_replace(hidden, r'("[^"]*+")|(-?[0-9][0-9.eE+-]*+)', "$1\x01$2\x02")
+    quoted = F.translate(F.replace(split, F.lit("\x01\x02"), F.lit("")), "\x01\x02", '""')
+    return F.replace(F.replace(quoted, F.lit("\x04"), F.lit('\\"')), F.lit("\x03"), F.lit("\\\\"))
+
+
+def _node(path: Column, text: Column, kind: Column) -> Column:
+    return F.struct(path.alias("path"), text.alias("text"), kind.alias("kind"))
+
+
+def _one_level(nodes: DataFrame, ids: list[str]) -> DataFrame:
+    """Containers replaced by what they hold, leaves as they are. The text of a member keeps the
+    spelling of numbers; its kind tells a container from a string that reads like one."""
+    path, text = F.col("_node.path"), F.col("_node.text")
+
+    def read(kind: str) -> Column:
+        return F.from_json(text, kind)
+
+    members = F.zip_with(
+        F.map_entries(read("map<string,string>")), F.map_entries(read("map<string,variant>")),
+        lambda m, v: _node(F.when(path == "", m["key"]).otherwise(F.concat(path, F.lit("."), m["key"])), m["value"], _kind(v["value"])))
+    items = F.transform(
+        F.zip_with(read("array<string>"), read("array<variant>"), lambda m, v: _node(F.lit(""), m, _kind(v))),
+        lambda m, i: _node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), m["text"], m["kind"]))
+    held = F.when(F.col("_node.kind") == "{", members).when(F.col("_node.kind") == "[", items).otherwise(F.array("_node"))
+    return nodes.select(*ids, F.explode(held).alias("_node"))
 
 
 def flatten_json(df: DataFrame, text_col: str) -> DataFrame:
     """Nested JSON text to (key path, value) rows: ``a.b`` for members, ``a[0]`` for items, at any
-    depth. Built-in functions open a fixed number of levels only, so a small helper does it."""
+    depth the engine's parser reads (a thousand levels). Numbers keep their spelling; containers
+    without content have no row. Text that is not JSON, nests deeper, or names a key of an object
+    twice is one row without key and value.
+
+    LEVELS levels are opened a round; what is still a container goes to the next round, until none
+    is left.
+    """
     ids = [c for c in df.columns if c != text_col]
-    pairs = F.pandas_udf(lambda texts: texts.map(lambda t: [{"key": k, "value": v} for k, v in _leaves(t)]),
-                         "array<struct<key:string,value:string>>")
-    return df.select(*ids, F.explode(pairs(F.col(text_col))).alias("_leaf")).select(
-        *ids, F.col("_leaf.key").alias("key"), F.col("_leaf.value").alias("value"))
+    top = df.withColumn("_top", F.try_parse_json(text_col))
+    plain = F.when(F.schema_of_variant("_top") == "STRING", F.col("_top").cast("string")).when(
+        F.col("_top").isNotNull() & ~F.is_variant_null("_top"), F.trim(text_col))
+    kind = _kind(F.col("_top"))
+    text = F.when(kind.isNotNull(), _numbers_quoted(F.col(text_col))).otherwise(plain)
+    nodes, out = top.select(*ids, _node(F.lit(""), text, kind).alias("_node")), None
+    while True:
+        for _ in range(LEVELS):
+            nodes = _one_level(nodes, ids)
+        nodes = store(nodes, "nodes")
+        leaves = nodes.filter("_node.kind IS NULL")
+        out = leaves if out is None else out.union(leaves)
+        nodes = nodes.filter("_node.kind IS NOT NULL")
+        if nodes.isEmpty():
+            return out.select(*ids, F.col("_node.path").alias("key"), F.col("_node.text").alias("value"))
 
 
 def _missing(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import ranges as R
 from ..functions import values as V
+from ..session import store
 from .pages import checked_options
 from .skew import beside_pages
 
@@ -88,22 +89,29 @@ def redact_pages(pages: DataFrame, options: DataFrame) -> DataFrame:
     return _redacted(pages, redaction_options(pages, options))
 
 
-def redaction_verdicts(pages: DataFrame, options: DataFrame) -> DataFrame:
-    """Per document: pages, matches and error code. Every literal must be gone from every page."""
-    checked = redaction_options(pages, options)
+def _judged(redacted: DataFrame, checked: DataFrame) -> DataFrame:
     code = F.when(F.col("matches") == 0, S.NO_MATCHES).when(F.col("_left"), S.REDACTION_FAILED)
-    judged = _redacted(pages, checked).groupBy("doc_id").agg(
+    judged = redacted.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("matches").alias("matches"), F.bool_or("survives").alias("_left"))
     bad = checked.filter("error_code IS NOT NULL").select(
         "doc_id", F.col("page_count").alias("pages"), F.lit(0).cast("long").alias("matches"), "error_code")
     return judged.select("doc_id", "pages", "matches", code.alias("error_code")).unionByName(bad)
 
 
+def redaction_verdicts(pages: DataFrame, options: DataFrame) -> DataFrame:
+    """Per document: pages, matches and error code. Every literal must be gone from every page."""
+    checked = redaction_options(pages, options)
+    return _judged(_redacted(pages, checked), checked)
+
+
 def redact_documents(pages: DataFrame, options: DataFrame) -> DataFrame:
     """Redacted pages of the documents that pass verification; the others yield one
-    row with their error code."""
-    verdicts = redaction_verdicts(pages, options).filter("error_code IS NOT NULL").select("doc_id", "error_code")
-    good = redact_pages(pages, options).join(verdicts, "doc_id", "left_anti").select(
+    row with their error code. Pages are redacted once and written; the verdicts and
+    the pages given back both read what was written."""
+    checked = redaction_options(pages, options)
+    done = store(_redacted(pages, checked), "redacted")
+    verdicts = _judged(done, checked).filter("error_code IS NOT NULL").select("doc_id", "error_code")
+    good = done.join(verdicts, "doc_id", "left_anti").select(
         "doc_id", "page_no", "text", "matches", F.lit(None).cast("string").alias("error_code"))
     return good.unionByName(verdicts, allowMissingColumns=True)
 

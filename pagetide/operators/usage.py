@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,68 +195,93 @@ def pair_duplicates(jobs: DataFrame, window_seconds: int = S.DUPLICATE_WINDOW_SE
     return paired.withColumn("duplicate_of", F.when(fresh, F.col("_match.id"))).drop("_match")
 
 
-def _islands(df: DataFrame, keys: list[str], order: list[str], ts: str, gap_seconds: int) -> DataFrame:
-    """Add ``_island``: start time of the run of rows without a gap of ``gap_seconds``.
+def _earlier(rows: DataFrame, number: str, back: int, name: str) -> DataFrame:
+    """``rows`` with the time of the row ``back`` places before it, by the dense ``number`` of an address."""
+    before = rows.select("_key", (F.col(number) + back).alias(number), F.col("created_at").alias(name))
+    return rows.join(before, ["_key", number], "left")
 
-    State that lives shorter than the gap cannot cross islands, so each island is
-    independent work and a hot key spreads over its islands.
-    """
-    marked = previous_value(df, keys, minute(F.col(ts)), [F.col(c) for c in order], F.col(ts), "_before")
-    starts = F.col("_before").isNull() | (
-        F.col(ts) - F.col("_before") >= F.make_dt_interval(secs=F.lit(gap_seconds)))
-    opened = previous_value(marked.withColumn("_open", F.when(starts, F.col(ts))), keys, minute(F.col(ts)),
-                            [F.col(c) for c in order], F.col("_open"), "_last_open")
-    return opened.withColumn("_island", F.coalesce("_open", "_last_open")).drop("_before", "_open", "_last_open")
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    return running_total(rows, ["_key"], minute(F.col("created_at")), [F.col("created_at"), F.col("id")], F.lit(1), name)
 
-def _fold_sorted(df: DataFrame, group: list[str], ts: str, tie: str, step, schema: str) -> DataFrame:
-    """Run a sequential rule over each group, streaming: the rows of a group arrive in
-    order in Arrow batches, and only the rule's small state is held in memory.
 
-    ``step(state, row, micros)`` gives the next state and the verdict on the row.
-    """
+def _recorded_of_zones(zones: DataFrame, max_failures: int, window_seconds: int) -> DataFrame:
+    """(_key, _n) of the failures that are recorded, zone by zone. A zone streams in order and only
+    the last recorded times are held; what is blocked is skipped by search, not row by row."""
+    width = window_seconds * 1_000_000
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, live = None, []
         for batch in batches:
-            out, keys = [], zip(*[batch[g] for g in group])
-            times = batch[ts].to_numpy("datetime64[us]").astype("int64").tolist()
-            for key, row, micros in zip(keys, batch.itertuples(index=False), times):
-                if key != current:
-                    current, state = key, None
-                state, verdict = step(state, row, micros)
-                out.append(verdict)
-            yield batch.drop(columns=["_island"]).assign(_verdict=out)
+            times = batch["created_at"].to_numpy("datetime64[us]").astype("int64")
+            turns = (batch["_key"] != batch["_key"].shift()) | (batch["_zone"] != batch["_zone"].shift())
+            starts, kept = np.flatnonzero(turns.to_numpy()).tolist(), []
+            for at, end in zip(starts, [*starts[1:], len(batch)]):
+                zone = (batch["_key"].iat[at], batch["_zone"].iat[at])
+                if zone != current:
+                    current, live = zone, []
+                while at < end:
+                    if len(live) == max_failures and live[0] > times[at] - width:
+                        at += int(np.searchsorted(times[at:end], live[0] + width))
+                        continue
+                    kept.append(at)
+                    live = [*live, int(times[at])][-max_failures:]
+                    at += 1
+            yield batch.iloc[kept][["_key", "_n"]]
 
     # bound by work per row: keep the width that small inputs would otherwise lose
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartition(width, *group).sortWithinPartitions(*group, ts, tie)
-    return spread.mapInPandas(run, schema)
+    shards = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = zones.repartition(shards, "_key", "_zone").sortWithinPartitions("_key", "_zone", "created_at", "id")
+    return spread.select("_key", "_zone", "_n", "created_at").mapInPandas(run, "_key string, _n long")
 
 
-def _ddl(df: DataFrame, drop: tuple[str, ...] = ("_island",)) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop)
+def recorded_failures(logins: DataFrame, max_failures: int, window_seconds: int) -> DataFrame:
+    """(_key, id, created_at) of the failures that are recorded; blocked ones are not.
+
+    A failure with fewer than ``max_failures`` failures in the window before it is surely recorded,
+    whatever came earlier. Only from a crowded failure until a window has passed without one is the
+    rule recursive; such a zone starts from failures that are all surely recorded, so zones are
+    independent of each other and of the rest. All other work is spread by minutes and by numbers.
+    """
+    order, window = [F.col("created_at"), F.col("id")], F.make_dt_interval(secs=F.lit(window_seconds))
+    fails = _earlier(_numbered(logins, "_n"), "_n", max_failures, "_limit")
+    crowded = F.coalesce(F.col("_limit") > F.col("created_at") - window, F.lit(False))
+    fails = previous_value(fails.withColumn("_crowded", crowded), ["_key"], minute(F.col("created_at")), order,
+                           F.when(F.col("_crowded"), F.col("created_at")), "_doubt")
+    near = F.coalesce(F.col("_doubt") > F.col("created_at") - window, F.lit(False))
+    fails = fails.withColumns({"_inside": near | F.col("_crowded"),
+                               "_open": F.when(F.col("_crowded") & ~near, F.col("_n"))})
+    fails = previous_value(fails, ["_key"], minute(F.col("created_at")), order, F.col("_open"), "_opened")
+    zone = F.when(F.col("_inside"), F.coalesce("_open", "_opened"))
+    fails = store(fails.withColumn("_zone", zone).select("_key", "id", "created_at", "_n", "_zone"), "failures")
+    heads = fails.filter("_n = _zone").select(
+        "_key", "_zone", F.explode(F.sequence(F.col("_n") - max_failures, F.col("_n") - 1)).alias("_n"))
+    before = fails.drop("_zone").join(heads, ["_key", "_n"])
+    inside = fails.filter("_zone IS NOT NULL")
+    found = _recorded_of_zones(inside.unionByName(before), max_failures, window_seconds)
+    return fails.filter("_zone IS NULL").unionByName(inside.join(found, ["_key", "_n"], "left_semi"), allowMissingColumns=True).select(
+        "_key", "id", "created_at")
 
 
 def lockouts(logins: DataFrame, max_failures: int = S.LOGIN_MAX_FAILURES,
              window_seconds: int = S.LOGIN_WINDOW_SECONDS) -> DataFrame:
-    """Outcome per login attempt: ok, failed or blocked.
+    """Outcome per login attempt: ok, failed or blocked. ``max_failures`` is at least 1.
 
-    Blocked attempts are not recorded, so the rule is recursive and needs a fold;
-    its state is the recorded failures of the last window (at most ``max_failures``).
+    Blocked attempts are not recorded. Each recorded failure knows the time of the one that is
+    ``max_failures`` - 1 recorded places earlier; an attempt looks up the newest recorded failure
+    before it and is blocked while that time is inside the window.
     """
-    width = window_seconds * 1_000_000
-
-    def step(failures, row, now):
-        live = [t for t in (failures or []) if t > now - width]
-        if len(live) >= max_failures:
-            return live, "blocked"
-        if row.success:
-            return live, "ok"
-        return [*live, now], "failed"
-
-    cut = _islands(logins, ["ip"], ["created_at", "id"], "created_at", window_seconds)
-    return _fold_sorted(cut, ["ip", "_island"], "created_at", "id", step,
-                        _ddl(cut) + ", _verdict string").withColumnRenamed("_verdict", "outcome")
+    keyed = logins.withColumn("_key", F.to_json(F.struct("ip")))
+    failed = ~F.coalesce("success", F.lit(False))
+    recorded = recorded_failures(keyed.filter(failed).select("_key", "id", "created_at"), max_failures, window_seconds)
+    marks = _earlier(_numbered(recorded, "_m"), "_m", max_failures - 1, "_first").select(
+        "_key", "id", "created_at", F.struct("_first").alias("_mark"))
+    both = keyed.unionByName(marks, allowMissingColumns=True)
+    seen = previous_value(both, ["_key"], minute(F.col("created_at")),
+                          [F.col("created_at"), F.col("id"), F.col("_mark").isNotNull()], F.col("_mark"), "_last")
+    blocked = F.col("_last._first") > F.col("created_at") - F.make_dt_interval(secs=F.lit(window_seconds))
+    return seen.filter("_mark IS NULL").select(
+        *logins.columns, F.when(blocked, "blocked").when(failed, "failed").otherwise("ok").alias("outcome"))
 
 
 def _first_after(opens: DataFrame, window_seconds: int) -> DataFrame:

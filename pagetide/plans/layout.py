@@ -51,7 +51,11 @@ def a_advance_est(spark, sf):
     return Y.estimate_advances(lined).withColumn("advance", F.round("advance", 6))
 
 
-@query("t_lines")
+# Marks too low or too high for the tolerance stand in lines of their own until they are given back.
+_MARKS = "CASE WHEN ch IN (' ', '.', ',') THEN 0 WHEN ch = '-' AND l > 0 THEN 1 ELSE 2 END"
+
+
+@query("t_lines", _CHARS + f"SELECT doc_id, page_no, count(DISTINCT l * 3 + {_MARKS}) AS lines, count(*) AS chars FROM chars GROUP BY ALL")
 def t_lines(spark, sf):
     lined = Y.assign_lines(page_chars(spark, sf).drop("l", "p"), reattach=False)
     return lined.groupBy("doc_id", "page_no").agg(F.max("line_no").alias("lines"), F.count("*").alias("chars"))

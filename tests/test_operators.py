@@ -448,3 +448,40 @@ def test_sketches_merge_over_days(spark):
         F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).cast("timestamp_ntz").alias("created_at"))
     merged = traffic.unique_over(traffic.approximate_uniques(visits)).first().unique_visitors
     assert abs(merged - 5_000) <= 100
+
+
+def test_flatten_json_numbers_quotes_and_plan(spark):
+    from pagetide.operators.catalog import flatten_json
+
+    doc = r'{"a":"x \"1.5\" 2 \\","b":-1.50e3,"c 7":[1.0,true,"-2",""],"d":{"e\"1":"[3]"}}'
+    df = spark.createDataFrame([(1, doc), (2, "7.10"), (3, "null"), (4, ""), (5, '{"a":1,"a":2}')], "id int, doc string")
+    got = flatten_json(df, "doc")
+    assert rows(got, "id", "key") == [
+        (1, "a", 'x "1.5" 2 \\'), (1, "b", "-1.50e3"), (1, "c 7[0]", "1.0"), (1, "c 7[1]", "true"), (1, "c 7[2]", "-2"),
+        (1, "c 7[3]", ""), (1, 'd.e"1', "[3]"), (2, "", "7.10"), (3, "", None), (4, "", None), (5, "", None)]
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def _folded(attempts):
+    """Outcomes by the rule itself, attempt by attempt."""
+    live, out = {}, {}
+    for ip, at, number, success in sorted(attempts, key=lambda a: (a[0] or "", a[1], a[2])):
+        held = [t for t in live.get(ip, []) if t > at - 900]
+        out[number] = "blocked" if len(held) >= 5 else "ok" if success else "failed"
+        live[ip] = held + [at] if out[number] == "failed" else held
+    return out
+
+
+def test_lockouts_of_busy_addresses_follow_the_rule(spark):
+    rng = random.Random(4)
+    attempts, number = [], 0
+    for ip, gap, share in (("a", 40, 0.5), ("b", 200, 0.1), ("c", 170, 0.0), (None, 300, 0.3), ("d", 1, 0.2), ("e", 900, 0.0)):
+        at = 0
+        for _ in range(400):
+            at += rng.choice([0, gap, rng.randrange(1, 2 * gap + 1)])
+            number += 1
+            attempts.append((ip, at, number, rng.random() < share))
+    df = spark.createDataFrame(attempts, "ip string, at int, id long, success boolean").selectExpr(
+        "ip", "id", "success", "CAST(timestamp_seconds(at) AS timestamp_ntz) AS created_at")
+    got = {r.id: r.outcome for r in usage.lockouts(df).collect()}
+    assert got == _folded(attempts)
