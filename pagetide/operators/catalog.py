@@ -143,10 +143,10 @@ def sitemap(paths: DataFrame, base_url: str) -> DataFrame:
 LEVELS = 8
 
 
-def _kind(value: Column) -> Column:
-    """``{`` or ``[`` for a container, else null."""
-    name = F.schema_of_variant(value)
-    return F.when(name.startswith("OBJECT"), "{").when(name.startswith("ARRAY"), "[")
+def _kind(text: Column, value: Column) -> Column:
+    """``{`` or ``[`` for a container, else null; a string may begin so as well."""
+    first = F.substring(F.ltrim(text), 1, 1)
+    return F.when(first.isin("{", "[") & (F.schema_of_variant(value) != "STRING"), first)
 
 
 def _numbers_quoted(text: Column) -> Column:
@@ -172,9 +172,9 @@ def _one_level(nodes: DataFrame, ids: list[str]) -> DataFrame:
 
     members = F.zip_with(
         F.map_entries(read("map<string,string>")), F.map_entries(read("map<string,variant>")),
-        lambda m, v: _node(F.when(path == "", m["key"]).otherwise(F.concat(path, F.lit("."), m["key"])), m["value"], _kind(v["value"])))
+        lambda m, v: _node(F.when(path == "", m["key"]).otherwise(F.concat(path, F.lit("."), m["key"])), m["value"], _kind(m["value"], v["value"])))
     items = F.transform(
-        F.zip_with(read("array<string>"), read("array<variant>"), lambda m, v: _node(F.lit(""), m, _kind(v))),
+        F.zip_with(read("array<string>"), read("array<variant>"), lambda m, v: _node(F.lit(""), m, _kind(m, v))),
         lambda m, i: _node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), m["text"], m["kind"]))
     held = F.when(F.col("_node.kind") == "{", members).when(F.col("_node.kind") == "[", items).otherwise(F.array("_node"))
     return nodes.select(*ids, F.explode(held).alias("_node"))
@@ -193,7 +193,7 @@ def flatten_json(df: DataFrame, text_col: str) -> DataFrame:
     top = df.withColumn("_top", F.try_parse_json(text_col))
     plain = F.when(F.schema_of_variant("_top") == "STRING", F.col("_top").cast("string")).when(
         F.col("_top").isNotNull() & ~F.is_variant_null("_top"), F.trim(text_col))
-    kind = _kind(F.col("_top"))
+    kind = _kind(F.translate(text_col, "\t\r\n", ""), F.col("_top"))
     text = F.when(kind.isNotNull(), _numbers_quoted(F.col(text_col))).otherwise(plain)
     nodes, out = top.select(*ids, _node(F.lit(""), text, kind).alias("_node")), None
     while True:

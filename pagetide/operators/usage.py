@@ -244,7 +244,7 @@ def recorded_failures(logins: DataFrame, max_failures: int, window_seconds: int)
     independent of each other and of the rest. All other work is spread by minutes and by numbers.
     """
     order, window = [F.col("created_at"), F.col("id")], F.make_dt_interval(secs=F.lit(window_seconds))
-    fails = _earlier(_numbered(logins, "_n"), "_n", max_failures, "_limit")
+    fails = store(_earlier(store(_numbered(logins, "_n"), "numbered"), "_n", max_failures, "_limit"), "limits")
     crowded = F.coalesce(F.col("_limit") > F.col("created_at") - window, F.lit(False))
     fails = previous_value(fails.withColumn("_crowded", crowded), ["_key"], minute(F.col("created_at")), order,
                            F.when(F.col("_crowded"), F.col("created_at")), "_doubt")
@@ -274,7 +274,7 @@ def lockouts(logins: DataFrame, max_failures: int = S.LOGIN_MAX_FAILURES,
     keyed = logins.withColumn("_key", F.to_json(F.struct("ip")))
     failed = ~F.coalesce("success", F.lit(False))
     recorded = recorded_failures(keyed.filter(failed).select("_key", "id", "created_at"), max_failures, window_seconds)
-    marks = _earlier(_numbered(recorded, "_m"), "_m", max_failures - 1, "_first").select(
+    marks = _earlier(store(_numbered(store(recorded, "recorded"), "_m"), "marks"), "_m", max_failures - 1, "_first").select(
         "_key", "id", "created_at", F.struct("_first").alias("_mark"))
     both = keyed.unionByName(marks, allowMissingColumns=True)
     seen = previous_value(both, ["_key"], minute(F.col("created_at")),
