@@ -1,15 +1,21 @@
 """From placed characters to lines, spaces, paragraphs and headings.
 
-Only the greedy line clustering needs Python, one page at a time; everything
-after it is window and aggregate work.
+The greedy line clustering needs Python, one page at a time. Blocks are built from
+lines, which that same pass hands over with their text; everything after it is window
+and aggregate work on lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.glyphs import table_width
 from ..session import store
@@ -102,7 +108,8 @@ def _reattach(lines: list[np.ndarray], box: dict[str, np.ndarray]) -> list[np.nd
     return lines
 
 
-def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
+def _found_lines(page: pd.DataFrame, reattach: bool) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """The page's glyphs top-down, and the places of each line's glyphs, left to right."""
     y0, y1 = page.y0.to_numpy(), page.y1.to_numpy()
     order = np.lexsort((page.x0.to_numpy(), -(y0 + y1) / 2))
     page, y0, y1 = page.iloc[order], y0[order], y1[order]
@@ -111,9 +118,15 @@ def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
     owner = _cluster(box["mid"], box["h"])
     in_row = lambda line: line[np.argsort(box["x0"][line], kind="stable")]
     top_down = lambda found: sorted(found, key=lambda line: -box["mid"][line].mean())
-    lines = top_down(in_row(np.flatnonzero(owner == k)) for k in range(owner.max() + 1))
+    members = np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner))[:-1])
+    lines = top_down(in_row(line) for line in members)
     if reattach:
         lines = top_down(line for line in _reattach(lines, box) if len(line))
+    return page, lines
+
+
+def _page_lines(page: pd.DataFrame, reattach: bool) -> pd.DataFrame:
+    page, lines = _found_lines(page, reattach)
     line_no, pos = np.empty(len(page), dtype=np.int64), np.empty(len(page), dtype=np.int64)
     for k, line in enumerate(lines, start=1):
         line_no[line], pos[line] = k, np.arange(1, len(line) + 1)
@@ -128,17 +141,40 @@ def by_page(df: DataFrame) -> DataFrame:
     return df.repartition(width, *PAGE)
 
 
+def _each_page(chars: DataFrame, rule: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``rule`` on the characters of each page. A page reaches Python as one row with a list, many
+    pages to a batch, which spares the cost a page of a grouped call. Identifiers pass beside it."""
+    glyph = [c for c in chars.columns if c not in PAGE]
+    pages = by_page(chars).groupBy(*PAGE).agg(F.collect_list(F.struct(*glyph)).alias("_glyphs"))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.column(2)
+            flat = pd.DataFrame({n: v.to_pandas() for n, v in zip(glyph, held.flatten().flatten())})
+            edges = np.cumsum(np.append(0, held.value_lengths().to_numpy()))
+            found = [rule(flat.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            rows, lengths = pd.concat(found, ignore_index=True), [len(f) for f in found]
+            page = pa.array(np.repeat(np.arange(len(found)), lengths))
+            columns = [batch.column(arrow.names[k]).take(page).cast(arrow.types[k]) for k in range(2)]
+            columns += [pa.array(rows[f.name], f.type, from_pandas=True) for f in list(arrow)[2:]]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return pages.select(*PAGE, "_glyphs").mapInArrow(run, schema)
+
+
 def assign_lines(chars: DataFrame, reattach: bool = True) -> DataFrame:
     """Characters with the line (top-down) and place (left to right) they belong to.
 
     The clustering is sequential inside a page and independent across pages, so the
     group is one physical page.
     """
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def rule(page: pd.DataFrame) -> pd.DataFrame:
         return _page_lines(page, reattach)
 
-    # the stage is bound by Python work, not by bytes: keep its width
-    return by_page(chars).groupBy(*PAGE).applyInPandas(run, CHAR_SCHEMA + ", line_no long, pos long")
+    return _each_page(chars, rule, CHAR_SCHEMA + ", line_no long, pos long")
 
 
 # ------------------------------------------------------------------ spacing
@@ -255,6 +291,95 @@ def insert_spaces(lined: DataFrame) -> DataFrame:
     return seen.withColumn("lead", lead).drop("_prev", "_after_space", "_step", "advance", "space_width")
 
 
+# --------------------------------------------------------------- line table
+
+LINE_SCHEMA = ("doc_id long, page_no int, line_no long, top double, bottom double, height double, "
+               "sizes array<double>, run_text array<string>, run_bold array<boolean>")
+
+
+def _upper_middle(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
+    """``sorted[n // 2]`` of the values of each group; NaN for a group without any."""
+    order = np.lexsort((value, group))
+    n = np.bincount(group, minlength=groups)
+    at = np.cumsum(n) - n + n // 2
+    out = np.full(groups, np.nan)
+    out[n > 0] = value[order][at[n > 0]]
+    return out
+
+
+def _advances(code: np.ndarray, step: np.ndarray, table: np.ndarray, ink: np.ndarray) -> np.ndarray:
+    """The advance of each glyph by the rule of ``with_advances``."""
+    good = (step > 0) & ink & (step >= 0.5 * table)
+    observed = np.full(len(code), np.inf)
+    if good.any():
+        order = np.lexsort((step[good], code[good]))
+        seen, start, n = np.unique(code[good][order], return_index=True, return_counts=True)
+        typical = np.full(code.max() + 1, np.inf)
+        typical[seen] = step[good][order][start + (n >= 4)]
+        observed = typical[code]
+    return np.minimum(observed, table)
+
+
+def _leads(g: dict[str, np.ndarray], line: np.ndarray, lines: int) -> np.ndarray:
+    """The text before each glyph by the rule of ``insert_spaces``; glyphs come line by line."""
+    n, at = len(line), np.arange(len(line))
+    start = np.searchsorted(line, line, side="left")
+    end = np.searchsorted(line, line, side="right")
+    ink, x0, x1 = g["ink"], g["x0"], g["x1"]
+    points = np.where(g["size"] == 0, 10.0, g["size"])
+    follows = np.append(line[1:] == line[:-1], False)
+    step = np.where(follows & (g["size"] > 0), (np.append(x0[1:], np.nan) - x0) / np.where(g["size"] > 0, g["size"], np.nan), np.nan)
+    advance = _advances(g["code"], step, g["table"], ink)
+    before = np.append(-1, np.maximum.accumulate(np.where(ink, at, -1))[:-1])
+    after = np.append(np.minimum.accumulate(np.where(ink, at, n)[::-1])[::-1][1:], n)
+    known, ahead = before >= start, after < end
+    gap = np.where(known & ahead, x0[np.minimum(after, n - 1)] - x1[before], np.nan)
+    wide = ~ink & (gap > 0) & (gap < 10 * points)
+    sized = g["size"] > 0
+    real, font = _upper_middle(line[wide], gap[wide], lines), _upper_middle(line[sized], g["size"][sized], lines)
+    blank = np.where(np.isnan(real), SPACE_WIDTH * np.where(np.isnan(font), 10.0, font), real)[line]
+    beside = ink & known & ~(x1[before] <= x0[before])
+    gutter = beside & (x0 - x1[before] > GUTTER * blank)
+    spaced = np.append(False, follows[:-1] & (g["ch"][:-1] == " "))
+    extra = x0 - x0[before] - advance[before] * points[before]
+    return np.where(gutter, "\t", np.where(beside & ~spaced & (extra > SPACE_EXTRA * blank), " ", "")).astype(object)
+
+
+def _line_table(page: pd.DataFrame) -> pd.DataFrame:
+    """One row per line of a page: its box, the sizes of its glyphs, and its text in bold and plain runs."""
+    page, lines = _found_lines(page, True)
+    row = page.iloc[np.concatenate(lines)]
+    count = np.array([len(line) for line in lines])
+    line, first = np.repeat(np.arange(len(lines)), count), np.cumsum(count) - count
+    ch, bold = row.ch.fillna("").to_numpy(dtype=object), row.bold.eq(True).to_numpy(dtype=bool)
+    y0, y1, size = row.y0.to_numpy(), row.y1.to_numpy(), row["size"].to_numpy()
+    lead = _leads({"x0": row.x0.to_numpy(), "x1": row.x1.to_numpy(), "size": size, "table": row.advance.to_numpy(),
+                   "ink": (row.ch.notna() & (row.ch != " ")).to_numpy(), "ch": ch, "code": pd.factorize(ch)[0]}, line, len(lines))
+    piece = np.column_stack([lead, ch]).ravel()
+    heavy = np.column_stack([bold & (lead != "\t"), bold]).ravel()
+    solid = piece != ""
+    piece, heavy, owner = piece[solid], heavy[solid], np.repeat(line, 2)[solid]
+    starts = np.flatnonzero(np.append(True, (heavy[1:] != heavy[:-1]) | (owner[1:] != owner[:-1]))) if len(piece) else np.array([], dtype=int)
+    texts = ["".join(part) for part in np.split(piece, starts[1:])] if len(piece) else []
+    runs = np.searchsorted(owner[starts], np.arange(len(lines) + 1))
+    return pd.DataFrame({
+        "line_no": np.arange(1, len(lines) + 1),
+        "top": np.maximum.reduceat(y1, first), "bottom": np.minimum.reduceat(y0, first),
+        "height": np.add.reduceat(y1 - y0, first) / count,
+        "sizes": [part[part > 0] for part in np.split(size, first[1:])],
+        "run_text": [texts[a:b] for a, b in zip(runs[:-1], runs[1:])],
+        "run_bold": [heavy[starts[a:b]] for a, b in zip(runs[:-1], runs[1:])]})
+
+
+def text_lines(chars: DataFrame) -> DataFrame:
+    """One row per line: box, glyph sizes, and text with spaces and tabs put back, as runs of one weight.
+
+    One pass over the characters of each page; ``with_advances`` and ``insert_spaces``
+    state the same rules as column expressions.
+    """
+    return _each_page(chars.withColumn("advance", table_width(F.col("ch"))), _line_table, LINE_SCHEMA)
+
+
 # --------------------------------------------------------------- paragraphs
 
 def _starts_paragraph(previous: Column, top: Column, height: Column) -> Column:
@@ -272,41 +397,32 @@ def number_paragraphs(lines: DataFrame) -> DataFrame:
     return running_total(marked, PAGE, piece, order, F.col("_break"), "para_no").drop("_prev", "_break")
 
 
-def _with_paragraphs(glyphs: DataFrame) -> DataFrame:
-    """The same on glyph rows: the row before the first glyph of a line tells the line above."""
-    line, reading = Window.partitionBy(*LINE), Window.partitionBy(*PAGE).orderBy("line_no", "pos")
-    boxed = glyphs.withColumns({
-        "_top": F.max("y1").over(line),
-        "_box": F.struct(F.min("y0").over(line).alias("bottom"),
-                         F.avg(F.col("y1") - F.col("y0")).over(line).alias("height"))})
-    above = F.when(F.col("pos") == 1, F.lag("_box").over(reading))
-    marked = boxed.withColumn("_above", above).withColumn(
-        "_break", _starts_paragraph(F.col("_above"), F.col("_top"), F.col("_box.height")))
-    return marked.withColumn("para_no", F.sum("_break").over(reading)).drop("_top", "_box", "_above", "_break")
-
-
 def build_blocks(chars: DataFrame) -> DataFrame:
-    """Paragraph blocks of each page in reading order, with text, bold runs and size."""
-    lined = by_page(store(assign_lines(chars), "lines"))
+    """Paragraph blocks of each page in reading order, with text, bold runs and size.
+
+    Characters move once, to their page; what moves after that are lines, once more, and every
+    window and group is keyed by the page or a part of it.
+    """
     para = [*PAGE, "para_no"]
-    whole = Window.partitionBy(*para)
-    placed = _with_paragraphs(insert_spaces(lined))
-    placed = placed.withColumns({"y": F.max("y1").over(whole), "_first": F.min("line_no").over(whole)})
-    placed = _median_beside(placed, para, F.when(F.col("size") > 0, F.col("size")), "font")
-    joint = F.when((F.col("pos") == 1) & (F.col("line_no") > F.col("_first")), " ").otherwise("")
-    pieces = placed.select(*para, "y", "font", "line_no", "pos", F.posexplode(F.array(
-        F.struct(joint.alias("text"), F.lit(False).alias("bold")),
-        F.struct(F.col("lead").alias("text"), (F.col("bold") & (F.col("lead") != "\t")).alias("bold")),
-        F.struct(F.col("ch").alias("text"), "bold"),
-    )).alias("k", "t")).select(*para, "y", "font", "line_no", "pos", "k", "t.text", "t.bold").filter("text <> ''")
-    order = Window.partitionBy(*para).orderBy("line_no", "pos", "k")
+    reading, whole = Window.partitionBy(*PAGE).orderBy("line_no"), Window.partitionBy(*para)
+    above = F.lag(F.struct("bottom", "height")).over(reading)
+    lines = text_lines(chars).withColumn("_above", above)
+    lines = lines.withColumn("para_no", F.sum(_starts_paragraph(F.col("_above"), F.col("top"), F.col("height"))).over(reading))
+    lines = lines.withColumns({"y": F.max("top").over(whole), "_first": F.min("line_no").over(whole)})
+    runs = F.transform(F.arrays_zip("run_text", "run_bold"), lambda r: F.struct(r["run_text"].alias("text"), r["run_bold"].alias("bold")))
+    joint = F.array(F.struct(F.lit(" ").alias("text"), F.lit(False).alias("bold")))
+    joined = F.when(F.col("line_no") > F.col("_first"), F.concat(joint, runs)).otherwise(runs)
+    pieces = lines.select(*para, "y", "sizes", "line_no", F.posexplode(joined).alias("k", "t")).select(
+        *para, "y", F.when(F.col("k") == 0, F.col("sizes")).alias("sizes"), "line_no", "k", "t.text", "t.bold")
+    order = Window.partitionBy(*para).orderBy("line_no", "k")
     change = F.coalesce((F.col("bold") != F.lag("bold").over(order)).cast("int"), F.lit(0))
     runs = pieces.withColumn("_c", change).withColumn("run_no", F.sum("_c").over(order))
     texts = _ordered_text(runs, [*para, "run_no", "bold"]).groupBy(*para).agg(
-        F.max("y").alias("y"), F.coalesce(F.max("font"), F.lit(0.0)).alias("size"),
+        F.max("y").alias("y"), F.array_sort(F.flatten(F.collect_list("sizes"))).alias("_sizes"),
         F.array_sort(F.collect_list(F.struct("run_no", "text", "bold"))).alias("_r"))
+    size = F.coalesce(F.get("_sizes", F.floor(F.size("_sizes") / 2).cast("int")), F.lit(0.0))
     plain = F.array_join(F.transform("_r", lambda r: r["text"]), "")
-    out = texts.select(*para, "y", "size", _trim(plain).alias("text"), _trim_runs(F.col("_r")).alias("runs"))
+    out = texts.select(*para, "y", size.alias("size"), _trim(plain).alias("text"), _trim_runs(F.col("_r")).alias("runs"))
     top_down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "para_no")
     return out.filter("text <> ''").withColumn("block_no", F.row_number().over(top_down))
 
@@ -316,9 +432,9 @@ def _trim(text: Column) -> Column:
 
 
 def _ordered_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    item = F.struct("line_no", "pos", "k", "text")
+    item = F.struct("line_no", "k", "text")
     return pieces.groupBy(*keys).agg(
-        F.max("y").alias("y"), F.max("font").alias("font"),
+        F.max("y").alias("y"), F.flatten(F.collect_list("sizes")).alias("sizes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda t: t["text"]), "").alias("text"))
 
 
