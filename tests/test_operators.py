@@ -384,6 +384,55 @@ def test_look_back_reaches_the_scan(spark, sf_dir):
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan
 
 
+def replayed_edits(log, pages):
+    """State of each page by replaying one document's log from its last init."""
+    starts = [e[1] for e in log if e[2] == "init"]
+    log = sorted(e for e in log if not starts or e[1] >= max(starts))
+    here, angle, marked, out = set(), dict.fromkeys(pages, 0), dict.fromkeys(pages, False), dict.fromkeys(pages, False)
+    for _, _, action, ids, arg in log:
+        if action in ("init", "append"):
+            here |= set(ids)
+        elif action == "reset_angles":
+            angle = dict.fromkeys(pages, 0)
+        elif action in ("set_marked", "clear_marks"):
+            marked = {p: action == "set_marked" and p in (ids or ()) for p in pages}
+        else:
+            for p in ids if action == "toggle_mark" else set(ids):
+                if p not in pages or (starts and p not in here):
+                    continue
+                if action == "rotate":
+                    angle[p] += arg
+                elif action == "set_angles":
+                    angle[p] = arg
+                elif action == "toggle_mark":
+                    marked[p] = not marked[p]
+                elif action == "set_mark":
+                    marked[p] = arg == 1
+                elif action in ("remove", "restore"):
+                    out[p] = action == "remove"
+    return {(p, angle[p] % 360, marked[p], out[p]) for p in pages}
+
+
+def test_edit_state_equals_a_replay_at_any_span(spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = ["rotate"] * 4 + ["toggle_mark"] * 4 + ["set_angles", "set_mark", "remove", "restore", "append", "reset_angles", "set_marked",
+                                                  "clear_marks", "reverse", "move"]
+    log, pages = [], range(1, 7)
+    for doc in range(1, 13):
+        rows = [(doc, k, rng.choice(kinds + ["init"] * (doc % 3)), [rng.randint(1, 7) for _ in range(rng.randint(0, 3))],
+                 rng.choice([90, -90, 180, 1, 0])) for k in range(rng.randint(0, 90))]
+        log += rows
+    log += [(13, 0, "clear_marks", None, 0), (13, 1, "rotate", [1], 450)]
+    schema = "doc_id long, seq long, action string, ids array<int>, arg int"
+    items = spark.createDataFrame([(d, p) for d in range(1, 15) for p in pages], "doc_id long, item int")
+    want = {(d, *row) for d in range(1, 15) for row in replayed_edits([e for e in log if e[0] == d], pages)}
+    for span in (3, edits.SPAN):
+        monkeypatch.setattr(edits, "SPAN", span)
+        got = edits.fold_state(items, spark.createDataFrame(log, schema)).select("doc_id", "item", "angle", "marked", "removed")
+        assert {tuple(r) for r in got.collect()} == want
+    assert edits.fold_state(items, spark.createDataFrame([], schema)).filter("angle <> 0 OR marked OR removed").isEmpty()
+
+
 def test_edits_count_from_the_last_init_and_from_a_pages_entry(spark):
     log = [(1, 0, "init", [1, 2], 0), (1, 1, "toggle_mark", [1, 1], 0), (1, 2, "rotate", [3], 90), (1, 3, "append", [3], 0),
            (1, 4, "rotate", [2], 90), (1, 5, "toggle_mark", [2], 0)]
