@@ -61,22 +61,42 @@ def t_lines(spark, sf):
     return lined.groupBy("doc_id", "page_no").agg(F.max("line_no").alias("lines"), F.count("*").alias("chars"))
 
 
-@query("t_reattach")
+# A small mark goes to the gap between two full-size characters that it stands in: of its own line, else (where
+# normal characters are tall enough to reach it) of the next line for low marks and of the line before for high
+# ones. A gap takes one mark, the first from the top.
+_HOME = f""", normal AS (SELECT doc_id, page_no, list_sort(list(tall) FILTER (ch <> ' '))[count(*) FILTER (ch <> ' ') // 2 + 1] AS n FROM chars GROUP BY ALL),
+  apart AS (SELECT *, {_MARKS} AS c, coalesce(ch <> ' ' AND tall < 0.45 * n, false) AS tiny FROM chars JOIN normal USING (doc_id, page_no)),
+  slots AS (SELECT * FROM (SELECT doc_id, page_no, l AS gl, p AS gp, x0 + wide AS lo, lead(x0) OVER w AS hi, n, tiny OR lead(tiny) OVER w AS small
+    FROM apart WHERE c = 2 WINDOW w AS (PARTITION BY doc_id, page_no, l ORDER BY p)) WHERE hi - lo < 2 * n AND NOT small),
+  reach AS (SELECT *, CASE WHEN c = 0 AND (l + 1) % 4 <> 0 AND n >= 9.5 THEN l + 1 WHEN c = 1 AND l % 4 <> 0 AND n >= CASE WHEN l = 1 THEN 12.5 ELSE 10.5 END THEN l - 1 END AS far
+    FROM apart WHERE tiny AND c < 2),
+  tried AS (SELECT r.doc_id, r.page_no, r.l, r.p, gl, gp, row_number() OVER (PARTITION BY r.doc_id, r.page_no, r.l, r.p ORDER BY abs(gl - r.l)) AS choice,
+      CASE WHEN gl = r.l THEN 2 - r.c ELSE 3 * r.c END AS turn
+    FROM reach r JOIN slots g ON g.doc_id = r.doc_id AND g.page_no = r.page_no AND (gl = r.l OR gl = far) AND r.x0 BETWEEN lo AND hi),
+  taken AS (SELECT doc_id, page_no, l, p, gl FROM (SELECT * FROM tried WHERE choice = 1) QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, gl, gp ORDER BY turn, p) = 1),
+  home AS (SELECT a.*, coalesce(gl, l) * 3 + CASE WHEN gl IS NOT NULL OR c = 2 THEN 1 WHEN c = 1 THEN 0 ELSE 2 END AS k FROM apart a LEFT JOIN taken USING (doc_id, page_no, l, p))
+"""
+
+
+@query("t_reattach", _CHARS + _HOME + "SELECT doc_id, page_no, count(DISTINCT k) AS lines, count(*) AS chars FROM home GROUP BY ALL")
 def t_reattach(spark, sf):
     lined = Y.assign_lines(page_chars(spark, sf).drop("l", "p"))
     return lined.groupBy("doc_id", "page_no").agg(F.max("line_no").alias("lines"), F.count("*").alias("chars"))
 
 
-@query("w_spaces", _CHARS + _STEPS + """, seen AS (SELECT *, last_value(CASE WHEN ch <> ' ' THEN x0 + wide END IGNORE NULLS) OVER w1 AS bx, first_value(CASE WHEN ch <> ' ' THEN x0 END IGNORE NULLS) OVER w2 AS ax,
+_LEADS = _STEPS + """, seen AS (SELECT *, last_value(CASE WHEN ch <> ' ' THEN x0 + wide END IGNORE NULLS) OVER w1 AS bx, first_value(CASE WHEN ch <> ' ' THEN x0 END IGNORE NULLS) OVER w2 AS ax,
     last_value(CASE WHEN ch <> ' ' THEN struct_pack(ch := ch, x0 := x0, x1 := x0 + wide, size := size) END IGNORE NULLS) OVER w1 AS pv, lag(ch) OVER w AS before
     FROM chars WINDOW w AS (PARTITION BY doc_id, page_no, l ORDER BY p), w1 AS (PARTITION BY doc_id, page_no, l ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
       w2 AS (PARTITION BY doc_id, page_no, l ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
   gaps AS (SELECT doc_id, page_no, l, list_sort(list(ax - bx) FILTER (ch = ' ' AND ax - bx > 0 AND ax - bx < 10 * size)) AS g, list_sort(list(size)) AS z FROM seen GROUP BY ALL),
-  leads AS (SELECT s.doc_id, s.page_no, CASE WHEN s.ch = ' ' OR pv IS NULL OR pv.x1 <= pv.x0 THEN '' WHEN s.x0 - pv.x1 > 2.75 * w THEN 'tab'
+  leads AS (SELECT s.doc_id, s.page_no, s.l, s.p, s.ch, s.bold, s.size, s.y0, s.tall, CASE WHEN s.ch = ' ' OR pv IS NULL OR pv.x1 <= pv.x0 THEN '' WHEN s.x0 - pv.x1 > 2.75 * w THEN 'tab'
       WHEN coalesce(before, '') <> ' ' AND (s.x0 - pv.x0) - a.advance * pv.size > 0.55 * w THEN 'space' ELSE '' END AS lead
     FROM seen s JOIN (SELECT doc_id, page_no, l, coalesce(g[len(g) // 2 + 1], 0.32::DOUBLE * z[len(z) // 2 + 1]) AS w FROM gaps) g USING (doc_id, page_no, l)
     LEFT JOIN adv a ON a.doc_id = s.doc_id AND a.page_no = s.page_no AND a.ch = pv.ch)
-  SELECT doc_id, page_no, count(*) FILTER (lead = 'space') AS spaces, count(*) FILTER (lead = 'tab') AS tabs FROM leads GROUP BY ALL""")
+"""
+
+
+@query("w_spaces", _CHARS + _LEADS + """SELECT doc_id, page_no, count(*) FILTER (lead = 'space') AS spaces, count(*) FILTER (lead = 'tab') AS tabs FROM leads GROUP BY ALL""")
 def w_spaces(spark, sf):
     lined = page_chars(spark, sf).withColumnsRenamed({"l": "line_no", "p": "pos"})
     spaced = Y.insert_spaces(lined)
@@ -84,7 +104,24 @@ def w_spaces(spark, sf):
         F.count_if(F.col("lead") == " ").alias("spaces"), F.count_if(F.col("lead") == "\t").alias("tabs"))
 
 
-@query("t_blocks")
+# From characters with their line (l, top-down) and their leads to paragraph blocks.
+_PARAGRAPHS = """, rows_in AS (SELECT doc_id, page_no, l, max(y0 + tall) AS top, min(y0) AS bottom, avg(tall) AS height FROM leads GROUP BY ALL),
+  after AS (SELECT *, lag(bottom) OVER w AS pb, lag(height) OVER w AS ph FROM rows_in WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY l)),
+  paras AS (SELECT *, min(l) OVER (PARTITION BY doc_id, page_no, para) AS first FROM (SELECT *, sum(CASE WHEN pb - top > 1.5 * least(height, CASE WHEN ph = 0 THEN height ELSE ph END) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id, page_no ORDER BY l) AS para FROM after)),
+  glyphs AS (SELECT g.*, para, top, CASE WHEN g.l > first AND row_number() OVER (PARTITION BY doc_id, page_no, g.l ORDER BY g.p) = 1 THEN ' ' ELSE '' END AS joint,
+    CASE lead WHEN 'tab' THEN chr(9) WHEN 'space' THEN ' ' ELSE '' END AS ahead FROM leads g JOIN paras USING (doc_id, page_no, l)),
+  pieces AS (SELECT doc_id, page_no, para, l, p, 0 AS k, joint AS t, false AS b FROM glyphs WHERE joint <> '' UNION ALL
+    SELECT doc_id, page_no, para, l, p, 1, ahead, bold AND lead <> 'tab' FROM glyphs WHERE ahead <> '' UNION ALL SELECT doc_id, page_no, para, l, p, 2, ch, bold FROM glyphs),
+  changes AS (SELECT *, CASE WHEN b <> lag(b) OVER (PARTITION BY doc_id, page_no, para ORDER BY l, p, k) THEN 1 ELSE 0 END AS c FROM pieces),
+  numbered AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, page_no, para ORDER BY l, p, k) AS run FROM changes),
+  texts AS (SELECT doc_id, page_no, para, regexp_replace(string_agg(t, '' ORDER BY l, p, k), '^\\s+|\\s+$', '', 'g') AS text,
+    max(run) FILTER (trim(t, chr(9) || ' ') <> '') - min(run) FILTER (trim(t, chr(9) || ' ') <> '') + 1 AS runs FROM numbered GROUP BY ALL),
+  sizes AS (SELECT doc_id, page_no, para, max(top) AS y, list_sort(list(size))[count(*) // 2 + 1] AS size FROM glyphs GROUP BY ALL)
+  SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, para) AS block_no, text, runs, size FROM texts JOIN sizes USING (doc_id, page_no, para) WHERE text <> ''"""
+
+
+@query("t_blocks", _CHARS.replace("chars AS (", "placed AS (") + _HOME.replace("FROM chars", "FROM placed") + ", chars AS (SELECT * REPLACE (k AS l, row_number() OVER (PARTITION BY doc_id, page_no, k ORDER BY x0, c DESC) AS p) FROM home)" + _LEADS + _PARAGRAPHS)
 def t_blocks(spark, sf):
     blocks = Y.build_blocks(page_chars(spark, sf).drop("l", "p"))
     return blocks.select("doc_id", "page_no", "block_no", "text", F.size("runs").alias("runs"), "size")
