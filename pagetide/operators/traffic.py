@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,11 +126,13 @@ def totals(tracked: DataFrame) -> DataFrame:
 
 
 def approximate_uniques(visits: DataFrame, rsd: float = 0.01) -> DataFrame:
-    """Per-day sketches of the visitors: small, and mergeable over any span of days."""
-    return visits.groupBy(V.day(F.col("created_at")).alias("date")).agg(
-        F.hll_sketch_agg("ip_trunc").alias("visitors"),
-        F.approx_count_distinct("ip_trunc", rsd).alias("visitors_estimate"),
-    )
+    """Per-day sketches of the visitors: small, and mergeable over any span of days. ``rsd`` is the
+    standard error of an estimate, also of merged days; a sketch has
+    (1.04 / rsd) ** 2 registers or more."""
+    log_registers = min(21, max(4, math.ceil(2 * math.log2(1.04 / rsd))))
+    sketched = visits.groupBy(V.day(F.col("created_at")).alias("date")).agg(
+        F.hll_sketch_agg("ip_trunc", F.lit(log_registers)).alias("visitors"))
+    return sketched.withColumn("visitors_estimate", F.hll_sketch_estimate("visitors"))
 
 
 def unique_over(sketches: DataFrame) -> DataFrame:

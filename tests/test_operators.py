@@ -499,6 +499,18 @@ def test_sketches_merge_over_days(spark):
     assert abs(merged - 5_000) <= 100
 
 
+def test_sketches_are_as_exact_as_asked(spark):
+    """Forty days of 20,000 visitors, each day and all of them together."""
+    visits = spark.range(800_000).select(
+        F.concat(F.lit("v"), "id").alias("ip_trunc"),
+        F.timestamp_seconds(1_700_006_400 + F.col("id") % 40 * 86_400).cast("timestamp_ntz").alias("created_at"))
+    stored = traffic.approximate_uniques(visits, 0.02 / 6)
+    estimates = [r.visitors_estimate for r in stored.collect()]
+    assert len(estimates) == 40 and all(abs(e - 20_000) <= 400 for e in estimates)
+    assert all(r.e == r.visitors_estimate for r in stored.withColumn("e", F.hll_sketch_estimate("visitors")).collect())
+    assert abs(traffic.unique_over(stored).first().unique_visitors - 800_000) <= 16_000
+
+
 def test_flatten_json_numbers_quotes_and_plan(spark):
     from pagetide.operators.catalog import flatten_json
 
