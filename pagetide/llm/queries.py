@@ -78,8 +78,8 @@ def op9_greedy_tiling(spark, sf_dir):
 
 @query("op6_quality_ranking")
 def op6_quality_ranking(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    features = store(quality.measure(table(spark, sf_dir, "documents")), "features")
+    return quality.score_measured(features, quality.train_measured(features, table(spark, sf_dir, "labels")))
 
 
 @query("op10_toxicity_chain")

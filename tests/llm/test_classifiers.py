@@ -41,6 +41,33 @@ def test_quality_without_labels_and_odd_rows(spark):
     assert quality.score(spark.createDataFrame([], DOCS), empty).count() == 0
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """In pieces the fit equals one over all rows at once; no labelled row is left out."""
+    monkeypatch.setattr(quality, "PIECE_ROWS", 40)
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 30) + " |#" * (i % 5 == 0)) for i in range(400)], DOCS)
+    labels = [(i, int(i % 5 > 0), 0) for i in range(400)]
+    x = np.array([quality.features_of(r["text"]) for r in docs.collect() if remainder(r["doc_id"]) != 2])
+    ranking = quality.train(docs, spark.createDataFrame(labels, LABELS))
+    assert np.allclose(ranking.centre, np.median(x, axis=0), rtol=0, atol=1e-12)
+    assert np.allclose(ranking.scale, np.maximum(x.std(axis=0), 1e-3), rtol=0, atol=1e-12)
+    raw = np.sort(ranking.raw(x))
+    share = np.mean([q == 0 for i, q, _ in labels if remainder(i) != 2])
+    assert abs(ranking.threshold - np.quantile(raw, [share - 0.005, share + 0.005]).mean()) < 1e-9
+    seen = [r["own"] for r in quality._pieces(spark.createDataFrame(
+        [(i, q, quality.features_of("a b").tolist()) for i, q, _ in labels], "doc_id long, quality int, x array<double>"), 320, 80).collect()]
+    assert len(seen) == 10 and sum(sum(s) for s in seen) == 400
+
+
+def test_quality_reads_more_labels_than_one_fit_holds(spark):
+    """The features behind the threshold come from all of 30,000 labelled rows."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "repeat('word ', CAST(1 + id % 300 AS INT)) AS text")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 300 >= 100 AS INT) AS quality", "0 AS toxic")
+    ranking = quality.train(docs, labels)
+    sizes = [quality.features_of("word " * (1 + k))[-1] for k in range(300)]
+    kept = [sizes[i % 300] for i in range(30_000) if remainder(i) != 2]
+    assert ranking.centre[-1] == np.median(kept) and np.isclose(ranking.scale[-1], np.std(kept), rtol=1e-9)
+
+
 def toxic_corpus(seed=13, n=600):
     rng = random.Random(seed)
     data, labels = [], []
