@@ -85,13 +85,14 @@ def strip_report(info: DataFrame, producer_after: str = "writer") -> DataFrame:
 def report_from_pairs(pairs: DataFrame) -> DataFrame:
     """The same report from long ``(file_id, phase, key, value)`` rows of two real reads."""
     full = F.col("value").isNotNull() & ~F.col("value").isin("", "false", "0")
+    # Flags only: a text as the buffer of a group would have every row sorted before it is grouped.
+    filled = F.coalesce(F.col("value"), F.lit("")) != ""
     keyed = pairs.groupBy("file_id", "key").agg(
         F.bool_or((F.col("phase") == "before") & full).alias("_before"),
         F.bool_or((F.col("phase") == "after") & full).alias("_after"),
-        F.max(F.when(F.col("phase") == "after", F.coalesce("value", F.lit("")))).alias("_text"))
-    blank_after = F.coalesce(F.col("_text"), F.lit("")) == ""
+        F.coalesce(F.bool_or((F.col("phase") == "after") & filled), F.lit(False)).alias("_text"))
     return keyed.groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_before") & blank_after, F.col("key")))).alias("removed"),
+        F.array_sort(F.collect_list(F.when(F.col("_before") & ~F.col("_text"), F.col("key")))).alias("removed"),
         F.array_sort(F.collect_list(F.when(F.col("_after"), F.col("key")))).alias("remaining"))
 
 

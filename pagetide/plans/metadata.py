@@ -61,8 +61,10 @@ def m_strip_report(spark, sf):
 
 @query("m_strip_pairs", INFO + f"""SELECT file_id, concat_ws(',', {_REMOVED}) AS removed, concat_ws(',', CASE WHEN page_count > 0 THEN 'page_count' END, 'producer') AS remaining FROM attributes""")
 def m_strip_pairs(spark, sf):
-    """The report built from long before/after rows."""
-    info, fields = derived(spark, sf, "attributes"), (*M.INFO_FIELDS, *M.DATE_FIELDS)
+    """The report built from long before/after rows. One file becomes 20 rows, so files are dealt
+    over the whole shuffle width before, and stay where they are."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    info, fields = derived(spark, sf, "attributes").repartition(width, "file_id"), (*M.INFO_FIELDS, *M.DATE_FIELDS)
     pair = lambda phase, key, value: F.struct(
         F.lit(phase).alias("phase"), F.lit(key).alias("key"), value.cast("string").alias("value"))
     before = [pair("before", f, V.blank_to_null(F.col(f))) for f in fields]

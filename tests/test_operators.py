@@ -546,3 +546,11 @@ def test_lockouts_of_busy_addresses_follow_the_rule(spark):
         "ip", "id", "success", "CAST(timestamp_seconds(at) AS timestamp_ntz) AS created_at")
     got = {r.id: r.outcome for r in usage.lockouts(df).collect()}
     assert got == _folded(attempts)
+
+
+def test_strip_pairs_sort_no_exploded_rows(spark, sf_dir):
+    """Files are dealt before each becomes many rows, and flags need no sort of them."""
+    from pagetide.plans.metadata import m_strip_pairs
+
+    plan = m_strip_pairs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
