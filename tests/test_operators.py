@@ -554,3 +554,16 @@ def test_strip_pairs_sort_no_exploded_rows(spark, sf_dir):
 
     plan = m_strip_pairs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_flatten_json_parses_once_and_deals_rows(spark, monkeypatch):
+    from pagetide.operators import catalog
+
+    plans, store = [], catalog.store
+    monkeypatch.setattr(catalog, "store", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or store(df, name))
+    deep = '{"a":' * 20 + '[1.50,{"b":"{}"}]' + "}" * 20
+    got = catalog.flatten_json(spark.createDataFrame([(1, deep)], "id int, doc string"), "doc")
+    key = ".".join("a" * 20)
+    assert rows(got, "id", "key") == [(1, f"{key}[0]", "1.50"), (1, f"{key}[1].b", "{}")]
+    assert "RoundRobinPartitioning" in plans[0] and not any("from_json" in p or "jsontostructs" in p.lower() for p in plans)
