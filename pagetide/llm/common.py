@@ -54,7 +54,7 @@ def tidy(run: Callable, owner: str | None = None) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _powers.cache_clear()
+            _POWERS.clear()
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":
                 getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
@@ -103,17 +103,16 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first ``n`` powers modulo 2**64; tables grow by doubling and are kept."""
-    size = 1 << max(10, int(n - 1).bit_length())
-    return _powers(int(base), size)[:n]
+    """The first ``n`` powers modulo 2**64; one table a base, which grows by doubling and is kept."""
+    if len(_POWERS.get(int(base), ())) < n:
+        table = np.full(1 << max(10, int(n - 1).bit_length()), base, dtype=np.uint64)
+        table[0] = 1
+        _POWERS[int(base)] = np.cumprod(table, dtype=np.uint64)
+    return _POWERS[int(base)][:n]
 
 
 def inverse(base: np.uint64) -> np.uint64:
@@ -202,6 +201,16 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return span_sums(words, starts, np.minimum(starts + k, n), _WORD_BASE)
 
 
+def runs_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of each run of ``k`` words in all texts at once, in order: the spans that
+    ``shingles`` hashes text by text."""
+    size = np.diff(words.first)
+    count = np.where(size > 0, np.maximum(size - k + 1, 1), 0)
+    text = np.repeat(np.arange(len(size)), count)
+    start = np.arange(len(text)) + (words.first[:-1] - np.cumsum(count) + count)[text]
+    return text, start, np.minimum(start + k, words.first[1:][text])
+
+
 def windows(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_sums(words, starts, ends, _WORD_BASE)
 

@@ -72,3 +72,25 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], DOCS), spark.createDataFrame([], ITEMS)
     assert not tiling.flagged(docs, items).first()["contaminated"]
     assert tiling.flagged(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d e f")], ITEMS)).count() == 0
+
+
+def test_suspects_carry_the_seeds_of_their_runs(spark):
+    """The scan reads many texts at once; it must find what each text has for itself."""
+    items = [(1, "a b c d e f g"), (2, "x y"), (3, "é ß d e f")]
+    texts = ["a b c d e", "f g a b c", "A, b: c_d\te!", None, "", "x", "y x — y", "é ß «d» e f g", "E f G", "x y x y"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS).coalesce(1)
+    seeds = tiling.item_seeds(tiling.item_words(spark.createDataFrame(items, ITEMS))).cache()
+    known = {r["seed"] for r in seeds.collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        words = tiling.Words(tiling.folded([text])).of(0)
+        found = [(a, n, int(tiling.signed(tiling.shingles(words[a:a + n], n))[0]))
+                 for n in (2, 5) for a in range(len(words) - n + 1)]
+        found = [x for x in found if x[2] in known]
+        inside = sorted({p for a, n, _ in found for p in range(a, a + n)})
+        runs = [[int(tiling.signed(words[p:p + 1])[0]) for p in inside if p - inside.index(p) == g]
+                for g in sorted({p - inside.index(p) for p in inside})]
+        if runs:
+            want[i] = (runs, sorted({s for *_, s in found}))
+    got = {r["doc_id"]: (r["runs"], sorted(r["seeds"])) for r in tiling.suspects(docs, seeds).collect()}
+    assert got == want and {0, 2, 6, 7, 9} == {i for i in want if i < 10}
