@@ -71,12 +71,14 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     columns = docs.columns
-    cut = substrings.cut(docs, store(substrings.repeats(docs), "repeats"), "_words", "_removed", "_kept")
+    found = store(substrings.repeats(docs), "repeats")
     changed = F.col("_removed") > 0
-    return cut.withColumns({
+    cut = substrings.cut_listed(docs, found, "_words", "_removed", "_kept").withColumns({
         "text": F.when(changed, F.col("_kept")).otherwise(F.col("text")),
         "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars")),
     }).select(*columns)
+    # the others keep their words and are not read word by word again
+    return cut.union(filtered(docs, found, "doc_id", keep=False))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

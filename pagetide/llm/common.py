@@ -7,8 +7,9 @@ left to Spark.
 from __future__ import annotations
 
 import functools
+import re
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,10 @@ _IS_SPACE[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+# What no folded word has: among ASCII characters by a table, among all others by a pattern.
+_GAPS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_OTHER_GAPS = re.compile(r"[^\w\x00-\x7F]")
+
 _RNG = np.random.default_rng(20240229)
 _BYTE_VALUE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -136,6 +141,13 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np
                + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
 
 
+def folded(texts: Iterable[str | None]) -> list[str]:
+    """Texts with everything but letters and digits as spaces, in lower case."""
+    # bytes under 128 are ASCII characters in UTF-8, wherever they stand
+    plain = ["" if t is None else t.lower().encode("utf-8").translate(_GAPS).decode("utf-8") for t in texts]
+    return [t if t.isascii() else _OTHER_GAPS.sub(" ", t) for t in plain]
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words in a byte array."""
     space = np.ones(len(data) + 2, dtype=bool)

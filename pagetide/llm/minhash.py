@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import (Words, by_group, components, filtered, in_pieces, mix, shingles, signed, spread_join, tidy)
+from .common import (Words, by_group, components, filtered, in_pieces, mix, runs_of, signed, spread_join, tidy, windows)
 
 # 50 permutations, 100 values, 25 bands of 4: sets of similarity 0.8 share no band in one of
 # 500,000 cases.
@@ -56,31 +56,57 @@ _RNG = np.random.default_rng(8)
 _MULTIPLY = (_RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
 
-# Sets are permuted so many shingles at a time.
-_STEP = 4096
+# Sets are permuted so many shingles at a time, so that they stay near the processor.
+_STEP = 8192
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    """Smallest and largest value under each permutation, as 32-bit values in turn."""
-    low = np.full(PERMUTATIONS, np.uint64(2**64 - 1))
-    high = np.zeros(PERMUTATIONS, dtype=np.uint64)
+def signatures(items: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row for each set ``items[first[i]:first[i + 1]]``, none of them empty: smallest and largest
+    value under each permutation, as 32-bit values in turn."""
+    low = np.full((len(first) - 1, PERMUTATIONS), np.uint64(2**64 - 1))
+    high = np.zeros((len(first) - 1, PERMUTATIONS), dtype=np.uint64)
     for at in range(0, len(items), _STEP):
-        values = items[None, at:at + _STEP] * _MULTIPLY[:, None] + _ADD[:, None]
-        values ^= values >> np.uint64(32)
-        values *= np.uint64(0xD6E8FEB86659FD93)
-        low = np.minimum(low, values.min(axis=1))
-        high = np.maximum(high, values.max(axis=1))
-    return (np.stack([low, high], axis=1).reshape(-1) >> np.uint64(32)).astype(np.uint32)
+        own = items[at:at + _STEP]
+        # the sets that have a part here, and where the parts begin
+        a, b = np.searchsorted(first, at, side="right") - 1, np.searchsorted(first, at + len(own))
+        parts = np.maximum(first[a:b] - at, 0)
+        values, moved = np.empty_like(own), np.empty_like(own)
+        for p in range(PERMUTATIONS):
+            np.multiply(own, _MULTIPLY[p], out=values)
+            values += _ADD[p]
+            np.right_shift(values, np.uint64(32), out=moved)
+            values ^= moved
+            values *= np.uint64(0xD6E8FEB86659FD93)
+            low[a:b, p] = np.minimum(low[a:b, p], np.minimum.reduceat(values, parts))
+            high[a:b, p] = np.maximum(high[a:b, p], np.maximum.reduceat(values, parts))
+    return (np.stack([low, high], axis=2).reshape(len(low), -1) >> np.uint64(32)).astype(np.uint32)
+
+
+def signature(items: np.ndarray) -> np.ndarray:
+    """The one of a single set."""
+    return signatures(items, np.array([0, len(items)]))[0]
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    """A key for each run of BAND signature values."""
-    out = np.full(len(values) // BAND, np.uint64(0x51ED270B))
+    """A key for each run of BAND signature values, which are along the last axis."""
+    out = np.full((*values.shape[:-1], values.shape[-1] // BAND), np.uint64(0x51ED270B))
     for i in range(BAND):
-        out = mix(out ^ values[i::BAND].astype(np.uint64))
+        out = mix(out ^ values[..., i::BAND].astype(np.uint64))
     return out
 
 
+def distinct_shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingle sets of all texts, one after another, and the bounds of each."""
+    text, start, end = runs_of(words, k)
+    items = windows(words.hashes, start, end)
+    cuts = np.searchsorted(text, np.arange(len(words.first)))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        items[a:b].sort()
+    new = np.ones(len(items), dtype=bool)
+    new[1:] = (items[1:] != items[:-1]) | (text[1:] != text[:-1])
+    return items[new], np.concatenate([[0], np.cumsum(new)])[cuts]
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(name, row, size, doc_id, text): the given identifier, a hash of it and the text, the length
     of the text, and a number that no two texts share."""
@@ -102,18 +128,16 @@ def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for frame in in_pieces(batch, "text"):
-                words = Words(frame["text"].tolist(), lower)
-                rows = []
-                for i in range(len(frame)):
-                    items = np.unique(shingles(words.of(i), k))
-                    if len(items):
-                        values = signature(items)
-                        rows.append((len(items), int(signed(items.sum(keepdims=True))[0]),
-                                     int(signed(np.bitwise_xor.reduce(mix(items), keepdims=True))[0]),
-                                     signed(band_keys(values)), values.astype(np.uint8).tobytes()))
-                    else:
-                        rows.append((0, 0, 0, None, None))
-                found = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "marks"])
+                items, first = distinct_shingles(Words(frame["text"].tolist(), lower), k)
+                size = np.diff(first)
+                full = np.flatnonzero(size)
+                found = pd.DataFrame({"n_shingles": size, "set_a": 0, "set_b": 0, "bands": None, "marks": None})
+                if len(full):
+                    values = signatures(items, first[np.append(full, len(size))])
+                    found.loc[full, "set_a"] = signed(np.add.reduceat(items, first[full]))
+                    found.loc[full, "set_b"] = signed(np.bitwise_xor.reduceat(mix(items), first[full]))
+                    found.loc[full, "bands"] = pd.Series([*signed(band_keys(values))], index=full)
+                    found.loc[full, "marks"] = pd.Series([v.tobytes() for v in values.astype(np.uint8)], index=full)
                 # Arrow gives identifiers with nulls as floats; they came as text, to stay exact.
                 ids = frame[own].reset_index(drop=True).astype({"name": "string"}).astype({"name": "Int64"})
                 yield pd.concat([ids, found], axis=1)
@@ -132,8 +156,8 @@ def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def shingle_sets(texts, k: int, lower: bool) -> list[np.ndarray]:
-    words = Words(texts, lower)
-    return [np.unique(shingles(words.of(i), k)) for i in range(len(words.first) - 1)]
+    items, first = distinct_shingles(Words(texts, lower), k)
+    return np.split(items, first[1:-1])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, lower: bool = True) -> DataFrame:
@@ -141,15 +165,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, low
     percent = round(100 * similarity)
 
     def run(batches):
-        last_b, right = None, None
         for batch in batches:
-            kept = []
-            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                if last_b != b:
-                    last_b, right = b, shingle_sets([text_b], k, lower)[0]
-                if similar(shingle_sets([text_a], k, lower)[0], right, percent):
-                    kept.append((a, b))
-            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+            for frame in in_pieces(batch, "text_a"):
+                hubs = frame.drop_duplicates("b")
+                right = dict(zip(hubs["b"], shingle_sets(hubs["text_b"].tolist(), k, lower)))
+                left = shingle_sets(frame["text_a"].tolist(), k, lower)
+                kept = [(a, b) for a, b, own in zip(frame["a"], frame["b"], left) if similar(own, right[b], percent)]
+                yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
     text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))

@@ -24,6 +24,8 @@ through ``cut`` unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import Words, filtered, frames, in_pieces, key_filter, may_hold, shingles, signed, spread_join, tidy, windows
+from .common import Words, filtered, frames, in_pieces, key_filter, may_hold, signed, spread_join, tidy, windows
 
 WINDOW = 50
 SEED = 10
@@ -40,37 +42,48 @@ SEED = 10
 def stretches(words: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """(anchor, stretch, first, last): hash of each anchor, hash of all words its windows cover,
     and its first and last window start, in text order. Ties go to the leftmost seed."""
-    n = len(words)
-    if n < window:
-        nothing = np.zeros(0, dtype=np.int64)
-        return nothing.astype(np.uint64), nothing.astype(np.uint64), nothing, nothing
-    hashes = shingles(words, seed)
+    return all_stretches(words, np.array([0, len(words)]), window, seed)[1:]
+
+
+def all_stretches(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """(text, anchor, stretch, first, last): the stretches of each text ``words[bounds[i]:bounds[i + 1]]``,
+    the starts counted from its first word."""
+    size = np.diff(bounds)
+    count = np.maximum(size - window + 1, 0)
+    text = np.repeat(np.arange(len(size)), count)
+    if not len(text):
+        return text, text.astype(np.uint64), text.astype(np.uint64), text, text
+    # the windows that lie in one text, by their place there and among all words
+    place = np.arange(len(text)) - (np.cumsum(count) - count)[text]
+    start = place + bounds[text]
+    low_bits = np.uint64((1 << 24) - 1)
+    ahead = np.arange(len(words) - seed + 1, dtype=np.int64)
+    hashes = windows(words, ahead, ahead + seed)
+    places = (np.arange(len(words)) - np.repeat(bounds[:-1], size))[:len(hashes)].astype(np.uint64)
+    low = (hashes & ~low_bits) | (places & low_bits)
     wide = window - seed + 1
-    places = np.arange(len(hashes), dtype=np.uint64)
-    low = (hashes & ~np.uint64((1 << 24) - 1)) | (places & np.uint64((1 << 24) - 1))
     reach = 1
     while 2 * reach <= wide:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
     if reach < wide:
-        low = np.minimum(low[:n - window + 1], low[wide - reach:wide - reach + n - window + 1])
-    at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    starts = np.arange(n - window + 1, dtype=np.int64)
-    at += (starts >> 24) << 24
-    at[at < starts] += 1 << 24
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        low = np.minimum(low[:len(words) - window + 1], low[wide - reach:wide - reach + len(words) - window + 1])
+    at = (low[start] & low_bits).astype(np.int64)
+    at += (place >> 24) << 24
+    at[at < place] += 1 << 24
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    whole = windows(words, first, last + window) + (at[first] - first).astype(np.uint64)
-    return hashes[at[first]], whole, first, last
+    whole = windows(words, start[first], start[last] + window) + (at[first] - place[first]).astype(np.uint64)
+    return text[first], hashes[at[first] + bounds[text[first]]], whole, place[first], place[last]
 
 
-def _sequence_identity(words: np.ndarray) -> tuple[int, int]:
-    n = len(words)
-    if not n:
-        return 0, 0
-    a = windows(words, np.array([0]), np.array([n]))
-    b = windows(words ^ (words >> np.uint64(7)), np.array([0]), np.array([n]))
-    return int(signed(a)[0]), int(signed(b)[0])
+def _sequence_identities(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the word sequence of each text; zeros without words."""
+    full = np.flatnonzero(np.diff(bounds))
+    out = np.zeros((2, len(bounds) - 1), dtype=np.int64)
+    out[0, full] = signed(windows(words, bounds[full], bounds[full + 1]))
+    out[1, full] = signed(windows(words ^ (words >> np.uint64(7)), bounds[full], bounds[full + 1]))
+    return out[0], out[1]
 
 
 _SCAN = ("doc_id long, n_words long, seq_a long, seq_b long, "
@@ -84,14 +97,13 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for frame in in_pieces(batch, "text"):
                 words = Words(frame["text"].tolist())
-                rows = []
-                for i, doc_id in enumerate(frame["doc_id"]):
-                    own = words.of(i)
-                    anchor, stretch, first, last = stretches(own)
-                    rows.append((doc_id, len(own), *_sequence_identity(own), signed(anchor), signed(stretch),
-                                 first, last))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_words", "seq_a", "seq_b",
-                                                  "anchor", "stretch", "first", "last"])
+                seq_a, seq_b = _sequence_identities(words.hashes, words.first)
+                text, anchor, stretch, first, last = all_stretches(words.hashes, words.first)
+                cuts = np.searchsorted(text, np.arange(1, len(frame)))
+                yield pd.DataFrame({
+                    "doc_id": frame["doc_id"].to_numpy(), "n_words": np.diff(words.first), "seq_a": seq_a, "seq_b": seq_b,
+                    "anchor": np.split(signed(anchor), cuts), "stretch": np.split(signed(stretch), cuts),
+                    "first": np.split(first, cuts), "last": np.split(last, cuts)})
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(tidy(run), _SCAN)
 
@@ -102,9 +114,10 @@ def _window_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for frame in in_pieces(batch, "text"):
                 words = Words(frame["text"].tolist())
+                identity = _sequence_identities(words.hashes, words.first)[0]
                 parts = []
                 for i, row in enumerate(frame.itertuples(index=False)):
-                    if _sequence_identity(words.of(i))[0] != row.seq_a:
+                    if identity[i] != row.seq_a:
                         continue  # another row with this identifier
                     first = np.asarray(row.first, dtype=np.int64)
                     count = np.asarray(row.last, dtype=np.int64) - first + 1
@@ -177,41 +190,57 @@ def cut(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed:
 
     Documents that lose nothing do not move; only those that may be in ``found`` are joined.
     """
-    columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()),
-                           T.StructField(n_removed, T.LongType()), T.StructField(text, T.StringType())])
-
-    table = docs.sparkSession.sparkContext.broadcast(key_filter(found, "doc_id"))
+    names = (n_words, n_removed, text)
+    table, add = docs.sparkSession.sparkContext.broadcast(key_filter(found, "doc_id")), _cutter(docs, names)
 
     def plain(batches):
         for batch in batches:
             known = batch["doc_id"].notna().to_numpy()
             listed = np.zeros(len(batch), dtype=bool)
             listed[known] = may_hold(table.value, batch["doc_id"][known].to_numpy(dtype=np.int64))
-            yield from run([batch[~listed]])
+            yield from add([batch[~listed]])
+
+    return cut_listed(docs, found, *names).union(frames(docs, plain, _cut_schema(docs, names)))
+
+
+def cut_listed(docs: DataFrame, found: DataFrame, n_words: str = "n_words", n_removed: str = "n_removed",
+               text: str = "kept") -> DataFrame:
+    """The rows of ``cut`` that may be in ``found``: all that lose words are among them. The others are
+    what ``filtered`` leaves with ``keep=False``."""
+    names = (n_words, n_removed, text)
+    spans = found.groupBy(F.col("doc_id").alias("_doc_id")).agg(
+        F.collect_list(F.struct("seq_a", "start", "end")).alias("_spans"))
+    # written between, so that a task has one Python worker at a time
+    joined = store(filtered(docs, found, "doc_id").join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id"), "touched")
+    return frames(joined, _cutter(docs, names), _cut_schema(docs, names))
+
+
+def _cut_schema(docs: DataFrame, names: tuple[str, str, str]) -> T.StructType:
+    kinds = (T.LongType(), T.LongType(), T.StringType())
+    return T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, kind in zip(names, kinds))])
+
+
+def _cutter(docs: DataFrame, names: tuple[str, str, str]) -> Callable:
+    """Adds the columns ``names`` of ``cut`` to frames; without ``_spans`` no word goes."""
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
             for frame in in_pieces(batch, "text"):
-                words = Words(frame["text"].tolist())
+                texts, sizes, gone, kept = frame["text"].tolist(), [], [], []
                 spans = frame["_spans"] if "_spans" in frame else [None] * len(frame)
-                sizes, gone, kept = [], [], []
-                for i, own in enumerate(spans):
-                    parts = words.texts_of(i)
+                words = Words(texts) if "_spans" in frame else None
+                identity = _sequence_identities(words.hashes, words.first)[0] if words else None
+                for i, (each, own) in enumerate(zip(texts, spans)):
+                    # bytes are split at the separators of words
+                    parts = each.encode("utf-8").split() if each else []
                     sizes.append(len(parts))
-                    if own is not None:
-                        identity = _sequence_identity(words.of(i))[0]
-                        for one in own:
-                            if one["seq_a"] == identity:
-                                stay = kept_words(len(parts), one["start"], one["end"])
-                                parts = [p for p, s in zip(parts, stay) if s]
+                    for one in own if own is not None else ():
+                        if one["seq_a"] == identity[i]:
+                            stay = kept_words(len(parts), one["start"], one["end"])
+                            parts = [p for p, s in zip(parts, stay) if s]
                     gone.append(sizes[-1] - len(parts))
                     kept.append(b" ".join(parts).decode("utf-8"))
-                yield frame[columns].assign(**{n_words: sizes, n_removed: gone, text: kept})
+                yield frame[columns].assign(**dict(zip(names, (sizes, gone, kept))))
 
-    touched = filtered(docs, found, "doc_id")
-    spans = found.groupBy(F.col("doc_id").alias("_doc_id")).agg(
-        F.collect_list(F.struct("seq_a", "start", "end")).alias("_spans"))
-    # written between, so that a task has one Python worker at a time
-    joined = store(touched.join(spans, F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id"), "touched")
-    return frames(joined, run, schema).union(frames(docs, plain, schema))
+    return run

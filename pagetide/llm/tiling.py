@@ -20,7 +20,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import (Words, frames, in_pieces, key_filter, may_hold, runs_of, shingles, signed, spread_join, tidy, whole,
+from .common import (Words, folded, frames, in_pieces, key_filter, may_hold, runs_of, shingles, signed, spread_join, tidy, whole,
                      width, windows)
 
 SHORTEST = 5
 COVERAGE = 0.6
 
-# What no word has: among ASCII characters by a table, among all others by a pattern.
-_GAPS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-_OTHER_GAPS = re.compile(r"[^\w\x00-\x7F]")
-
 # Base of the rolling hash; arithmetic is modulo 2**64.
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
 
-def folded(texts) -> list[str]:
-    """Texts with everything but letters and digits as spaces, in lower case."""
-    # bytes under 128 are ASCII characters in UTF-8, wherever they stand
-    plain = ["" if t is None else t.lower().encode("utf-8").translate(_GAPS).decode("utf-8") for t in texts]
-    return [t if t.isascii() else _OTHER_GAPS.sub(" ", t) for t in plain]
-
-
 def item_words(items: DataFrame) -> DataFrame:
     """(item, item_id, words): hashed words of each item with any; ``item`` tells rows apart."""
     def run(batches):

@@ -21,7 +21,6 @@ all; repeated rows are scored alike; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import frames
+from .common import folded, frames
 from .linear import fit_logistic, sigmoid
 
 CATEGORIES = ("insult", "severe", "toxic")
@@ -56,11 +55,9 @@ LEAST_TEXTS = 3
 
 REMEMBERED_WORDS = 200_000
 
-_WORD = re.compile(r"[^\W_]+")
-
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    return set(folded([text])[0].split())
 
 
 def terms_of(word: str) -> list[str]:
@@ -101,28 +98,45 @@ class Features:
     def __init__(self, chosen: pd.DataFrame):
         self.place = {t: i for i, t in enumerate(chosen["term"])}
         z = chosen["z"].to_numpy(dtype=float)
-        self.abusive = z >= min(STANDS_OUT, z.max(initial=0) / 2)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
+        self.abusive = (z >= min(STANDS_OUT, z.max(initial=0) / 2)).tolist()
+        # Words with a term begin like one.
+        self.begin = {t[:min(BEGINNINGS)] for t in self.place}
+        self.known: dict[str, tuple[list[int], bool]] = {}
+        self.plain: set[str] = set()
+
+    def of_word(self, word: str) -> tuple[list[int], bool]:
+        """The places of its terms, and whether one of them is abusive. Those of words without a
+        term are remembered in ``plain``."""
         out = self.known.get(word)
         if out is None:
-            if len(self.known) >= REMEMBERED_WORDS:
-                self.known.clear()
-            out = self.known[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+            if len(self.known) + len(self.plain) >= REMEMBERED_WORDS:
+                self.forget()
+            at = [self.place[t] for t in terms_of(word) if t in self.place]
+            out = at, any(self.abusive[i] for i in at)
+            if at:
+                self.known[word] = out
+            else:
+                self.plain.add(word)
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.plain.clear()
+
     def matrix(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Features and the number of different abusive words of each text."""
         x = np.zeros((len(texts), len(self.place) + 1), dtype=np.float32)
         distinct = np.zeros(len(texts))
+        begin, start = self.begin, min(BEGINNINGS)
         for row, text in enumerate(texts):
-            for word in words_of(text):
-                at = self.of_word(word)
-                if at:
-                    x[row, list(at)] = 1
-                    distinct[row] += bool(self.abusive[list(at)].any())
-            x[row, -1] = np.log1p(distinct[row])
+            places: list[int] = []
+            for word in words_of(text) - self.plain:
+                if word[:start] in begin:
+                    at, abusive = self.of_word(word)
+                    places += at
+                    distinct[row] += abusive
+            x[row, places] = 1
+        x[:, -1] = np.log1p(distinct)
         return x, distinct
 
 
@@ -200,6 +214,6 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
                 frame = batch.iloc[at:at + 1000]
                 p = own.predict(own.features.matrix(frame["text"].tolist())[0])
                 yield frame[columns].assign(**dict(zip(names, p.T)), toxic=p[:, -1] >= threshold)
-        own.features.known.clear()
+        own.features.forget()
 
     return frames(docs, run, schema)

@@ -107,3 +107,21 @@ def test_toxicity_without_usable_labels(spark):
         got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, LABELS)))
         assert not any(r["toxic"] for r in got.collect())
     assert toxicity.score(spark.createDataFrame([], DOCS), toxicity.train(docs, spark.createDataFrame([], LABELS))).count() == 0
+
+
+def test_features_while_the_tables_fill_up(monkeypatch):
+    """Only words with a term are looked at one by one; what is remembered does not change features."""
+    import pandas as pd
+
+    monkeypatch.setattr(toxicity, "REMEMBERED_WORDS", 8)
+    chosen = pd.DataFrame({"term": ["bad", "bad-", "wor-", "é", "worse", "awful-"], "z": [9.0, 8.0, 7.0, 2.9, 3.0, 3.0]})
+    features = toxicity.Features(chosen)
+    texts = [None, "", "Bad, badly; WORSE", "wo bade é worst baddest baden word", "bax worm _awfully_ good", "fine words"] * 3
+    x, distinct = features.matrix(texts)
+    for row, text in enumerate(texts):
+        words = toxicity.words_of(text)
+        terms = [{t for t in toxicity.terms_of(w) if t in features.place} for w in words]
+        want = {features.place[t] for own in terms for t in own}
+        assert set(np.flatnonzero(x[row, :-1]).tolist()) == want
+        assert distinct[row] == sum(bool(own & {"bad", "bad-", "wor-"}) for own in terms)
+    assert len(features.known) + len(features.plain) <= 8 and "good" not in features.plain

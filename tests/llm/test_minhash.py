@@ -100,3 +100,25 @@ def test_unequal_texts_of_one_identifier(spark):
     assert sorted(map(tuple, got), key=str) == sorted(
         [(i, len(s), root[i or 2**62]) for (i, _), s in zip(data, sets)], key=str)
     assert root[20] == 1 == root[2] and root[21] == 3 == root[5]
+
+
+def test_sketches_of_many_texts_at_once(monkeypatch):
+    """Sets and signatures are those that each text has for itself, wherever the steps are cut."""
+    from pagetide.llm.common import Words, shingles
+
+    rng = random.Random(5)
+    texts = [None, "one two", "", *(prose(rng, rng.choice((1, 3, 4, 5, 90)), 30) for _ in range(40)), " \n", "END end"]
+    words = Words(texts, lower=True)
+    items, first = minhash.distinct_shingles(words, 4)
+    sets = [np.unique(shingles(words.of(i), 4)) for i in range(len(texts))]
+    assert [s.tolist() for s in np.split(items, first[1:-1])] == [s.tolist() for s in sets]
+    full = [s for s in sets if len(s)]
+    bounds = np.cumsum([0, *map(len, full)])
+    for step in (7, 64, 10_000):
+        monkeypatch.setattr(minhash, "_STEP", step)
+        got = minhash.signatures(np.concatenate(full), bounds)
+        for row, own in zip(got, full):
+            v = own[None, :] * minhash._MULTIPLY[:, None] + minhash._ADD[:, None]
+            v = (v ^ (v >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            assert (row == (np.stack([v.min(axis=1), v.max(axis=1)], axis=1).reshape(-1) >> np.uint64(32))).all()
+            assert (minhash.band_keys(got)[0] == minhash.band_keys(got[0])).all()

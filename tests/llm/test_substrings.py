@@ -83,3 +83,27 @@ def test_every_window_has_the_anchor_that_its_words_decide():
         assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
     own = {int(a) for a in substrings.stretches(shared)[0]}
     assert own <= {int(a) for a in substrings.stretches(words)[0]}
+
+
+def test_stretches_of_many_texts_at_once():
+    rng = np.random.default_rng(10)
+    texts = [rng.integers(0, 4, n, dtype=np.uint64) for n in (0, 49, 50, 300, 0, 51, 120, 7)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    text, *found = substrings.all_stretches(np.concatenate(texts), bounds)
+    for i, own in enumerate(texts):
+        assert all((a[text == i] == b).all() for a, b in zip(found, substrings.stretches(own)))
+    assert set(text.tolist()) == {2, 3, 5, 6}
+
+
+def test_rows_that_lose_nothing_are_not_cut(spark):
+    """What the pipeline cuts are the rows listed; the others are those of ``cut`` that lose nothing."""
+    docs = with_clashes(spark.createDataFrame(made(4), DOCS).repartition(3))
+    found = substrings.store(substrings.repeats(docs), "repeats")
+    listed = {r["doc_id"] for r in found.collect()}
+    columns = ["doc_id", "n_words", "n_removed", "kept"]
+    got = substrings.cut_listed(docs, found).select(*columns).collect()
+    assert {r["doc_id"] for r in got} >= listed and len(got) < docs.count() / 1.2
+    rest = substrings.filtered(docs, found, "doc_id", keep=False)
+    assert len(got) + rest.count() == docs.count()
+    whole = sorted(map(tuple, substrings.cut(docs, found).select(*columns).collect()), key=str)
+    assert [r for r in whole if r[2]] == sorted((tuple(r) for r in got if r["n_removed"]), key=str)
